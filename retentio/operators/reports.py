@@ -26,6 +26,13 @@ def _r(c):
     return F.round(c, R)
 
 
+def round_doubles(df: DataFrame, digits: int = R) -> DataFrame:
+    """Round double columns on the JVM (HALF_UP on the shortest decimal form)."""
+    from pyspark.sql import types as T
+    return df.select(*[F.round(F.col(f.name), digits).alias(f.name)
+                       if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields])
+
+
 def portfolio_kpis(scored: DataFrame) -> DataFrame:
     """A1 (+P13): customers, churn %, high/medium risk counts, mean probability %."""
     return scored.agg(
@@ -155,15 +162,16 @@ def numeric_bounds(df: DataFrame, columns=None, method: str = "exact") -> DataFr
             lo, hi, med = 0.0, 1.0, 0.0
         elif lo == hi:
             hi = lo + 1.0
-        rows.append((c, round(lo, R), round(hi, R), round(med, R)))
-    return df.sparkSession.createDataFrame(rows, "variable string, low double, high double, default double")
+        rows.append((c, float(lo), float(hi), float(med)))
+    return round_doubles(df.sparkSession.createDataFrame(
+        rows, "variable string, low double, high double, default double"))
 
 
 def quantile_values(df: DataFrame, columns, probs, method: str = "exact") -> DataFrame:
     """Arbitrary quantiles per column, 0 when a column has no values."""
     q = stats.quantiles(df, columns, probs, method=method)
-    rows = [(c, float(p), round(q[(c, p)], R) if q[(c, p)] is not None else 0.0) for c in columns for p in probs]
-    return df.sparkSession.createDataFrame(rows, "variable string, q double, value double")
+    rows = [(c, float(p), float(q[(c, p)]) if q[(c, p)] is not None else 0.0) for c in columns for p in probs]
+    return round_doubles(df.sparkSession.createDataFrame(rows, "variable string, q double, value double"))
 
 
 def safe_modes(df: DataFrame, columns) -> DataFrame:
@@ -196,11 +204,11 @@ def typical_customer(df: DataFrame, method: str = "exact") -> DataFrame:
     for c in nums:
         v = med[(c, 0.5)]
         fields.append(f"{c} double")
-        values.append(0.0 if counts[c][0] == 0 else round(v, R))
+        values.append(0.0 if counts[c][0] == 0 else float(v))
     for c in cats:
         fields.append(f"{c} string")
         values.append(mod[c] if mod[c] is not None else "")
-    return df.sparkSession.createDataFrame([tuple(values)], ", ".join(fields))
+    return round_doubles(df.sparkSession.createDataFrame([tuple(values)], ", ".join(fields)))
 
 
 def class_histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_MAX_BINS) -> DataFrame:
@@ -239,10 +247,9 @@ def class_box(df: DataFrame, column: str, method: str = "exact") -> DataFrame:
     row = wide.agg(*aggs).first() if aggs else []
     out = []
     for i, (s, lo, hi) in enumerate(fences):
-        out.append((s, round(q[(s, 0.25)], R), round(q[(s, 0.5)], R), round(q[(s, 0.75)], R),
-                    round(row[2 * i], R), round(row[2 * i + 1], R)))
-    return spark.createDataFrame(out, "status string, q1 double, median double, q3 double, "
-                                      "lower_whisker double, upper_whisker double")
+        out.append((s, q[(s, 0.25)], q[(s, 0.5)], q[(s, 0.75)], row[2 * i], row[2 * i + 1]))
+    return round_doubles(spark.createDataFrame(out, "status string, q1 double, median double, q3 double, "
+                                                    "lower_whisker double, upper_whisker double"))
 
 
 def hash_order(seed: int = SEED):

@@ -59,7 +59,18 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float] | dict
                     counts: dict | None = None) -> dict[tuple[str, float], float | None]:
     """Exact linearly-interpolated quantiles; ``None`` for a column without values."""
     probs_by = probs if isinstance(probs, dict) else {c: list(probs) for c in columns}
-    counts = counts or column_counts(df, list(probs_by))
+    long = keep(_long(df, list(probs_by)))
+    try:
+        if counts is None:
+            got = {r["c"]: (r["n"], r["mn"], r["mx"]) for r in long.groupBy("c").agg(
+                F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx")).collect()}
+            counts = {c: got.get(c, (0, None, None)) for c in probs_by}
+        return _quantiles_from(long, probs_by, counts)
+    finally:
+        long.unpersist()
+
+
+def _quantiles_from(long: DataFrame, probs_by: dict, counts: dict) -> dict:
     result: dict[tuple[str, float], float | None] = {}
     ranks: dict[str, set[int]] = defaultdict(set)
     for c, qs in probs_by.items():
@@ -72,7 +83,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float] | dict
             ranks[c].update((lo, hi))
     if not ranks:
         return result
-    values = _select_ranks(df, counts, ranks)
+    values = _select_ranks(long, counts, ranks)
     for c, qs in probs_by.items():
         n, _, _ = counts[c]
         if not n:
@@ -84,37 +95,33 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float] | dict
     return result
 
 
-def _select_ranks(df: DataFrame, counts: dict, ranks: dict[str, set[int]]) -> dict[tuple[str, int], float]:
-    """Value at each 0-based rank (ascending) per column, by range narrowing."""
-    spark = df.sparkSession
-    long = keep(_long(df, list(ranks)))
+def _select_ranks(long: DataFrame, counts: dict, ranks: dict[str, set[int]]) -> dict[tuple[str, int], float]:
+    """Value at each 0-based rank (ascending) per column, by range narrowing over (c, v) pairs."""
+    spark = long.sparkSession
     found: dict[tuple[str, int], float] = {}
     # cell = (column, lo, hi, offset, count, ranks)
     cells = []
     for c, rs in ranks.items():
         n, mn, mx = counts[c]
         cells.append((c, mn, mx, 0, n, sorted(rs)))
-    try:
-        for _ in range(MAX_LEVELS):
-            final, split = [], []
-            for cell in cells:
-                c, lo, hi, off, n, rs = cell
-                if lo == hi:
-                    for r in rs:
-                        found[(c, r)] = lo
-                elif n <= FINAL_RANGE_ROWS:
-                    final.append(cell)
-                else:
-                    split.append(cell)
-            if final:
-                found.update(_rank_in_cells(spark, long, final))
-            if not split:
-                break
-            cells = _narrow(spark, long, split)
-        else:
-            found.update(_rank_in_cells(spark, long, cells))
-    finally:
-        long.unpersist()
+    for _ in range(MAX_LEVELS):
+        final, split = [], []
+        for cell in cells:
+            c, lo, hi, off, n, rs = cell
+            if lo == hi:
+                for r in rs:
+                    found[(c, r)] = lo
+            elif n <= FINAL_RANGE_ROWS:
+                final.append(cell)
+            else:
+                split.append(cell)
+        if final:
+            found.update(_rank_in_cells(spark, long, final))
+        if not split:
+            break
+        cells = _narrow(spark, long, split)
+    else:
+        found.update(_rank_in_cells(spark, long, cells))
     return found
 
 

@@ -76,3 +76,327 @@ FROM scored WHERE country IS NOT NULL GROUP BY country
 ORDER BY mean_probability DESC, country LIMIT 12""")
 def q_a5(spark, sf):
     return reports.country_risk(P.rule_scored(spark, sf))
+
+
+# --- portfolio reports (A1-A18) ------------------------------------------------
+
+@register("a1_portfolio_kpis", SCORED_SQL + """
+SELECT count(*) AS customers, round(avg(churned) * 100, 6) AS churn_pct,
+       count(*) FILTER (WHERE risk_level = 'high') AS high_risk,
+       count(*) FILTER (WHERE risk_level = 'medium') AS medium_risk,
+       round(avg(probability) * 100, 6) AS mean_probability_pct
+FROM scored""")
+def q_a1(spark, sf):
+    return reports.portfolio_kpis(P.rule_scored(spark, sf))
+
+
+_NULLS = " + ".join(f"CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT)" for c in CUSTOMER_COLUMNS)
+
+
+@register("a2_dataset_kpis", O.with_(O.CUSTOMERS) + f"""
+SELECT count(*) AS rows, CAST({len(CUSTOMER_COLUMNS)} AS BIGINT) AS columns,
+       round(avg(churned) * 100, 6) AS churn_pct, CAST({_NULLS} AS BIGINT) AS null_cells
+FROM customers""")
+def q_a2(spark, sf):
+    return reports.dataset_kpis(P.customers(spark, sf))
+
+
+@register("a3_target_distribution", O.with_(O.CUSTOMERS) + """
+SELECT status, count(*) AS customers FROM (
+  SELECT CASE WHEN churned = 1 THEN 'churn' WHEN churned = 0 THEN 'active' END AS status FROM customers)
+WHERE status IS NOT NULL GROUP BY status""")
+def q_a3(spark, sf):
+    return reports.target_distribution(P.customers(spark, sf))
+
+
+@register("a4_risk_distribution", SCORED_SQL + """
+SELECT d.position, d.risk_level, coalesce(c.n, 0) AS customers
+FROM (VALUES (0, 'low'), (1, 'medium'), (2, 'high')) d(position, risk_level)
+LEFT JOIN (SELECT risk_level, count(*) AS n FROM scored GROUP BY risk_level) c USING (risk_level)""")
+def q_a4(spark, sf):
+    return reports.level_counts(P.rule_scored(spark, sf))
+
+
+_NULL_WIDE = ", ".join(f"avg(CAST({c} IS NULL AS DOUBLE)) * 100 AS {c}" for c in CUSTOMER_COLUMNS)
+
+
+@register("a6_null_share", O.with_(O.CUSTOMERS, f"wide AS (SELECT {_NULL_WIDE} FROM customers)") + f"""
+SELECT variable, round(null_pct, 6) AS null_pct, {O.label_sql('variable')} AS label FROM (
+{O.unpivot_sql('wide', CUSTOMER_COLUMNS, value='null_pct')})
+ORDER BY round(null_pct, 6) DESC, variable LIMIT 12""")
+def q_a6(spark, sf):
+    return reports.null_share(P.customers(spark, sf))
+
+
+@register("a7_batch_balance", SCORED_SQL + """
+SELECT count(*) AS total,
+       count(*) FILTER (WHERE risk_level = 'high') AS high,
+       count(*) FILTER (WHERE risk_level = 'medium') AS medium,
+       count(*) FILTER (WHERE risk_level = 'low') AS low,
+       coalesce(round(count(*) FILTER (WHERE decision = 'active') * 100.0::DOUBLE / nullif(count(*), 0), 6), 0)
+         AS active_pct,
+       coalesce(round(count(*) FILTER (WHERE decision = 'churn') * 100.0::DOUBLE / nullif(count(*), 0), 6), 0)
+         AS churn_pct
+FROM scored""")
+def q_a7(spark, sf):
+    return reports.batch_balance(P.rule_scored(spark, sf))
+
+
+@register("a8_campaign_advice", SCORED_SQL + """,
+counts AS (SELECT count(*) FILTER (WHERE risk_level = 'high') AS h,
+                  count(*) FILTER (WHERE risk_level = 'medium') AS m FROM scored)
+SELECT 1 AS line, printf('Prioritise immediate contact with the %d high-risk customers.', h) AS advice
+FROM counts WHERE h > 0
+UNION ALL SELECT 2, printf('Launch preventive campaigns for the %d medium-risk customers.', m) FROM counts WHERE m > 0
+UNION ALL SELECT 3, 'Download the CSV to plan retention actions per customer.'""".replace(SCORED_SQL + ",", SCORED_SQL[:-1] + ",", 1))
+def q_a8(spark, sf):
+    return reports.campaign_advice(P.rule_scored(spark, sf))
+
+
+_PROFILE_SQL = ", ".join(f"round(avg({src}), 6) AS {name}" for name, src in reports.PROFILE_MEANS)
+
+
+@register("a9_segment_profile", O.with_(*O.BASE) + f"""
+SELECT *, round(customers * 100.0::DOUBLE / sum(customers) OVER (), 6) AS pct_customers FROM (
+  SELECT recency_segment, count(*) AS customers, round(avg(churned), 6) AS churn_rate, {_PROFILE_SQL}
+  FROM featured GROUP BY recency_segment)""")
+def q_a9(spark, sf):
+    return reports.segment_profile(P.featured(spark, sf), "recency_segment")
+
+
+@register("a10_segment_count", O.with_(*O.BASE) + """
+SELECT count(DISTINCT recency_segment) AS segments FROM featured""")
+def q_a10(spark, sf):
+    return reports.segment_count(P.featured(spark, sf), "recency_segment")
+
+
+def _bounds_sql(source: str) -> str:
+    parts = []
+    for c in BASE_NUMERIC:
+        parts.append(f"SELECT '{c}' AS variable, quantile_cont({c}, 0.01) AS lo, quantile_cont({c}, 0.5) AS med, "
+                     f"quantile_cont({c}, 0.99) AS hi FROM {source}")
+    return ("SELECT variable, round(CASE WHEN lo IS NULL THEN 0 ELSE lo END, 6) AS low, "
+            "round(CASE WHEN lo IS NULL THEN 1 WHEN lo = hi THEN lo + 1 ELSE hi END, 6) AS high, "
+            "round(CASE WHEN lo IS NULL THEN 0 ELSE med END, 6) AS \"default\" FROM (\n"
+            + "\nUNION ALL ".join(parts) + ")")
+
+
+@register("a11_numeric_bounds", O.with_(O.CUSTOMERS) + _bounds_sql("customers"))
+def q_a11(spark, sf):
+    return reports.numeric_bounds(P.customers(spark, sf))
+
+
+A12_PROBS = [0.1, 0.25, 0.75, 0.9]
+
+
+@register("a12_quantiles", O.with_(O.CUSTOMERS) + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS variable, CAST({q} AS DOUBLE) AS q, round(coalesce(quantile_cont({c}, {q}), 0), 6) AS value "
+    f"FROM customers" for c in BASE_NUMERIC for q in A12_PROBS))
+def q_a12(spark, sf):
+    return reports.quantile_values(P.customers(spark, sf), BASE_NUMERIC, A12_PROBS)
+
+
+MODE_COLUMNS = ["gender", "country", "city", "signup_quarter", "payment_method_diversity"]
+
+
+def _mode_sql(c: str, source: str) -> str:
+    return (f"coalesce((SELECT {c} FROM {source} WHERE {c} IS NOT NULL GROUP BY {c} "
+            f"ORDER BY count(*) DESC, {c} LIMIT 1), '')")
+
+
+@register("a13_safe_mode", O.with_(O.CUSTOMERS) + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS variable, {_mode_sql(c, 'customers')} AS mode" for c in MODE_COLUMNS))
+def q_a13(spark, sf):
+    return reports.safe_modes(P.customers(spark, sf), MODE_COLUMNS)
+
+
+@register("a14_sorted_options", O.with_(O.CUSTOMERS) + f"""
+SELECT variable, option, row_number() OVER (PARTITION BY variable ORDER BY option) AS position FROM (
+  SELECT DISTINCT variable, option FROM (
+{O.unpivot_sql('customers', MODE_COLUMNS, value='option')}) WHERE option IS NOT NULL)""")
+def q_a14(spark, sf):
+    return reports.sorted_options(P.customers(spark, sf), MODE_COLUMNS)
+
+
+_TYPICAL = ", ".join(
+    [f"(SELECT round(coalesce(quantile_cont({c}, 0.5), 0), 6) FROM customers) AS {c}" for c in BASE_NUMERIC]
+    + [f"{_mode_sql(c, 'customers')} AS {c}" for c in ["gender", "country", "signup_quarter",
+                                                       "payment_method_diversity", "city"]])
+
+
+@register("a15_typical_customer", O.with_(O.CUSTOMERS) + f"SELECT {_TYPICAL}")
+def q_a15(spark, sf):
+    return reports.typical_customer(P.customers(spark, sf))
+
+
+HIST_COLUMN = "days_since_last_purchase"
+
+
+@register("a16_class_histogram", O.with_(O.CUSTOMERS, f"""
+rng AS (SELECT min({HIST_COLUMN}) AS mn,
+  CASE WHEN max({HIST_COLUMN}) > min({HIST_COLUMN}) THEN (max({HIST_COLUMN}) - min({HIST_COLUMN})) / 45 ELSE 1 END AS w
+  FROM customers)""") + f"""
+SELECT status, bin, round(mn + bin * w, 6) AS bin_start, count(*) AS customers FROM (
+  SELECT CASE WHEN churned = 1 THEN 'churn' WHEN churned = 0 THEN 'active' END AS status,
+         CAST(least(floor(({HIST_COLUMN} - mn) / w), 44) AS INTEGER) AS bin, mn, w
+  FROM customers, rng WHERE {HIST_COLUMN} IS NOT NULL)
+WHERE status IS NOT NULL GROUP BY status, bin, mn, w""")
+def q_a16h(spark, sf):
+    return reports.class_histogram(P.customers(spark, sf), HIST_COLUMN)
+
+
+@register("a16_class_box", O.with_(O.CUSTOMERS, f"""
+t AS (SELECT CASE WHEN churned = 1 THEN 'churn' WHEN churned = 0 THEN 'active' END AS status, {HIST_COLUMN} AS x
+      FROM customers WHERE {HIST_COLUMN} IS NOT NULL),
+q AS (SELECT status, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS med, quantile_cont(x, 0.75) AS q3
+      FROM t WHERE status IS NOT NULL GROUP BY status)""") + """
+SELECT q.status, round(q1, 6) AS q1, round(med, 6) AS median, round(q3, 6) AS q3,
+       round(min(x) FILTER (WHERE x >= q1 - 1.5 * (q3 - q1)), 6) AS lower_whisker,
+       round(max(x) FILTER (WHERE x <= q3 + 1.5 * (q3 - q1)), 6) AS upper_whisker
+FROM t JOIN q USING (status) GROUP BY q.status, q1, med, q3""")
+def q_a16b(spark, sf):
+    return reports.class_box(P.customers(spark, sf), HIST_COLUMN)
+
+
+SCATTER = dict(x="cart_abandonment_rate", y="email_open_rate", color="risk_level",
+               hover=["total_purchases", "lifetime_value", "customer_service_calls"])
+
+
+@register("a17_scatter_extract", SCORED_SQL + f"""
+SELECT customer_id, {', '.join(r(c) for c in [SCATTER['x'], SCATTER['y']])}, risk_level,
+       {', '.join(r(c) for c in SCATTER['hover'])}
+FROM scored ORDER BY md5(CAST(customer_id AS VARCHAR) || ':42'), customer_id LIMIT 6000""")
+def q_a17(spark, sf):
+    return rounded(reports.scatter_extract(P.rule_scored(spark, sf), **SCATTER))
+
+
+_RANK_REST = [c for c in CUSTOMER_COLUMNS]
+
+
+@register("a18_ranked_portfolio", SCORED_SQL + f"""
+SELECT round(probability, 6) AS probability, risk_level, decision,
+       {', '.join(r(c) if c in _DOUBLES else c for c in _RANK_REST)}
+FROM scored ORDER BY probability DESC, customer_id LIMIT 200""")
+def q_a18(spark, sf):
+    return rounded(reports.ranked(P.rule_scored(spark, sf)))
+
+
+# --- projections / samples -----------------------------------------------------
+
+FEATURE_COLUMNS = [ID] + [c for c in __import__("retentio.constants", fromlist=["x"]).PREDICTION_COLUMNS]
+
+
+@register("p7_feature_projection", O.with_(*O.BASE) + "SELECT "
+          + ", ".join(r(c) if c in _DOUBLES else c for c in FEATURE_COLUMNS) + " FROM featured")
+def q_p7(spark, sf):
+    return rounded(P.featured(spark, sf).select(*FEATURE_COLUMNS))
+
+
+@register("f6_legacy_features", O.with_(O.CUSTOMERS, O.CLEAN, O.features_cte(legacy=True)) + """
+SELECT customer_id, uses_app, has_credit, age_group, purchase_segment, recency_segment, ltv_segment FROM featured""")
+def q_f6(spark, sf):
+    return P.featured(spark, sf, "legacy").select(ID, "uses_app", "has_credit", "age_group", "purchase_segment",
+                                                  "recency_segment", "ltv_segment")
+
+
+@register("s6_template_preview", O.with_(O.CUSTOMERS) + "SELECT "
+          + ", ".join(r(c) if c in _DOUBLES else c for c in CUSTOMER_COLUMNS if c != TARGET)
+          + " FROM customers ORDER BY customer_id LIMIT 5")
+def q_s6(spark, sf):
+    return rounded(P.customers(spark, sf).drop(TARGET).orderBy(ID).limit(5))
+
+
+# --- split, preprocessing fit tables and transformed matrix (L1, L2, I1-I9, I13) ----
+
+from ..operators import evaluate as E  # noqa: E402
+from ..operators import sampling as S  # noqa: E402
+from ..operators.prep import ChurnPreprocessor  # noqa: E402
+from ..operators.scoring import RuleScorer  # noqa: E402
+from ..session import keep  # noqa: E402
+
+SPLIT_SQL = O.with_(*O.BASE, O.split_cte())
+
+
+@register("l1_stratified_split", SPLIT_SQL + "SELECT customer_id, churned, split FROM split")
+def q_l1(spark, sf):
+    return S.stratified_split(P.featured(spark, sf)).select(ID, TARGET, "split")
+
+
+@register("l2_stratified_downsample", O.with_(O.CUSTOMERS) + "SELECT customer_id, churned FROM customers")
+def q_l2(spark, sf):
+    return S.stratified_downsample(P.customers(spark, sf)).select(ID, TARGET)
+
+
+def _fitted(spark, sf, profile="current"):
+    split = keep(S.stratified_split(P.featured(spark, sf, profile)))
+    model = ChurnPreprocessor(profile=profile).fit(split.where(F.col("split") == "train"))
+    return model, split
+
+
+def _fit_rows(model, spark, kinds):
+    t = model.fit_table(spark)
+    return t.where(F.col("stat").isin(*kinds))
+
+
+PREP_SQL = O.with_(*O.BASE, *O.prep_ctes())
+LEGACY_SQL = O.with_(O.CUSTOMERS, O.CLEAN, O.features_cte(legacy=True), *O.prep_ctes(legacy=True))
+
+
+@register("i1_imputer_fill", PREP_SQL + """
+SELECT variable, strategy, round(fill, 6) AS fill, round(skew, 6) AS skew FROM fill_num""")
+def q_i1(spark, sf):
+    m, _ = _fitted(spark, sf)
+    rows = [(c, p["strategy"], p["fill"], p["skew"]) for c, p in m.fitted["numeric"].items()]
+    return rounded(spark.createDataFrame(rows, "variable string, strategy string, fill double, skew double"))
+
+
+@register("i2_mode_fill", PREP_SQL + "SELECT variable, fill FROM fill_cat")
+def q_i2(spark, sf):
+    m, _ = _fitted(spark, sf)
+    s = m.fitted
+    rows = [(c, None if p["fill"] is None else str(p["fill"] if grp != "binary" else int(p["fill"])))
+            for grp in ("binary", "nominal", "ordinal") for c, p in s[grp].items()]
+    return spark.createDataFrame(rows, "variable string, fill string")
+
+
+@register("i4_iqr_fences", PREP_SQL + "SELECT variable, round(lo, 6) AS lo, round(hi, 6) AS hi FROM fences")
+def q_i4(spark, sf):
+    m, _ = _fitted(spark, sf)
+    rows = [(c, p["lo"], p["hi"]) for c, p in m.fitted["numeric"].items() if "lo" in p]
+    return rounded(spark.createDataFrame(rows, "variable string, lo double, hi double"))
+
+
+@register("i6_scaler_stats", PREP_SQL + "SELECT variable, round(center, 6) AS center, round(scale, 6) AS scale "
+          "FROM scaler")
+def q_i6(spark, sf):
+    m, _ = _fitted(spark, sf)
+    rows = [(c, p["center"], p["scale"]) for c, p in m.fitted["numeric"].items()]
+    return rounded(spark.createDataFrame(rows, "variable string, center double, scale double"))
+
+
+@register("i7_onehot_levels", PREP_SQL + "SELECT variable, CAST(position AS BIGINT) AS position, level FROM levels")
+def q_i7(spark, sf):
+    m, _ = _fitted(spark, sf)
+    rows = [(c, i, lv) for c, p in m.fitted["nominal"].items() for i, lv in enumerate(p["levels"])]
+    return spark.createDataFrame(rows, "variable string, position long, level string")
+
+
+@register("i9_transformed_long", PREP_SQL + "SELECT customer_id, feature, round(value, 6) AS value FROM tx")
+def q_i9(spark, sf):
+    m, split = _fitted(spark, sf)
+    return rounded(m.long_form(split))
+
+
+@register("i13_legacy_scaler", LEGACY_SQL + """
+SELECT f.variable, round(f.fill, 6) AS fill, round(s.center, 6) AS center, round(s.scale, 6) AS scale
+FROM fill_num f JOIN scaler s USING (variable)""")
+def q_i13(spark, sf):
+    m, _ = _fitted(spark, sf, "legacy")
+    rows = [(c, p["fill"], p["center"], p["scale"]) for c, p in m.fitted["numeric"].items()]
+    return rounded(spark.createDataFrame(rows, "variable string, fill double, center double, scale double"))
+
+
+@register("i13_legacy_transformed_long", LEGACY_SQL + "SELECT customer_id, feature, round(value, 6) AS value FROM tx")
+def q_i13l(spark, sf):
+    m, split = _fitted(spark, sf, "legacy")
+    return rounded(m.long_form(split))

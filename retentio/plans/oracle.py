@@ -171,3 +171,142 @@ def with_(*ctes: str) -> str:
 
 
 BASE = (CUSTOMERS, CLEAN, FEATURED)
+
+
+def label_sql(x: str) -> str:
+    """P9 twin: display label of a (possibly group-prefixed) variable name."""
+    from ..constants import VARIABLE_LABELS
+    clean = f"(CASE WHEN instr({x}, '__') > 0 THEN substr({x}, instr({x}, '__') + 2) ELSE {x} END)"
+    whens = [f"WHEN {x} IS NULL THEN ''"]
+    whens += [f"WHEN {clean} = '{k}' THEN '{v}'" for k, v in VARIABLE_LABELS.items()]
+    for base in sorted(VARIABLE_LABELS, key=len, reverse=True):
+        whens.append(f"WHEN starts_with({clean}, '{base}_') THEN '{VARIABLE_LABELS[base]}: ' || "
+                     f"replace(substr({clean}, {len(base) + 2}), '_', ' ')")
+    return "CASE " + " ".join(whens) + f" ELSE replace({clean}, '_', ' ') END"
+
+
+def origin_sql(x: str, categorical: list[str]) -> str:
+    """P10 twin: base variable of a transformed feature name."""
+    from ..constants import PREDICTION_COLUMNS
+    clean = f"(CASE WHEN instr({x}, '__') > 0 THEN substr({x}, instr({x}, '__') + 2) ELSE {x} END)"
+    inlist = ", ".join(f"'{c}'" for c in PREDICTION_COLUMNS)
+    whens = [f"WHEN {clean} IN ({inlist}) THEN {clean}"]
+    whens += [f"WHEN starts_with({clean}, '{c}_') THEN '{c}'" for c in sorted(categorical, key=len, reverse=True)]
+    return "CASE " + " ".join(whens) + f" ELSE {clean} END"
+
+
+def unpivot_sql(source: str, columns: list[str], value_expr: str = "{c}", name: str = "variable",
+                value: str = "value", where: str | None = None) -> str:
+    parts = []
+    for c in columns:
+        w = f" WHERE {where.format(c=c)}" if where else ""
+        parts.append(f"SELECT '{c}' AS {name}, {value_expr.format(c=c)} AS {value} FROM {source}{w}")
+    return "\nUNION ALL ".join(parts)
+
+
+# --- split, preprocessing fit and transform (long form) ------------------------
+
+def split_cte(source: str = "featured", name: str = "split", train_share: float = 0.8) -> str:
+    return (f"{name} AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY churned ORDER BY "
+            f"md5(CAST(customer_id AS VARCHAR) || ':42'), customer_id) <= "
+            f"floor({train_share} * count(*) OVER (PARTITION BY churned) + 0.5) "
+            f"THEN 'train' ELSE 'test' END AS split FROM {source})")
+
+
+def _long(source: str, cols: list[str], cast: str = "DOUBLE", key: bool = True) -> str:
+    k = "customer_id, " if key else ""
+    return "\nUNION ALL ".join(f"SELECT {k}'{c}' AS variable, CAST({c} AS {cast}) AS x FROM {source}"
+                               for c in cols)
+
+
+def prep_ctes(legacy: bool = False) -> list[str]:
+    """Fit (on split='train') and transform (all rows) of the preprocessor, in long form.
+
+    Produces CTEs ``fill_num`` (variable, n, mean, skew, median, fill, strategy),
+    ``fences`` (variable, lo, hi), ``scaler`` (variable, center, scale), ``fill_cat``
+    (variable, fill), ``levels`` (variable, position, level) and ``tx`` (customer_id, feature, value).
+    """
+    from ..constants import (BINARY_COLUMNS, CAP_COLUMNS, CATEGORICAL, LOG_COLUMNS, NOMINAL_COLUMNS,
+                             NUMERIC, ORDINAL_COLUMNS, ORDINAL_LEVELS)
+    ctes = [split_cte(), "tr AS (SELECT * FROM split WHERE split = 'train')"]
+    if legacy:
+        num, cat, nominal = NUMERIC, CATEGORICAL, CATEGORICAL
+        ctes += [
+            f"trn AS ({_long('tr', num)})",
+            "fill_num AS (SELECT variable, count(x) AS n, CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS skew,"
+            " quantile_cont(x, 0.5) AS median, coalesce(quantile_cont(x, 0.5), 0) AS fill, 'median' AS strategy"
+            " FROM trn GROUP BY variable)",
+            "imp AS (SELECT t.variable, coalesce(t.x, f.fill) AS x FROM trn t JOIN fill_num f USING (variable))",
+            "scaler AS (SELECT variable, coalesce(quantile_cont(x, 0.5), 0) AS center,"
+            " CASE WHEN quantile_cont(x, 0.5) IS NULL THEN 1"
+            " WHEN quantile_cont(x, 0.75) - quantile_cont(x, 0.25) = 0 THEN 1"
+            " ELSE quantile_cont(x, 0.75) - quantile_cont(x, 0.25) END AS scale FROM imp GROUP BY variable)",
+            "fences AS (SELECT CAST(NULL AS VARCHAR) AS variable, CAST(NULL AS DOUBLE) AS lo,"
+            " CAST(NULL AS DOUBLE) AS hi WHERE false)",
+        ]
+        num_groups = {c: "num" for c in num}
+        cat_prefix = "cat"
+    else:
+        num = LOG_COLUMNS + CAP_COLUMNS
+        cat, nominal = BINARY_COLUMNS + NOMINAL_COLUMNS + ORDINAL_COLUMNS, NOMINAL_COLUMNS
+        logs = ", ".join(f"'{c}'" for c in LOG_COLUMNS)
+        ctes += [
+            f"trn AS ({_long('tr', num)})",
+            "fill_num AS (SELECT *, CASE WHEN n = 0 THEN 0 WHEN skew IS NOT NULL AND NOT isnan(skew)"
+            " AND abs(skew) > 0.5 THEN median ELSE mean END AS fill,"
+            " CASE WHEN n = 0 THEN 'zero' WHEN skew IS NOT NULL AND NOT isnan(skew) AND abs(skew) > 0.5"
+            " THEN 'median' ELSE 'mean' END AS strategy FROM ("
+            " SELECT variable, count(x) AS n, avg(x) AS mean,"
+            " CASE WHEN count(x) >= 3 THEN skewness(x) END AS skew, quantile_cont(x, 0.5) AS median"
+            " FROM trn GROUP BY variable))",
+            f"imp AS (SELECT t.variable, CASE WHEN t.variable IN ({logs}) THEN ln(1 + greatest(coalesce(t.x, f.fill), 0))"
+            " ELSE coalesce(t.x, f.fill) END AS x FROM trn t JOIN fill_num f USING (variable))",
+            f"fences AS (SELECT variable, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM ("
+            f" SELECT variable, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM imp"
+            f" WHERE variable NOT IN ({logs}) GROUP BY variable))",
+            "capped AS (SELECT i.variable, CASE WHEN f.variable IS NULL THEN i.x ELSE least(greatest(i.x, f.lo), f.hi)"
+            " END AS x FROM imp i LEFT JOIN fences f USING (variable))",
+            "scaler AS (SELECT variable, coalesce(quantile_cont(x, 0.5), 0) AS center,"
+            " CASE WHEN quantile_cont(x, 0.5) IS NULL THEN 1"
+            " WHEN quantile_cont(x, 0.75) - quantile_cont(x, 0.25) = 0 THEN 1"
+            " ELSE quantile_cont(x, 0.75) - quantile_cont(x, 0.25) END AS scale FROM capped GROUP BY variable)",
+        ]
+        num_groups = {**{c: "num_log" for c in LOG_COLUMNS}, **{c: "num_cap" for c in CAP_COLUMNS}}
+        cat_prefix = "cat_nom"
+    ctes += [
+        f"trc AS ({_long('tr', cat, 'VARCHAR')})",
+        "fill_cat AS (SELECT variable, (SELECT t2.x FROM trc t2 WHERE t2.variable = v.variable AND t2.x IS NOT NULL"
+        " GROUP BY t2.x ORDER BY count(*) DESC, t2.x LIMIT 1) AS fill FROM (SELECT DISTINCT variable FROM trc) v)",
+        "levels AS (SELECT variable, row_number() OVER (PARTITION BY variable ORDER BY x) - 1 AS position, x AS level"
+        " FROM (SELECT DISTINCT variable, x FROM trc WHERE x IS NOT NULL AND variable IN ("
+        + ", ".join(f"'{c}'" for c in nominal) + ")))",
+    ]
+    group_case = "CASE " + " ".join(f"WHEN variable = '{c}' THEN '{g}'" for c, g in num_groups.items()) + " END"
+    allnum = _long("split", list(num_groups))
+    tx_num = ("SELECT a.customer_id, " + group_case.replace("variable", "a.variable") + " || '__' || a.variable AS feature,"
+              " (CASE WHEN a.variable IN (" + ", ".join(f"'{c}'" for c, g in num_groups.items() if g == 'num_log')
+              + ") THEN ln(1 + greatest(coalesce(a.x, f.fill), 0))"
+              " WHEN fe.variable IS NOT NULL THEN least(greatest(coalesce(a.x, f.fill), fe.lo), fe.hi)"
+              " ELSE coalesce(a.x, f.fill) END - s.center) / s.scale AS value"
+              f" FROM ({allnum}) a JOIN fill_num f USING (variable) JOIN scaler s USING (variable)"
+              " LEFT JOIN fences fe USING (variable)") if "num_log" in num_groups.values() else (
+              f"SELECT a.customer_id, 'num__' || a.variable AS feature, (coalesce(a.x, f.fill) - s.center) / s.scale AS value"
+              f" FROM ({allnum}) a JOIN fill_num f USING (variable) JOIN scaler s USING (variable)")
+    allcat = _long("split", nominal, "VARCHAR")
+    tx_nom = (f"SELECT a.customer_id, '{cat_prefix}__' || a.variable || '_' || l.level AS feature,"
+              " CASE WHEN coalesce(a.x, fc.fill) = l.level THEN 1.0 ELSE 0.0 END AS value"
+              f" FROM ({allcat}) a JOIN levels l USING (variable) JOIN fill_cat fc USING (variable)")
+    parts = [tx_num, tx_nom]
+    if not legacy:
+        allbin = _long("split", BINARY_COLUMNS, "VARCHAR")
+        parts.append("SELECT a.customer_id, 'binary__' || a.variable AS feature,"
+                     " CAST(coalesce(a.x, fc.fill) AS DOUBLE) AS value"
+                     f" FROM ({allbin}) a JOIN fill_cat fc USING (variable)")
+        ords = []
+        for c in ORDINAL_COLUMNS:
+            whens = " ".join(f"WHEN '{lv}' THEN {float(i)}" for i, lv in enumerate(ORDINAL_LEVELS[c]))
+            ords.append(f"SELECT customer_id, 'cat_ord__{c}' AS feature, coalesce(CASE coalesce({c}, "
+                        f"(SELECT fill FROM fill_cat WHERE variable = '{c}')) {whens} END, -1.0) AS value FROM split")
+        parts += ords
+    ctes.append("tx AS (" + "\nUNION ALL ".join(parts) + ")")
+    return ctes
