@@ -400,3 +400,88 @@ def q_i13(spark, sf):
 def q_i13l(spark, sf):
     m, split = _fitted(spark, sf, "legacy")
     return rounded(m.long_form(split))
+
+
+# --- evaluation of the rule scorer and the majority baseline (E1-E5, E4, E9, M1, M3a) ----
+
+METRIC_COLUMNS = ["tn", "fp", "fn", "tp", "accuracy", "precision", "recall", "f1", "balanced_accuracy",
+                  "detection_rate_pct", "missed", "roc_auc"]
+
+
+def _rule_split(spark, sf):
+    split = S.stratified_split(P.featured(spark, sf))
+    return RuleScorer().with_probability(split)
+
+
+EVAL_SQL = O.with_(*O.BASE, O.split_cte(),
+                   f"t AS (SELECT churned AS y, {O.score_sql()} AS p FROM split WHERE split = 'test')")
+
+
+@register("e1_e5_rule_evaluation", EVAL_SQL + O.eval_sql("t"))
+def q_e1(spark, sf):
+    test = _rule_split(spark, sf).where(F.col("split") == "test")
+    return rounded(E.evaluate(test).select(*METRIC_COLUMNS))
+
+
+@register("e4_classification_report", EVAL_SQL + """,
+cm AS (SELECT CAST(count(*) FILTER (WHERE y = 0 AND p < 0.5) AS DOUBLE) AS tn,
+              CAST(count(*) FILTER (WHERE y = 0 AND p >= 0.5) AS DOUBLE) AS fp,
+              CAST(count(*) FILTER (WHERE y = 1 AND p < 0.5) AS DOUBLE) AS fn,
+              CAST(count(*) FILTER (WHERE y = 1 AND p >= 0.5) AS DOUBLE) AS tp FROM t),
+per AS (
+  SELECT '0' AS class, coalesce(tn / nullif(tn + fn, 0), 0) AS precision, coalesce(tn / nullif(tn + fp, 0), 0) AS recall,
+         coalesce(2 * tn / nullif(2 * tn + fn + fp, 0), 0) AS f1, tn + fp AS support FROM cm
+  UNION ALL
+  SELECT '1', coalesce(tp / nullif(tp + fp, 0), 0), coalesce(tp / nullif(tp + fn, 0), 0),
+         coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), tp + fn FROM cm),
+allr AS (
+  SELECT * FROM per
+  UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM per
+  UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+                   sum(f1 * support) / sum(support), sum(support) FROM per
+  UNION ALL SELECT 'accuracy', (tp + tn) / (tp + tn + fp + fn), (tp + tn) / (tp + tn + fp + fn),
+                   (tp + tn) / (tp + tn + fp + fn), tp + tn + fp + fn FROM cm)
+SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       round(support, 6) AS support FROM allr""".replace(EVAL_SQL + ",", EVAL_SQL.rstrip() + ",", 1))
+def q_e4(spark, sf):
+    test = _rule_split(spark, sf).where(F.col("split") == "test")
+    return rounded(E.classification_report(test))
+
+
+@register("m1_class_weights", SPLIT_SQL + """
+SELECT churned, n_c, round(sum(n_c) OVER () / (count(*) OVER () * n_c), 6) AS weight
+FROM (SELECT churned, count(*) AS n_c FROM split WHERE split = 'train' GROUP BY churned)""")
+def q_m1(spark, sf):
+    train = S.stratified_split(P.featured(spark, sf)).where(F.col("split") == "train")
+    return rounded(E.class_weights(train))
+
+
+BASELINE_SQL = O.with_(*O.BASE, O.split_cte(), """
+maj AS (SELECT churned AS c FROM split WHERE split = 'train' GROUP BY churned ORDER BY count(*) DESC, churned LIMIT 1)""",
+                       "b AS (SELECT churned AS y, CAST((SELECT c FROM maj) AS DOUBLE) AS p FROM split WHERE split = 'test')")
+
+
+def _baseline_frame(spark, sf):
+    split = S.stratified_split(P.featured(spark, sf))
+    major = E.majority_class(split.where(F.col("split") == "train"))
+    return split.where(F.col("split") == "test").withColumn("probability", F.lit(float(major)))
+
+
+@register("m3a_majority_baseline", BASELINE_SQL + O.eval_sql("b"))
+def q_m3a(spark, sf):
+    return rounded(E.evaluate(_baseline_frame(spark, sf)).select(*METRIC_COLUMNS))
+
+
+@register("e9_leaderboard", O.with_(*O.BASE, O.split_cte(), """
+maj AS (SELECT churned AS c FROM split WHERE split = 'train' GROUP BY churned ORDER BY count(*) DESC, churned LIMIT 1)""",
+                                    "b AS (SELECT churned AS y, CAST((SELECT c FROM maj) AS DOUBLE) AS p FROM split "
+                                    "WHERE split = 'test')",
+                                    f"t AS (SELECT churned AS y, {O.score_sql()} AS p FROM split WHERE split = 'test')")
+          + "SELECT * FROM (" + O.eval_sql("t", "rule_score") + "\nUNION ALL " + O.eval_sql("b", "majority_baseline")
+          + ") ORDER BY roc_auc DESC, model LIMIT 5")
+def q_e9(spark, sf):
+    rule = _rule_split(spark, sf).where(F.col("split") == "test").withColumn("model", F.lit("rule_score"))
+    base = _baseline_frame(spark, sf).withColumn("model", F.lit("majority_baseline"))
+    both = rule.select("model", TARGET, "probability").unionByName(base.select("model", TARGET, "probability"))
+    board = rounded(E.evaluate(both, groups=["model"]).select("model", *METRIC_COLUMNS))
+    return E.leaderboard_top(board)

@@ -310,3 +310,23 @@ def prep_ctes(legacy: bool = False) -> list[str]:
         parts += ords
     ctes.append("tx AS (" + "\nUNION ALL ".join(parts) + ")")
     return ctes
+
+
+def eval_sql(t: str, model: str | None = None) -> str:
+    """E1-E5 twin over a relation ``t(y, p)`` (threshold 0.5); one row."""
+    name = f"'{model}' AS model, " if model else ""
+    return f"""SELECT {name}tn, fp, fn, tp,
+  round(coalesce((tp + tn) / nullif(tp + tn + fp + fn, 0), 0), 6) AS accuracy,
+  round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision,
+  round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall,
+  round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1,
+  round((coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0)) / 2, 6) AS balanced_accuracy,
+  round(coalesce(tp / nullif(tp + fn, 0), 0) * 100, 6) AS detection_rate_pct, fn AS missed,
+  round(auc, 6) AS roc_auc
+FROM (SELECT count(*) FILTER (WHERE y = 0 AND p < 0.5) AS tn, count(*) FILTER (WHERE y = 0 AND p >= 0.5) AS fp,
+             count(*) FILTER (WHERE y = 1 AND p < 0.5) AS fn, count(*) FILTER (WHERE y = 1 AND p >= 0.5) AS tp
+      FROM {t}) cm,
+     (SELECT sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)) AS auc FROM (
+        SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+               AS below
+        FROM (SELECT p, CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS DOUBLE) AS neg FROM {t} GROUP BY p))) a"""
