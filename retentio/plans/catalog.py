@@ -485,3 +485,116 @@ def q_e9(spark, sf):
     both = rule.select("model", TARGET, "probability").unionByName(base.select("model", TARGET, "probability"))
     board = rounded(E.evaluate(both, groups=["model"]).select("model", *METRIC_COLUMNS))
     return E.leaderboard_top(board)
+
+
+# --- ANOVA selection (I10, I11, E8) ---------------------------------------------------
+
+from ..operators import selection as SEL  # noqa: E402
+
+ANOVA_SQL = O.with_(*O.BASE, *O.prep_ctes(), *O.anova_ctes())
+
+
+def _anova_table(spark, sf):
+    model, split = _fitted(spark, sf)
+    train = split.where(F.col("split") == "train")
+    scores = SEL.anova_f(train, model.feature_columns())
+    return SEL.score_table(spark, scores, model.feature_names)
+
+
+@register("i10_anova_scores", ANOVA_SQL + "SELECT feature, base_variable, round(f_score, 6) AS f_score, selected "
+          "FROM anova")
+def q_i10(spark, sf):
+    return rounded(_anova_table(spark, sf).select("feature", "base_variable", "f_score", "selected"))
+
+
+@register("i11_selected_features", ANOVA_SQL + "SELECT feature, base_variable, round(f_score, 6) AS f_score "
+          "FROM anova WHERE selected")
+def q_i11(spark, sf):
+    return rounded(SEL.selected_features(_anova_table(spark, sf)))
+
+
+@register("e8_variable_relevance", ANOVA_SQL + f""",
+best AS (SELECT base_variable, max(f_score) AS score FROM anova WHERE selected GROUP BY base_variable
+         ORDER BY score DESC, base_variable LIMIT 10)
+SELECT base_variable, {O.label_sql('base_variable')} AS label,
+       round_even(score / coalesce(nullif(max(score) OVER (), 0), 1) * 100, 1) AS relevance FROM best""".replace(
+    ANOVA_SQL + ",", ANOVA_SQL.rstrip() + ",", 1))
+def q_e8(spark, sf):
+    return SEL.variable_relevance(_anova_table(spark, sf))
+
+
+# --- what-if, presets, bounds and signals (W1-W4) --------------------------------------
+
+from ..constants import PRESETS, SCENARIOS, SIGNALS, NO_SIGNAL  # noqa: E402
+from ..operators import whatif as W  # noqa: E402
+
+
+def _qsql(c: str, q: float, source: str = "customers") -> str:
+    return f"coalesce((SELECT quantile_cont({c}, {q}) FROM {source}), 0)"
+
+
+@register("w2_clamp_bounds", O.with_(O.CUSTOMERS, "bounds AS (" + _bounds_sql("customers") + ")") + "SELECT customer_id, "
+          + ", ".join(f"round(CASE WHEN {c} IS NULL THEN NULL ELSE least(greatest({c}, "
+                      f"(SELECT low FROM bounds WHERE variable = '{c}')), "
+                      f"(SELECT high FROM bounds WHERE variable = '{c}')) END, 6) AS {c}" for c in BASE_NUMERIC)
+          + " FROM customers")
+def q_w2(spark, sf):
+    df = keep(P.customers(spark, sf))
+    return rounded(W.clamp(df, W.bounds_of(df)).select(ID, *BASE_NUMERIC))
+
+
+def _preset_sql() -> str:
+    parts = []
+    cats = ["gender", "country", "signup_quarter", "payment_method_diversity", "city"]
+    for name, ov in PRESETS:
+        ovd = dict(ov)
+        cols = [f"round({_qsql(c, ovd[c])}, 6) AS {c}" if c in ovd else
+                f"round(coalesce((SELECT quantile_cont({c}, 0.5) FROM customers), 0), 6) AS {c}" for c in BASE_NUMERIC]
+        cols += [f"{_mode_sql(c, 'customers')} AS {c}" for c in cats]
+        parts.append(f"SELECT '{name}' AS preset, " + ", ".join(cols))
+    return "\nUNION ALL ".join(parts)
+
+
+@register("w1_scenario_presets", O.with_(O.CUSTOMERS) + _preset_sql())
+def q_w1(spark, sf):
+    df = keep(P.customers(spark, sf))
+    return rounded(W.presets(df, reports.typical_customer(df)))
+
+
+def _signals_sql() -> str:
+    parts = []
+    for name, c, op, q, crit, reading in SIGNALS:
+        parts.append(f"SELECT customer_id, '{name}' AS signal, '{c}' AS variable, round({c}, 6) AS customer_value, "
+                     f"'{crit}' AS criterion, '{reading}' AS reading FROM customers WHERE {c} {op} {_qsql(c, q)}")
+    fired = "\nUNION ALL ".join(parts)
+    none = (f"SELECT customer_id, '{NO_SIGNAL[0]}', '{NO_SIGNAL[1]}', CAST(NULL AS DOUBLE), '{NO_SIGNAL[2]}', "
+            f"'{NO_SIGNAL[3]}' FROM customers WHERE customer_id NOT IN (SELECT customer_id FROM fired)")
+    return f"fired AS ({fired})\nSELECT * FROM fired UNION ALL {none}"
+
+
+@register("w3_risk_signals", O.with_(O.CUSTOMERS, _signals_sql().split("\nSELECT * FROM fired")[0])
+          + "SELECT * FROM fired UNION ALL " + _signals_sql().split("UNION ALL ")[-1])
+def q_w3(spark, sf):
+    df = keep(P.customers(spark, sf))
+    return rounded(W.risk_signals(df, df))
+
+
+def _whatif_sql() -> str:
+    scen = ", ".join(f"('{name}')" for name, _ in SCENARIOS)
+    sim_cols = []
+    for c in {c for _, ov in SCENARIOS for c, _ in ov}:
+        whens = " ".join(f"WHEN '{name}' THEN {_qsql(c, q)}" for name, ov in SCENARIOS for cc, q in ov if cc == c)
+        sim_cols.append(f"CASE scenario {whens} ELSE {c} END AS {c}")
+    return (f"scen AS (SELECT * FROM (VALUES {scen}) v(scenario)),\n"
+            f"sim AS (SELECT customers.* REPLACE ({', '.join(sim_cols)}), scenario,"
+            f" {O.score_sql()} AS current FROM customers CROSS JOIN scen),\n"
+            f"res AS (SELECT customer_id, scenario, current, {O.score_sql()} AS simulated FROM sim)")
+
+
+@register("w4_what_if", O.with_(O.CUSTOMERS, _whatif_sql()) + """
+SELECT customer_id, scenario, round(current, 6) AS current_probability, round(simulated, 6) AS simulated_probability,
+       round(current - simulated, 6) + 0.0 AS reduction,
+       CASE WHEN simulated < current THEN 'prioritise' ELSE 'monitor' END AS reading FROM res""")
+def q_w4(spark, sf):
+    df = keep(P.customers(spark, sf))
+    return W.what_if(df, df)

@@ -330,3 +330,19 @@ FROM (SELECT count(*) FILTER (WHERE y = 0 AND p < 0.5) AS tn, count(*) FILTER (W
         SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
                AS below
         FROM (SELECT p, CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS DOUBLE) AS neg FROM {t} GROUP BY p))) a"""
+
+
+def anova_ctes(k: int = 35) -> list[str]:
+    from ..constants import CATEGORICAL
+    return [
+        "st AS (SELECT tx.feature, s.churned, count(*) AS n, sum(tx.value) AS s, sum(tx.value * tx.value) AS q"
+        " FROM tx JOIN split s USING (customer_id) WHERE s.split = 'train' GROUP BY tx.feature, s.churned)",
+        "fs AS (SELECT feature, sum(n) AS n, sum(s) AS s, sum(q) AS ss, sum(s * s / n) AS sqk, count(*) AS k"
+        " FROM st GROUP BY feature)",
+        "fsc AS (SELECT feature, CASE WHEN k < 2 OR n <= k THEN NULL"
+        " WHEN ((ss - s * s / n) - (sqk - s * s / n)) / (n - k) = 0 THEN NULL"
+        " ELSE ((sqk - s * s / n) / (k - 1)) / (((ss - s * s / n) - (sqk - s * s / n)) / (n - k)) END AS f_score"
+        " FROM fs)",
+        f"anova AS (SELECT feature, f_score, {origin_sql('feature', CATEGORICAL)} AS base_variable,"
+        f" row_number() OVER (ORDER BY f_score DESC NULLS LAST, feature) <= {k} AS selected FROM fsc)",
+    ]
