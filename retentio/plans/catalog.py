@@ -31,9 +31,10 @@ def register(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column (hash-stable outputs)."""
+    """Round every double column (hash-stable outputs; ``+ 0.0`` turns -0.0 into 0.0)."""
     return df.select(*[
-        F.round(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+        (F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+        else F.col(f.name)
         for f in df.schema.fields
     ])
 
@@ -598,3 +599,63 @@ SELECT customer_id, scenario, round(current, 6) AS current_probability, round(si
 def q_w4(spark, sf):
     df = keep(P.customers(spark, sf))
     return W.what_if(df, df)
+
+
+# --- permutation importance (E6, E7) ---------------------------------------------------
+
+from ..constants import IMPORTANCE_COLUMNS, SCORE_WEIGHTS  # noqa: E402
+from ..operators import importance as IMP  # noqa: E402
+
+
+def _auc_sql(src: str, groups: str) -> str:
+    g = f"{groups}, " if groups else ""
+    part = f"PARTITION BY {groups} " if groups else ""
+    return (f"SELECT {g}sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)) AS auc FROM ("
+            f" SELECT {g}pos, neg, coalesce(sum(neg) OVER ({part}ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING"
+            f" AND 1 PRECEDING), 0) AS below FROM ("
+            f"  SELECT {g}p, CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS DOUBLE) AS neg FROM {src}"
+            f"  GROUP BY {g}p)){' GROUP BY ' + groups if groups else ''}")
+
+
+def _importance_sql() -> str:
+    hk = "md5(CAST(customer_id AS VARCHAR) || ':42')"
+    vals = ", ".join(f"('{c}')" for c in IMPORTANCE_COLUMNS)
+    score_vals = {c: f"(CASE WHEN cp.variable = '{c}' THEN d.{c} ELSE cp.{c} END)" for c, _ in SCORE_WEIGHTS}
+    return ",\n".join([
+        f"smp AS (SELECT *, row_number() OVER (ORDER BY {hk}, customer_id) AS a FROM ("
+        f" SELECT * FROM split WHERE split = 'test' ORDER BY {hk}, customer_id LIMIT 4000))",
+        f"grid AS (SELECT v.variable, r.range AS rep FROM (VALUES {vals}) v(variable) CROSS JOIN range(8) r)",
+        "cp AS (SELECT smp.*, grid.variable, grid.rep, row_number() OVER (PARTITION BY grid.variable, grid.rep ORDER BY"
+        " md5(CAST(customer_id AS VARCHAR) || ':' || grid.variable || ':' || CAST(grid.rep AS VARCHAR)), customer_id)"
+        " AS b FROM smp CROSS JOIN grid)",
+        f"pm AS (SELECT cp.variable, cp.rep, cp.churned AS y, {O.score_sql(score_vals)} AS p"
+        " FROM cp JOIN smp d ON d.a = cp.b)",
+        f"pa AS ({_auc_sql('pm', 'variable, rep')})",
+        f"bs AS (SELECT churned AS y, {O.score_sql()} AS p FROM smp)",
+        f"ba AS ({_auc_sql('bs', '')})",
+        "imp AS (SELECT variable, avg(ba.auc - pa.auc) AS importance_mean, stddev_pop(ba.auc - pa.auc) AS importance_std"
+        " FROM pa, ba GROUP BY variable)",
+    ])
+
+
+IMPORTANCE_SQL = O.with_(*O.BASE, O.split_cte(), _importance_sql())
+
+
+def _importance(spark, sf):
+    split = S.stratified_split(P.featured(spark, sf))
+    test = split.where(F.col("split") == "test").drop("split")
+    return IMP.permutation_importance(test, lambda d: RuleScorer().probability_column(d))
+
+
+@register("e6_permutation_importance", IMPORTANCE_SQL + "SELECT variable, round(importance_mean, 6) + 0.0 AS "
+          "importance_mean, round(importance_std, 6) + 0.0 AS importance_std FROM imp")
+def q_e6(spark, sf):
+    return rounded(_importance(spark, sf))
+
+
+@register("e7_importance_top8", IMPORTANCE_SQL + f"""
+SELECT variable, round(importance_mean, 6) + 0.0 AS importance_mean, round(importance_std, 6) + 0.0 AS importance_std,
+       {O.label_sql('variable')} AS label
+FROM imp ORDER BY importance_mean DESC, variable LIMIT 8""")
+def q_e7(spark, sf):
+    return rounded(IMP.top_importance(_importance(spark, sf)))
