@@ -19,11 +19,11 @@ from . import evaluate as E
 from .sampling import hash_key, sample_rows
 
 
-def permutation_importance(test: DataFrame, score_fn, columns=IMPORTANCE_COLUMNS, repeats: int = IMPORTANCE_REPEATS,
+def permutation_importance(test: DataFrame, scorer, columns=IMPORTANCE_COLUMNS, repeats: int = IMPORTANCE_REPEATS,
                            sample_size: int = IMPORTANCE_SAMPLE_SIZE, seed: int = SEED) -> DataFrame:
-    """Mean and population std of the AUC drop per variable, best first.
+    """Mean and population std of the AUC drop per variable.
 
-    ``score_fn(df) -> Column`` gives the probability from the columns of ``df``.
+    ``scorer.with_probability(df)`` adds ``probability`` (rule scorer or fitted pipeline).
     """
     sample = sample_rows(test, sample_size, seed)
     pos = sample.withColumn("_a", F.row_number().over(Window.orderBy(hash_key(seed), ID)))  # ≤ sample_size rows
@@ -37,9 +37,9 @@ def permutation_importance(test: DataFrame, score_fn, columns=IMPORTANCE_COLUMNS
         Window.partitionBy("variable", "repeat").orderBy(perm_key, ID)))        # groups of ≤ sample_size rows
     permuted = copies.join(donors, "_b").withColumns({
         c: F.when(F.col("variable") == c, F.col(f"_d_{c}")).otherwise(F.col(c)) for c in columns})
-    scored = permuted.withColumn("probability", score_fn(permuted))
+    scored = scorer.with_probability(permuted.drop("_b", *[f"_d_{c}" for c in columns]))
     auc = E.roc_auc(scored, groups=["variable", "repeat"])
-    base = E.roc_auc(pos.withColumn("probability", score_fn(pos))).withColumn("_k", F.lit(0))
+    base = E.roc_auc(scorer.with_probability(pos.drop("_a"))).withColumn("_k", F.lit(0))
     drops = (auc.withColumn("_k", F.lit(0)).join(F.broadcast(base.withColumnRenamed("roc_auc", "_base")), "_k")
              .withColumn("drop", F.col("_base") - F.col("roc_auc")))
     return (drops.groupBy("variable").agg(F.avg("drop").alias("importance_mean"),

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_THRESHOLD
-from ..functions.features import add_features
-from ..functions.rules import apply_rules, rule_exprs
-from ..functions.schema import model_input, normalize
+from ..functions.rules import rule_exprs
+from ..functions.schema import normalize
 from ..functions.scoring import decision, risk_action, risk_level, rule_probability
 
 
@@ -32,11 +31,12 @@ class PipelineScorer:
         self.name = name
 
     def with_probability(self, df: DataFrame, out: str = "probability") -> DataFrame:
+        """The pipeline's own stages normalise, clean and derive features; input columns are kept."""
         from pyspark.ml.functions import vector_to_array
-        prepared = add_features(apply_rules(model_input(df)))
         cols = df.columns
-        scored = self.model.transform(prepared)
-        return scored.select(*[F.col(c) for c in cols],
+        hidden = {c: f"__in_{c}" for c in cols}
+        scored = self.model.transform(df.withColumns({v: F.col(c) for c, v in hidden.items()}))
+        return scored.select(*[F.col(v).alias(c) for c, v in hidden.items()],
                              vector_to_array(F.col("probability"))[1].alias(out))
 
 

@@ -644,7 +644,7 @@ IMPORTANCE_SQL = O.with_(*O.BASE, O.split_cte(), _importance_sql())
 def _importance(spark, sf):
     split = S.stratified_split(P.featured(spark, sf))
     test = split.where(F.col("split") == "test").drop("split")
-    return IMP.permutation_importance(test, lambda d: RuleScorer().probability_column(d))
+    return IMP.permutation_importance(test, RuleScorer())
 
 
 @register("e6_permutation_importance", IMPORTANCE_SQL + "SELECT variable, round(importance_mean, 6) + 0.0 AS "
@@ -659,3 +659,111 @@ SELECT variable, round(importance_mean, 6) + 0.0 AS importance_mean, round(impor
 FROM imp ORDER BY importance_mean DESC, variable LIMIT 8""")
 def q_e7(spark, sf):
     return rounded(IMP.top_importance(_importance(spark, sf)))
+
+
+# --- trained models, persistence (M2-M6, S4, S5, E6 with a model) — rows-only checks ----
+
+from . import training as TR  # noqa: E402
+from ..operators.scoring import PipelineScorer, prediction_output  # noqa: E402
+from ..session import shared_scratch  # noqa: E402
+
+
+@register("m2_final_model_metrics")
+def q_m2(spark, sf):
+    return rounded(TR.final_metrics(TR.train_final(spark, sf)).select(*METRIC_COLUMNS))
+
+
+@register("m4_model_comparison")
+def q_m4(spark, sf):
+    return rounded(TR.compare_models(spark, sf).select("model", "kind", "sample_rows", "selected", *METRIC_COLUMNS))
+
+
+@register("m5_model_probabilities")
+def q_m5(spark, sf):
+    t = TR.train_final(spark, sf)
+    return rounded(PipelineScorer(t.model).with_probability(P.customers(spark, sf)).select(ID, "probability"))
+
+
+@register("m6_model_scoring")
+def q_m6m(spark, sf):
+    t = TR.train_final(spark, sf)
+    out = prediction_output(PipelineScorer(t.model), P.customers(spark, sf))
+    return rounded(out.select(ID, "probability", "risk_level", "decision", "action"))
+
+
+@register("s4_model_roundtrip")
+def q_s4(spark, sf):
+    t = TR.train_final(spark, sf)
+    path = shared_scratch(spark, "model")
+    TR.save_model(t, path)
+    again = PipelineScorer(TR.load_model(path)).with_probability(
+        t.split.where(F.col("split") == "test").drop("split")).select(ID, F.col("probability").alias("reloaded"))
+    return rounded(t.test_scored.select(ID, "probability").join(again, ID)
+                   .withColumn("identical", F.col("probability") == F.col("reloaded")))
+
+
+@register("s5_metadata_roundtrip")
+def q_s5(spark, sf):
+    t = TR.train_final(spark, sf)
+    folder = shared_scratch(spark, "metadata")
+    TR.save_metadata(spark, t, folder)
+    return rounded(TR.read_metadata(spark, folder)["metrics"].select(*METRIC_COLUMNS))
+
+
+@register("e6_model_importance")
+def q_e6m(spark, sf):
+    return rounded(TR.model_importance(TR.train_final(spark, sf)))
+
+
+# --- segmentation (K1-K4, A9/A10 on clusters) -------------------------------------------
+
+from ..operators import segment as SEG  # noqa: E402
+from ..operators.models import BusinessFeatures, BusinessRules  # noqa: E402
+from pyspark.ml import Pipeline  # noqa: E402
+
+_SEG_CACHE: dict = {}
+
+
+def _segmented(spark, sf):
+    if sf in _SEG_CACHE:
+        return _SEG_CACHE[sf]
+    data = keep(P.customers(spark, sf))
+    prep = Pipeline(stages=[BusinessRules(), BusinessFeatures(), ChurnPreprocessor()]).fit(data.drop(TARGET))
+    vectors = prep.transform(data.drop(TARGET)).select(ID, "features")
+    seg, cost, explained = SEG.segment(vectors)
+    out = (data.join(seg, ID), cost, explained)
+    _SEG_CACHE[sf] = out
+    return out
+
+
+@register("k1_k2_segments")
+def q_k1(spark, sf):
+    seg, _, _ = _segmented(spark, sf)
+    return rounded(seg.select(ID, "cluster", "pc1", "pc2", "pc3"))
+
+
+@register("k3_explained_variance")
+def q_k3(spark, sf):
+    seg, cost, explained = _segmented(spark, sf)
+    two, three = SEG.explained_totals(explained)
+    counts = seg.agg(F.countDistinct("cluster").alias("clusters"))
+    return rounded(counts.select("clusters", F.lit(two).alias("variance_2d_pct"), F.lit(three).alias("variance_3d_pct"),
+                                 F.lit(float(cost)).alias("kmeans_cost")))
+
+
+@register("a9_cluster_profile")
+def q_a9c(spark, sf):
+    seg, _, _ = _segmented(spark, sf)
+    return SEG.segment_badges(reports.segment_profile(seg, "cluster"), "cluster")
+
+
+@register("k4_segment_badges", O.with_(*O.BASE) + f"""
+SELECT *, churn_rate >= avg(churn_rate) OVER () AS is_high_risk,
+       row_number() OVER (ORDER BY churn_rate DESC, recency_segment) AS rank,
+       CASE row_number() OVER (ORDER BY churn_rate DESC, recency_segment) WHEN 1 THEN 'highest_risk_segment'
+            WHEN 2 THEN 'lowest_risk_segment' ELSE 'segment ' || recency_segment END AS badge
+FROM (SELECT *, round(customers * 100.0::DOUBLE / sum(customers) OVER (), 6) AS pct_customers FROM (
+  SELECT recency_segment, count(*) AS customers, round(avg(churned), 6) AS churn_rate, {_PROFILE_SQL}
+  FROM featured GROUP BY recency_segment))""")
+def q_k4(spark, sf):
+    return SEG.segment_badges(reports.segment_profile(P.featured(spark, sf), "recency_segment"), "recency_segment")
