@@ -767,3 +767,77 @@ FROM (SELECT *, round(customers * 100.0::DOUBLE / sum(customers) OVER (), 6) AS
   FROM featured GROUP BY recency_segment))""")
 def q_k4(spark, sf):
     return SEG.segment_badges(reports.segment_profile(P.featured(spark, sf), "recency_segment"), "recency_segment")
+
+
+# --- file sources and sinks (S1, S2, S3, P5 with Spanish headers) -------------------------
+
+from ..sources import files as FS  # noqa: E402
+from ..sources.customers import source_frame  # noqa: E402
+
+
+def _dirty_case(c: str) -> str:
+    from ..constants import HEADER_ALIASES
+    eng = {v[0]: k for k, v in HEADER_ALIASES.items()}
+    for header, m, cell in FS.DIRT:
+        if eng[header] == c:
+            val = {"abc": "NULL", "NaN": "NULL", "": "NULL", "x": "0", " 5 ": "5.0", "1e3": "1000.0", "NA": "NULL"}[cell]
+            return f"CASE WHEN customer_id % {m} = 0 THEN {val} ELSE {c} END"
+    return c
+
+
+@register("s1_csv_scan", O.with_(O.CUSTOMERS) + "SELECT " + ", ".join(
+    f"round({_dirty_case(c)}, 6) AS {c}" if c in _DOUBLES else f"{_dirty_case(c)} AS {c}" for c in CUSTOMER_COLUMNS)
+    + " FROM customers")
+def q_s1(spark, sf):
+    path = shared_scratch(spark, "csv-upload")
+    dirty = FS.with_dirty_cells(FS.as_text(source_frame(spark, sf, "english")))
+    dirty.write.mode("overwrite").option("header", True).csv(path)
+    return rounded(FS.read_customers(spark, path).select(*CUSTOMER_COLUMNS))
+
+
+SHORT_EVERY = 101
+
+
+@register("s2_batch_rejects", O.with_(O.CUSTOMERS) + f"""
+SELECT count(*) FILTER (WHERE customer_id % {SHORT_EVERY} <> 0) AS good_rows,
+       count(*) FILTER (WHERE customer_id % {SHORT_EVERY} = 0) AS rejected_rows,
+       round(avg(lifetime_value) FILTER (WHERE customer_id % {SHORT_EVERY} <> 0), 6) AS good_mean_ltv
+FROM customers""")
+def q_s2(spark, sf):
+    path = shared_scratch(spark, "batch-upload")
+    text = FS.as_text(source_frame(spark, sf, "english"))
+    FS.write_csv_lines(text, path, short_every=SHORT_EVERY)
+    good, rejects = FS.read_batch(spark, path, columns=text.columns)
+    g = good.agg(F.count(F.lit(1)).alias("good_rows"), F.avg("lifetime_value").alias("good_mean_ltv")).first()
+    n_bad = rejects.count()
+    return rounded(spark.createDataFrame([(g["good_rows"], n_bad, g["good_mean_ltv"])],
+                                         "good_rows long, rejected_rows long, good_mean_ltv double"))
+
+
+@register("s3_scored_csv_sink", SCORED_SQL + "SELECT customer_id, round(probability, 6) AS probability, risk_level "
+          "FROM scored")
+def q_s3(spark, sf):
+    path = shared_scratch(spark, "scored-csv")
+    FS.write_scored_csv(rounded(P.rule_scored(spark, sf).drop("action")), path)
+    back = spark.read.option("header", True).csv(path)
+    return back.select(F.col(ID).cast("long").alias(ID), F.col("probability").cast("double").alias("probability"),
+                       "risk_level")
+
+
+SPANISH_PARTIAL = ["Edad", "Pais", "Total_Compras", "Valor_Vida_Util", "Fuga_Cliente"]
+
+
+@register("p5_spanish_partial_scoring", O.with_(O.CUSTOMERS, """
+part AS (SELECT customer_id, age, country, total_purchases, lifetime_value, churned FROM customers)""") + f"""
+SELECT customer_id, round(age, 6) AS age, country, 'Unknown' AS gender, 'Q1' AS signup_quarter,
+       'Unknown' AS payment_method_diversity, round({O.score_sql()}, 6) AS probability FROM (
+  SELECT *, CAST(NULL AS DOUBLE) AS cart_abandonment_rate, CAST(NULL AS DOUBLE) AS days_since_last_purchase,
+         CAST(NULL AS DOUBLE) AS customer_service_calls, CAST(NULL AS DOUBLE) AS returns_rate,
+         CAST(NULL AS DOUBLE) AS email_open_rate, CAST(NULL AS DOUBLE) AS login_frequency,
+         CAST(NULL AS DOUBLE) AS mobile_app_usage FROM part)""")
+def q_p5(spark, sf):
+    src = source_frame(spark, sf, "spanish").select(ID, *SPANISH_PARTIAL)
+    from ..functions.schema import complete, normalize
+    out = prediction_output(RuleScorer(), complete(normalize(src)))
+    return rounded(out.select(ID, "age", "country", "gender", "signup_quarter", "payment_method_diversity",
+                              "probability"))
