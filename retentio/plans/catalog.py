@@ -841,3 +841,21 @@ def q_p5(spark, sf):
     out = prediction_output(RuleScorer(), complete(normalize(src)))
     return rounded(out.select(ID, "age", "country", "gender", "signup_quarter", "payment_method_diversity",
                               "probability"))
+
+
+# --- streaming scoring ----------------------------------------------------------------------
+
+from ..streaming.scoring import start_scoring_stream  # noqa: E402
+
+
+@register("m6_stream_scoring", SCORED_SQL + "SELECT customer_id, round(probability, 6) AS probability, risk_level, "
+          "decision FROM scored")
+def q_stream(spark, sf):
+    src = shared_scratch(spark, "stream-in")
+    text = FS.as_text(source_frame(spark, sf, "english"))
+    text.repartition(4).write.mode("overwrite").option("header", True).csv(src)
+    sink, ckpt = shared_scratch(spark, "stream-out"), shared_scratch(spark, "stream-ckpt")
+    q = start_scoring_stream(spark, src, text.columns, sink, ckpt)
+    q.awaitTermination()
+    out = spark.read.parquet(sink)
+    return rounded(out.select(F.col(ID).cast("long").alias(ID), "probability", "risk_level", "decision"))
