@@ -131,8 +131,26 @@ def customer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+_MATERIALIZED: dict = {}
+
+
+def materialized_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived customer table written once per application to the shared checkpoint area.
+
+    Every report reads this Parquet table (pruned, pushed-down scans) instead of
+    re-deriving it from the fact tables; the write also cuts the lineage.
+    """
+    from ..session import shared_scratch
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _MATERIALIZED:
+        path = shared_scratch(spark, "customers")
+        customer_table(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _MATERIALIZED[key] = path
+    return spark.read.parquet(_MATERIALIZED[key])
+
+
 def source_frame(spark: SparkSession, sf_dir: str, language: str = "english") -> DataFrame:
     """The customer table under the source-file headers (English or Spanish)."""
     pick = 0 if language == "english" else 1
-    df = customer_table(spark, sf_dir)
+    df = materialized_customers(spark, sf_dir)
     return df.select(ID, *[F.col(c).alias(HEADER_ALIASES[c][pick]) for c in df.columns if c != ID])
