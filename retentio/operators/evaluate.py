@@ -45,6 +45,30 @@ def metrics_from_confusion(cm: DataFrame) -> DataFrame:
     })
 
 
+def _score_buckets(by_score: DataFrame, g: list[str], score: str, grouped: bool) -> DataFrame:
+    """Monotone bucket id per distinct score.
+
+    Ungrouped (one large score set): buckets from approximate quantiles of the distinct scores, so each
+    bucket holds about 1/AUC_BUCKETS of them whatever their distribution; ``Bucketizer`` does a binary
+    search on the JVM.  Grouped (many small groups, e.g. permutation copies): equal-width buckets over the
+    group's [min, max].
+    """
+    if not grouped:
+        probs = [i / AUC_BUCKETS for i in range(1, AUC_BUCKETS)]
+        cuts = by_score.agg(F.percentile_approx(score, probs, 10 * AUC_BUCKETS)).first()[0] or []
+        splits = sorted(set(float(c) for c in cuts))
+        from pyspark.ml.feature import Bucketizer
+        b = Bucketizer(splits=[float("-inf")] + splits + [float("inf")], inputCol="_s", outputCol="_bf")
+        return b.transform(by_score.withColumn("_s", F.col(score).cast("double"))) \
+            .withColumn("_b", F.col("_bf").cast("int")).drop("_s", "_bf")
+    rng = by_score.groupBy(*g).agg(F.min(score).alias("_mn"), F.max(score).alias("_mx"))
+    span = F.col("_mx") - F.col("_mn")
+    bucket = F.when(span > 0, F.least(F.floor((F.col(score) - F.col("_mn")) / span * AUC_BUCKETS),
+                                      F.lit(AUC_BUCKETS - 1))).otherwise(F.lit(0))
+    # rng: one row per group
+    return by_score.join(F.broadcast(rng), g).withColumn("_b", bucket.cast("int")).drop("_mn", "_mx")
+
+
 def roc_auc(df: DataFrame, label: str = TARGET, score: str = "probability", groups=()) -> DataFrame:
     """Exact ROC AUC (ties count one half) per group; NULL when a class is absent."""
     g = list(groups) or ["_g"]
@@ -52,11 +76,7 @@ def roc_auc(df: DataFrame, label: str = TARGET, score: str = "probability", grou
         df = df.withColumn("_g", F.lit(0))
     by_score = df.groupBy(*g, score).agg(F.sum(F.col(label).cast("long")).alias("pos"),
                                           F.sum((1 - F.col(label)).cast("long")).alias("neg"))
-    rng = by_score.groupBy(*g).agg(F.min(score).alias("_mn"), F.max(score).alias("_mx"))
-    span = F.col("_mx") - F.col("_mn")
-    bucket = F.when(span > 0, F.least(F.floor((F.col(score) - F.col("_mn")) / span * AUC_BUCKETS),
-                                      F.lit(AUC_BUCKETS - 1))).otherwise(F.lit(0))
-    keyed = by_score.join(F.broadcast(rng), g).withColumn("_b", bucket.cast("int"))  # rng: one row per group
+    keyed = _score_buckets(by_score, g, score, grouped=bool(groups))
     btot = keyed.groupBy(*g, "_b").agg(F.sum("neg").alias("_bneg"))
     # bucket totals: at most AUC_BUCKETS rows per group
     wb = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -67,7 +87,7 @@ def roc_auc(df: DataFrame, label: str = TARGET, score: str = "probability", grou
     agg = ranked.groupBy(*g).agg(
         F.sum(F.col("pos") * (F.col("_below") + F.col("neg") * 0.5)).alias("_num"),
         F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    out = agg.select(*g, (F.col("_num") / (F.col("_p") * F.col("_n"))).alias("roc_auc"))
+    out = agg.select(*g, (F.col("_num") / F.nullif(F.col("_p") * F.col("_n"), F.lit(0))).alias("roc_auc"))
     return out if groups else out.drop("_g")
 
 
@@ -79,7 +99,9 @@ def evaluate(df: DataFrame, label: str = TARGET, score: str = "probability", thr
         df = df.withColumn("_g", F.lit(0))
     pred = df.withColumn("prediction", (F.col(score) >= threshold).cast("int"))
     m = metrics_from_confusion(confusion(pred, label, "prediction", g))
-    out = m.join(roc_auc(df, label, score, g), g)     # one row per group on each side
+    auc = roc_auc(df, label, score, groups) if groups else \
+        roc_auc(df.drop("_g"), label, score).withColumn("_g", F.lit(0))
+    out = m.join(auc, g)     # one row per group on each side
     return out if groups else out.drop("_g")
 
 

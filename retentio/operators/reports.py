@@ -22,14 +22,19 @@ from . import stats
 R = 6  # decimals kept in report outputs
 
 
+def round6(c, digits: int = R):
+    """Half-up decimal rounding through a 10-place decimal (no -0.0, engine-independent ties)."""
+    return F.round(c.cast("decimal(38,10)"), digits).cast("double")
+
+
 def _r(c):
-    return F.round(c, R)
+    return round6(c)
 
 
 def round_doubles(df: DataFrame, digits: int = R) -> DataFrame:
-    """Round double columns on the JVM (HALF_UP on the shortest decimal form)."""
+    """Round double columns on the JVM through a decimal."""
     from pyspark.sql import types as T
-    return df.select(*[F.round(F.col(f.name), digits).alias(f.name)
+    return df.select(*[round6(F.col(f.name), digits).alias(f.name)
                        if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields])
 
 

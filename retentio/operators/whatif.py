@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..constants import BASE_NUMERIC, ID, NO_SIGNAL, PRESETS, SCENARIOS, SIGNALS
 from ..functions.scoring import rule_probability
 from . import stats
+from .reports import round6
 
 R = 6
 
@@ -88,7 +89,11 @@ def risk_signals(customers: DataFrame, reference: DataFrame, method: str = "exac
 
 def _probability_of(values: dict[str, Column], columns: list[str]) -> Column:
     """Rule probability after applying the validity rules to ``values`` (default: the columns)."""
-    return rule_probability({c: _rebind_rule(c, values.get(c, F.col(c))) for c in columns})
+    from ..constants import SCORE_WEIGHTS
+    present = set(columns)
+    return rule_probability({
+        c: _rebind_rule(c, values.get(c, F.col(c) if c in present else F.lit(None).cast("double")))
+        for c, _ in SCORE_WEIGHTS})
 
 
 def _rebind_rule(c: str, v: Column) -> Column:
@@ -118,7 +123,7 @@ def what_if(customers: DataFrame, reference: DataFrame, method: str = "exact") -
     ])
     out = customers.select(ID, current.alias("current"), F.explode(scen).alias("s"))
     return out.select(
-        ID, "s.scenario", F.round("current", R).alias("current_probability"),
-        F.round("s.simulated", R).alias("simulated_probability"),
-        F.round(F.col("current") - F.col("s.simulated"), R).alias("reduction"),
+        ID, "s.scenario", round6(F.col("current")).alias("current_probability"),
+        round6(F.col("s.simulated")).alias("simulated_probability"),
+        round6(F.col("current") - F.col("s.simulated")).alias("reduction"),
         F.when(F.col("s.simulated") < F.col("current"), "prioritise").otherwise("monitor").alias("reading"))

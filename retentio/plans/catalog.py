@@ -25,15 +25,15 @@ def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = O.decimal_rounding(sql)
         return fn
     return deco
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column (hash-stable outputs; ``+ 0.0`` turns -0.0 into 0.0)."""
+    """Round every double column (hash-stable outputs)."""
     return df.select(*[
-        (F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+        reports.round6(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType)
         else F.col(f.name)
         for f in df.schema.fields
     ])

@@ -346,3 +346,36 @@ def anova_ctes(k: int = 35) -> list[str]:
         f"anova AS (SELECT feature, f_score, {origin_sql('feature', CATEGORICAL)} AS base_variable,"
         f" row_number() OVER (ORDER BY f_score DESC NULLS LAST, feature) <= {k} AS selected FROM fsc)",
     ]
+
+
+def decimal_rounding(sql: str, digits: int = 6) -> str:
+    """Rewrite ``round(x, 6)`` as a decimal round (half-up on a 10-place decimal, like Spark's)."""
+    out, i, token = [], 0, "round("
+    while True:
+        j = sql.find(token, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
+            out.append(sql[i:j + len(token)])
+            i = j + len(token)
+            continue
+        depth, k, comma = 1, j + len(token), None
+        while depth:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 1:
+                comma = k
+            k += 1
+        args_end = k - 1
+        if comma is None or sql[comma + 1:args_end].strip() != str(digits):
+            out.append(sql[i:j + len(token)])
+            i = j + len(token)
+            continue
+        inner = decimal_rounding(sql[j + len(token):comma], digits)
+        out.append(sql[i:j])
+        out.append(f"CAST(round(CAST({inner} AS DECIMAL(38,10)), {digits}) AS DOUBLE)")
+        i = args_end + 1
