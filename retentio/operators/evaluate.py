@@ -61,12 +61,12 @@ def _score_buckets(by_score: DataFrame, g: list[str], score: str, grouped: bool)
         b = Bucketizer(splits=[float("-inf")] + splits + [float("inf")], inputCol="_s", outputCol="_bf")
         return b.transform(by_score.withColumn("_s", F.col(score).cast("double"))) \
             .withColumn("_b", F.col("_bf").cast("int")).drop("_s", "_bf")
-    rng = by_score.groupBy(*g).agg(F.min(score).alias("_mn"), F.max(score).alias("_mx"))
+    wg = Window.partitionBy(*g)
+    ranged = by_score.withColumns({"_mn": F.min(score).over(wg), "_mx": F.max(score).over(wg)})
     span = F.col("_mx") - F.col("_mn")
     bucket = F.when(span > 0, F.least(F.floor((F.col(score) - F.col("_mn")) / span * AUC_BUCKETS),
                                       F.lit(AUC_BUCKETS - 1))).otherwise(F.lit(0))
-    # rng: one row per group
-    return by_score.join(F.broadcast(rng), g).withColumn("_b", bucket.cast("int")).drop("_mn", "_mx")
+    return ranged.withColumn("_b", bucket.cast("int")).drop("_mn", "_mx")
 
 
 def roc_auc(df: DataFrame, label: str = TARGET, score: str = "probability", groups=()) -> DataFrame:
