@@ -859,3 +859,38 @@ def q_stream(spark, sf):
     q.awaitTermination()
     out = spark.read.parquet(sink)
     return rounded(out.select(F.col(ID).cast("long").alias(ID), "probability", "risk_level", "decision"))
+
+
+# --- labels and lineage of transformed features (P9, P10), importance sample (L4), legacy profile (A9) ----
+
+from ..functions.schema import feature_origin, pretty_label  # noqa: E402
+from ..constants import CATEGORICAL  # noqa: E402
+
+
+@register("p9_p10_feature_labels", PREP_SQL + f"""
+SELECT feature, {O.label_sql('feature')} AS label, {O.origin_sql('feature', CATEGORICAL)} AS base_variable
+FROM (SELECT DISTINCT feature FROM tx)""")
+def q_p9(spark, sf):
+    m, _ = _fitted(spark, sf)
+    names = spark.createDataFrame([(n,) for n in m.feature_names], "feature string")
+    return names.select("feature", pretty_label(F.col("feature")).alias("label"),
+                        feature_origin(F.col("feature")).alias("base_variable"))
+
+
+@register("l4_importance_sample", SPLIT_SQL + """
+SELECT customer_id, churned FROM split WHERE split = 'test'
+ORDER BY md5(CAST(customer_id AS VARCHAR) || ':42'), customer_id LIMIT 4000""")
+def q_l4(spark, sf):
+    split = S.stratified_split(P.featured(spark, sf))
+    return S.sample_rows(split.where(F.col("split") == "test"), 4000).select(ID, TARGET)
+
+
+_LEGACY_PROFILE_SQL = ", ".join(f"round(avg({src}), 6) AS {name}" for name, src in reports.PROFILE_MEANS[:-1])
+
+
+@register("a9_segment_profile_legacy", O.with_(O.CUSTOMERS, O.CLEAN, O.features_cte(legacy=True)) + f"""
+SELECT *, round(customers * 100.0::DOUBLE / sum(customers) OVER (), 6) AS pct_customers FROM (
+  SELECT purchase_segment, count(*) AS customers, round(avg(churned), 6) AS churn_rate, {_LEGACY_PROFILE_SQL}
+  FROM featured GROUP BY purchase_segment)""")
+def q_a9l(spark, sf):
+    return reports.segment_profile(P.featured(spark, sf, "legacy"), "purchase_segment", with_app=False)
