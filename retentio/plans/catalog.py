@@ -894,3 +894,30 @@ SELECT *, round(customers * 100.0::DOUBLE / sum(customers) OVER (), 6) AS pct_cu
   FROM featured GROUP BY purchase_segment)""")
 def q_a9l(spark, sf):
     return reports.segment_profile(P.featured(spark, sf, "legacy"), "purchase_segment", with_app=False)
+
+
+# --- decision-threshold sweep (M9) and what-if with the fitted model (W4) ------------------
+
+THRESHOLDS = [round(0.10 + 0.01 * i, 2) for i in range(81)]      # the user range .10-.90, step .01
+
+
+@register("m9_threshold_sweep", SCORED_SQL + """
+SELECT CAST(t.threshold AS DOUBLE) AS threshold,
+       count(*) FILTER (WHERE s.probability >= t.threshold) AS predicted_churn,
+       count(*) FILTER (WHERE s.probability < t.threshold) AS predicted_active
+FROM scored s CROSS JOIN (SELECT round(0.10 + 0.01 * range, 2) AS threshold FROM range(81)) t
+GROUP BY t.threshold""")
+def q_m9(spark, sf):
+    scored = P.rule_scored(spark, sf)
+    arr = F.array(*[F.lit(t) for t in THRESHOLDS])
+    x = scored.select("probability", F.explode(arr).alias("threshold"))
+    return x.groupBy("threshold").agg(
+        F.count_if(F.col("probability") >= F.col("threshold")).alias("predicted_churn"),
+        F.count_if(F.col("probability") < F.col("threshold")).alias("predicted_active"))
+
+
+@register("w4_model_what_if")
+def q_w4m(spark, sf):
+    t = TR.train_final(spark, sf)
+    df = keep(P.customers(spark, sf))
+    return W.what_if_scored(df, df, PipelineScorer(t.model))

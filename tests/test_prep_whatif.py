@@ -62,3 +62,11 @@ def test_unused_variable_has_zero_importance(spark, sf_small):
                                                              repeats=3).collect()}
     assert imp["age"]["importance_mean"] == 0.0 and imp["age"]["importance_std"] == 0.0
     assert "returns_rate" in imp
+
+
+def test_generic_what_if_equals_rule_projection(spark, sf_small):
+    from retentio.operators.whatif import what_if_scored
+    df = P.customers(spark, sf_small)
+    a = {(r[ID], r["scenario"]): tuple(r)[2:] for r in what_if(df, df).collect()}
+    b = {(r[ID], r["scenario"]): tuple(r)[2:] for r in what_if_scored(df, df, RuleScorer()).collect()}
+    assert a == b and len(a) == 4 * df.count()
