@@ -45,9 +45,13 @@ def predict_probabilities(scorer, df: DataFrame) -> DataFrame:
     return scorer.with_probability(normalize(df))
 
 
-def prediction_output(scorer, df: DataFrame, threshold: float | Column = DEFAULT_THRESHOLD) -> DataFrame:
-    """M6: all input columns + probability, risk level, decision and action in one projection."""
-    scored = scorer.with_probability(normalize(df))
+def prediction_output(scorer, df: DataFrame, threshold: float | Column = DEFAULT_THRESHOLD,
+                      normalized: bool = False) -> DataFrame:
+    """M6: all input columns + probability, risk level, decision and action in one projection.
+
+    ``normalized=True`` skips P1-P4 for frames that already went through them.
+    """
+    scored = scorer.with_probability(df if normalized else normalize(df))
     p = F.col("probability")
     return scored.withColumns({
         "risk_level": risk_level(p),
