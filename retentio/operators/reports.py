@@ -193,7 +193,7 @@ def sorted_options(df: DataFrame, columns) -> DataFrame:
     ])).alias("p")
     opts = df.select(pairs).select("p.*").where(F.col("option").isNotNull()).distinct()
     w = Window.partitionBy("variable").orderBy("option")
-    return opts.withColumn("position", F.row_number().over(w))
+    return opts.withColumn("position", F.row_number().over(w).cast("long"))
 
 
 def typical_customer(df: DataFrame, method: str = "exact") -> DataFrame:

@@ -68,7 +68,7 @@ def explained_totals(explained: list[float]) -> tuple[float, float]:
 def segment_badges(profile: DataFrame, segment: str) -> DataFrame:
     """K4: high-risk badge when churn ≥ mean of segment churn rates; rank label by churn."""
     w_all = Window.partitionBy(F.lit(1))                            # k segment rows
-    rank = F.row_number().over(Window.orderBy(F.desc("churn_rate"), segment))
+    rank = F.row_number().over(Window.orderBy(F.desc("churn_rate"), segment)).cast("long")   # k segment rows
     return (profile.withColumn("is_high_risk", F.col("churn_rate") >= F.avg("churn_rate").over(w_all))
             .withColumn("rank", rank)
             .withColumn("badge", F.when(F.col("rank") == 1, "highest_risk_segment")

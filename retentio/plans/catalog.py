@@ -792,7 +792,8 @@ def q_s1(spark, sf):
     path = shared_scratch(spark, "csv-upload")
     dirty = FS.with_dirty_cells(FS.as_text(source_frame(spark, sf, "english")))
     dirty.write.mode("overwrite").option("header", True).csv(path)
-    return rounded(FS.read_customers(spark, path).select(*CUSTOMER_COLUMNS))
+    back = FS.read_customers(spark, path).withColumn(ID, F.col(ID).cast("long"))
+    return rounded(back.select(*CUSTOMER_COLUMNS))
 
 
 SHORT_EVERY = 101
