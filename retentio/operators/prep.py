@@ -22,7 +22,7 @@ from __future__ import annotations
 import json
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -229,3 +229,104 @@ class ChurnPreprocessorModel(Model, _Profile, DefaultParamsReadable, DefaultPara
                 for i, lv in enumerate(p.get("levels", []) if grp != "binary" else []):
                     rows.append((c, f"level_{i}", float(i), lv))
         return spark.createDataFrame(rows, "variable string, stat string, value double, text string")
+
+
+# --- standalone column-group stages (the individual fit/transform classes) -------------------
+
+class _Cols(Params):
+    inputCols = Param(Params._dummy(), "inputCols", "columns transformed in place",
+                      typeConverter=TypeConverters.toListString)
+    fitted = Param(Params._dummy(), "fitted", "fitted values per column (JSON)", typeConverter=TypeConverters.toString)
+    quantileMethod = Param(Params._dummy(), "quantileMethod", "exact | approx", typeConverter=TypeConverters.toString)
+
+    def _values(self) -> dict:
+        return json.loads(self.getOrDefault("fitted"))
+
+
+class _ColsModel(Model, _Cols, DefaultParamsReadable, DefaultParamsWritable):
+    @keyword_only
+    def __init__(self, inputCols=None, fitted: str = "{}"):
+        super().__init__()
+        self._setDefault(fitted="{}", inputCols=[])
+        self._set(**self._input_kwargs)
+
+
+class SkewImputer(Estimator, _Cols, DefaultParamsReadable, DefaultParamsWritable):
+    """I1 as a stage: fill NULLs with the median when |sample skew| > 0.5, else the mean (0 when empty)."""
+
+    @keyword_only
+    def __init__(self, inputCols=None, quantileMethod: str = "exact"):
+        super().__init__()
+        self._setDefault(inputCols=[], quantileMethod="exact", fitted="{}")
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df):
+        cols = self.getOrDefault("inputCols")
+        m = stats.moments(df, cols)
+        med = stats.quantiles(df, cols, [0.5], method=self.getOrDefault("quantileMethod"))
+        return SkewImputerModel(inputCols=cols, fitted=json.dumps({c: skew_fill(m[c], med[(c, 0.5)])[0] for c in cols}))
+
+
+class SkewImputerModel(_ColsModel):
+    def _transform(self, df):
+        return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(v)) for c, v in self._values().items()})
+
+
+class IQRCapper(Estimator, _Cols, DefaultParamsReadable, DefaultParamsWritable):
+    """I4 as a stage: clip to [q1 - 1.5·IQR, q3 + 1.5·IQR] (linear-interpolated quartiles)."""
+
+    @keyword_only
+    def __init__(self, inputCols=None, quantileMethod: str = "exact"):
+        super().__init__()
+        self._setDefault(inputCols=[], quantileMethod="exact", fitted="{}")
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df):
+        cols = self.getOrDefault("inputCols")
+        q = stats.quantiles(df, cols, [0.25, 0.75], method=self.getOrDefault("quantileMethod"))
+        fences = {}
+        for c in cols:
+            q1, q3 = q[(c, 0.25)], q[(c, 0.75)]
+            fences[c] = None if q1 is None else [q1 - IQR_FACTOR * (q3 - q1), q3 + IQR_FACTOR * (q3 - q1)]
+        return IQRCapperModel(inputCols=cols, fitted=json.dumps(fences))
+
+
+class IQRCapperModel(_ColsModel):
+    def _transform(self, df):
+        return df.withColumns({c: F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi))
+                               for c, b in self._values().items() if b is not None for lo, hi in [b]})
+
+
+class Log1p(Transformer, _Cols, DefaultParamsReadable, DefaultParamsWritable):
+    """I5 as a stage: ``log1p(max(x, 0))``."""
+
+    @keyword_only
+    def __init__(self, inputCols=None):
+        super().__init__()
+        self._setDefault(inputCols=[], fitted="{}", quantileMethod="exact")
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df):
+        return df.withColumns({c: F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0)))
+                               for c in self.getOrDefault("inputCols")})
+
+
+class ExactRobustScaler(Estimator, _Cols, DefaultParamsReadable, DefaultParamsWritable):
+    """I6 as a stage: ``(x - median) / IQR`` with IQR 0 → 1 (centred, exact quartiles)."""
+
+    @keyword_only
+    def __init__(self, inputCols=None, quantileMethod: str = "exact"):
+        super().__init__()
+        self._setDefault(inputCols=[], quantileMethod="exact", fitted="{}")
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df):
+        cols = self.getOrDefault("inputCols")
+        q = stats.quantiles(df, cols, [0.25, 0.5, 0.75], method=self.getOrDefault("quantileMethod"))
+        return ExactRobustScalerModel(inputCols=cols, fitted=json.dumps(
+            {c: robust(q[(c, 0.5)], q[(c, 0.25)], q[(c, 0.75)]) for c in cols}))
+
+
+class ExactRobustScalerModel(_ColsModel):
+    def _transform(self, df):
+        return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in self._values().items()})

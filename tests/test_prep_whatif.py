@@ -70,3 +70,25 @@ def test_generic_what_if_equals_rule_projection(spark, sf_small):
     a = {(r[ID], r["scenario"]): tuple(r)[2:] for r in what_if(df, df).collect()}
     b = {(r[ID], r["scenario"]): tuple(r)[2:] for r in what_if_scored(df, df, RuleScorer()).collect()}
     assert a == b and len(a) == 4 * df.count()
+
+
+def test_standalone_stages_compose_to_the_bundled_preprocessor(spark, sf_small):
+    from pyspark.ml import Pipeline
+    from retentio.constants import CAP_COLUMNS, LOG_COLUMNS
+    from retentio.operators.prep import ExactRobustScaler, IQRCapper, Log1p, SkewImputer
+    df = P.featured(spark, sf_small)
+    bundled = ChurnPreprocessor().fit(df)
+    cap = Pipeline(stages=[SkewImputer(inputCols=CAP_COLUMNS), IQRCapper(inputCols=CAP_COLUMNS),
+                           ExactRobustScaler(inputCols=CAP_COLUMNS)]).fit(df).transform(df)
+    log = Pipeline(stages=[SkewImputer(inputCols=LOG_COLUMNS), Log1p(inputCols=LOG_COLUMNS),
+                           ExactRobustScaler(inputCols=LOG_COLUMNS)]).fit(df).transform(df)
+    cols = bundled.feature_columns()
+    ref = df.select(ID, *[cols[f"num_cap__{c}"].alias(c) for c in CAP_COLUMNS],
+                    *[cols[f"num_log__{c}"].alias(c) for c in LOG_COLUMNS]).collect()
+    got_cap = {r[ID]: r for r in cap.select(ID, *CAP_COLUMNS).collect()}
+    got_log = {r[ID]: r for r in log.select(ID, *LOG_COLUMNS).collect()}
+    for r in ref:
+        for c in CAP_COLUMNS:
+            assert abs(r[c] - got_cap[r[ID]][c]) < 1e-9
+        for c in LOG_COLUMNS:
+            assert abs(r[c] - got_log[r[ID]][c]) < 1e-9
