@@ -37,3 +37,23 @@ def test_sample_skewness_matches_pandas(spark):
     vals = [1.0, 2.0, 10.0, 3.0, 7.5, 0.2]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     assert math.isclose(stats.moments(df, ["x"])["x"]["skew"], pd.Series(vals).skew(), rel_tol=1e-9)
+
+
+def test_approx_method_runs_and_is_close(spark):
+    import random
+    random.seed(5)
+    vals = [random.gauss(50, 10) for _ in range(5000)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    exact = stats.quantiles(df, ["x"], [0.25, 0.5, 0.75])
+    approx = stats.quantiles(df, ["x"], [0.25, 0.5, 0.75], method="approx")
+    for q in (0.25, 0.5, 0.75):
+        assert abs(exact[("x", q)] - approx[("x", q)]) < 0.5
+
+
+def test_preprocessor_approx_profile(spark, sf_small):
+    from retentio.operators.prep import ChurnPreprocessor
+    from retentio.plans import portfolio as P
+    df = P.featured(spark, sf_small)
+    m = ChurnPreprocessor(quantileMethod="approx").fit(df)
+    assert len(m.feature_names) > 30
+    assert m.transform(df).select("features").first()[0].size == len(m.feature_names)
