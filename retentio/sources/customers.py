@@ -50,12 +50,19 @@ def customer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
              .groupBy(F.col("o_custkey").alias("a_custkey"))
              .agg(F.lit(1).alias("ordered_after")))
 
-    order_agg = before.groupBy(F.col("o_custkey").alias("k")).agg(
+    # two-level aggregation: per (customer, priority) first, so the distinct count needs no Expand
+    by_priority = before.groupBy("o_custkey", "o_orderpriority").agg(
         F.min("o_orderdate").alias("first_order"),
         F.max("o_orderdate").alias("last_order"),
         F.count(F.lit(1)).alias("n_orders"),
         F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("spend_cents"),
-        F.countDistinct("o_orderpriority").alias("n_priorities"),
+    )
+    order_agg = by_priority.groupBy(F.col("o_custkey").alias("k")).agg(
+        F.min("first_order").alias("first_order"),
+        F.max("last_order").alias("last_order"),
+        F.sum("n_orders").alias("n_orders"),
+        F.sum("spend_cents").alias("spend_cents"),
+        F.count(F.lit(1)).alias("n_priorities"),
     )
 
     lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity", "l_discount", "l_returnflag")
@@ -78,16 +85,29 @@ def customer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     events = table(spark, sf_dir, "events", "user_id", "ts", "event_type", "value", "props")
     etype = F.col("event_type")
-    event_agg = events.groupBy(F.col("user_id").alias("ek")).agg(
-        F.count(F.lit(1)).alias("n_events"),
-        F.avg(F.when(etype.isin("view", "click"), F.col("value"))).alias("session_avg"),
+    browse = etype.isin("view", "click")
+    # two-level aggregation: per (user, day) first — active days become a plain count
+    daily = events.groupBy("user_id", F.to_date("ts").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.when(browse, F.col("value"))).alias("browse_sum"),
+        F.count(F.when(browse, F.col("value"))).alias("browse_n"),
         F.count_if(etype == "view").alias("views"),
         F.count_if(etype == "click").alias("clicks"),
         F.count_if(etype == "purchase").alias("purchases"),
         F.count_if(etype == "error").alias("errors"),
         F.max("value").alias("max_value"),
         F.count_if(F.get_json_object("props", "$.k").cast("int") < 50).alias("app_events"),
-        F.countDistinct(F.to_date("ts")).alias("active_days"),
+    )
+    event_agg = daily.groupBy(F.col("user_id").alias("ek")).agg(
+        F.sum("n").alias("n_events"),
+        (F.sum("browse_sum") / F.nullif(F.sum("browse_n"), F.lit(0))).alias("session_avg"),
+        F.sum("views").alias("views"),
+        F.sum("clicks").alias("clicks"),
+        F.sum("purchases").alias("purchases"),
+        F.sum("errors").alias("errors"),
+        F.max("max_value").alias("max_value"),
+        F.sum("app_events").alias("app_events"),
+        F.count(F.lit(1)).alias("active_days"),
     )
 
     nation = bounded_broadcast(table(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey"),
