@@ -41,7 +41,8 @@ def _days(later: Column, earlier: Column) -> Column:
 def customer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical typed customer table (snake_case columns, numerics as double)."""
     cut = observation_cut(spark, sf_dir)
-    cut_lit = F.lit(cut).cast("timestamp_ntz")
+    # built from text: a wall-clock literal, independent of session and process time zones
+    cut_lit = F.lit(cut.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
 
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate",
                    "o_totalprice", "o_orderpriority")
