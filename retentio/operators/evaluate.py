@@ -69,13 +69,26 @@ def _score_buckets(by_score: DataFrame, g: list[str], score: str, grouped: bool)
     return ranged.withColumn("_b", bucket.cast("int")).drop("_mn", "_mx")
 
 
-def roc_auc(df: DataFrame, label: str = TARGET, score: str = "probability", groups=()) -> DataFrame:
-    """Exact ROC AUC (ties count one half) per group; NULL when a class is absent."""
+def roc_auc(df: DataFrame, label: str = TARGET, score: str = "probability", groups=(),
+            bounded_groups: bool = False) -> DataFrame:
+    """Exact ROC AUC (ties count one half) per group; NULL when a class is absent.
+
+    ``bounded_groups=True`` declares that every group holds a bounded number of rows (e.g. the
+    permutation copies of a capped sample): negatives below each score then come from one window per
+    group instead of the two-level bucket scheme.
+    """
     g = list(groups) or ["_g"]
     if not groups:
         df = df.withColumn("_g", F.lit(0))
     by_score = df.groupBy(*g, score).agg(F.sum(F.col(label).cast("long")).alias("pos"),
                                           F.sum((1 - F.col(label)).cast("long")).alias("neg"))
+    if groups and bounded_groups:
+        wg = Window.partitionBy(*g).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+        ranked = by_score.withColumn("_below", F.coalesce(F.sum("neg").over(wg), F.lit(0)))
+        agg = ranked.groupBy(*g).agg(
+            F.sum(F.col("pos") * (F.col("_below") + F.col("neg") * 0.5)).alias("_num"),
+            F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+        return agg.select(*g, (F.col("_num") / F.nullif(F.col("_p") * F.col("_n"), F.lit(0))).alias("roc_auc"))
     keyed = _score_buckets(by_score, g, score, grouped=bool(groups))
     btot = keyed.groupBy(*g, "_b").agg(F.sum("neg").alias("_bneg"))
     # bucket totals: at most AUC_BUCKETS rows per group

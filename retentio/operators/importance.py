@@ -38,7 +38,7 @@ def permutation_importance(test: DataFrame, scorer, columns=IMPORTANCE_COLUMNS,
     permuted = copies.join(donors, "_b").withColumns({
         c: F.when(F.col("variable") == c, F.col(f"_d_{c}")).otherwise(F.col(c)) for c in columns})
     scored = scorer.with_probability(permuted.drop("_b", *[f"_d_{c}" for c in columns]))
-    auc = E.roc_auc(scored, groups=["variable", "repeat"])
+    auc = E.roc_auc(scored, groups=["variable", "repeat"], bounded_groups=True)   # ≤ sample_size rows each
     base = E.roc_auc(scorer.with_probability(pos.drop("_a"))).withColumn("_k", F.lit(0))
     drops = (auc.withColumn("_k", F.lit(0)).join(F.broadcast(base.withColumnRenamed("roc_auc", "_base")), "_k")
              .withColumn("drop", F.col("_base") - F.col("roc_auc")))
