@@ -85,22 +85,15 @@ class ChurnPreprocessor(Estimator, _Profile, DefaultParamsReadable, DefaultParam
 
 
 def _modes_and_levels(df: DataFrame, categorical: list[str], binary: list[str]) -> tuple[dict, dict]:
-    cols = categorical + binary
-    m = stats.modes(df, cols)
-    levels = {}
-    if categorical:
-        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"))
-                                    for c in categorical])).alias("p")
-        got = (df.select(pairs).select("p.*").where(F.col("v").isNotNull()).distinct()
-               .groupBy("c").agg(F.sort_array(F.collect_list("v")).alias("levels")).collect())
-        levels = {r["c"]: list(r["levels"]) for r in got}   # vocabulary of a categorical: bounded
-    return m, levels
+    return stats.modes_and_levels(df, categorical + binary, categorical)
 
 
 def _fit_current(df: DataFrame, method: str) -> dict:
     num = LOG_COLUMNS + CAP_COLUMNS
     moments = stats.moments(df, num)
-    med = stats.quantiles(df, num, [0.5], method=method)
+    rows = moments[num[0]]["rows"]
+    known = {c: (moments[c]["n"], None, None) for c in num}
+    med = stats.quantiles(df, num, [0.5], method=method, **({"counts": known} if method == "exact" else {}))
     modes, levels = _modes_and_levels(df, NOMINAL_COLUMNS, BINARY_COLUMNS + ORDINAL_COLUMNS)
     numeric = {}
     for c in num:
@@ -111,8 +104,9 @@ def _fit_current(df: DataFrame, method: str) -> dict:
     imputed = {c: F.coalesce(F.col(c), F.lit(numeric[c]["fill"])) for c in num}
     p2 = df.select(*[imputed[c].alias(c) for c in CAP_COLUMNS],
                    *[F.log1p(F.greatest(imputed[c], F.lit(0.0))).alias(c) for c in LOG_COLUMNS])
+    full = {"counts": {c: (rows, None, None) for c in num}} if method == "exact" else {}   # imputed: no NULLs
     q2 = stats.quantiles(p2, num, {**{c: [0.25, 0.75] for c in CAP_COLUMNS},
-                                   **{c: [0.25, 0.5, 0.75] for c in LOG_COLUMNS}}, method=method)
+                                   **{c: [0.25, 0.5, 0.75] for c in LOG_COLUMNS}}, method=method, **full)
     for c in LOG_COLUMNS:
         numeric[c]["center"], numeric[c]["scale"] = robust(q2[(c, 0.5)], q2[(c, 0.25)], q2[(c, 0.75)])
     for c in CAP_COLUMNS:
@@ -122,7 +116,8 @@ def _fit_current(df: DataFrame, method: str) -> dict:
     # pass 3: scaler stats of capped columns
     p3 = df.select(*[F.least(F.greatest(imputed[c], F.lit(numeric[c]["lo"])), F.lit(numeric[c]["hi"])).alias(c)
                      for c in CAP_COLUMNS])
-    q3s = stats.quantiles(p3, CAP_COLUMNS, [0.25, 0.5, 0.75], method=method)
+    q3s = stats.quantiles(p3, CAP_COLUMNS, [0.25, 0.5, 0.75], method=method,
+                          **({"counts": {c: (rows, None, None) for c in CAP_COLUMNS}} if method == "exact" else {}))
     for c in CAP_COLUMNS:
         numeric[c]["center"], numeric[c]["scale"] = robust(q3s[(c, 0.5)], q3s[(c, 0.25)], q3s[(c, 0.75)])
     out = {

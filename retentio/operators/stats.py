@@ -60,6 +60,9 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float] | dict
     """Exact linearly-interpolated quantiles; ``None`` for a column without values."""
     probs_by = probs if isinstance(probs, dict) else {c: list(probs) for c in columns}
     long = keep(_long(df, list(probs_by)))
+    # known counts may omit min/max when every column is small enough to be ranked directly
+    if counts is not None and any(counts[c][0] > FINAL_RANGE_ROWS and counts[c][1] is None for c in probs_by):
+        counts = None
     try:
         if counts is None:
             got = {r["c"]: (r["n"], r["mn"], r["mx"]) for r in long.groupBy("c").agg(
@@ -108,7 +111,7 @@ def _select_ranks(long: DataFrame, counts: dict, ranks: dict[str, set[int]]) ->
         final, split = [], []
         for cell in cells:
             c, lo, hi, off, n, rs = cell
-            if lo == hi:
+            if lo is not None and lo == hi:
                 for r in rs:
                     found[(c, r)] = lo
             elif n <= FINAL_RANGE_ROWS:
@@ -126,7 +129,9 @@ def _select_ranks(long: DataFrame, counts: dict, ranks: dict[str, set[int]]) ->
 
 
 def _cells_frame(spark, cells):
-    rows = [(i, c, float(lo), float(hi), int(off)) for i, (c, lo, hi, off, _n, _r) in enumerate(cells)]
+    inf = float("inf")
+    rows = [(i, c, -inf if lo is None else float(lo), inf if hi is None else float(hi), int(off))
+            for i, (c, lo, hi, off, _n, _r) in enumerate(cells)]
     return spark.createDataFrame(rows, "cell long, c string, lo double, hi double, off long")
 
 
@@ -186,22 +191,45 @@ def quantiles(df: DataFrame, columns: list[str], probs, method: str = "exact", *
     return exact_quantiles(df, columns, probs, **kw)
 
 
-def modes(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
-    """Most frequent non-null value per column, ties → smallest (as text)."""
+def _value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     pairs = F.explode(F.array(*[
         F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns
     ])).alias("p")
-    counted = (df.select(pairs).select("p.c", "p.v").where(F.col("v").isNotNull())
-               .groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")))
-    best = counted.groupBy("c").agg(F.min_by(F.struct((-F.col("n")).alias("neg"), F.col("v")),
-                                             F.struct((-F.col("n")).alias("neg"), F.col("v"))).alias("b"))
-    got = {r["c"]: r["b"]["v"] for r in best.collect()}
+    return (df.select(pairs).select("p.c", "p.v").where(F.col("v").isNotNull())
+            .groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _best(counted: DataFrame):
+    key = F.struct((-F.col("n")).alias("neg"), F.col("v"))
+    return F.min_by(key, key)["v"]
+
+
+def modes(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
+    """Most frequent non-null value per column, ties → smallest (as text)."""
+    counted = _value_counts(df, columns)
+    got = {r["c"]: r["m"] for r in counted.groupBy("c").agg(_best(counted).alias("m")).collect()}
     return {c: got.get(c) for c in columns}
 
 
+def modes_and_levels(df: DataFrame, columns: list[str], with_levels: list[str]) -> tuple[dict, dict]:
+    """Modes of ``columns`` and sorted vocabularies of ``with_levels`` from one grouped count.
+
+    A vocabulary is collected per categorical column: bounded by the category count, not the rows.
+    """
+    counted = _value_counts(df, columns)
+    wanted = F.col("c").isin(*with_levels) if with_levels else F.lit(False)
+    rows = counted.groupBy("c").agg(
+        _best(counted).alias("m"),
+        F.sort_array(F.collect_list(F.when(wanted, F.col("v")))).alias("levels")).collect()
+    got = {r["c"]: r for r in rows}
+    m = {c: (got[c]["m"] if c in got else None) for c in columns}
+    lv = {c: (list(got[c]["levels"]) if c in got else []) for c in with_levels}
+    return m, lv
+
+
 def moments(df: DataFrame, columns: list[str]) -> dict[str, dict]:
-    """count, mean and the sample (bias-corrected) skewness per column, one aggregate."""
-    aggs = []
+    """count, mean and the sample (bias-corrected) skewness per column (+ total rows), one aggregate."""
+    aggs = [F.count(F.lit(1)).alias("_rows")]
     for c in columns:
         v = F.col(c).cast("double")
         v = F.when(~F.isnan(v), v)
@@ -209,12 +237,12 @@ def moments(df: DataFrame, columns: list[str]) -> dict[str, dict]:
     row = df.agg(*aggs).first()
     out = {}
     for i, c in enumerate(columns):
-        n, mean, g1 = row[3 * i], row[3 * i + 1], row[3 * i + 2]
+        n, mean, g1 = row[3 * i + 1], row[3 * i + 2], row[3 * i + 3]
         if n is None or n < 3 or g1 is None or (isinstance(g1, float) and math.isnan(g1)):
             skew = None
         else:
             skew = g1 * math.sqrt(n * (n - 1)) / (n - 2)
-        out[c] = {"n": n, "mean": mean, "skew": skew}
+        out[c] = {"n": n, "mean": mean, "skew": skew, "rows": row["_rows"]}
     return out
 
 
