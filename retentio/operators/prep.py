@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import (
-    BASE_NUMERIC, BINARY_COLUMNS, CAP_COLUMNS, CATEGORICAL, GROUP_BINARY, GROUP_CAP, GROUP_LOG,
+    BINARY_COLUMNS, CAP_COLUMNS, CATEGORICAL, GROUP_BINARY, GROUP_CAP, GROUP_LOG,
     GROUP_NOMINAL, GROUP_ORDINAL, ID, LEGACY_GROUP_CATEGORICAL, LEGACY_GROUP_NUMERIC, LOG_COLUMNS,
     NOMINAL_COLUMNS, NUMERIC, ORDINAL_COLUMNS, ORDINAL_LEVELS,
 )
