@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..constants import TARGET
 
-AUC_BUCKETS = 4096
+AUC_BUCKETS = 4096                 # equal-width buckets for bounded groups
+MIN_SCORE_BUCKETS, MAX_SCORE_BUCKETS = 4096, 65536
+SCORES_PER_BUCKET = 1_000_000      # distinct scores ranked in one window partition
 
 
 def _safe(num: Column, den: Column) -> Column:
@@ -54,8 +56,12 @@ def _score_buckets(by_score: DataFrame, g: list[str], score: str, grouped: bool)
     group's [min, max].
     """
     if not grouped:
-        probs = [i / AUC_BUCKETS for i in range(1, AUC_BUCKETS)]
-        cuts = by_score.agg(F.percentile_approx(score, probs, 10 * AUC_BUCKETS)).first()[0] or []
+        distinct = by_score.count()
+        n_buckets = MIN_SCORE_BUCKETS
+        while n_buckets < MAX_SCORE_BUCKETS and distinct / n_buckets > SCORES_PER_BUCKET:
+            n_buckets *= 2
+        probs = [i / n_buckets for i in range(1, n_buckets)]
+        cuts = by_score.agg(F.percentile_approx(score, probs, 10 * n_buckets)).first()[0] or []
         splits = sorted(set(float(c) for c in cuts))
         from pyspark.ml.feature import Bucketizer
         b = Bucketizer(splits=[float("-inf")] + splits + [float("inf")], inputCol="_s", outputCol="_bf")

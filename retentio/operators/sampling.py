@@ -16,7 +16,17 @@ from pyspark.sql import functions as F
 
 from ..constants import COMPARISON_MAX_ROWS, ID, SEED, TARGET, TEST_FRACTION
 
-BUCKET_HEX_DIGITS = 3          # 4096 buckets per class
+MIN_HEX_DIGITS, MAX_HEX_DIGITS = 3, 6      # 4,096 … 16.7 M hash buckets per class
+ROWS_PER_BUCKET = 1_000_000               # target size of the one bucket ranked row by row
+BROADCAST_BUCKET_ROWS = 262_144           # bucket tables up to this bound are broadcast
+
+
+def bucket_digits(rows: int) -> int:
+    """Hex digits of the hash bucket so a class's straddling bucket holds about ROWS_PER_BUCKET rows."""
+    d = MIN_HEX_DIGITS
+    while d < MAX_HEX_DIGITS and rows / 16 ** d > ROWS_PER_BUCKET:
+        d += 1
+    return d
 
 
 def hash_key(seed: int = SEED, key: str = ID) -> Column:
@@ -32,15 +42,18 @@ def first_k_per_class(df: DataFrame, k_by_class: dict, label: str = TARGET, seed
                       key: str = ID, out: str = "selected") -> DataFrame:
     """Flag the ``k_by_class[c]`` rows with the smallest hash in each class."""
     h = hash_key(seed, key)
-    keyed = df.withColumns({"_h": h, "_b": F.conv(F.substring(h, 1, BUCKET_HEX_DIGITS), 16, 10).cast("int")})
+    digits = bucket_digits(max(k_by_class.values(), default=0) * 2)
+    keyed = df.withColumns({"_h": h, "_b": F.conv(F.substring(h, 1, digits), 16, 10).cast("int")})
     counts = keyed.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     cut = F.element_at(F.create_map(*[F.lit(x) for kv in k_by_class.items() for x in kv]), F.col(label))
     buckets = (counts.withColumn("_start", F.coalesce(F.sum("_n").over(w), F.lit(0)))
                .withColumn("_cut", F.coalesce(cut, F.lit(0)))
                .select(label, "_b", "_start", "_n", "_cut"))
-    # (class × bucket) table: at most classes × 16^digits rows
-    j = keyed.join(F.broadcast(buckets), [label, "_b"])
+    # (class × bucket) table: at most classes × 16^digits rows, digits chosen from the class sizes;
+    # broadcast while that bound is small, otherwise a shuffle join on (class, bucket)
+    small = len(k_by_class) * 16 ** digits <= BROADCAST_BUCKET_ROWS
+    j = keyed.join(F.broadcast(buckets) if small else buckets, [label, "_b"])
     inside = F.col("_start") + F.col("_n") <= F.col("_cut")
     outside = F.col("_start") >= F.col("_cut")
     decided = j.where(inside | outside).withColumn(out, inside)
