@@ -8,14 +8,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import BASE_NUMERIC, ID, TARGET
+from ..constants import (
+    BASE_NUMERIC, CATEGORICAL, ID, IMPORTANCE_COLUMNS, NO_SIGNAL, PRESETS, SCENARIOS, SCORE_WEIGHTS, SIGNALS,
+    TARGET,
+)
+from ..functions.schema import feature_origin, pretty_label
+from ..operators import evaluate as E
+from ..operators import importance as IMP
 from ..operators import reports
+from ..operators import sampling as S
+from ..operators import segment as SEG
+from ..operators import selection as SEL
+from ..operators import whatif as W
+from ..operators.models import BusinessFeatures, BusinessRules
+from ..operators.prep import ChurnPreprocessor
+from ..operators.scoring import PipelineScorer, RuleScorer, prediction_output
+from ..session import keep, shared_scratch
+from ..sources import files as FS
+from ..sources.customers import source_frame
+from ..streaming.scoring import start_scoring_stream
 from . import oracle as O
 from . import portfolio as P
+from . import training as TR
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -309,11 +328,6 @@ def q_s6(spark, sf):
 
 # --- split, preprocessing fit tables and transformed matrix (L1, L2, I1-I9, I13) ----
 
-from ..operators import evaluate as E  # noqa: E402
-from ..operators import sampling as S  # noqa: E402
-from ..operators.prep import ChurnPreprocessor  # noqa: E402
-from ..operators.scoring import RuleScorer  # noqa: E402
-from ..session import keep  # noqa: E402
 
 SPLIT_SQL = O.with_(*O.BASE, O.split_cte())
 
@@ -490,7 +504,6 @@ def q_e9(spark, sf):
 
 # --- ANOVA selection (I10, I11, E8) ---------------------------------------------------
 
-from ..operators import selection as SEL  # noqa: E402
 
 ANOVA_SQL = O.with_(*O.BASE, *O.prep_ctes(), *O.anova_ctes())
 
@@ -526,8 +539,6 @@ def q_e8(spark, sf):
 
 # --- what-if, presets, bounds and signals (W1-W4) --------------------------------------
 
-from ..constants import PRESETS, SCENARIOS, SIGNALS, NO_SIGNAL  # noqa: E402
-from ..operators import whatif as W  # noqa: E402
 
 
 def _qsql(c: str, q: float, source: str = "customers") -> str:
@@ -603,8 +614,6 @@ def q_w4(spark, sf):
 
 # --- permutation importance (E6, E7) ---------------------------------------------------
 
-from ..constants import IMPORTANCE_COLUMNS, SCORE_WEIGHTS  # noqa: E402
-from ..operators import importance as IMP  # noqa: E402
 
 
 def _auc_sql(src: str, groups: str) -> str:
@@ -663,9 +672,6 @@ def q_e7(spark, sf):
 
 # --- trained models, persistence (M2-M6, S4, S5, E6 with a model) — rows-only checks ----
 
-from . import training as TR  # noqa: E402
-from ..operators.scoring import PipelineScorer, prediction_output  # noqa: E402
-from ..session import shared_scratch  # noqa: E402
 
 
 @register("m2_final_model_metrics")
@@ -717,9 +723,6 @@ def q_e6m(spark, sf):
 
 # --- segmentation (K1-K4, A9/A10 on clusters) -------------------------------------------
 
-from ..operators import segment as SEG  # noqa: E402
-from ..operators.models import BusinessFeatures, BusinessRules  # noqa: E402
-from pyspark.ml import Pipeline  # noqa: E402
 
 _SEG_CACHE: dict = {}
 
@@ -771,8 +774,6 @@ def q_k4(spark, sf):
 
 # --- file sources and sinks (S1, S2, S3, P5 with Spanish headers) -------------------------
 
-from ..sources import files as FS  # noqa: E402
-from ..sources.customers import source_frame  # noqa: E402
 
 
 def _dirty_case(c: str) -> str:
@@ -846,7 +847,6 @@ def q_p5(spark, sf):
 
 # --- streaming scoring ----------------------------------------------------------------------
 
-from ..streaming.scoring import start_scoring_stream  # noqa: E402
 
 
 @register("m6_stream_scoring", SCORED_SQL + "SELECT customer_id, round(probability, 6) AS probability, risk_level, "
@@ -864,8 +864,6 @@ def q_stream(spark, sf):
 
 # --- labels and lineage of transformed features (P9, P10), importance sample (L4), legacy profile (A9) ----
 
-from ..functions.schema import feature_origin, pretty_label  # noqa: E402
-from ..constants import CATEGORICAL  # noqa: E402
 
 
 @register("p9_p10_feature_labels", PREP_SQL + f"""
