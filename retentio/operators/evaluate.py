@@ -113,15 +113,12 @@ def roc_auc(df: DataFrame, label: str = TARGET, score: str = "probability", grou
 def evaluate(df: DataFrame, label: str = TARGET, score: str = "probability", threshold: float = 0.5,
              groups=()) -> DataFrame:
     """E1-E5 in one row per group: confusion cells, metrics and AUC."""
-    g = list(groups) or ["_g"]
-    if not groups:
-        df = df.withColumn("_g", F.lit(0))
     pred = df.withColumn("prediction", (F.col(score) >= threshold).cast("int"))
-    m = metrics_from_confusion(confusion(pred, label, "prediction", g))
-    auc = roc_auc(df, label, score, groups) if groups else \
-        roc_auc(df.drop("_g"), label, score).withColumn("_g", F.lit(0))
-    out = m.join(auc, g)     # one row per group on each side
-    return out if groups else out.drop("_g")
+    m = metrics_from_confusion(confusion(pred, label, "prediction", groups))
+    if groups:
+        return m.join(roc_auc(df, label, score, groups), list(groups))   # one row per group on each side
+    auc = roc_auc(df, label, score).first()[0]                           # one scalar
+    return m.withColumn("roc_auc", F.lit(auc).cast("double"))
 
 
 def classification_report(df: DataFrame, label: str = TARGET, score: str = "probability",
