@@ -920,3 +920,16 @@ def q_w4m(spark, sf):
     t = TR.train_final(spark, sf)
     df = keep(P.customers(spark, sf))
     return W.what_if_scored(df, df, PipelineScorer(t.model))
+
+
+@register("m6_model_stream_scoring")
+def q_stream_model(spark, sf):
+    t = TR.train_final(spark, sf)
+    src = shared_scratch(spark, "stream-model-in")
+    text = FS.as_text(source_frame(spark, sf, "english"))
+    text.repartition(4).write.mode("overwrite").option("header", True).csv(src)
+    sink, ckpt = shared_scratch(spark, "stream-model-out"), shared_scratch(spark, "stream-model-ckpt")
+    q = start_scoring_stream(spark, src, text.columns, sink, ckpt, scorer=PipelineScorer(t.model))
+    q.awaitTermination()
+    out = spark.read.parquet(sink)
+    return rounded(out.select(F.col(ID).cast("long").alias(ID), "probability", "risk_level", "decision"))

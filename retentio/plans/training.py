@@ -18,7 +18,8 @@ from ..operators import evaluate as E
 from ..operators import sampling as S
 from ..operators.importance import permutation_importance
 from ..operators.models import (
-    CANDIDATES, AnovaSelector, BusinessFeatures, BusinessRules, classifier, training_pipeline,
+    CANDIDATES, EARLY_STOP_ROWS, AnovaSelector, BusinessFeatures, BusinessRules, classifier, training_pipeline,
+    validation_flag,
 )
 from ..operators.prep import ChurnPreprocessor
 from ..operators.scoring import PipelineScorer
@@ -44,7 +45,11 @@ def train_final(spark: SparkSession, sf_dir: str, classifier_name: str = "hist_g
     split = keep(S.stratified_split(data))
     train = E.with_weights(split.where(F.col("split") == "train"))
     n_train = train.count()
-    clf = classifier(classifier_name, n_rows=n_train)
+    validation = None
+    if classifier_name == "hist_gradient_boosting" and n_train > EARLY_STOP_ROWS:
+        validation = "_validation"
+        train = train.withColumn(validation, validation_flag())
+    clf = classifier(classifier_name, n_rows=n_train, validation=validation)
     model = training_pipeline(clf).fit(train)
     scorer = PipelineScorer(model, classifier_name)
     test_scored = keep(scorer.with_probability(split.where(F.col("split") == "test").drop("split")))
