@@ -123,11 +123,9 @@ def classifier(name: str, n_features: int | None = None, n_rows: int | None = No
     validation error stops improving (used when the training set exceeds EARLY_STOP_ROWS).
     """
     if name == "hist_gradient_boosting":      # M2 (final): balanced weights
-        gbt = GBTClassifier(featuresCol=features, labelCol=label, weightCol=weight, maxIter=150, stepSize=0.05,
-                            maxDepth=6, maxBins=255, seed=SEED)
-        if validation:
-            gbt = gbt.setValidationIndicatorCol(validation).setValidationTol(1e-7)
-        return gbt
+        stop = {"validationIndicatorCol": validation, "validationTol": 1e-7} if validation else {}
+        return GBTClassifier(featuresCol=features, labelCol=label, weightCol=weight, maxIter=150, stepSize=0.05,
+                             maxDepth=6, maxBins=255, seed=SEED, **stop)
     if name == "logistic_regression":         # M3b
         return LogisticRegression(featuresCol=features, labelCol=label, weightCol=weight, maxIter=600,
                                   regParam=1.0 / max(n_rows or 1, 1), standardization=False)
