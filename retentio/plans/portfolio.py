@@ -8,7 +8,7 @@ from ..functions.features import add_features
 from ..functions.rules import apply_rules
 from ..functions.schema import complete, normalize
 from ..operators.scoring import RuleScorer, prediction_output
-from ..sources.customers import source_frame
+from ..sources.customers import customer_table, with_source_headers
 
 
 _NORMALIZED: dict = {}
@@ -24,7 +24,9 @@ def customers(spark: SparkSession, sf_dir: str, language: str = "english") -> Da
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), language)
     if key not in _NORMALIZED:
         path = shared_scratch(spark, f"customers-{language}")
-        complete(normalize(source_frame(spark, sf_dir, language))).write.mode("overwrite").parquet(path)
+        # derived straight from the fact tables (one write), read under the source headers
+        raw = with_source_headers(customer_table(spark, sf_dir), language)
+        complete(normalize(raw)).write.mode("overwrite").parquet(path)
         _NORMALIZED[key] = path
     return spark.read.parquet(_NORMALIZED[key])
 

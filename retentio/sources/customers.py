@@ -178,8 +178,12 @@ def materialized_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_MATERIALIZED[key])
 
 
-def source_frame(spark: SparkSession, sf_dir: str, language: str = "english") -> DataFrame:
-    """The customer table under the source-file headers (English or Spanish)."""
+def with_source_headers(df: DataFrame, language: str = "english") -> DataFrame:
+    """Rename canonical columns to the source-file headers (English or Spanish)."""
     pick = 0 if language == "english" else 1
-    df = materialized_customers(spark, sf_dir)
     return df.select(ID, *[F.col(c).alias(HEADER_ALIASES[c][pick]) for c in df.columns if c != ID])
+
+
+def source_frame(spark: SparkSession, sf_dir: str, language: str = "english") -> DataFrame:
+    """The (materialised) customer table under the source-file headers."""
+    return with_source_headers(materialized_customers(spark, sf_dir), language)
