@@ -56,12 +56,17 @@ def _score_buckets(by_score: DataFrame, g: list[str], score: str, grouped: bool)
     group's [min, max].
     """
     if not grouped:
-        distinct = by_score.count()
+        # one job: distinct-score count and cut points at the minimum resolution; a second pass with
+        # finer cuts only when the distinct scores outgrow MIN_SCORE_BUCKETS × SCORES_PER_BUCKET
         n_buckets = MIN_SCORE_BUCKETS
-        while n_buckets < MAX_SCORE_BUCKETS and distinct / n_buckets > SCORES_PER_BUCKET:
-            n_buckets *= 2
         probs = [i / n_buckets for i in range(1, n_buckets)]
-        cuts = by_score.agg(F.percentile_approx(score, probs, 10 * n_buckets)).first()[0] or []
+        row = by_score.agg(F.count(F.lit(1)), F.percentile_approx(score, probs, 10 * n_buckets)).first()
+        distinct, cuts = row[0], row[1] or []
+        if distinct / n_buckets > SCORES_PER_BUCKET:
+            while n_buckets < MAX_SCORE_BUCKETS and distinct / n_buckets > SCORES_PER_BUCKET:
+                n_buckets *= 2
+            probs = [i / n_buckets for i in range(1, n_buckets)]
+            cuts = by_score.agg(F.percentile_approx(score, probs, 10 * n_buckets)).first()[0] or []
         splits = sorted(set(float(c) for c in cuts))
         from pyspark.ml.feature import Bucketizer
         b = Bucketizer(splits=[float("-inf")] + splits + [float("inf")], inputCol="_s", outputCol="_bf")

@@ -39,7 +39,8 @@ def permutation_importance(test: DataFrame, scorer, columns=IMPORTANCE_COLUMNS,
         c: F.when(F.col("variable") == c, F.col(f"_d_{c}")).otherwise(F.col(c)) for c in columns})
     scored = scorer.with_probability(permuted.drop("_b", *[f"_d_{c}" for c in columns]))
     auc = E.roc_auc(scored, groups=["variable", "repeat"], bounded_groups=True)   # ≤ sample_size rows each
-    base = E.roc_auc(scorer.with_probability(pos.drop("_a"))).first()[0]     # baseline AUC: one scalar
+    baseline = scorer.with_probability(pos.drop("_a")).withColumn("_one", F.lit(0))
+    base = E.roc_auc(baseline, groups=["_one"], bounded_groups=True).first()["roc_auc"]  # capped sample: scalar
     drops = auc.withColumn("drop", F.lit(base).cast("double") - F.col("roc_auc"))
     return (drops.groupBy("variable").agg(F.avg("drop").alias("importance_mean"),
                                           F.stddev_pop("drop").alias("importance_std")))
