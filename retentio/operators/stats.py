@@ -20,7 +20,6 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import keep
 
 # Ranges holding at most this many values are ranked directly in one task.
 FINAL_RANGE_ROWS = 2_000_000
@@ -59,18 +58,17 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float] | dict
                     counts: dict | None = None) -> dict[tuple[str, float], float | None]:
     """Exact linearly-interpolated quantiles; ``None`` for a column without values."""
     probs_by = probs if isinstance(probs, dict) else {c: list(probs) for c in columns}
-    long = keep(_long(df, list(probs_by)))
+    # the exploded (column, value) form is rebuilt from ``df`` by each pass rather than cached: it is
+    # columns × rows large, while callers pass a persisted frame or a Parquet scan
+    long = _long(df, list(probs_by))
     # known counts may omit min/max when every column is small enough to be ranked directly
     if counts is not None and any(counts[c][0] > FINAL_RANGE_ROWS and counts[c][1] is None for c in probs_by):
         counts = None
-    try:
-        if counts is None:
-            got = {r["c"]: (r["n"], r["mn"], r["mx"]) for r in long.groupBy("c").agg(
-                F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx")).collect()}
-            counts = {c: got.get(c, (0, None, None)) for c in probs_by}
-        return _quantiles_from(long, probs_by, counts)
-    finally:
-        long.unpersist()
+    if counts is None:
+        got = {r["c"]: (r["n"], r["mn"], r["mx"]) for r in long.groupBy("c").agg(
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx")).collect()}
+        counts = {c: got.get(c, (0, None, None)) for c in probs_by}
+    return _quantiles_from(long, probs_by, counts)
 
 
 def _quantiles_from(long: DataFrame, probs_by: dict, counts: dict) -> dict:
