@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import (
-    BASE_NUMERIC, HISTOGRAM_MAX_BINS, ID, RANKED_ROWS, RISK_LEVELS, SCATTER_SAMPLE_ROWS, SEED, TARGET,
+    BASE_NUMERIC, HISTOGRAM_MAX_BINS, ID, RANKED_ROWS, RISK_LEVELS, SCATTER_SAMPLE_ROWS, TARGET,
     TOP_COUNTRIES, TOP_NULL_COLUMNS,
 )
 from ..functions.schema import decode_target, pretty_label
@@ -257,19 +257,10 @@ def class_box(df: DataFrame, column: str, method: str = "exact") -> DataFrame:
                                                     "lower_whisker double, upper_whisker double"))
 
 
-def hash_order(seed: int = SEED):
-    """Deterministic pseudo-random order: md5 of ``id:seed``."""
-    return F.md5(F.concat_ws(":", F.col(ID).cast("string"), F.lit(str(seed))))
-
-
-def sample_rows(df: DataFrame, n: int, seed: int = SEED) -> DataFrame:
-    """L3: ``min(n, rows)`` rows in hash order (a top-k, not a full sort)."""
-    return df.orderBy(hash_order(seed), ID).limit(n)
-
-
 def scatter_extract(scored: DataFrame, x: str, y: str, color: str, hover: list[str],
                     n: int = SCATTER_SAMPLE_ROWS) -> DataFrame:
     """Sampled projection of the chosen chart columns."""
+    from .sampling import sample_rows
     return sample_rows(scored, n).select(ID, x, y, color, *hover)
 
 

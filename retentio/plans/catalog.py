@@ -348,11 +348,6 @@ def _fitted(spark, sf, profile="current"):
     return model, split
 
 
-def _fit_rows(model, spark, kinds):
-    t = model.fit_table(spark)
-    return t.where(F.col("stat").isin(*kinds))
-
-
 PREP_SQL = O.with_(*O.BASE, *O.prep_ctes())
 LEGACY_SQL = O.with_(O.CUSTOMERS, O.CLEAN, O.features_cte(legacy=True), *O.prep_ctes(legacy=True))
 
