@@ -276,3 +276,29 @@ def priority_columns(scored: DataFrame) -> DataFrame:
 def ranked(scored: DataFrame, n: int = RANKED_ROWS) -> DataFrame:
     """Highest probabilities first, first ``n`` rows (key breaks ties)."""
     return priority_columns(scored).orderBy(F.desc("probability"), ID).limit(n)
+
+
+def threshold_sweep(scored: DataFrame, thresholds: list[float], score: str = "probability") -> DataFrame:
+    """M9 over a threshold list: predicted churn / active counts per threshold.
+
+    Each row gets the exact number of thresholds ≤ its score (a guess from ``floor(p·100)`` for the
+    0.01-spaced list, corrected by one comparison each way), rows are counted per that number (≤ len+1
+    groups), and the per-threshold counts are suffix sums of those few counts — constant work per row.
+    """
+    ts = sorted(thresholds)
+    arr = F.array(*[F.lit(float(t)) for t in ts])
+    n = len(ts)
+    p = F.col(score)
+    lo = ts[0]
+    step = (ts[-1] - ts[0]) / (n - 1) if n > 1 else 1.0
+    g0 = F.least(F.greatest(F.floor((p - F.lit(lo)) / F.lit(step)) + 1, F.lit(0)), F.lit(n)).cast("int")
+    g1 = F.when((g0 < n) & (F.element_at(arr, g0 + 1) <= p), g0 + 1).otherwise(g0)
+    g2 = F.when((g1 > 0) & (F.element_at(arr, F.greatest(g1, F.lit(1))) > p), g1 - 1).otherwise(g1)
+    counts = {r["g"]: r["n"] for r in scored.where(p.isNotNull()).groupBy(g2.alias("g"))
+              .agg(F.count(F.lit(1)).alias("n")).collect()}          # ≤ len(thresholds) + 1 rows
+    total = sum(counts.values())
+    rows, above = [], total
+    for i, t in enumerate(ts):
+        above -= counts.get(i, 0)              # rows with fewer than i+1 thresholds ≤ p are below t_i
+        rows.append((float(t), above, total - above))
+    return scored.sparkSession.createDataFrame(rows, "threshold double, predicted_churn long, predicted_active long")

@@ -902,12 +902,7 @@ SELECT CAST(t.threshold AS DOUBLE) AS threshold,
 FROM scored s CROSS JOIN (SELECT round(0.10 + 0.01 * range, 2) AS threshold FROM range(81)) t
 GROUP BY t.threshold""")
 def q_m9(spark, sf):
-    scored = P.rule_scored(spark, sf)
-    arr = F.array(*[F.lit(t) for t in THRESHOLDS])
-    x = scored.select("probability", F.explode(arr).alias("threshold"))
-    return x.groupBy("threshold").agg(
-        F.count_if(F.col("probability") >= F.col("threshold")).alias("predicted_churn"),
-        F.count_if(F.col("probability") < F.col("threshold")).alias("predicted_active"))
+    return reports.threshold_sweep(P.rule_scored(spark, sf), THRESHOLDS)
 
 
 @register("w4_model_what_if")

@@ -46,3 +46,14 @@ def test_results_independent_of_partitioning(spark):
     q1 = stats.exact_quantiles(df.repartition(1), ["probability"], [0.1, 0.5, 0.9])
     q8 = stats.exact_quantiles(df.repartition(8), ["probability"], [0.1, 0.5, 0.9])
     assert a1 == a8 and q1 == q8
+
+
+def test_threshold_sweep_matches_brute_force(spark):
+    from retentio.operators.reports import threshold_sweep
+    ts = [round(0.10 + 0.01 * i, 2) for i in range(81)]
+    ps = ts + [t - 1e-12 for t in ts] + [t + 1e-12 for t in ts] + [0.0, 1.0, 0.05, 0.95, 0.29, 0.57]
+    df = spark.createDataFrame([(float(p),) for p in ps], "probability double")
+    got = {r["threshold"]: (r["predicted_churn"], r["predicted_active"]) for r in threshold_sweep(df, ts).collect()}
+    for t in ts:
+        want = sum(1 for p in ps if p >= t)
+        assert got[t] == (want, len(ps) - want), t
