@@ -250,6 +250,16 @@ SCENARIOS = [
     ("resolve_support_friction", [("customer_service_calls", 0.25)]),
 ]
 
+# FIXED VALUES — model comparison comments (English renderings).
+MODEL_COMMENTS = {
+    "majority_baseline": "Minimum reference: predicts the most frequent class.",
+    "logistic_regression": "Interpretable, fast linear model.",
+    "random_forest": "Robust ensemble, harder to explain.",
+    "gradient_boosting": "Classic boosting close to the winning approach.",
+    "mlp": "Multilayer network; flexible but less transparent and more tuning-sensitive.",
+    "hist_gradient_boosting": "Best balance of performance, stability, cost and operational explainability.",
+}
+
 # FIXED VALUES — permutation importance.
 IMPORTANCE_COLUMNS = BASE_NUMERIC + ["gender", "country", "signup_quarter", "payment_method_diversity"]
 IMPORTANCE_SAMPLE_SIZE = 4000

@@ -676,7 +676,8 @@ def q_m2(spark, sf):
 
 @register("m4_model_comparison")
 def q_m4(spark, sf):
-    return rounded(TR.compare_models(spark, sf).select("model", "kind", "sample_rows", "selected", *METRIC_COLUMNS))
+    return rounded(TR.compare_models(spark, sf).select("model", "kind", "sample_rows", "selected", "comment",
+                                                       *METRIC_COLUMNS))
 
 
 @register("m5_model_probabilities")

@@ -12,7 +12,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import ID, TARGET
+from ..constants import ID, MODEL_COMMENTS, TARGET
 from ..functions.schema import require_target
 from ..operators import evaluate as E
 from ..operators import sampling as S
@@ -141,8 +141,10 @@ def compare_models(spark: SparkSession, sf_dir: str, candidates=CANDIDATES) -> D
     for f in frames[1:]:
         allp = allp.unionByName(f)
     board = E.evaluate(keep(allp), groups=["model", "kind"])
+    comments = F.create_map(*[F.lit(x) for kv in MODEL_COMMENTS.items() for x in kv])
     board = (board.withColumn("sample_rows", F.lit(n_sample))
              .withColumn("selected", F.col("model") == "hist_gradient_boosting")
+             .withColumn("comment", F.element_at(comments, F.col("model")))
              .orderBy(F.desc("roc_auc"), "model"))
     _CACHE[key] = board
     return board
