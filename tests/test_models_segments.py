@@ -61,3 +61,15 @@ def test_risk_counts_sum_to_total(spark, sf_small):
     bal = reports.batch_balance(scored).first()
     assert bal["high"] + bal["medium"] + bal["low"] == n
     assert abs(bal["active_pct"] + bal["churn_pct"] - 100.0) < 1e-6
+
+
+def test_legacy_profile_pipeline_trains_and_scores(spark, sf_small):
+    from retentio.operators.models import training_pipeline
+    from retentio.operators.scoring import PipelineScorer
+    data = E.with_weights(P.customers(spark, sf_small))
+    model = training_pipeline(classifier("logistic_regression", n_rows=150), profile="legacy").fit(data)
+    out = PipelineScorer(model).with_probability(P.customers(spark, sf_small))
+    probs = [r["probability"] for r in out.select("probability").collect()]
+    assert len(probs) == 150 and all(0.0 <= p <= 1.0 for p in probs)
+    names = model.stages[2].feature_names
+    assert any(n.startswith("cat__age_group_") for n in names) and any(n.startswith("num__") for n in names)
