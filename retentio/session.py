@@ -77,3 +77,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """Persist a frame that several passes read; recomputed from lineage if lost."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+MAX_SHUFFLE_PARTITIONS = 100_000
+
+
+def scale_settings(input_bytes: int, executors: int, cores_per_executor: int,
+                   target_partition_bytes: int = 128 << 20) -> dict[str, str]:
+    """Suggested settings for a cluster run over ``input_bytes`` of Parquet.
+
+    Shuffle partitions ≈ input / 128 MB (at least 2 waves of the available cores) so each shuffle block
+    stays well inside executor memory (spill-free aggregation and sort); scan splits of 128-256 MB; AQE
+    on to coalesce small partitions and split skewed ones at run time.
+    """
+    slots = max(executors * cores_per_executor, 1)
+    # input size bounds the shuffle size from above (aggregates shrink it); AQE coalesces the rest, and the
+    # cap keeps map-output bookkeeping on the driver bounded
+    partitions = min(max(-(-input_bytes // target_partition_bytes), 2 * slots), MAX_SHUFFLE_PARTITIONS)
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(min(max(target_partition_bytes, 128 << 20), 256 << 20)),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+    }
