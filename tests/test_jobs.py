@@ -20,3 +20,14 @@ def test_train_then_score(spark, sf_small):
     assert res["rejected"] == 0 and res["advice"][-1].startswith("Download")
     assert spark.read.json(f"{out}/metrics").count() == 1
     assert spark.read.json(f"{out}/importance").count() == 23
+
+
+def test_missing_model_and_metadata(spark):
+    import pytest
+    from retentio.plans.training import load_model, read_metadata
+    missing = shared_scratch(spark, "t-missing")
+    with pytest.raises(FileNotFoundError):
+        load_model(f"{missing}/model")
+    parts = read_metadata(spark, missing)
+    assert set(parts) == {"metrics", "report", "importance", "test_predictions"}
+    assert all(df.count() == 0 for df in parts.values())
