@@ -41,3 +41,12 @@ def test_stream_scoring_matches_batch(spark, sf_small):
     batch = {r[ID]: r["probability"] for r in P.rule_scored(spark, sf_small).select(ID, "probability").collect()}
     assert streamed.keys() == batch.keys()
     assert all(abs(streamed[k] - batch[k]) < 1e-12 for k in batch)
+
+
+def test_parquet_scan_with_spanish_headers_and_int_columns(spark, sf_small):
+    path = shared_scratch(spark, "t-parquet")
+    src = source_frame(spark, sf_small, "spanish").withColumn("Edad", F.col("Edad").cast("int"))
+    src.write.mode("overwrite").parquet(path)
+    back = FS.read_customers(spark, path, fmt="parquet")
+    assert dict(back.dtypes)["age"] == "double" and dict(back.dtypes)["churned"] == "int"
+    assert back.count() == 150 and "lifetime_value" in back.columns
