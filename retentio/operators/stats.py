@@ -64,11 +64,17 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float] | dict
     # known counts may omit min/max when every column is small enough to be ranked directly
     if counts is not None and any(counts[c][0] > FINAL_RANGE_ROWS and counts[c][1] is None for c in probs_by):
         counts = None
-    if counts is None:
+    def measured():
         got = {r["c"]: (r["n"], r["mn"], r["mx"]) for r in long.groupBy("c").agg(
             F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx")).collect()}
-        counts = {c: got.get(c, (0, None, None)) for c in probs_by}
-    return _quantiles_from(long, probs_by, counts)
+        return {c: got.get(c, (0, None, None)) for c in probs_by}
+
+    if counts is None:
+        return _quantiles_from(long, probs_by, measured())
+    try:
+        return _quantiles_from(long, probs_by, counts)
+    except KeyError:                     # supplied counts disagreed with the data: measure them
+        return _quantiles_from(long, probs_by, measured())
 
 
 def _quantiles_from(long: DataFrame, probs_by: dict, counts: dict) -> dict:

@@ -57,3 +57,9 @@ def test_preprocessor_approx_profile(spark, sf_small):
     m = ChurnPreprocessor(quantileMethod="approx").fit(df)
     assert len(m.feature_names) > 30
     assert m.transform(df).select("features").first()[0].size == len(m.feature_names)
+
+
+def test_wrong_supplied_counts_fall_back_to_measured(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(10)], "x double")
+    got = stats.exact_quantiles(df, ["x"], [0.5, 1.0], counts={"x": (25, None, None)})
+    assert got[("x", 0.5)] == 4.5 and got[("x", 1.0)] == 9.0
