@@ -3,7 +3,7 @@
 import duckdb
 
 import __spark_entry__ as entry
-from tools.oracle_check import digest
+from tools.oracle_check import TYPE_MAP, digest
 
 FAST = ["fixture_customers", "m6_rule_scoring", "a5_country_risk", "a4_risk_distribution", "a8_campaign_advice",
         "a11_numeric_bounds", "a13_safe_mode", "l1_stratified_split", "e1_e5_rule_evaluation", "w4_what_if",
@@ -28,8 +28,10 @@ def test_fast_queries_match_duckdb(spark, sf_small):
     for name in FAST:
         sdf = entry.queries()[name](spark, sf_small)
         srows = [tuple(r) for r in sdf.collect()]
-        res = con.execute(sql[name])
-        dcols = [d[0] for d in res.description]
-        drows = res.fetchall()
+        rel = con.sql(sql[name])
+        dcols, dtypes = rel.columns, dict(zip(rel.columns, [str(t) for t in rel.types]))
+        drows = rel.fetchall()
         assert sorted(sdf.columns) == sorted(dcols), name
+        for f in sdf.schema.fields:
+            assert TYPE_MAP.get(f.dataType.simpleString()) == dtypes[f.name], (name, f.name)
         assert digest(srows, sdf.columns, 6) == digest(drows, dcols, 6), name
