@@ -22,6 +22,7 @@ from ..operators.models import (
     validation_flag,
 )
 from ..operators.prep import ChurnPreprocessor
+from ..operators.segment import PARALLEL_FITS
 from ..operators.scoring import PipelineScorer
 from ..session import keep
 from . import portfolio as P
@@ -126,17 +127,20 @@ def compare_models(spark: SparkSession, sf_dir: str, candidates=CANDIDATES) -> D
                                 F.lit(float(major)).alias("probability")))
     from ..operators.models import probability_of
     reuse_final = n_sample == P.customers(spark, sf_dir).count()     # no down-sampling: same split as train_final
-    for name, kind in candidates:
+    def scored(item):
+        name, kind = item
         if name == "hist_gradient_boosting" and reuse_final:
             # identical training rows and pipeline: reuse the (cached) final model's held-out scores
             t = train_final(spark, sf_dir)
-            frames.append(t.test_scored.select(F.lit(name).alias("model"), F.lit(kind).alias("kind"), TARGET,
-                                               "probability"))
-            continue
-        clf = classifier(name, n_features=n_features, n_rows=n_train)
-        fitted = clf.fit(train_v)
-        frames.append(fitted.transform(test_v).select(F.lit(name).alias("model"), F.lit(kind).alias("kind"),
-                                                      TARGET, probability_of(None).alias("probability")))
+            return t.test_scored.select(F.lit(name).alias("model"), F.lit(kind).alias("kind"), TARGET, "probability")
+        fitted = classifier(name, n_features=n_features, n_rows=n_train).fit(train_v)
+        return fitted.transform(test_v).select(F.lit(name).alias("model"), F.lit(kind).alias("kind"),
+                                               TARGET, probability_of(None).alias("probability"))
+
+    # independent fits on the shared persisted vectors, submitted side by side; order kept
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=PARALLEL_FITS) as pool:
+        frames += list(pool.map(scored, candidates))
     allp = frames[0]
     for f in frames[1:]:
         allp = allp.unionByName(f)
