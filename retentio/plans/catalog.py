@@ -724,14 +724,15 @@ _SEG_CACHE: dict = {}
 
 
 def _segmented(spark, sf):
-    if sf in _SEG_CACHE:
-        return _SEG_CACHE[sf]
+    key = (spark.sparkContext.applicationId, sf)
+    if key in _SEG_CACHE:
+        return _SEG_CACHE[key]
     data = keep(P.customers(spark, sf))
     prep = Pipeline(stages=[BusinessRules(), BusinessFeatures(), ChurnPreprocessor()]).fit(data.drop(TARGET))
     vectors = prep.transform(data.drop(TARGET)).select(ID, "features")
     seg, cost, explained = SEG.segment(vectors)
     out = (data.join(seg, ID), cost, explained)
-    _SEG_CACHE[sf] = out
+    _SEG_CACHE[key] = out
     return out
 
 

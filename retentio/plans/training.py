@@ -38,7 +38,7 @@ class Trained:
 
 
 def train_final(spark: SparkSession, sf_dir: str, classifier_name: str = "hist_gradient_boosting") -> Trained:
-    key = ("final", sf_dir, classifier_name)
+    key = ("final", spark.sparkContext.applicationId, sf_dir, classifier_name)
     if key in _CACHE:
         return _CACHE[key]
     data = P.customers(spark, sf_dir)
@@ -107,7 +107,7 @@ def read_metadata(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 def compare_models(spark: SparkSession, sf_dir: str, candidates=CANDIDATES) -> DataFrame:
     """M4: same split, preprocessing fitted once, every candidate scored on the same test rows."""
-    key = ("compare", sf_dir, tuple(c for c, _ in candidates))
+    key = ("compare", spark.sparkContext.applicationId, sf_dir, tuple(c for c, _ in candidates))
     if key in _CACHE:
         return _CACHE[key]
     data = S.stratified_downsample(P.customers(spark, sf_dir))
