@@ -851,7 +851,7 @@ def q_p5(spark, sf):
 def q_stream(spark, sf):
     src = shared_scratch(spark, "stream-in")
     text = FS.as_text(source_frame(spark, sf, "english"))
-    text.repartition(4).write.mode("overwrite").option("header", True).csv(src)
+    text.write.mode("overwrite").option("header", True).csv(src)
     sink, ckpt = shared_scratch(spark, "stream-out"), shared_scratch(spark, "stream-ckpt")
     q = start_scoring_stream(spark, src, text.columns, sink, ckpt)
     q.awaitTermination()
@@ -919,7 +919,7 @@ def q_stream_model(spark, sf):
     t = TR.train_final(spark, sf)
     src = shared_scratch(spark, "stream-model-in")
     text = FS.as_text(source_frame(spark, sf, "english"))
-    text.repartition(4).write.mode("overwrite").option("header", True).csv(src)
+    text.write.mode("overwrite").option("header", True).csv(src)
     sink, ckpt = shared_scratch(spark, "stream-model-out"), shared_scratch(spark, "stream-model-ckpt")
     q = start_scoring_stream(spark, src, text.columns, sink, ckpt, scorer=PipelineScorer(t.model))
     q.awaitTermination()
