@@ -52,7 +52,9 @@ def train(spark: SparkSession, data: DataFrame, out: str, classifier_name: str =
 
 def score(spark: SparkSession, model_path: str, upload: str, out: str,
           threshold: float = DEFAULT_THRESHOLD) -> dict:
-    good, rejects = FS.read_batch(spark, upload)
+    good, rejects, error = FS.try_read_batch(spark, upload)
+    if error:
+        return {"error": error}
     scored = keep(prediction_output(PipelineScorer(load_model(model_path)), good, threshold, normalized=True))
     FS.write_scored_csv(scored.drop("action"), f"{out}/predictions")
     rejects.write.mode("overwrite").text(f"{out}/rejected_lines")

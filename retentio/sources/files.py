@@ -97,3 +97,14 @@ def write_csv_lines(text: DataFrame, path: str, short_every: int | None = None)
         line = F.when(F.col(ID).cast("long") % short_every == 0,
                       F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in cols[:3]])).otherwise(line)
     text.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def try_read_batch(spark: SparkSession, path: str, columns: list[str] | None = None):
+    """S2 as the upload page uses it: ``(good, rejects, None)``, or ``(None, None, message)`` when the
+    file cannot be read at all (missing path, no header, not CSV) — reported, not raised."""
+    try:
+        good, rejects = read_batch(spark, path, columns)
+        good.schema            # resolves the plan: unreadable inputs fail here, before any job
+        return good, rejects, None
+    except Exception as exc:  # noqa: BLE001 — any reader failure becomes a message for the caller
+        return None, None, f"could not read {path}: {type(exc).__name__}: {str(exc).splitlines()[0][:200]}"

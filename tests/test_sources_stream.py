@@ -50,3 +50,8 @@ def test_parquet_scan_with_spanish_headers_and_int_columns(spark, sf_small):
     back = FS.read_customers(spark, path, fmt="parquet")
     assert dict(back.dtypes)["age"] == "double" and dict(back.dtypes)["churned"] == "int"
     assert back.count() == 150 and "lifetime_value" in back.columns
+
+
+def test_unreadable_upload_is_reported(spark):
+    good, rejects, message = FS.try_read_batch(spark, shared_scratch(spark, "t-nothing") + "/missing.csv")
+    assert good is None and rejects is None and message.startswith("could not read")
