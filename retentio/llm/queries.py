@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .hilbert_pack import op3_hilbert_pack
+from .token_records import op9_token_records
 from .url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
+    "op3_hilbert_pack": op3_hilbert_pack,
     "op5_url_filter": op5_url_filter,
+    "op9_token_records": op9_token_records,
 }
 ORACLE = {
     "op5_url_filter": OP5_SQL,
