@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .hilbert_pack import op3_hilbert_pack
+from .segment_bpe import op4_segment_bpe
 from .token_records import op9_token_records
 from .url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
     "op3_hilbert_pack": op3_hilbert_pack,
+    "op4_segment_bpe": op4_segment_bpe,
     "op5_url_filter": op5_url_filter,
     "op9_token_records": op9_token_records,
 }
