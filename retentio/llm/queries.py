@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .hilbert_pack import op3_hilbert_pack
 from .segment_bpe import op4_segment_bpe
+from .simhash import op6_simhash
 from .token_records import op9_token_records
 from .url_filter import OP5_SQL, op5_url_filter
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op3_hilbert_pack": op3_hilbert_pack,
     "op4_segment_bpe": op4_segment_bpe,
     "op5_url_filter": op5_url_filter,
+    "op6_simhash": op6_simhash,
     "op9_token_records": op9_token_records,
 }
 ORACLE = {

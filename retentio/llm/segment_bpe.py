@@ -57,19 +57,31 @@ class SegmentBpe:
             return self.pieces(text)
         return self.chunks(text)
 
+    def _pieces(self, chunk: str) -> list[str]:
+        """Pre-tokens; a word, or a word and one closing mark, needs no pattern."""
+        word = chunk[1:] if chunk[:1] == " " else chunk
+        if word.isalpha():
+            return [chunk]
+        if word[-1:] in (".", ",") and word[:-1].isalpha():
+            return [chunk[:-1], word[-1]]
+        return self.pieces(chunk)
+
     def _learn(self, chunks: set[str]) -> dict[str, tuple[int, ...]]:
         """Ids of chunks that are not cached."""
         if len(self.cache) + len(self.known) > CACHE_PIECES:
             self.cache.clear()
             self.known.clear()
-        split = {c: self.pieces(c) for c in chunks}
-        new = sorted({p for parts in split.values() for p in parts} - self.known.keys())
+        split = {c: self._pieces(c) for c in chunks}
+        new = list(set(chain.from_iterable(split.values())) - self.known.keys())
         ids = self.merges.encode([p.encode("utf-8", "replace") for p in new])
-        now = {p: tuple(np.frombuffer(i, "<u4").tolist()) for p, i in zip(new, ids)}
-        self.known.update((p, i) for p, i in now.items() if len(p) <= CACHED_CHARS)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, ends = np.frombuffer(b"".join(ids), "<u4").tolist(), np.cumsum(size).tolist()
+        now = {p: tuple(flat[b:e]) for p, b, e in zip(new, [0, *ends], ends)}
+        self.known.update(now if max(map(len, new), default=0) <= CACHED_CHARS else
+                          {p: i for p, i in now.items() if len(p) <= CACHED_CHARS})
         out = {}
         for c, parts in split.items():
-            found = [now[p] if p in now else self.known[p] for p in parts]
+            found = [now.get(p) or self.known[p] for p in parts]
             out[c] = found[0] if len(found) == 1 else tuple(chain.from_iterable(found))
             if len(c) <= CACHED_CHARS:
                 self.cache[c] = out[c]
