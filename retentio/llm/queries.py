@@ -6,6 +6,7 @@ from .hilbert_pack import op3_hilbert_pack
 from .segment_bpe import op4_segment_bpe
 from .simhash import op6_simhash
 from .token_records import op9_token_records
+from .toxicity import op7_toxicity
 from .url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_segment_bpe": op4_segment_bpe,
     "op5_url_filter": op5_url_filter,
     "op6_simhash": op6_simhash,
+    "op7_toxicity": op7_toxicity,
     "op9_token_records": op9_token_records,
 }
 ORACLE = {
