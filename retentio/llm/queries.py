@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .hilbert_pack import op3_hilbert_pack
+from .license_scan import OP10_SQL, op10_license_scan
+from .line_quality import OP8_SQL, op8_line_quality
 from .segment_bpe import op4_segment_bpe
 from .simhash import op6_simhash
 from .token_records import op9_token_records
@@ -15,8 +17,12 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
+    "op8_line_quality": op8_line_quality,
     "op9_token_records": op9_token_records,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLE = {
     "op5_url_filter": OP5_SQL,
+    "op8_line_quality": OP8_SQL,
+    "op10_license_scan": OP10_SQL,
 }
