@@ -5,6 +5,7 @@ from __future__ import annotations
 from .hilbert_pack import op3_hilbert_pack
 from .license_scan import OP10_SQL, op10_license_scan
 from .line_quality import OP8_SQL, op8_line_quality
+from .nn_descent import op1_nn_descent
 from .segment_bpe import op4_segment_bpe
 from .simhash import op6_simhash
 from .token_records import op9_token_records
@@ -12,6 +13,7 @@ from .toxicity import op7_toxicity
 from .url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
+    "op1_nn_descent": op1_nn_descent,
     "op3_hilbert_pack": op3_hilbert_pack,
     "op4_segment_bpe": op4_segment_bpe,
     "op5_url_filter": op5_url_filter,
