@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .context_mixing import op2_context_mixing
 from .hilbert_pack import op3_hilbert_pack
 from .license_scan import OP10_SQL, op10_license_scan
 from .line_quality import OP8_SQL, op8_line_quality
@@ -14,6 +15,7 @@ from .url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
     "op1_nn_descent": op1_nn_descent,
+    "op2_context_mixing": op2_context_mixing,
     "op3_hilbert_pack": op3_hilbert_pack,
     "op4_segment_bpe": op4_segment_bpe,
     "op5_url_filter": op5_url_filter,

@@ -145,6 +145,16 @@ def _slices(texts: pa.Array):
         at = to
 
 
+def slices(batch: pa.RecordBatch, column: str, size: int):
+    """Parts of a batch of at most about ``size`` bytes in a text column (a longer text stands alone)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> ChunkEncoder:
     """One encoder per worker process and vocabulary file."""
