@@ -31,3 +31,11 @@ def lower_ascii(col: Column) -> Column:
 def crc_mod(col: Column, n: int) -> Column:
     """crc32 of the value's decimal text, modulo ``n``."""
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(n))
+
+
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` written with a row number, and that column's name (one that ``docs`` does not have)."""
+    taken, row = {c.lower() for c in docs.columns}, "_row"
+    while row in taken:
+        row += "_"
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), name), row

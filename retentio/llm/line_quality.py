@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, numbered, written
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -102,10 +102,10 @@ def op8_line_quality(spark, sf_dir: str) -> DataFrame:
 
 def drop_poor(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the quality rules reject go."""
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "quality-docs")
-    verdict = quality(numbered.select(F.col("_row").alias("doc_id"), "text", "source"))
-    kept = verdict.filter("kept").select(F.col("doc_id").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
+    rows, row = numbered(docs, "quality-docs")
+    verdict = quality(rows.select(F.col(row).alias("doc_id"), "text", "source"))
+    kept = verdict.filter("kept").select(F.col("doc_id").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 OP8_SQL = rf"""

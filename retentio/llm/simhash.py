@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, numbered, written
 from .components import components
 
 SHINGLE = 3
@@ -167,10 +167,9 @@ def keep_first(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without doc_id stay only if their component has no doc_id at all; of rows that share the
     smallest doc_id one stays."""
-    row = docs.withColumn("_row", F.monotonically_increasing_id())
-    numbered = written(row, "simhash-docs")
-    found = simhash_components(numbered.select(F.col("_row").alias("doc_id"), "text"))
-    tagged = numbered.select("_row", "doc_id").join(
-        found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_part")), "_row")
-    first = tagged.groupBy("_part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("k"))
-    return numbered.join(first.select(F.col("k._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    rows, row = numbered(docs, "simhash-docs")
+    found = simhash_components(rows.select(F.col(row).alias("doc_id"), "text"))
+    tagged = rows.select(F.col(row).alias("row"), "doc_id").join(
+        found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("part")), "row")
+    first = tagged.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("k"))
+    return rows.join(first.select(F.col("k.row").alias(row)), row, "left_semi").select(*docs.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents, written
+from .common import crc_mod, documents, numbered
 
 HASH_BITS = 20
 FIT_ROWS = 30_000
@@ -188,7 +188,7 @@ def op7_toxicity(spark, sf_dir: str) -> DataFrame:
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents predicted toxic go."""
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet").select("doc_id", "toxic")
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "toxicity-docs")
-    scored = score(numbered.select(F.col("_row").alias("doc_id"), "text"), fit(docs, labels))
-    kept = scored.filter("score < 0.5").select(F.col("doc_id").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
+    rows, row = numbered(docs, "toxicity-docs")
+    scored = score(rows.select(F.col(row).alias("doc_id"), "text"), fit(rows, labels))
+    kept = scored.filter("score < 0.5").select(F.col("doc_id").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
