@@ -262,7 +262,7 @@ MODEL_COMMENTS = {
 
 # FIXED VALUES — permutation importance.
 IMPORTANCE_COLUMNS = BASE_NUMERIC + ["gender", "country", "signup_quarter", "payment_method_diversity"]
-IMPORTANCE_SAMPLE_SIZE = 4000
+IMPORTANCE_SAMPLE_SIZE = 4000        # size of the importance sample (L4)
 IMPORTANCE_REPEATS = 8
 
 # FIXED VALUES — sampling and report sizes.

@@ -20,18 +20,23 @@ def rename_aliases(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(mapping) if mapping else df
 
 
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def to_double(c: Column, dtype: T.DataType) -> Column:
-    """Numeric coercion; unparsable text and NaN become NULL."""
+    """Numeric coercion; text that is not a plain decimal or scientific number, NaN and
+    infinite values (also by overflow) become NULL."""
     if isinstance(dtype, T.StringType):
-        v = F.trim(c).try_cast("double")
+        text = F.trim(c)
+        v = F.when(text.rlike(NUMBER), text.try_cast("double"))
     else:
         v = c.cast("double")
-    return F.when(~F.isnan(v), v)
+    return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
 
 
 def to_target(c: Column, dtype: T.DataType) -> Column:
-    """Numeric target, missing → 0, truncated to int."""
-    return F.coalesce(to_double(c, dtype), F.lit(0.0)).cast("int")
+    """Numeric target, truncated to int; missing or outside the integer range → 0 (never an error)."""
+    return F.coalesce(to_double(c, dtype).try_cast("int"), F.lit(0))
 
 
 def to_category(c: Column, dtype: T.DataType) -> Column:

@@ -1,9 +1,10 @@
 """Evaluation (E1-E5, E9, M1, M3a) from a frame of (label, probability[, group]).
 
-All metrics derive from one confusion aggregate; the exact ROC AUC counts
-positives/negatives per distinct score and prefix-sums negatives with a
-two-level scheme (bucket totals, then ranks inside each bucket), so no
-window ever spans all scores.
+The input is read once: positives and negatives are counted per distinct score
+(and group), and that table is checkpointed.  The confusion cells and the exact
+ROC AUC come from it.  For the AUC, negatives below each score are prefix-summed
+with a two-level scheme (bucket totals, then ranks inside each bucket), for one
+group or many, so no window spans all scores of a group.
 """
 
 from __future__ import annotations
@@ -12,10 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import TARGET
+from ..session import cut_lineage
+from .sampling import class_counts
 
-AUC_BUCKETS = 4096                 # equal-width buckets for bounded groups
-MIN_SCORE_BUCKETS, MAX_SCORE_BUCKETS = 4096, 65536
-SCORES_PER_BUCKET = 1_000_000      # distinct scores ranked in one window partition
+AUC_BUCKETS = 1024                 # cut points of a group's scores, at most
+SCORES_PER_BUCKET = 250_000        # distinct scores ranked in one window partition; fewer need no cuts
 
 
 def _safe(num: Column, den: Column) -> Column:
@@ -47,83 +49,58 @@ def metrics_from_confusion(cm: DataFrame) -> DataFrame:
     })
 
 
-def _score_buckets(by_score: DataFrame, g: list[str], score: str, grouped: bool) -> DataFrame:
-    """Monotone bucket id per distinct score.
+def score_table(df: DataFrame, label: str = TARGET, score: str = "probability", groups=()) -> DataFrame:
+    """Positives and negatives per (group, distinct score), checkpointed: the only pass over ``df``."""
+    return cut_lineage(df.groupBy(*groups, F.col(score).alias("score")).agg(
+        F.sum(F.col(label).cast("long")).alias("pos"), F.sum((1 - F.col(label)).cast("long")).alias("neg")))
 
-    Ungrouped (one large score set): buckets from approximate quantiles of the distinct scores, so each
-    bucket holds about 1/AUC_BUCKETS of them whatever their distribution; ``Bucketizer`` does a binary
-    search on the JVM.  Grouped (many small groups, e.g. permutation copies): equal-width buckets over the
-    group's [min, max].
-    """
-    if not grouped:
-        # one job: distinct-score count and cut points at the minimum resolution; a second pass with
-        # finer cuts only when the distinct scores outgrow MIN_SCORE_BUCKETS × SCORES_PER_BUCKET
-        n_buckets = MIN_SCORE_BUCKETS
-        probs = [i / n_buckets for i in range(1, n_buckets)]
-        row = by_score.agg(F.count(F.lit(1)), F.percentile_approx(score, probs, 10 * n_buckets)).first()
-        distinct, cuts = row[0], row[1] or []
-        if distinct / n_buckets > SCORES_PER_BUCKET:
-            while n_buckets < MAX_SCORE_BUCKETS and distinct / n_buckets > SCORES_PER_BUCKET:
-                n_buckets *= 2
-            probs = [i / n_buckets for i in range(1, n_buckets)]
-            cuts = by_score.agg(F.percentile_approx(score, probs, 10 * n_buckets)).first()[0] or []
-        splits = sorted(set(float(c) for c in cuts))
-        from pyspark.ml.feature import Bucketizer
-        b = Bucketizer(splits=[float("-inf")] + splits + [float("inf")], inputCol="_s", outputCol="_bf")
-        return b.transform(by_score.withColumn("_s", F.col(score).cast("double"))) \
-            .withColumn("_b", F.col("_bf").cast("int")).drop("_s", "_bf")
-    wg = Window.partitionBy(*g)
-    ranged = by_score.withColumns({"_mn": F.min(score).over(wg), "_mx": F.max(score).over(wg)})
-    span = F.col("_mx") - F.col("_mn")
-    bucket = F.when(span > 0, F.least(F.floor((F.col(score) - F.col("_mn")) / span * AUC_BUCKETS),
-                                      F.lit(AUC_BUCKETS - 1))).otherwise(F.lit(0))
-    return ranged.withColumn("_b", bucket.cast("int")).drop("_mn", "_mx")
-
-
-def roc_auc(df: DataFrame, label: str = TARGET, score: str = "probability", groups=(),
-            bounded_groups: bool = False) -> DataFrame:
-    """Exact ROC AUC (ties count one half) per group; NULL when a class is absent.
-
-    ``bounded_groups=True`` declares that every group holds a bounded number of rows (e.g. the
-    permutation copies of a capped sample): negatives below each score then come from one window per
-    group instead of the two-level bucket scheme.
+
+def _score_buckets(by_score: DataFrame, g: list[str]) -> DataFrame:
+    """Monotone bucket per distinct score, from approximate quantiles of the group's distinct scores.
+
+    A group of at most SCORES_PER_BUCKET distinct scores is one bucket; the cut points of the others are
+    one array per group (at most AUC_BUCKETS numbers).
     """
-    g = list(groups) or ["_g"]
-    if not groups:
-        df = df.withColumn("_g", F.lit(0))
-    by_score = df.groupBy(*g, score).agg(F.sum(F.col(label).cast("long")).alias("pos"),
-                                          F.sum((1 - F.col(label)).cast("long")).alias("neg"))
-    if groups and bounded_groups:
-        wg = Window.partitionBy(*g).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-        ranked = by_score.withColumn("_below", F.coalesce(F.sum("neg").over(wg), F.lit(0)))
-        agg = ranked.groupBy(*g).agg(
-            F.sum(F.col("pos") * (F.col("_below") + F.col("neg") * 0.5)).alias("_num"),
-            F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-        return agg.select(*g, (F.col("_num") / F.nullif(F.col("_p") * F.col("_n"), F.lit(0))).alias("roc_auc"))
-    keyed = _score_buckets(by_score, g, score, grouped=bool(groups))
-    btot = keyed.groupBy(*g, "_b").agg(F.sum("neg").alias("_bneg"))
-    # bucket totals: at most AUC_BUCKETS rows per group
-    wb = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    btot = btot.withColumn("_start", F.coalesce(F.sum("_bneg").over(wb), F.lit(0)))
-    ws = Window.partitionBy(*g, "_b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (keyed.join(btot, g + ["_b"])
+    probs = [i / AUC_BUCKETS for i in range(1, AUC_BUCKETS)]
+    large = by_score.groupBy(*g).count().where(F.col("count") > SCORES_PER_BUCKET).select(*g)
+    cuts = (by_score.join(large, g, "left_semi").groupBy(*g)
+            .agg(F.percentile_approx(F.col("score").cast("double"), probs, 10 * AUC_BUCKETS).alias("_cuts")))
+    below = F.expr("size(filter(_cuts, c -> c < score))")
+    return (by_score.join(cuts, g, "left").withColumn("_b", F.when(F.col("_cuts").isNull(), 0).otherwise(below))
+            .drop("_cuts"))
+
+
+def _auc(by_score: DataFrame, g: list[str]) -> DataFrame:
+    keyed = _score_buckets(by_score, g)
+    wb = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)    # ≤ AUC_BUCKETS rows
+    start = (keyed.groupBy(*g, "_b").agg(F.sum("neg").alias("_bneg"))
+             .withColumn("_start", F.coalesce(F.sum("_bneg").over(wb), F.lit(0))).drop("_bneg"))
+    ws = Window.partitionBy(*g, "_b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = (keyed.join(start, g + ["_b"])
               .withColumn("_below", F.col("_start") + F.coalesce(F.sum("neg").over(ws), F.lit(0))))
     agg = ranked.groupBy(*g).agg(
         F.sum(F.col("pos") * (F.col("_below") + F.col("neg") * 0.5)).alias("_num"),
         F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    out = agg.select(*g, (F.col("_num") / F.nullif(F.col("_p") * F.col("_n"), F.lit(0))).alias("roc_auc"))
-    return out if groups else out.drop("_g")
+    return agg.select(*g, (F.col("_num") / F.nullif(F.col("_p") * F.col("_n"), F.lit(0))).alias("roc_auc"))
+
+
+def roc_auc(df: DataFrame, label: str = TARGET, score: str = "probability", groups=()) -> DataFrame:
+    """Exact ROC AUC (ties count one half) per group; NULL when a class is absent."""
+    if groups:
+        return _auc(score_table(df, label, score, groups), list(groups))
+    return _auc(score_table(df.withColumn("_g", F.lit(0)), label, score, ["_g"]), ["_g"]).drop("_g")
 
 
 def evaluate(df: DataFrame, label: str = TARGET, score: str = "probability", threshold: float = 0.5,
              groups=()) -> DataFrame:
     """E1-E5 in one row per group: confusion cells, metrics and AUC."""
-    pred = df.withColumn("prediction", (F.col(score) >= threshold).cast("int"))
-    m = metrics_from_confusion(confusion(pred, label, "prediction", groups))
-    if groups:
-        return m.join(roc_auc(df, label, score, groups), list(groups))   # one row per group on each side
-    auc = roc_auc(df, label, score).first()[0]                           # one scalar
-    return m.withColumn("roc_auc", F.lit(auc).cast("double"))
+    g = list(groups) or ["_g"]
+    by_score = score_table(df if groups else df.withColumn("_g", F.lit(0)), label, score, g)
+    hit = F.col("score") >= threshold
+    cm = by_score.groupBy(*g).agg(*(F.sum(F.when(cond, F.col(c)).otherwise(0)).alias(name) for name, cond, c in (
+        ("tn", ~hit, "neg"), ("fp", hit, "neg"), ("fn", ~hit, "pos"), ("tp", hit, "pos"))))
+    out = metrics_from_confusion(cm).join(_auc(by_score, g), g)           # one row per group on each side
+    return out if groups else out.drop("_g")
 
 
 def classification_report(df: DataFrame, label: str = TARGET, score: str = "probability",
@@ -166,8 +143,13 @@ def class_weights(df: DataFrame, label: str = TARGET) -> DataFrame:
 
 
 def with_weights(df: DataFrame, label: str = TARGET, out: str = "weight") -> DataFrame:
-    """Attach the balanced weight column (the class table holds one row per class)."""
-    return df.join(F.broadcast(class_weights(df, label).select(label, F.col("weight").alias(out))), label)
+    """Attach the balanced weight column ``n / (classes · n_c)``; the label must be a class label."""
+    counts = class_counts(df, label)
+    n = sum(counts.values())
+    weight = F.lit(None).cast("double")
+    for c, m in counts.items():
+        weight = F.when(F.col(label) == c, n / (len(counts) * m)).otherwise(weight)
+    return df.withColumn(out, weight)
 
 
 def majority_class(df: DataFrame, label: str = TARGET) -> int:

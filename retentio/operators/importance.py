@@ -1,11 +1,12 @@
 """Permutation importance (E6) and its top-k report.
 
-The sample is capped by a parameter (default 4,000 rows), so broadcasting it
-as the donor table is bounded by construction.  Every sample row is exploded
-into (variable, repeat) copies; within each copy group a hash order defines the
-permutation: the row of permutation rank ``b`` takes the ``variable`` value of
-the row at sample position ``b``.  One scoring pass covers the whole grid and
-the AUC is computed per (variable, repeat) group with the two-level exact AUC.
+All test rows take part unless ``sample_size`` is given.  Every row is exploded
+into (variable, repeat) copies.  Rows are dealt by a hash of their key into
+buckets of about ``ROWS_PER_BUCKET`` rows, and inside each (variable, repeat,
+bucket) every copy takes the variable's value from the next copy in a hash order
+(the last one from the first): a random cyclic permutation whose windows stay
+bounded whatever the number of rows, without a join or a broadcast.  One scoring
+pass covers the whole grid; the exact AUC is computed per (variable, repeat).
 """
 
 from __future__ import annotations
@@ -13,34 +14,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import ID, IMPORTANCE_COLUMNS, IMPORTANCE_REPEATS, IMPORTANCE_SAMPLE_SIZE, SEED, TARGET
+from ..constants import ID, IMPORTANCE_COLUMNS, IMPORTANCE_REPEATS, SEED, TARGET
 from ..functions.schema import pretty_label
+from ..session import cut_lineage
 from . import evaluate as E
 from .sampling import hash_key, sample_rows
 
+ROWS_PER_BUCKET = 4096
+
 
 def permutation_importance(test: DataFrame, scorer, columns=IMPORTANCE_COLUMNS, repeats: int = IMPORTANCE_REPEATS,
-                           sample_size: int = IMPORTANCE_SAMPLE_SIZE, seed: int = SEED) -> DataFrame:
+                           sample_size: int | None = None, seed: int = SEED,
+                           rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Mean and population std of the AUC drop per variable.
 
     ``scorer.with_probability(df)`` adds ``probability`` (rule scorer or fitted pipeline).
     """
-    sample = sample_rows(test, sample_size, seed)
-    pos = sample.withColumn("_a", F.row_number().over(Window.orderBy(hash_key(seed), ID)))  # ≤ sample_size rows
-    cols = [c for c in test.columns if c not in (TARGET,)]
-    donors = F.broadcast(pos.select(F.col("_a").alias("_b"), *[F.col(c).alias(f"_d_{c}") for c in columns]))
+    rows = test if sample_size is None else sample_rows(test, sample_size, seed)
+    rows = cut_lineage(rows)                  # read by the count, the baseline and the grid
+    n_buckets = max(1, -(-rows.count() // rows_per_bucket))
+    types = dict(rows.dtypes)
+    cols = [c for c in rows.columns if c != TARGET]
+    bucket = F.conv(F.substring(hash_key(seed), 1, 8), 16, 10).cast("long") % n_buckets
     grid = F.array(*[F.struct(F.lit(v).alias("variable"), F.lit(r).alias("repeat"))
                      for v in columns for r in range(repeats)])
-    copies = pos.select(*cols, TARGET, F.explode(grid).alias("g")).select(*cols, TARGET, "g.*")
-    perm_key = F.md5(F.concat_ws(":", F.col(ID).cast("string"), F.col("variable"), F.col("repeat").cast("string")))
-    copies = copies.withColumn("_b", F.row_number().over(
-        Window.partitionBy("variable", "repeat").orderBy(perm_key, ID)))        # groups of ≤ sample_size rows
-    permuted = copies.join(donors, "_b").withColumns({
-        c: F.when(F.col("variable") == c, F.col(f"_d_{c}")).otherwise(F.col(c)) for c in columns})
-    scored = scorer.with_probability(permuted.drop("_b", *[f"_d_{c}" for c in columns]))
-    auc = E.roc_auc(scored, groups=["variable", "repeat"], bounded_groups=True)   # ≤ sample_size rows each
-    baseline = scorer.with_probability(pos.drop("_a")).withColumn("_one", F.lit(0))
-    base = E.roc_auc(baseline, groups=["_one"], bounded_groups=True).first()["roc_auc"]  # capped sample: scalar
+    copies = rows.select(*cols, TARGET, bucket.alias("_bucket"), F.explode(grid).alias("g")).select(
+        *cols, TARGET, "_bucket", "g.*")
+    value = F.lit(None).cast("string")        # doubles keep every digit as text
+    for c in columns:
+        value = F.when(F.col("variable") == c, F.col(c).cast("string")).otherwise(value)
+    order = F.md5(F.concat_ws(":", F.col(ID).cast("string"), F.col("variable"), F.col("repeat").cast("string")))
+    copies = copies.withColumns({"_value": F.struct(value.alias("v")), "_order": order})
+    group = Window.partitionBy("variable", "repeat", "_bucket").orderBy("_order", ID)
+    taken = F.coalesce(F.lead("_value").over(group), F.first("_value").over(group))["v"]
+    permuted = copies.withColumn("_taken", taken).withColumns({
+        c: F.when(F.col("variable") == c, F.col("_taken").cast(types[c])).otherwise(F.col(c)) for c in columns})
+    scored = scorer.with_probability(permuted.drop("_bucket", "_value", "_order", "_taken"))
+    auc = E.roc_auc(scored, groups=["variable", "repeat"])
+    base = E.roc_auc(scorer.with_probability(rows)).first()["roc_auc"]
     drops = auc.withColumn("drop", F.lit(base).cast("double") - F.col("roc_auc"))
     return (drops.groupBy("variable").agg(F.avg("drop").alias("importance_mean"),
                                           F.stddev_pop("drop").alias("importance_std")))

@@ -33,7 +33,7 @@ from ..functions.features import add_features
 from ..functions.rules import apply_rules
 from ..functions.schema import complete, normalize
 from .prep import ChurnPreprocessor
-from .selection import anova_f
+from .selection import anova_f, best_positions
 
 
 class BusinessRules(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -79,7 +79,7 @@ class AnovaSelector(Estimator, _Sel, DefaultParamsReadable, DefaultParamsWritabl
         arr = vector_to_array(F.col(self.getOrDefault("featuresCol")))
         size = len(df.select(self.getOrDefault("featuresCol")).first()[0])
         scores = anova_f(df, {i: arr[i] for i in range(size)}, self.getOrDefault("labelCol"))
-        order = sorted(range(size), key=lambda i: (-(scores[i] if scores[i] is not None else float("-inf")), i))
+        order = best_positions([scores[i] for i in range(size)])
         keep = sorted(order[:min(self.getOrDefault("k"), size)])
         return AnovaSelectorModel(indices=json.dumps(keep), scores=json.dumps([scores[i] for i in range(size)]),
                                   featuresCol=self.getOrDefault("featuresCol"),

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import SEED
-from ..session import keep
+from ..session import cut_lineage
 
 STARTS = 20
 PARALLEL_FITS = 4
@@ -55,17 +55,17 @@ def pca_scores(vectors: DataFrame, components: int = 3, features: str = "feature
 
 
 def segment(prepared: DataFrame, k: int = 2, starts: int = STARTS, components: int = 3):
-    """Cluster label (as text) and PCA scores per customer; also cost and explained variance."""
-    vectors = keep(prepared)
+    """The columns of ``prepared`` (but ``features``) with cluster label (as text) and PCA scores; also cost and
+    explained variance.  ``starts`` full fits read the vectors up to 300 times each."""
+    rows = cut_lineage(prepared)
+    vectors = rows.select("features").persist()        # read by every iteration of every start
     try:
         model, cost = kmeans_best(vectors, k, starts)
-        labelled = model.transform(vectors).withColumn("cluster", F.col("cluster_id").cast("string"))
-        scored, explained = pca_scores(labelled, components)
-        out = scored.drop("cluster_id", "features")
-        return out, cost, explained
-    except Exception:
+    finally:
         vectors.unpersist()
-        raise
+    labelled = model.transform(rows).withColumn("cluster", F.col("cluster_id").cast("string"))
+    scored, explained = pca_scores(labelled, components)
+    return scored.drop("cluster_id", "features"), cost, explained
 
 
 def explained_totals(explained: list[float]) -> tuple[float, float]:

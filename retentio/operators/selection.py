@@ -36,24 +36,34 @@ def anova_f(df: DataFrame, features: dict, label: str = TARGET) -> dict[str, flo
         if k < 2 or n <= k:
             out[name] = None
             continue
-        msw = sswn / (n - k)
-        f = (ssbn / (k - 1)) / msw if msw != 0 else None
-        out[name] = None if f is None or math.isnan(f) else f
+        out[name] = f_score(ssbn / (k - 1), max(sswn, 0.0) / (n - k))
     return out
 
 
+def f_score(between: float, within: float) -> float | None:
+    """F of the two mean squares: infinite for classes without spread that differ, undefined for 0/0."""
+    if math.isnan(between) or math.isnan(within):
+        return None
+    if within == 0:
+        return math.inf if between > 0 else None
+    return between / within
+
+
+def best_positions(scores: list) -> list[int]:
+    """Feature positions, best score first: missing scores last, equal scores by position."""
+    return sorted(range(len(scores)), key=lambda i: (scores[i] is None, -(scores[i] or 0.0), i))
+
+
 def score_table(spark, scores: dict[str, float | None], order: list[str], k: int = SELECTED_FEATURES_K,
                 categorical=None) -> DataFrame:
     """(feature, position, base variable, f_score, selected); top-k by score.
 
-    Missing scores rank last; equal scores are ordered by feature name.
+    The order is that of the fitted selector (:func:`best_positions`).
     """
-    rows = [(name, i, scores.get(name)) for i, name in enumerate(order)]
-    df = spark.createDataFrame(rows, "feature string, position int, f_score double")
-    w = Window.orderBy(F.desc_nulls_last("f_score"), "feature")   # over the feature list (bounded)
-    k = min(k, len(order))
-    return (df.withColumn("rank", F.row_number().over(w))
-            .withColumn("selected", F.col("rank") <= k)
+    values = [scores.get(name) for name in order]
+    rows = [(order[i], i, values[i], rank) for rank, i in enumerate(best_positions(values), 1)]
+    df = spark.createDataFrame(rows, "feature string, position int, f_score double, rank int")
+    return (df.withColumn("selected", F.col("rank") <= min(k, len(order)))
             .withColumn("base_variable", feature_origin(F.col("feature"), categorical)))
 
 
@@ -70,5 +80,6 @@ def variable_relevance(table: DataFrame, top: int = 10) -> DataFrame:
     top_score = F.max("score").over(Window.partitionBy(F.lit(1)))            # ≤ top rows
     return best.select(
         "base_variable", pretty_label(F.col("base_variable")).alias("label"),
-        F.bround(F.col("score") / F.coalesce(F.nullif(top_score, F.lit(0.0)), F.lit(1.0)) * 100, 1)
+        F.when(top_score == float("inf"), F.when(F.col("score") == float("inf"), 100.0).otherwise(0.0))
+        .otherwise(F.bround(F.col("score") / F.coalesce(F.nullif(top_score, F.lit(0.0)), F.lit(1.0)) * 100, 1))
         .alias("relevance"))

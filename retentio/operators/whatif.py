@@ -130,26 +130,23 @@ def what_if(customers: DataFrame, reference: DataFrame, method: str = "exact") -
 
 
 def what_if_scored(customers: DataFrame, reference: DataFrame, scorer, method: str = "exact") -> DataFrame:
-    """W4 for any scorer (e.g. a fitted pipeline): each customer is exploded into the current row plus
-    one row per scenario with the overrides applied, all rows are scored in one pass, and the current
-    probability is brought back with a window over the customer's 5 rows."""
-    from pyspark.sql import Window
+    """W4 for any scorer (e.g. a fitted pipeline): the current row is scored first, then exploded into one
+    row per scenario with the overrides applied and scored again; no shuffle."""
     needs: dict[str, list[float]] = {}
     for _, overrides in SCENARIOS:
         for c, q in overrides:
             needs.setdefault(c, []).append(q)
     qv = reference_quantiles(reference, needs, method)
     touched = sorted(needs)
-    variants = [("current", {})] + [(name, {c: qv[(c, q)] for c, q in ov}) for name, ov in SCENARIOS]
+    variants = [(name, {c: qv[(c, q)] for c, q in ov}) for name, ov in SCENARIOS]
     arr = F.array(*[F.struct(F.lit(name).alias("scenario"), *[
         (F.lit(ov[c]) if c in ov else F.col(c)).cast("double").alias(f"_v_{c}") for c in touched])
         for name, ov in variants])
-    rows = customers.select(*[c for c in customers.columns], F.explode(arr).alias("_s"))
-    rows = rows.select(*[c for c in customers.columns if c not in touched], "_s.scenario",
+    current = scorer.with_probability(customers, "_cur")
+    rows = current.select(*customers.columns, "_cur", F.explode(arr).alias("_s"))
+    rows = rows.select(*[c for c in customers.columns if c not in touched], "_cur", "_s.scenario",
                        *[F.col(f"_s._v_{c}").alias(c) for c in touched])
-    scored = scorer.with_probability(rows)
-    cur = F.max(F.when(F.col("scenario") == "current", F.col("probability"))).over(Window.partitionBy(ID))
-    out = scored.withColumn("_cur", cur).where(F.col("scenario") != "current")
+    out = scorer.with_probability(rows)
     return out.select(
         ID, "scenario", round6(F.col("_cur")).alias("current_probability"),
         round6(F.col("probability")).alias("simulated_probability"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import (
-    BASE_NUMERIC, CATEGORICAL, ID, IMPORTANCE_COLUMNS, NO_SIGNAL, PRESETS, SCENARIOS, SCORE_WEIGHTS, SIGNALS,
+    BASE_NUMERIC, CATEGORICAL, ID, IMPORTANCE_COLUMNS, NO_SIGNAL, PREDICTION_COLUMNS, PRESETS, SCENARIOS, SCORE_WEIGHTS, SIGNALS,
     TARGET,
 )
 from ..functions.schema import feature_origin, pretty_label
@@ -27,8 +27,8 @@ from ..operators import selection as SEL
 from ..operators import whatif as W
 from ..operators.models import BusinessFeatures, BusinessRules
 from ..operators.prep import ChurnPreprocessor
-from ..operators.scoring import PipelineScorer, RuleScorer, prediction_output
-from ..session import keep, shared_scratch
+from ..operators.scoring import PipelineScorer, RuleScorer, predict_probabilities, prediction_output
+from ..session import shared_scratch, written
 from ..sources import files as FS
 from ..sources.customers import source_frame
 from ..streaming.scoring import start_scoring_stream
@@ -303,7 +303,7 @@ def q_a18(spark, sf):
 
 # --- projections / samples -----------------------------------------------------
 
-FEATURE_COLUMNS = [ID] + [c for c in __import__("retentio.constants", fromlist=["x"]).PREDICTION_COLUMNS]
+FEATURE_COLUMNS = [ID, *PREDICTION_COLUMNS]
 
 
 @register("p7_feature_projection", O.with_(*O.BASE) + "SELECT "
@@ -323,7 +323,7 @@ def q_f6(spark, sf):
           + ", ".join(r(c) if c in _DOUBLES else c for c in CUSTOMER_COLUMNS if c != TARGET)
           + " FROM customers ORDER BY customer_id LIMIT 5")
 def q_s6(spark, sf):
-    return rounded(P.customers(spark, sf).drop(TARGET).orderBy(ID).limit(5))
+    return rounded(FS.template_preview(P.customers(spark, sf)))
 
 
 # --- split, preprocessing fit tables and transformed matrix (L1, L2, I1-I9, I13) ----
@@ -337,15 +337,29 @@ def q_l1(spark, sf):
     return S.stratified_split(P.featured(spark, sf)).select(ID, TARGET, "split")
 
 
-@register("l2_stratified_downsample", O.with_(O.CUSTOMERS) + "SELECT customer_id, churned FROM customers")
+DOWNSAMPLE_ROWS = 100                     # below every table size, so rows are dropped
+
+
+@register("l2_stratified_downsample", O.with_(O.CUSTOMERS) + f"""
+SELECT customer_id, churned FROM (
+  SELECT customer_id, churned, row_number() OVER (PARTITION BY churned ORDER BY
+           md5(CAST(customer_id AS VARCHAR) || ':42'), customer_id) AS place,
+         count(*) OVER (PARTITION BY churned) AS m, count(*) OVER () AS n FROM customers)
+WHERE place <= floor({DOWNSAMPLE_ROWS} * m / n + 0.5)""")
 def q_l2(spark, sf):
-    return S.stratified_downsample(P.customers(spark, sf)).select(ID, TARGET)
+    return S.stratified_downsample(P.customers(spark, sf), DOWNSAMPLE_ROWS).select(ID, TARGET)
+
+
+_FITTED: dict = {}
 
 
 def _fitted(spark, sf, profile="current"):
-    split = keep(S.stratified_split(P.featured(spark, sf, profile)))
-    model = ChurnPreprocessor(profile=profile).fit(split.where(F.col("split") == "train"))
-    return model, split
+    """Fitted preprocessor and split customers, once per application, table and profile."""
+    key = (spark.sparkContext.applicationId, sf, profile)
+    if key not in _FITTED:
+        split = written(S.stratified_split(P.featured(spark, sf, profile)), "split")
+        _FITTED[key] = ChurnPreprocessor(profile=profile).fit(split.where(F.col("split") == "train")), split
+    return _FITTED[key]
 
 
 PREP_SQL = O.with_(*O.BASE, *O.prep_ctes())
@@ -546,7 +560,7 @@ def _qsql(c: str, q: float, source: str = "customers") -> str:
                       f"(SELECT high FROM bounds WHERE variable = '{c}')) END, 6) AS {c}" for c in BASE_NUMERIC)
           + " FROM customers")
 def q_w2(spark, sf):
-    df = keep(P.customers(spark, sf))
+    df = P.customers(spark, sf)
     return rounded(W.clamp(df, W.bounds_of(df)).select(ID, *BASE_NUMERIC))
 
 
@@ -564,7 +578,7 @@ def _preset_sql() -> str:
 
 @register("w1_scenario_presets", O.with_(O.CUSTOMERS) + _preset_sql())
 def q_w1(spark, sf):
-    df = keep(P.customers(spark, sf))
+    df = P.customers(spark, sf)
     return rounded(W.presets(df, reports.typical_customer(df)))
 
 
@@ -582,7 +596,7 @@ def _signals_sql() -> str:
 @register("w3_risk_signals", O.with_(O.CUSTOMERS, _signals_sql().split("\nSELECT * FROM fired")[0])
           + "SELECT * FROM fired UNION ALL " + _signals_sql().split("UNION ALL ")[-1])
 def q_w3(spark, sf):
-    df = keep(P.customers(spark, sf))
+    df = P.customers(spark, sf)
     return rounded(W.risk_signals(df, df))
 
 
@@ -603,7 +617,7 @@ SELECT customer_id, scenario, round(current, 6) AS current_probability, round(si
        round(current - simulated, 6) + 0.0 AS reduction,
        CASE WHEN simulated < current THEN 'prioritise' ELSE 'monitor' END AS reading FROM res""")
 def q_w4(spark, sf):
-    df = keep(P.customers(spark, sf))
+    df = P.customers(spark, sf)
     return W.what_if(df, df)
 
 
@@ -626,14 +640,16 @@ def _importance_sql() -> str:
     vals = ", ".join(f"('{c}')" for c in IMPORTANCE_COLUMNS)
     score_vals = {c: f"(CASE WHEN cp.variable = '{c}' THEN d.{c} ELSE cp.{c} END)" for c, _ in SCORE_WEIGHTS}
     return ",\n".join([
-        f"smp AS (SELECT *, row_number() OVER (ORDER BY {hk}, customer_id) AS a FROM ("
-        f" SELECT * FROM split WHERE split = 'test' ORDER BY {hk}, customer_id LIMIT 4000))",
+        f"smp AS (SELECT *, CAST('0x' || substr({hk}, 1, 8) AS BIGINT)"
+        f" % CAST(greatest(1, ceil(count(*) OVER () / {IMP.ROWS_PER_BUCKET}.0)) AS BIGINT) AS bucket"
+        " FROM split WHERE split = 'test')",
         f"grid AS (SELECT v.variable, r.range AS rep FROM (VALUES {vals}) v(variable) CROSS JOIN range(8) r)",
-        "cp AS (SELECT smp.*, grid.variable, grid.rep, row_number() OVER (PARTITION BY grid.variable, grid.rep ORDER BY"
+        "cp AS (SELECT smp.*, grid.variable, grid.rep, row_number() OVER (PARTITION BY grid.variable, grid.rep, bucket ORDER BY"
         " md5(CAST(customer_id AS VARCHAR) || ':' || grid.variable || ':' || CAST(grid.rep AS VARCHAR)), customer_id)"
-        " AS b FROM smp CROSS JOIN grid)",
+        " AS b, count(*) OVER (PARTITION BY grid.variable, grid.rep, bucket) AS m FROM smp CROSS JOIN grid)",
         f"pm AS (SELECT cp.variable, cp.rep, cp.churned AS y, {O.score_sql(score_vals)} AS p"
-        " FROM cp JOIN smp d ON d.a = cp.b)",
+        " FROM cp JOIN cp d ON d.variable = cp.variable AND d.rep = cp.rep AND d.bucket = cp.bucket"
+        " AND d.b = CASE WHEN cp.b = cp.m THEN 1 ELSE cp.b + 1 END)",
         f"pa AS ({_auc_sql('pm', 'variable, rep')})",
         f"bs AS (SELECT churned AS y, {O.score_sql()} AS p FROM smp)",
         f"ba AS ({_auc_sql('bs', '')})",
@@ -683,7 +699,7 @@ def q_m4(spark, sf):
 @register("m5_model_probabilities")
 def q_m5(spark, sf):
     t = TR.train_final(spark, sf)
-    return rounded(PipelineScorer(t.model).with_probability(P.customers(spark, sf)).select(ID, "probability"))
+    return rounded(predict_probabilities(PipelineScorer(t.model), P.customers(spark, sf)).select(ID, "probability"))
 
 
 @register("m6_model_scoring")
@@ -727,11 +743,12 @@ def _segmented(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key in _SEG_CACHE:
         return _SEG_CACHE[key]
-    data = keep(P.customers(spark, sf))
+    data = P.customers(spark, sf)
     prep = Pipeline(stages=[BusinessRules(), BusinessFeatures(), ChurnPreprocessor()]).fit(data.drop(TARGET))
-    vectors = prep.transform(data.drop(TARGET)).select(ID, "features")
-    seg, cost, explained = SEG.segment(vectors)
-    out = (data.join(seg, ID), cost, explained)
+    kept = {c: f"_in_{c}" for c in data.columns}          # the stages overwrite columns; carry the originals along
+    vectors = prep.transform(data.withColumns({v: F.col(c) for c, v in kept.items()}))
+    seg, cost, explained = SEG.segment(vectors.select(*[F.col(v).alias(c) for c, v in kept.items()], "features"))
+    out = (seg, cost, explained)
     _SEG_CACHE[key] = out
     return out
 
@@ -813,14 +830,14 @@ def q_s2(spark, sf):
                                          "good_rows long, rejected_rows long, good_mean_ltv double"))
 
 
-@register("s3_scored_csv_sink", SCORED_SQL + "SELECT customer_id, round(probability, 6) AS probability, risk_level "
-          "FROM scored")
+@register("s3_scored_csv_sink", SCORED_SQL + "SELECT customer_id, round(probability, 6) AS probability, risk_level, "
+          "decision, action FROM scored")
 def q_s3(spark, sf):
     path = shared_scratch(spark, "scored-csv")
-    FS.write_scored_csv(rounded(P.rule_scored(spark, sf).drop("action")), path)
-    back = spark.read.option("header", True).csv(path)
+    FS.write_scored_csv(rounded(P.rule_scored(spark, sf)), path)
+    back = spark.read.option("header", True).option("escape", '"').csv(path)
     return back.select(F.col(ID).cast("long").alias(ID), F.col("probability").cast("double").alias("probability"),
-                       "risk_level")
+                       "risk_level", "decision", "action")
 
 
 SPANISH_PARTIAL = ["Edad", "Pais", "Total_Compras", "Valor_Vida_Util", "Fuga_Cliente"]
@@ -873,12 +890,15 @@ def q_p9(spark, sf):
                         feature_origin(F.col("feature")).alias("base_variable"))
 
 
-@register("l4_importance_sample", SPLIT_SQL + """
+SAMPLE_ROWS = 25                          # below every test split
+
+
+@register("l4_importance_sample", SPLIT_SQL + f"""
 SELECT customer_id, churned FROM split WHERE split = 'test'
-ORDER BY md5(CAST(customer_id AS VARCHAR) || ':42'), customer_id LIMIT 4000""")
+ORDER BY md5(CAST(customer_id AS VARCHAR) || ':42'), customer_id LIMIT {SAMPLE_ROWS}""")
 def q_l4(spark, sf):
     split = S.stratified_split(P.featured(spark, sf))
-    return S.sample_rows(split.where(F.col("split") == "test"), 4000).select(ID, TARGET)
+    return S.sample_rows(split.where(F.col("split") == "test"), SAMPLE_ROWS).select(ID, TARGET)
 
 
 _LEGACY_PROFILE_SQL = ", ".join(f"round(avg({src}), 6) AS {name}" for name, src in reports.PROFILE_MEANS[:-1])
@@ -910,7 +930,7 @@ def q_m9(spark, sf):
 @register("w4_model_what_if")
 def q_w4m(spark, sf):
     t = TR.train_final(spark, sf)
-    df = keep(P.customers(spark, sf))
+    df = P.customers(spark, sf)
     return W.what_if_scored(df, df, PipelineScorer(t.model))
 
 

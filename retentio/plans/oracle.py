@@ -340,7 +340,8 @@ def anova_ctes(k: int = 35) -> list[str]:
         "fs AS (SELECT feature, sum(n) AS n, sum(s) AS s, sum(q) AS ss, sum(s * s / n) AS sqk, count(*) AS k"
         " FROM st GROUP BY feature)",
         "fsc AS (SELECT feature, CASE WHEN k < 2 OR n <= k THEN NULL"
-        " WHEN ((ss - s * s / n) - (sqk - s * s / n)) / (n - k) = 0 THEN NULL"
+        " WHEN (ss - s * s / n) - (sqk - s * s / n) <= 0 THEN"
+        " CASE WHEN sqk - s * s / n > 0 THEN CAST('Infinity' AS DOUBLE) END"
         " ELSE ((sqk - s * s / n) / (k - 1)) / (((ss - s * s / n) - (sqk - s * s / n)) / (n - k)) END AS f_score"
         " FROM fs)",
         f"anova AS (SELECT feature, f_score, {origin_sql('feature', CATEGORICAL)} AS base_variable,"

@@ -74,6 +74,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared scratch area and read back."""
+    path = shared_scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Persist a frame that several passes read; recomputed from lineage if lost."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
