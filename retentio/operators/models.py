@@ -103,7 +103,6 @@ class AnovaSelectorModel(Model, _Sel, DefaultParamsReadable, DefaultParamsWritab
         return slicer.transform(df)
 
 
-EARLY_STOP_ROWS = 10_000        # the final booster holds out 10 % for early stopping above this size
 VALIDATION_FRACTION = 0.1
 
 
@@ -120,7 +119,7 @@ def classifier(name: str, n_features: int | None = None, n_rows: int | None = No
     """The candidate classifiers with the original hyper-parameters mapped to Spark ML.
 
     ``validation`` names a boolean column of held-out rows: the final booster then stops early when the
-    validation error stops improving (used when the training set exceeds EARLY_STOP_ROWS).
+    validation error stops improving (``early_stopping`` of the training job).
     """
     if name == "hist_gradient_boosting":      # M2 (final): balanced weights
         stop = {"validationIndicatorCol": validation, "validationTol": 1e-7} if validation else {}

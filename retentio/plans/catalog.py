@@ -18,6 +18,7 @@ from ..constants import (
     TARGET,
 )
 from ..functions.schema import feature_origin, pretty_label
+from ..functions.scoring import decision, risk_action, risk_level
 from ..operators import evaluate as E
 from ..operators import importance as IMP
 from ..operators import reports
@@ -25,7 +26,7 @@ from ..operators import sampling as S
 from ..operators import segment as SEG
 from ..operators import selection as SEL
 from ..operators import whatif as W
-from ..operators.models import BusinessFeatures, BusinessRules
+from ..operators.models import CANDIDATES, BusinessFeatures, BusinessRules
 from ..operators.prep import ChurnPreprocessor
 from ..operators.scoring import PipelineScorer, RuleScorer, predict_probabilities, prediction_output
 from ..session import shared_scratch, written
@@ -692,7 +693,7 @@ def q_m2(spark, sf):
 
 @register("m4_model_comparison")
 def q_m4(spark, sf):
-    return rounded(TR.compare_models(spark, sf).select("model", "kind", "sample_rows", "selected", "comment",
+    return rounded(TR.compare_models(spark, sf).select("model", "kind", "fit_rows", "test_rows", "selected", "comment",
                                                        *METRIC_COLUMNS))
 
 
@@ -722,10 +723,15 @@ def q_s4(spark, sf):
 
 @register("s5_metadata_roundtrip")
 def q_s5(spark, sf):
+    parts = _metadata(spark, sf)
+    return rounded(parts["metrics"].select(*METRIC_COLUMNS))
+
+
+def _metadata(spark, sf):
     t = TR.train_final(spark, sf)
     folder = shared_scratch(spark, "metadata")
     TR.save_metadata(spark, t, folder)
-    return rounded(TR.read_metadata(spark, folder)["metrics"].select(*METRIC_COLUMNS))
+    return TR.read_metadata(spark, folder)
 
 
 @register("e6_model_importance")
@@ -806,28 +812,36 @@ def _dirty_case(c: str) -> str:
 def q_s1(spark, sf):
     path = shared_scratch(spark, "csv-upload")
     dirty = FS.with_dirty_cells(FS.as_text(source_frame(spark, sf, "english")))
-    dirty.write.mode("overwrite").option("header", True).csv(path)
+    # one folder, two headers: Spanish names in another order for every third customer
+    third = F.col(ID).cast("long") % 3 == 0
+    spanish = FS.with_dirty_cells(FS.as_text(source_frame(spark, sf, "english"))).where(third).toDF(
+        *FS.as_text(source_frame(spark, sf, "spanish")).columns)
+    dirty.where(~third).write.mode("overwrite").option("header", True).csv(path)
+    spanish.select(*reversed(spanish.columns)).write.mode("append").option("header", True).csv(path)
     back = FS.read_customers(spark, path).withColumn(ID, F.col(ID).cast("long"))
     return rounded(back.select(*CUSTOMER_COLUMNS))
 
 
-SHORT_EVERY = 101
+SHORT_EVERY, LONG_EVERY = 101, 37
 
 
 @register("s2_batch_rejects", O.with_(O.CUSTOMERS) + f"""
-SELECT count(*) FILTER (WHERE customer_id % {SHORT_EVERY} <> 0) AS good_rows,
-       count(*) FILTER (WHERE customer_id % {SHORT_EVERY} = 0) AS rejected_rows,
-       round(avg(lifetime_value) FILTER (WHERE customer_id % {SHORT_EVERY} <> 0), 6) AS good_mean_ltv
+SELECT count(*) FILTER (WHERE customer_id % {LONG_EVERY} <> 0 OR customer_id % {SHORT_EVERY} = 0) AS good_rows,
+       count(*) FILTER (WHERE customer_id % {LONG_EVERY} = 0 AND customer_id % {SHORT_EVERY} <> 0) AS rejected_rows,
+       count(*) FILTER (WHERE customer_id % {SHORT_EVERY} <> 0 AND customer_id % {LONG_EVERY} <> 0
+                        AND country IS NOT NULL) AS quoted_rows,
+       round(avg(lifetime_value) FILTER (WHERE customer_id % {SHORT_EVERY} <> 0 AND customer_id % {LONG_EVERY} <> 0), 6)
+         AS good_mean_ltv
 FROM customers""")
 def q_s2(spark, sf):
     path = shared_scratch(spark, "batch-upload")
     text = FS.as_text(source_frame(spark, sf, "english"))
-    FS.write_csv_lines(text, path, short_every=SHORT_EVERY)
+    FS.write_csv_lines(text, path, SHORT_EVERY, LONG_EVERY, quoted="Country")
     good, rejects = FS.read_batch(spark, path, columns=text.columns)
-    g = good.agg(F.count(F.lit(1)).alias("good_rows"), F.avg("lifetime_value").alias("good_mean_ltv")).first()
-    n_bad = rejects.count()
-    return rounded(spark.createDataFrame([(g["good_rows"], n_bad, g["good_mean_ltv"])],
-                                         "good_rows long, rejected_rows long, good_mean_ltv double"))
+    quoted = F.col("country").startswith('"') & F.col("country").endswith('"') & (F.length("country") > 2)
+    g = good.agg(F.count(F.lit(1)).alias("good_rows"), F.count_if(quoted).alias("quoted_rows"),
+                 F.avg("lifetime_value").alias("good_mean_ltv"))
+    return rounded(g.withColumn("rejected_rows", F.lit(rejects.count()).cast("long")))
 
 
 @register("s3_scored_csv_sink", SCORED_SQL + "SELECT customer_id, round(probability, 6) AS probability, risk_level, "
@@ -945,3 +959,144 @@ def q_stream_model(spark, sf):
     q.awaitTermination()
     out = spark.read.parquet(sink)
     return rounded(out.select(F.col(ID).cast("long").alias(ID), "probability", "risk_level", "decision"))
+
+
+# --- exact checks of the learned-model and clustering queries -------------------------------
+# Each returns invariants of the full output of the query it names, with a DuckDB twin.
+
+CUSTOMER_COUNT = O.with_(O.CUSTOMERS) + "SELECT count(*) AS rows"
+
+
+def _consistent(p: str = "probability"):
+    """Rows whose probability, risk level, decision or action do not fit one another."""
+    prob = F.col(p)
+    return F.count_if(~prob.between(0, 1) | (F.col("risk_level") != risk_level(prob)) | (F.col("decision") != decision(prob, 0.5))
+                      | (F.col("action") != risk_action(F.col("risk_level")))).alias("inconsistent")
+
+
+@register("s4_model_roundtrip_check", SPLIT_SQL + "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS mismatches "
+          "FROM split WHERE split = 'test'")
+def q_s4_check(spark, sf):
+    return q_s4(spark, sf).agg(F.count("*").alias("rows"), F.count_if(~F.col("identical")).alias("mismatches"))
+
+
+@register("s5_metadata_check", SPLIT_SQL + f"""
+SELECT count(*) AS dataset_rows, CAST({len(CUSTOMER_COLUMNS)} AS BIGINT) AS dataset_columns,
+       count(*) FILTER (WHERE split = 'train') AS train_rows, count(*) FILTER (WHERE split = 'test') AS test_rows,
+       '{TARGET}' AS target, 'hist_gradient_boosting' AS classifier, '150' AS iterations,
+       CAST({len(IMPORTANCE_COLUMNS)} AS BIGINT) AS importance_rows, CAST(5 AS BIGINT) AS report_rows,
+       count(*) FILTER (WHERE split = 'test') AS prediction_rows FROM split""")
+def q_s5_check(spark, sf):
+    parts = _metadata(spark, sf)
+    sizes = {name: F.lit(parts[part].count()).cast("long") for name, part in (
+        ("importance_rows", "importance"), ("report_rows", "report"), ("prediction_rows", "test_predictions"))}
+    return parts["training"].select("dataset_rows", "dataset_columns", "train_rows", "test_rows", "target", "classifier",
+                                    F.col("parameters.maxIter").alias("iterations")).withColumns(sizes)
+
+
+def _cells_sql(models: list[str] | None = None) -> str:
+    """Test rows per class, which the confusion cells of every model must add up to."""
+    base = ("SELECT count(*) FILTER (WHERE churned = 0) AS negatives, count(*) FILTER (WHERE churned = 1) AS positives, "
+            "true AS auc_in_range FROM split WHERE split = 'test'")
+    if models is None:
+        return SPLIT_SQL + base
+    values = ", ".join(f"('{m}')" for m in models)
+    return SPLIT_SQL + f"SELECT m.model, c.* FROM (VALUES {values}) m(model) CROSS JOIN ({base}) c"
+
+
+def _cells(board, *keys):
+    return board.select(*keys, (F.col("tn") + F.col("fp")).alias("negatives"), (F.col("fn") + F.col("tp")).alias("positives"),
+                        F.col("roc_auc").between(0, 1).alias("auc_in_range"))
+
+
+@register("m2_final_model_check", _cells_sql())
+def q_m2_check(spark, sf):
+    return _cells(q_m2(spark, sf))
+
+
+@register("m4_model_comparison_check", _cells_sql(["majority_baseline", *[c for c, _ in CANDIDATES]]))
+def q_m4_check(spark, sf):
+    return _cells(q_m4(spark, sf), "model")
+
+
+def _candidate(name: str, kind: str):
+    @register(f"{name}_check", _cells_sql([kind]))
+    def check(spark, sf):
+        board = TR.compare_models(spark, sf).where(F.col("model") == kind)
+        return _cells(board, "model")
+
+    @register(name)
+    def full(spark, sf):
+        board = TR.compare_models(spark, sf).where(F.col("model") == kind)
+        return rounded(board.select("model", "kind", "fit_rows", "test_rows", *METRIC_COLUMNS))
+
+
+for _name, _kind in (("m3b_logistic_regression", "logistic_regression"), ("m3c_random_forest", "random_forest"),
+                     ("m3d_gradient_boosting", "gradient_boosting"), ("m3e_multilayer_perceptron", "mlp")):
+    _candidate(_name, _kind)
+
+
+@register("m5_probabilities_check", CUSTOMER_COUNT + ", CAST(0 AS BIGINT) AS outside FROM customers")
+def q_m5_check(spark, sf):
+    return q_m5(spark, sf).agg(F.count("*").alias("rows"), F.count_if(~F.col("probability").between(0, 1)).alias("outside"))
+
+
+@register("m6_model_scoring_check", CUSTOMER_COUNT + ", CAST(0 AS BIGINT) AS inconsistent FROM customers")
+def q_m6m_check(spark, sf):
+    t = TR.train_final(spark, sf)
+    return prediction_output(PipelineScorer(t.model), P.customers(spark, sf)).agg(F.count("*").alias("rows"), _consistent())
+
+
+@register("m6_model_stream_check", CUSTOMER_COUNT + ", CAST(0 AS BIGINT) AS differences FROM customers")
+def q_stream_model_check(spark, sf):
+    batch = q_m6m(spark, sf).select(ID, F.col("probability").alias("batch"))
+    both = q_stream_model(spark, sf).join(batch, ID, "full")
+    return both.agg(F.count("*").alias("rows"), F.count_if(
+        F.coalesce(F.abs(F.col("probability") - F.col("batch")) > 1e-6, F.lit(True))).alias("differences"))
+
+
+@register("w4_model_what_if_check", O.with_(O.CUSTOMERS) + f"SELECT count(*) * {len(SCENARIOS)} AS rows, "
+          f"CAST(0 AS BIGINT) AS inconsistent, CAST({len(SCENARIOS)} AS BIGINT) AS scenarios FROM customers")
+def q_w4m_check(spark, sf):
+    gap = F.abs(F.col("current_probability") - F.col("simulated_probability") - F.col("reduction")) > 2e-6
+    outside = ~F.col("current_probability").between(0, 1) | ~F.col("simulated_probability").between(0, 1)
+    return q_w4m(spark, sf).agg(F.count("*").alias("rows"), F.count_if(gap | outside).alias("inconsistent"),
+                                F.countDistinct("scenario").alias("scenarios"))
+
+
+@register("e6_model_importance_check", f"SELECT CAST({len(IMPORTANCE_COLUMNS)} AS BIGINT) AS variables, "
+          "CAST(0 AS BIGINT) AS outside, count(*) > 0 AS has_customers FROM customer")
+def q_e6m_check(spark, sf):
+    outside = ~F.col("importance_mean").between(-1, 1) | ~F.col("importance_std").between(0, 1)
+    return q_e6m(spark, sf).agg(F.count("*").alias("variables"), F.count_if(outside).alias("outside"),
+                                (F.count("*") > 0).alias("has_customers"))
+
+
+@register("k1_k2_segments_check", CUSTOMER_COUNT + ", CAST(2 AS BIGINT) AS clusters, true AS centred, true AS uncorrelated, "
+          "true AS ordered FROM customers")
+def q_k1_check(spark, sf):
+    seg, _, _ = _segmented(spark, sf)
+    pcs = ["pc1", "pc2", "pc3"]
+    pairs = [("pc1", "pc2"), ("pc1", "pc3"), ("pc2", "pc3")]
+    return seg.agg(F.count("*").alias("rows"), F.countDistinct("cluster").alias("clusters"),
+                   F.greatest(*[F.abs(F.avg(c)) for c in pcs]).alias("m"), F.greatest(*[F.abs(F.corr(a, b)) for a, b in pairs]).alias("c"),
+                   *[F.var_samp(c).alias(f"v{i}") for i, c in enumerate(pcs)]).select(
+        "rows", "clusters", (F.col("m") < 1e-6).alias("centred"), (F.col("c") < 1e-6).alias("uncorrelated"),
+        ((F.col("v0") >= F.col("v1")) & (F.col("v1") >= F.col("v2"))).alias("ordered"))
+
+
+@register("k3_explained_variance_check", O.with_(O.CUSTOMERS) + "SELECT count(*) > 0 AS has_customers, CAST(2 AS BIGINT) AS clusters, true AS in_order "
+          "FROM customers")
+def q_k3_check(spark, sf):
+    out = q_k3(spark, sf)
+    two, three = F.col("variance_2d_pct"), F.col("variance_3d_pct")
+    return out.select((F.col("clusters") > 0).alias("has_customers"), "clusters",
+                      ((two > 0) & (two <= three) & (three <= 100) & (F.col("kmeans_cost") >= 0)).alias("in_order"))
+
+
+@register("a9_cluster_profile_check", CUSTOMER_COUNT + ", CAST(2 AS BIGINT) AS clusters, round(avg(churned), 6) AS churn_rate "
+          "FROM customers")
+def q_a9c_check(spark, sf):
+    out = q_a9c(spark, sf)
+    return rounded(out.agg(F.sum("customers").alias("rows"), F.count("*").alias("clusters"),
+                           (F.sum(F.col("churn_rate") * F.col("customers")) / F.sum("customers")).alias("churn_rate")))

@@ -15,39 +15,22 @@ import argparse
 import json
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..constants import DEFAULT_THRESHOLD, TARGET
-from ..functions.schema import require_target
-from ..operators import evaluate as E
+from ..constants import DEFAULT_THRESHOLD
 from ..operators import reports
-from ..operators import sampling as S
-from ..operators.importance import permutation_importance
-from ..operators.models import classifier, training_pipeline
 from ..operators.scoring import PipelineScorer, prediction_output
-from ..session import get_session, keep
+from ..session import get_session, written
 from ..sources import files as FS
 from . import portfolio as P
-from .training import load_model
+from .training import FINAL, fit_final, load_model, read_metadata, save_metadata, save_model
 
 
-def train(spark: SparkSession, data: DataFrame, out: str, classifier_name: str = "hist_gradient_boosting") -> dict:
-    require_target(data)
-    split = keep(S.stratified_split(data))
-    train_rows = E.with_weights(split.where(F.col("split") == "train"))
-    model = training_pipeline(classifier(classifier_name, n_rows=train_rows.count())).fit(train_rows)
-    model.write().overwrite().save(f"{out}/model")
-    scorer = PipelineScorer(model, classifier_name)
-    test = split.where(F.col("split") == "test").drop("split")
-    scored = keep(scorer.with_probability(test))
-    metrics = E.evaluate(scored)
-    metrics.write.mode("overwrite").json(f"{out}/metrics")
-    E.classification_report(scored).write.mode("overwrite").json(f"{out}/report")
-    permutation_importance(test, scorer).orderBy(F.desc("importance_mean")) \
-        .write.mode("overwrite").json(f"{out}/importance")
-    scored.select("customer_id", TARGET, F.round("probability", 4).alias("probability")) \
-        .write.mode("overwrite").parquet(f"{out}/test_predictions")
-    return metrics.first().asDict()
+def train(spark: SparkSession, data: DataFrame, out: str, classifier_name: str = FINAL,
+          early_stopping: bool = False) -> dict:
+    t = fit_final(data, classifier_name, early_stopping)
+    save_model(t, f"{out}/model")
+    save_metadata(spark, t, out)
+    return read_metadata(spark, out)["metrics"].first().asDict()
 
 
 def score(spark: SparkSession, model_path: str, upload: str, out: str,
@@ -55,8 +38,8 @@ def score(spark: SparkSession, model_path: str, upload: str, out: str,
     good, rejects, error = FS.try_read_batch(spark, upload)
     if error:
         return {"error": error}
-    scored = keep(prediction_output(PipelineScorer(load_model(model_path)), good, threshold, normalized=True))
-    FS.write_scored_csv(scored.drop("action"), f"{out}/predictions")
+    scored = written(prediction_output(PipelineScorer(load_model(model_path)), good, threshold, normalized=True), "scored")
+    FS.write_scored_csv(scored, f"{out}/predictions")
     rejects.write.mode("overwrite").text(f"{out}/rejected_lines")
     balance = reports.batch_balance(scored).first().asDict()
     advice = [r["advice"] for r in reports.campaign_advice(scored).orderBy("line").collect()]  # ≤ 3 lines
@@ -71,7 +54,8 @@ def main(argv=None) -> None:
     t.add_argument("--format", default="csv", choices=["csv", "parquet"])
     t.add_argument("--sf-dir", help="folder with the star-schema tables to derive customers from")
     t.add_argument("--out", required=True)
-    t.add_argument("--classifier", default="hist_gradient_boosting")
+    t.add_argument("--classifier", default=FINAL)
+    t.add_argument("--early-stopping", action="store_true")
     s = sub.add_parser("score")
     s.add_argument("--model", required=True)
     s.add_argument("--input", required=True)
@@ -81,7 +65,7 @@ def main(argv=None) -> None:
     spark = get_session()
     if args.cmd == "train":
         data = FS.read_customers(spark, args.input, args.format) if args.input else P.customers(spark, args.sf_dir)
-        print(json.dumps(train(spark, data, args.out, args.classifier), default=str))
+        print(json.dumps(train(spark, data, args.out, args.classifier, args.early_stopping), default=str))
     else:
         print(json.dumps(score(spark, args.model, args.input, args.out, args.threshold), default=str))
 

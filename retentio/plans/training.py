@@ -1,62 +1,77 @@
 """Training job (split → fit → evaluate → importance → persist) and model comparison (M4).
 
-Results are cached per input path within the process (the original caches the
-fitted model and the comparison the same way), so several reports share one fit.
+One function trains, for the command line and for the registered queries.  Results are cached per
+input path within the application (the original caches the fitted model and the comparison the same
+way), so several reports share one fit.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from datetime import datetime, timezone
+from functools import reduce
 
-from pyspark.ml import PipelineModel
+from pyspark.errors import AnalysisException
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import ID, MODEL_COMMENTS, TARGET
+from ..constants import COMPARISON_MAX_ROWS, ID, MODEL_COMMENTS, TARGET
 from ..functions.schema import require_target
 from ..operators import evaluate as E
 from ..operators import sampling as S
 from ..operators.importance import permutation_importance
 from ..operators.models import (
-    CANDIDATES, EARLY_STOP_ROWS, AnovaSelector, BusinessFeatures, BusinessRules, classifier, training_pipeline,
+    CANDIDATES, AnovaSelector, BusinessFeatures, BusinessRules, classifier, probability_of, training_pipeline,
     validation_flag,
 )
 from ..operators.prep import ChurnPreprocessor
-from ..operators.segment import PARALLEL_FITS
 from ..operators.scoring import PipelineScorer
-from ..session import keep
+from ..operators.segment import PARALLEL_FITS
+from ..session import written
+from ..sources.files import is_missing
 from . import portfolio as P
 
+FINAL = "hist_gradient_boosting"
 _CACHE: dict = {}
 
 
 @dataclass
 class Trained:
     model: PipelineModel
-    split: DataFrame          # customers with a split column (persisted)
-    test_scored: DataFrame    # test rows with probability
+    split: DataFrame          # customers with a split column (written)
+    test_scored: DataFrame    # test rows with probability (written)
+    classifier_name: str = FINAL
+    early_stopping: bool = False
 
 
-def train_final(spark: SparkSession, sf_dir: str, classifier_name: str = "hist_gradient_boosting") -> Trained:
-    key = ("final", spark.sparkContext.applicationId, sf_dir, classifier_name)
-    if key in _CACHE:
-        return _CACHE[key]
-    data = P.customers(spark, sf_dir)
+def fit_final(data: DataFrame, classifier_name: str = FINAL, early_stopping: bool = False) -> Trained:
+    """Split, fit the whole pipeline on the training rows and score the test rows.
+
+    ``early_stopping`` holds out a tenth of the training rows (by hash) and stops the final booster when their error
+    no longer falls; off by default, as a smaller training set is another model.
+    """
     require_target(data)
-    split = keep(S.stratified_split(data))
+    split = written(S.stratified_split(data), "split")
     train = E.with_weights(split.where(F.col("split") == "train"))
-    n_train = train.count()
     validation = None
-    if classifier_name == "hist_gradient_boosting" and n_train > EARLY_STOP_ROWS:
+    if early_stopping and classifier_name == FINAL:
         validation = "_validation"
         train = train.withColumn(validation, validation_flag())
-    clf = classifier(classifier_name, n_rows=n_train, validation=validation)
+    clf = classifier(classifier_name, n_rows=train.count(), validation=validation)
     model = training_pipeline(clf).fit(train)
-    scorer = PipelineScorer(model, classifier_name)
-    test_scored = keep(scorer.with_probability(split.where(F.col("split") == "test").drop("split")))
-    out = Trained(model, split, test_scored)
-    _CACHE[key] = out
-    return out
+    test = split.where(F.col("split") == "test").drop("split")
+    scored = written(PipelineScorer(model, classifier_name).with_probability(test), "test-scored")
+    return Trained(model, split, scored, classifier_name, early_stopping)
+
+
+def train_final(spark: SparkSession, sf_dir: str, classifier_name: str = FINAL) -> Trained:
+    """:func:`fit_final` on the derived customer table, cached."""
+    key = ("final", spark.sparkContext.applicationId, sf_dir, classifier_name)
+    if key not in _CACHE:
+        _CACHE[key] = fit_final(P.customers(spark, sf_dir), classifier_name)
+    return _CACHE[key]
 
 
 def final_metrics(t: Trained) -> DataFrame:
@@ -65,7 +80,7 @@ def final_metrics(t: Trained) -> DataFrame:
 
 
 def model_importance(t: Trained) -> DataFrame:
-    """E6 with the fitted pipeline as scorer."""
+    """E6 with the fitted pipeline as scorer, over all test rows."""
     test = t.split.where(F.col("split") == "test").drop("split")
     return permutation_importance(test, PipelineScorer(t.model))
 
@@ -78,18 +93,38 @@ def save_model(t: Trained, path: str) -> None:
 def load_model(path: str) -> PipelineModel:
     """Load a fitted pipeline; a missing path raises a clear error."""
     try:
-        return PipelineModel.load(path)
-    except Exception as exc:  # noqa: BLE001
-        raise FileNotFoundError(f"no trained model at {path}; run the training job first") from exc
+        SparkSession.active().read.text(f"{path}/metadata").schema
+    except AnalysisException as exc:
+        if is_missing(exc):
+            raise FileNotFoundError(f"no trained model at {path}; run the training job first") from exc
+        raise
+    return PipelineModel.load(path)
+
+
+PARTS = {"training": "json", "metrics": "json", "report": "json", "importance": "json", "test_predictions": "parquet"}
+
+
+def training_record(spark: SparkSession, t: Trained) -> DataFrame:
+    """One row: time, shape, row counts, target, classifier and its parameters."""
+    counts = {r["split"]: r["count"] for r in t.split.groupBy("split").count().collect()}
+    stage = t.model.stages[-1]
+    params = {p.name: str(v) for p, v in stage.extractParamMap().items()}
+    columns = [c for c in t.split.columns if c not in ("split", "weight")]
+    row = (datetime.now(timezone.utc).isoformat(timespec="seconds"), sum(counts.values()), len(columns),
+           counts.get("train", 0), counts.get("test", 0), TARGET, t.classifier_name, t.early_stopping, params)
+    return spark.createDataFrame([row], "trained_at string, dataset_rows long, dataset_columns long, train_rows long, "
+                                        "test_rows long, target string, classifier string, early_stopping boolean, "
+                                        "parameters map<string,string>")
 
 
 def save_metadata(spark: SparkSession, t: Trained, folder: str, importance: DataFrame | None = None) -> None:
-    """metrics/confusion/report as JSON, importance as JSON, test predictions as Parquet."""
-    metrics = E.evaluate(t.test_scored)
-    metrics.write.mode("overwrite").json(f"{folder}/metrics")
+    """Training record, metrics with the confusion cells, report and importance as JSON, test predictions as
+    Parquet; the importance is computed unless given."""
+    importance = model_importance(t) if importance is None else importance
+    training_record(spark, t).write.mode("overwrite").json(f"{folder}/training")
+    final_metrics(t).write.mode("overwrite").json(f"{folder}/metrics")
     E.classification_report(t.test_scored).write.mode("overwrite").json(f"{folder}/report")
-    if importance is not None:
-        importance.write.mode("overwrite").json(f"{folder}/importance")
+    importance.orderBy(F.desc("importance_mean"), "variable").write.mode("overwrite").json(f"{folder}/importance")
     t.test_scored.select(ID, TARGET, F.round("probability", 4).alias("probability")) \
         .write.mode("overwrite").parquet(f"{folder}/test_predictions")
 
@@ -97,57 +132,49 @@ def save_metadata(spark: SparkSession, t: Trained, folder: str, importance: Data
 def read_metadata(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Read back; absent parts come back as empty frames."""
     out = {}
-    for part, fmt in (("metrics", "json"), ("report", "json"), ("importance", "json"), ("test_predictions", "parquet")):
+    for part, fmt in PARTS.items():
         try:
             out[part] = getattr(spark.read, fmt)(f"{folder}/{part}")
-        except Exception:  # noqa: BLE001
+        except AnalysisException as exc:
+            if not is_missing(exc):
+                raise
             out[part] = spark.createDataFrame([], "empty string")
     return out
 
 
-def compare_models(spark: SparkSession, sf_dir: str, candidates=CANDIDATES) -> DataFrame:
-    """M4: same split, preprocessing fitted once, every candidate scored on the same test rows."""
-    key = ("compare", spark.sparkContext.applicationId, sf_dir, tuple(c for c, _ in candidates))
+def compare_models(spark: SparkSession, sf_dir: str, candidates=CANDIDATES,
+                   max_fit_rows: int = COMPARISON_MAX_ROWS) -> DataFrame:
+    """M4: one split, preprocessing fitted once, every candidate scored on all held-out rows.
+
+    Only the rows that are fitted are bounded (``max_fit_rows``, class shares kept)."""
+    key = ("compare", spark.sparkContext.applicationId, sf_dir, tuple(c for c, _ in candidates), max_fit_rows)
     if key in _CACHE:
         return _CACHE[key]
-    data = S.stratified_downsample(P.customers(spark, sf_dir))
-    split = keep(S.stratified_split(data))
-    n_sample = split.count()
-    train = E.with_weights(split.where(F.col("split") == "train"))
+    split = written(S.stratified_split(P.customers(spark, sf_dir)), "compare-split")
+    train = E.with_weights(S.stratified_downsample(split.where(F.col("split") == "train"), max_fit_rows))
     test = split.where(F.col("split") == "test")
-    from pyspark.ml import Pipeline
     prep = Pipeline(stages=[BusinessRules(), BusinessFeatures(), ChurnPreprocessor(), AnovaSelector()]).fit(train)
-    train_v = keep(prep.transform(train).select(ID, TARGET, "weight", "selected"))
-    test_v = keep(prep.transform(test).select(ID, TARGET, "selected"))
+    train_v = written(prep.transform(train).select(ID, TARGET, "weight", "selected"), "compare-train")
+    test_v = written(prep.transform(test).select(ID, TARGET, "selected"), "compare-test")
     n_features = len(train_v.first()["selected"])
-    n_train = train_v.count()
-    frames = []
-    major = E.majority_class(train)
-    frames.append(test_v.select(F.lit("majority_baseline").alias("model"), F.lit("baseline").alias("kind"), TARGET,
-                                F.lit(float(major)).alias("probability")))
-    from ..operators.models import probability_of
-    reuse_final = n_sample == P.customers(spark, sf_dir).count()     # no down-sampling: same split as train_final
+    n_train, n_test = train_v.count(), test_v.count()
+    major = float(E.majority_class(train))
+
     def scored(item):
         name, kind = item
-        if name == "hist_gradient_boosting" and reuse_final:
-            # identical training rows and pipeline: reuse the (cached) final model's held-out scores
-            t = train_final(spark, sf_dir)
-            return t.test_scored.select(F.lit(name).alias("model"), F.lit(kind).alias("kind"), TARGET, "probability")
         fitted = classifier(name, n_features=n_features, n_rows=n_train).fit(train_v)
         return fitted.transform(test_v).select(F.lit(name).alias("model"), F.lit(kind).alias("kind"),
                                                TARGET, probability_of(None).alias("probability"))
 
-    # independent fits on the shared persisted vectors, submitted side by side; order kept
-    from concurrent.futures import ThreadPoolExecutor
+    frames = [test_v.select(F.lit("majority_baseline").alias("model"), F.lit("baseline").alias("kind"), TARGET,
+                            F.lit(major).alias("probability"))]
+    # independent fits on the shared written vectors, submitted side by side; order kept
     with ThreadPoolExecutor(max_workers=PARALLEL_FITS) as pool:
         frames += list(pool.map(scored, candidates))
-    allp = frames[0]
-    for f in frames[1:]:
-        allp = allp.unionByName(f)
-    board = E.evaluate(keep(allp), groups=["model", "kind"])
+    board = E.evaluate(reduce(DataFrame.unionByName, frames), groups=["model", "kind"])
     comments = F.create_map(*[F.lit(x) for kv in MODEL_COMMENTS.items() for x in kv])
-    board = (board.withColumn("sample_rows", F.lit(n_sample))
-             .withColumn("selected", F.col("model") == "hist_gradient_boosting")
+    board = (board.withColumns({"fit_rows": F.lit(n_train).cast("long"), "test_rows": F.lit(n_test).cast("long")})
+             .withColumn("selected", F.col("model") == FINAL)
              .withColumn("comment", F.element_at(comments, F.col("model")))
              .orderBy(F.desc("roc_auc"), "model"))
     _CACHE[key] = board

@@ -2,56 +2,78 @@
 
 CSV is read with every column as text and typed afterwards by the schema
 normaliser (P1-P4), so unparsable cells become NULL instead of failing the
-job, and headers may be English or Spanish.  Batch uploads keep malformed
-lines apart in a rejects frame instead of raising.
+job, and headers may be English or Spanish.  Columns are found by name per
+file: files are grouped by their header line, each group is read with its own
+columns, and the normalised groups are united by name.  Quotes inside quoted
+cells are doubled; ``multi_line`` allows line breaks in quoted cells.  Rows
+with too few cells are kept with NULLs; rows with too many are rejected.
 """
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import ID, TARGET
 from ..functions.schema import complete, normalize
-from ..session import keep
 
-CORRUPT = "_corrupt_record"
+CORRUPT, EXTRA = "_corrupt_record", "_one_cell_too_many"
+
+
+def headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Column names of each different header line, and the files that have it (one row per file is collected)."""
+    lines = (spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+             .where(F.col("_metadata.file_block_start") == 0).withColumn("at", F.monotonically_increasing_id())
+             .groupBy("file").agg(F.min_by("value", "at").alias("header")).orderBy("file").collect())
+    found: dict[tuple[str, ...], list[str]] = {}
+    for line in lines:
+        names = tuple(next(csv.reader([line["header"].lstrip("\ufeff")]), []))
+        found.setdefault(names, []).append(line["file"])
+    if not found:
+        raise ValueError(f"no header line in {path}")
+    return found
+
 
+def text_schema(columns, *extra: str) -> str:
+    return ", ".join(f"`{c}` string" for c in [*columns, *extra])
 
-def _header(spark: SparkSession, path: str) -> list[str]:
-    return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
 
+def _csv(spark: SparkSession, files, columns, header: bool, multi_line: bool, *extra: str) -> DataFrame:
+    return (spark.read.schema(text_schema(columns, *extra)).option("header", header).option("mode", "PERMISSIVE")
+            .option("escape", '"').option("multiLine", multi_line).option("columnNameOfCorruptRecord", CORRUPT)
+            .csv(files))
 
-def text_schema(columns: list[str], corrupt: bool = False) -> str:
-    cols = [f"`{c}` string" for c in columns]
-    if corrupt:
-        cols.append(f"{CORRUPT} string")
-    return ", ".join(cols)
 
+def _united(frames: list[DataFrame]) -> DataFrame:
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
 
-def read_customers(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+
+def read_customers(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False) -> DataFrame:
     """Customer table from CSV (all text, then typed) or Parquet, normalised and completed."""
     if fmt == "parquet":
-        raw = spark.read.parquet(path)
-    else:
-        raw = (spark.read.schema(text_schema(_header(spark, path))).option("header", True)
-               .option("mode", "PERMISSIVE").csv(path))
-    return complete(normalize(raw))
+        return complete(normalize(spark.read.parquet(path)))
+    return complete(_united([normalize(_csv(spark, files, names, True, multi_line))
+                             for names, files in headers(spark, path).items()]))
 
 
-def read_batch(spark: SparkSession, path: str, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(good rows normalised, rejected raw lines) from an uploaded CSV.
+def read_batch(spark: SparkSession, path: str, columns: list[str] | None = None,
+               multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows normalised, rejected raw lines) from an uploaded CSV.
 
-    The header line names the columns; headerless files take ``columns``.
+    Header lines name the columns per file; headerless files take ``columns``.  A row is rejected only if it has
+    more cells than its header: it fills the extra column that is read behind the named ones.
     """
-    cols = columns or _header(spark, path)
-    raw = (spark.read.schema(text_schema(cols, corrupt=True)).option("header", columns is None)
-           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path))
-    # Spark needs the parsed rows materialised before filtering on the corrupt-record column alone.
-    raw = keep(raw)
-    good = raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    rejects = raw.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"))
-    return normalize(good), rejects
+    groups = {tuple(columns): path} if columns else headers(spark, path)
+    good, rejects = [], []
+    for names, files in groups.items():
+        raw = _csv(spark, files, names, columns is None, multi_line, EXTRA, CORRUPT)
+        good.append(normalize(raw.where(F.col(EXTRA).isNull()).drop(EXTRA, CORRUPT)))
+        rejects.append(raw.where(F.col(EXTRA).isNotNull()).select(F.col(CORRUPT).alias("line")))
+    return _united(good), _united(rejects)
 
 
 def write_scored_csv(scored: DataFrame, path: str) -> None:
@@ -89,22 +111,33 @@ def with_dirty_cells(text: DataFrame) -> DataFrame:
     })
 
 
-def write_csv_lines(text: DataFrame, path: str, short_every: int | None = None) -> None:
-    """Headerless CSV lines; rows whose key is a multiple of ``short_every`` keep only 3 fields."""
-    cols = text.columns
-    line = F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in cols])
+def write_csv_lines(text: DataFrame, path: str, short_every: int | None = None, long_every: int | None = None,
+                    quoted: str | None = None) -> None:
+    """Headerless CSV lines; rows whose key is a multiple of ``short_every`` keep only 3 fields, of ``long_every`` get
+    one too many; column ``quoted`` is written in quotes with a doubled quote inside."""
+    cells = {c: F.coalesce(F.col(c), F.lit("")) for c in text.columns}
+    if quoted:
+        cells[quoted] = F.concat(F.lit('"""'), cells[quoted], F.lit('"""'))
+    line, key = F.concat_ws(",", *cells.values()), F.col(ID).cast("long")
+    if long_every:
+        line = F.when(key % long_every == 0, F.concat(line, F.lit(",surplus"))).otherwise(line)
     if short_every:
-        line = F.when(F.col(ID).cast("long") % short_every == 0,
-                      F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in cols[:3]])).otherwise(line)
+        line = F.when(key % short_every == 0, F.concat_ws(",", *list(cells.values())[:3])).otherwise(line)
     text.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
+def is_missing(exc: AnalysisException) -> bool:
+    return exc.getCondition() == "PATH_NOT_FOUND"
+
+
 def try_read_batch(spark: SparkSession, path: str, columns: list[str] | None = None):
-    """S2 as the upload page uses it: ``(good, rejects, None)``, or ``(None, None, message)`` when the
-    file cannot be read at all (missing path, no header, not CSV) — reported, not raised."""
+    """S2 as the upload page uses it: ``(good, rejects, None)``, or ``(None, None, message)`` when there is no such
+    file or no header line; other errors are raised."""
     try:
-        good, rejects = read_batch(spark, path, columns)
-        good.schema            # resolves the plan: unreadable inputs fail here, before any job
-        return good, rejects, None
-    except Exception as exc:  # noqa: BLE001 — any reader failure becomes a message for the caller
-        return None, None, f"could not read {path}: {type(exc).__name__}: {str(exc).splitlines()[0][:200]}"
+        return *read_batch(spark, path, columns), None
+    except AnalysisException as exc:
+        if not is_missing(exc):
+            raise
+        return None, None, f"could not read {path}: no such file"
+    except ValueError as exc:
+        return None, None, f"could not read {path}: {exc}"

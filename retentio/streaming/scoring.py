@@ -20,10 +20,13 @@ from ..sources.files import text_schema
 def start_scoring_stream(spark: SparkSession, source_dir: str, columns: list[str], sink_dir: str,
                          checkpoint_dir: str, scorer=None, threshold: float = DEFAULT_THRESHOLD,
                          available_now: bool = True, max_files_per_trigger: int = 1000) -> StreamingQuery:
-    """Stream CSV uploads (header, text columns) → scored rows appended to Parquet."""
+    """Stream CSV uploads (header, text columns) → scored rows appended to Parquet.
+
+    A stream has one schema: a file whose header differs from ``columns`` stops the query instead of filling wrong columns.
+    """
     scorer = scorer or RuleScorer()
-    stream = (spark.readStream.schema(text_schema(columns)).option("header", True)
-              .option("maxFilesPerTrigger", max_files_per_trigger).csv(source_dir))
+    stream = (spark.readStream.schema(text_schema(columns)).option("header", True).option("enforceSchema", False)
+              .option("escape", '"').option("maxFilesPerTrigger", max_files_per_trigger).csv(source_dir))
     scored = prediction_output(scorer, complete(normalize(stream)), threshold)
     writer = (scored.writeStream.format("parquet").outputMode("append")
               .option("path", sink_dir).option("checkpointLocation", checkpoint_dir))
