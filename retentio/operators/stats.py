@@ -20,7 +20,10 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 
+
+MAX_CATEGORIES = 10_000            # levels of a categorical column, at most
 # Ranges holding at most this many values are ranked directly in one task.
 FINAL_RANGE_ROWS = 2_000_000
 # Bucket key resolution: floor(log1p(x·SCALE)·PER_EFOLD), x in [0, 1].
@@ -128,6 +131,9 @@ def _select_ranks(long: DataFrame, counts: dict, ranks: dict[str, set[int]]) ->
             break
         cells = _narrow(spark, long, split)
     else:
+        wide = [c[0] for c in cells if c[4] > FINAL_RANGE_ROWS and c[1] != c[2]]
+        if wide:
+            raise RuntimeError(f"ranges of {wide} stay above {FINAL_RANGE_ROWS} values after {MAX_LEVELS} levels")
         found.update(_rank_in_cells(spark, long, cells))
     return found
 
@@ -218,10 +224,13 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
 def modes_and_levels(df: DataFrame, columns: list[str], with_levels: list[str]) -> tuple[dict, dict]:
     """Modes of ``columns`` and sorted vocabularies of ``with_levels`` from one grouped count.
 
-    A vocabulary is collected per categorical column: bounded by the category count, not the rows.
+    A vocabulary is collected per categorical column; a column with over MAX_CATEGORIES levels is refused.
     """
-    counted = _value_counts(df, columns)
+    counted = cut_lineage(_value_counts(df, columns))
     wanted = F.col("c").isin(*with_levels) if with_levels else F.lit(False)
+    large = counted.where(wanted).groupBy("c").count().where(F.col("count") > MAX_CATEGORIES).first()
+    if large:
+        raise ValueError(f"{large['c']} has {large['count']} levels (at most {MAX_CATEGORIES}); it is not a category")
     rows = counted.groupBy("c").agg(
         _best(counted).alias("m"),
         F.sort_array(F.collect_list(F.when(wanted, F.col("v")))).alias("levels")).collect()

@@ -66,8 +66,8 @@ customers AS (
     'Q' || CAST(quarter(oagg.first_order) AS VARCHAR) AS signup_quarter,
     CAST(CASE WHEN oa.a_custkey IS NULL THEN 1 ELSE 0 END AS INTEGER) AS churned
   FROM customer c
-  JOIN nation n ON c.c_nationkey = n.n_nationkey
-  JOIN region r ON n.n_regionkey = r.r_regionkey
+  LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
+  LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
   CROSS JOIN cut
   LEFT JOIN oagg ON c.c_custkey = oagg.k
   LEFT JOIN lagg ON c.c_custkey = lagg.lk

@@ -115,8 +115,8 @@ def customer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
                                DIMENSION_MAX_ROWS)
     region = bounded_broadcast(table(spark, sf_dir, "region", "r_regionkey", "r_name"), DIMENSION_MAX_ROWS)
     cust = (table(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_acctbal")
-            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-            .join(region, F.col("n_regionkey") == F.col("r_regionkey")))
+            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")      # unmatched keys keep the customer
+            .join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left"))
 
     j = (cust.join(order_agg, F.col("c_custkey") == F.col("k"), "left")
          .join(line_agg, F.col("c_custkey") == F.col("lk"), "left")

@@ -45,6 +45,7 @@ def text_schema(columns, *extra: str) -> str:
 def _csv(spark: SparkSession, files, columns, header: bool, multi_line: bool, *extra: str) -> DataFrame:
     return (spark.read.schema(text_schema(columns, *extra)).option("header", header).option("mode", "PERMISSIVE")
             .option("escape", '"').option("multiLine", multi_line).option("columnNameOfCorruptRecord", CORRUPT)
+            .option("columnPruning", not extra)          # a row's cells are counted against all columns
             .csv(files))
 
 
@@ -72,7 +73,9 @@ def read_batch(spark: SparkSession, path: str, columns: list[str] | None = None,
     for names, files in groups.items():
         raw = _csv(spark, files, names, columns is None, multi_line, EXTRA, CORRUPT)
         good.append(normalize(raw.where(F.col(EXTRA).isNull()).drop(EXTRA, CORRUPT)))
-        rejects.append(raw.where(F.col(EXTRA).isNotNull()).select(F.col(CORRUPT).alias("line")))
+        # a row with exactly one cell too many fits the schema and is put together again
+        cells = F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in (*names, EXTRA)])
+        rejects.append(raw.where(F.col(EXTRA).isNotNull()).select(F.coalesce(F.col(CORRUPT), cells).alias("line")))
     return _united(good), _united(rejects)
 
 

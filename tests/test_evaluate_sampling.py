@@ -54,3 +54,57 @@ def test_downsample_keeps_shares(spark):
     got = {r["churned"]: r["count"] for r in small.groupBy("churned").count().collect()}
     assert got == {0: 75, 1: 25}
     assert S.stratified_downsample(df, max_rows=5000).count() == 1000
+
+
+def test_grouped_auc_equals_ungrouped_with_cut_points(spark, monkeypatch):
+    monkeypatch.setattr(E, "SCORES_PER_BUCKET", 20)
+    monkeypatch.setattr(E, "AUC_BUCKETS", 16)
+    rows = [("a" if i % 3 else "b", int((i * 7919) % 11 > 5), ((i * 104729) % 400) / 400) for i in range(900)]
+    df = spark.createDataFrame(rows, "model string, churned int, probability double")
+    both = {r["model"]: r["roc_auc"] for r in E.roc_auc(df, groups=["model"]).collect()}
+    for name, auc in both.items():
+        pos = [p for m, y, p in rows if m == name and y == 1]
+        neg = [p for m, y, p in rows if m == name and y == 0]
+        exact = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+        assert math.isclose(auc, exact) and math.isclose(E.roc_auc(df.where(F.col("model") == name)).first()[0], exact)
+
+
+def test_grouped_auc_has_no_window_over_a_whole_group(spark):
+    df = spark.createDataFrame([("a", 0, 0.1), ("a", 1, 0.4)], "model string, churned int, probability double")
+    plan = E.roc_auc(df, groups=["model"])._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("_b#" in line for line in windows)
+
+
+def test_split_with_finer_buckets_is_the_same(spark, monkeypatch):
+    df = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(3000)], "customer_id long, churned int")
+    plain = {r["customer_id"]: r["split"] for r in S.stratified_split(df).collect()}
+    monkeypatch.setattr(S, "ROWS_PER_BUCKET", 0.1)
+    assert S.bucket_digits(3000) > S.MIN_HEX_DIGITS
+    assert {r["customer_id"]: r["split"] for r in S.stratified_split(df).collect()} == plain
+
+
+def test_split_flags_rows_without_join_or_window(spark):
+    df = spark.createDataFrame([(i, i % 2) for i in range(100)], "customer_id long, churned int")
+    plan = S.stratified_split(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+
+
+def test_a_target_with_many_values_is_refused(spark):
+    import pytest
+    df = spark.range(5000).selectExpr("id AS customer_id", "cast(id AS int) AS churned")
+    with pytest.raises(ValueError, match="class label"):
+        S.stratified_split(df)
+
+
+def test_importance_uses_every_row_in_bounded_buckets(spark):
+    from retentio.operators.importance import permutation_importance
+
+    class ByAge:
+        def with_probability(self, df, out="probability"):
+            return df.withColumn(out, F.col("age") / 100)
+    rows = [(i, int(i % 4 == 0), 60.0 + i % 7 if i % 4 == 0 else 20.0 + i % 7, float(i % 3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "customer_id long, churned int, age double, returns_rate double")
+    got = {r["variable"]: r["importance_mean"] for r in permutation_importance(
+        df, ByAge(), ["age", "returns_rate"], repeats=2, rows_per_bucket=50).collect()}
+    assert got["returns_rate"] == 0 and 0.4 < got["age"] < 0.6

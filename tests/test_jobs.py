@@ -20,6 +20,9 @@ def test_train_then_score(spark, sf_small):
     assert res["rejected"] == 0 and res["advice"][-1].startswith("Download")
     assert spark.read.json(f"{out}/metrics").count() == 1
     assert spark.read.json(f"{out}/importance").count() == 23
+    record = spark.read.json(f"{out}/training").first()
+    assert record["dataset_rows"] == 150 and record["train_rows"] + record["test_rows"] == 150
+    assert record["target"] == "churned" and record["trained_at"] and record["parameters"]["maxIter"] == "600"
 
 
 def test_missing_model_and_metadata(spark):
@@ -29,5 +32,5 @@ def test_missing_model_and_metadata(spark):
     with pytest.raises(FileNotFoundError):
         load_model(f"{missing}/model")
     parts = read_metadata(spark, missing)
-    assert set(parts) == {"metrics", "report", "importance", "test_predictions"}
+    assert set(parts) == {"training", "metrics", "report", "importance", "test_predictions"}
     assert all(df.count() == 0 for df in parts.values())

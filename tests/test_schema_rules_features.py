@@ -67,3 +67,30 @@ def test_labels_and_origin(spark):
     assert [r["l"] for r in out] == ["Age Group: young adult", "Customer Lifetime Value", "Gender: Female",
                                      "something else", ""]
     assert [r["o"] for r in out][:4] == ["age_group", "lifetime_value", "gender", "something_else"]
+
+
+def test_only_plain_numbers_parse_and_the_target_never_fails(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+    from retentio.functions.schema import to_double, to_target
+    cells = ["1d", "2f", "Infinity", "-inf", "1e400", "0x10", "1_0", " 5 ", "1e3", "-.5", "7.", "", None, "1e12", "1.9"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string")
+    rows = df.select(to_double(F.col("c"), T.StringType()).alias("v"), to_target(F.col("c"), T.StringType()).alias("t")) \
+        .collect()
+    assert [r["v"] for r in rows] == [None] * 7 + [5.0, 1000.0, -0.5, 7.0, None, None, 1e12, 1.9]
+    assert [r["t"] for r in rows] == [0] * 7 + [5, 1000, 0, 7, 0, 0, 0, 1]
+
+
+def test_anova_of_separators_constants_and_ties(spark):
+    import math
+    from pyspark.sql import functions as F
+    from retentio.operators.selection import anova_f, best_positions, score_table, variable_relevance
+    rows = [(0, 1.0, 3.0, 1.0, 1.0), (0, 1.0, 3.0, 2.0, 2.0), (1, 2.0, 3.0, 5.0, 5.0), (1, 2.0, 3.0, 6.0, 6.0)]
+    df = spark.createDataFrame(rows, "churned int, sep double, const double, a double, b double")
+    names = ["a", "const", "sep", "b"]
+    scores = anova_f(df, {n: F.col(n) for n in names})
+    assert scores["sep"] == math.inf and scores["const"] is None and scores["a"] == scores["b"] == 32.0
+    assert best_positions([scores[n] for n in names]) == [2, 0, 3, 1]
+    table = score_table(spark, scores, names, k=2)
+    assert {r["feature"] for r in table.where("selected").collect()} == {"sep", "a"}
+    assert [r["relevance"] for r in variable_relevance(table).orderBy("relevance").collect()] == [0.0, 100.0]

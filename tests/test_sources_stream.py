@@ -20,12 +20,12 @@ def test_csv_roundtrip_with_dirty_cells(spark, sf_small):
     assert back.where(F.col(ID) == 67).first()["gender"] is None          # 'NA'
 
 
-def test_batch_rejects_short_lines(spark, sf_small):
+def test_batch_keeps_short_and_rejects_long_lines(spark, sf_small):
     path = shared_scratch(spark, "t-batch")
     text = FS.as_text(source_frame(spark, sf_small, "spanish"))
-    FS.write_csv_lines(text, path, short_every=10)
+    FS.write_csv_lines(text, path, short_every=10, long_every=7)
     good, rejects = FS.read_batch(spark, path, columns=text.columns)
-    assert rejects.count() == 15 and good.count() == 135
+    assert rejects.count() == 19 and good.count() == 131                # of the 21 long ones, 2 are short instead
     assert "lifetime_value" in good.columns                      # Spanish headers normalised
 
 
@@ -55,3 +55,45 @@ def test_parquet_scan_with_spanish_headers_and_int_columns(spark, sf_small):
 def test_unreadable_upload_is_reported(spark):
     good, rejects, message = FS.try_read_batch(spark, shared_scratch(spark, "t-nothing") + "/missing.csv")
     assert good is None and rejects is None and message.startswith("could not read")
+
+
+def test_a_folder_with_two_headers_is_read_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("customer_id,Age,Lifetime_Value,Country\n1,30,500,\"a \"\"b\"\" c\"\n2,41\n")
+    (tmp_path / "b.csv").write_text("Valor_Vida_Util,Edad,customer_id\n700,50,3\n")
+    rows = {r[ID]: r for r in FS.read_customers(spark, str(tmp_path)).collect()}
+    assert (rows["1"]["age"], rows["1"]["lifetime_value"], rows["1"]["country"]) == (30.0, 500.0, 'a "b" c')
+    assert (rows["2"]["age"], rows["2"]["lifetime_value"]) == (41.0, None)
+    assert (rows["3"]["age"], rows["3"]["lifetime_value"]) == (50.0, 700.0)
+
+
+def test_only_long_rows_are_rejected(spark, tmp_path):
+    (tmp_path / "u.csv").write_text("customer_id,Edad,Pais\n1,30,x\n2,41\n3,5,y,z\n4,6,w,z,z\n")
+    good, rejects = FS.read_batch(spark, str(tmp_path))
+    assert sorted((r[ID], r["age"], r["country"]) for r in good.collect()) == [("1", 30.0, "x"), ("2", 41.0, None)]
+    assert sorted(r["line"] for r in rejects.collect()) == ["3,5,y,z", "4,6,w,z,z"]
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('customer_id,City\n1,"two\nlines"\n')
+    assert FS.read_customers(spark, str(tmp_path), multi_line=True).first()["city"] == "two\nlines"
+
+
+def test_export_has_every_column_in_order(spark, sf_small):
+    from retentio.plans import portfolio as P
+    path = shared_scratch(spark, "t-export")
+    scored = P.rule_scored(spark, sf_small)
+    FS.write_scored_csv(scored, path)
+    back = spark.read.option("header", True).option("escape", '"').csv(path)
+    assert back.columns == scored.columns and "action" in back.columns
+    files = sorted(spark.read.text(path).inputFiles())
+    got = [float(r["probability"]) for f in files for r in spark.read.option("header", True).csv(f).collect()]
+    assert got == sorted(got, reverse=True) and len(got) == 150
+
+
+def test_a_stream_file_with_another_header_stops_the_query(spark, tmp_path):
+    import pytest
+    from pyspark.errors import StreamingQueryException
+    (tmp_path / "a.csv").write_text("Edad,customer_id\n500,1\n")
+    q = start_scoring_stream(spark, str(tmp_path), ["customer_id", "Age"], shared_scratch(spark, "t-s"), shared_scratch(spark, "t-c"))
+    with pytest.raises(StreamingQueryException):
+        q.awaitTermination()
