@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents, numbered
+from .common import crc_mod, documents
 
 HASH_BITS = 20
 FIT_ROWS = 30_000
@@ -36,7 +36,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 class Hasher:
     """Feature buckets of texts; keeps the hashes of words it has met (bounded)."""
 
-    KEPT = 500_000
+    KEPT = 300_000
 
     def __init__(self, bits: int = HASH_BITS):
         self.shift, self.cache = np.uint64(64 - bits), {}
@@ -144,7 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> DataFrame:
             .mapInArrow(_fit, "bucket long, weight double"))
 
 
-def _scorer(weights):
+def _scorer(weights, below: float | None):
+    """Batches to (doc_id, score), or to their rows scored under ``below``."""
     def run(batches):
         at, values = weights.value
         table = np.zeros((1 << HASH_BITS) + 1)
@@ -159,17 +160,28 @@ def _scorer(weights):
                 key = np.unique(owner[hit].astype(np.int64) << 32 | bucket[hit])     # presence, not count
                 total = np.bincount(key >> 32, table[key & 0xFFFFFFFF], minlength=e - b)
                 score[b:e] = 1 / (1 + np.exp(-np.clip(total + table[-1], -35, 35)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
+            if below is not None:
+                yield batch.filter(pa.array(score < below))
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
     return run
 
 
+def _sent(spark, weights: DataFrame):
+    rows = sorted(weights.collect())              # at most one per bucket
+    return spark.sparkContext.broadcast((np.array([r.bucket for r in rows], np.int64), np.array([r.weight for r in rows])))
+
+
 def score(docs: DataFrame, weights: DataFrame) -> DataFrame:
     """doc_id, score of every row of ``docs(doc_id, text)``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = sorted(weights.collect())              # at most one per bucket
-    sent = docs.sparkSession.sparkContext.broadcast(
-        (np.array([r.bucket for r in rows], np.int64), np.array([r.weight for r in rows])))
-    return docs.select("doc_id", "text").mapInArrow(_scorer(sent), f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(_scorer(_sent(docs.sparkSession, weights), None),
+                                                    f"doc_id {kind}, score double")
+
+
+def below(docs: DataFrame, weights: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a score below ``threshold``, all columns as they are."""
+    return docs.mapInArrow(_scorer(_sent(docs.sparkSession, weights), threshold), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -188,7 +200,4 @@ def op7_toxicity(spark, sf_dir: str) -> DataFrame:
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents predicted toxic go."""
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet").select("doc_id", "toxic")
-    rows, row = numbered(docs, "toxicity-docs")
-    scored = score(rows.select(F.col(row).alias("doc_id"), "text"), fit(rows, labels))
-    kept = scored.filter("score < 0.5").select(F.col("doc_id").alias(row))
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    return below(docs, fit(docs, labels))
