@@ -4,6 +4,7 @@ import hashlib
 import random
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,11 @@ from .helpers import edge_docs, edge_texts
 WORD, BYTE = public_path("word_bpe_49k.json"), public_path("byte_bpe_50k.json")
 
 
+library = lru_cache(Tokenizer.from_file)
+
+
 def ids_of(path, text):
-    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
+    return library(path).encode(text or "", add_special_tokens=False).ids
 
 
 def crc(ids):
@@ -36,19 +40,19 @@ def odd_texts(n):
 def test_word_ids_equal_the_library():
     texts = edge_texts() + odd_texts(600) + ["x <|endoftext|> <|ENDOFTEXT|> y", "don't we'll | a|b || ."]
     ids, counts = encoder(WORD).encode(pa.array(texts, pa.string()))
-    library = Tokenizer.from_file(WORD)
+    known = Tokenizer.from_file(WORD)
     ends = np.cumsum(counts)
     for text, n, end in zip(texts, counts, ends):
-        assert ids[end - n:end].tolist() == library.encode(text or "", add_special_tokens=False).ids
+        assert ids[end - n:end].tolist() == known.encode(text or "", add_special_tokens=False).ids
 
 
 def test_byte_ids_and_decoding_equal_the_library():
     texts = edge_texts() + odd_texts(600)
-    bpe, library = segment_bpe.segment_bpe(BYTE), Tokenizer.from_file(BYTE)
+    bpe, known = segment_bpe.segment_bpe(BYTE), library(BYTE)
     for text, ids in zip(texts, bpe.encode(texts)):
-        expected = library.encode(text or "", add_special_tokens=False).ids
+        expected = known.encode(text or "", add_special_tokens=False).ids
         assert ids == expected
-        assert bpe.decode(ids) == library.decode(expected, skip_special_tokens=False) == (text or "")
+        assert bpe.decode(ids) == known.decode(expected, skip_special_tokens=False) == (text or "")
 
 
 def test_merges_take_the_leftmost_lowest_rank():
@@ -63,10 +67,9 @@ def test_merges_take_the_leftmost_lowest_rank():
 def test_op4_digests_of_odd_rows(spark):
     docs = edge_docs(spark)
     got = sorted(map(tuple, segment_bpe.digests(docs, BYTE).collect()), key=str)
-    library = Tokenizer.from_file(BYTE)
     expected = []
     for row in docs.collect():
-        ids = library.encode(row.text or "", add_special_tokens=False).ids
+        ids = ids_of(BYTE, row.text)
         expected.append((row.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
                          hashlib.sha256((row.text or "").encode()).hexdigest()))
     assert got == sorted(expected, key=str)
