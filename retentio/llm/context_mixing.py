@@ -16,8 +16,10 @@ is broadcast; window and word counts grow with the corpus and stay distributed.
 Scoring is a function of the window, so each task keeps the costs of windows it has met in a table
 of fixed size.
 
-The unigram base keeps word counts distributed as well: each slice of documents sends its distinct
-words to the count table and gets their counts back, grouped by slice.
+One pass reads the texts and writes slices: the distinct words of some megabytes of documents, the
+places of each document's words in them, and packed window counts.  Everything else reads the
+slices.  Word counts stay distributed: each slice sends its distinct words to the count table and
+gets their counts back, so a document's words are never exploded into rows.
 
 Defined edge cases: null or word-less text is its end token alone; null doc_id is not held out;
 repeated rows count and are scored one by one; without training rows the base is that of N = V = 0
@@ -48,6 +50,7 @@ RATE = 0.03
 KNOWN_BITS = 21                    # windows whose costs a task keeps
 SLICE = 4 << 20
 HELD_WINDOWS = 3_000_000
+RUN_TOKENS = 400_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -77,22 +80,43 @@ def _merged(held: list) -> list:
     return [found, *(np.bincount(at, c, minlength=len(found)).astype(np.int64) for c in (rest, apart))]
 
 
-def _count_windows(batches):
-    """Counts of windows, for the documents apart and the rest, combined per task (at most HELD_WINDOWS in memory)."""
-    held: list = []
+class WindowCounter:
+    """Counts of windows, for the documents apart and the rest, with at most HELD_WINDOWS in memory."""
+
+    def __init__(self):
+        self.held: list = []
+
+    def add(self, texts: list[bytes], folds: np.ndarray):
+        learned = [t for t, f in zip(texts, folds) if f != HELD]
+        at, size = 0, 0
+        for i, t in enumerate(learned + [None]):
+            if t is None or size + len(t) > SLICE:
+                if i > at:
+                    key, n = windows(learned[at:i])
+                    apart = np.repeat(folds[folds != HELD][at:i] == APART, n)
+                    self.held.append(_merged([[key, ~apart, apart]]))
+                at, size = i, 0
+            size += len(t or b"")
+        if sum(len(h[0]) for h in self.held) > HELD_WINDOWS:
+            self.held = [_merged(self.held)]
+            if len(self.held[0][0]) > HELD_WINDOWS // 2:
+                yield from self.flush()
+
+    def flush(self):
+        if self.held:
+            key, rest, apart = _merged(self.held)
+            self.held = []
+            for at in range(0, len(key), 1 << 17):
+                yield [c[at:at + (1 << 17)].astype(kind).tobytes() for c, kind in ((key, "<u8"), (rest, "<u4"), (apart, "<u4"))]
+
+
+def _unpacked(batches):
+    """Packed counts to rows (key, rest, apart)."""
     for batch in batches:
-        for part in slices(batch, "text", SLICE):
-            key, size = windows(canonical(part.column("text").to_pylist()))
-            apart = np.repeat(part.column("fold").to_numpy() == APART, size)
-            held.append(_merged([[key, ~apart, apart]]))
-            if sum(len(h[0]) for h in held) > HELD_WINDOWS:
-                held = [_merged(held)]
-                if len(held[0][0]) > HELD_WINDOWS // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (held[0][0].view(np.int64), *held[0][1:])], ["key", "rest", "apart"])
-                    held = []
-    if held:
-        found = _merged(held)
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (found[0].view(np.int64), *found[1:])], ["key", "rest", "apart"])
+        for key, rest, apart in zip(*(batch.column(c).to_pylist() for c in ("keys", "rest", "apart"))):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.frombuffer(key, "<i8")), *(pa.array(np.frombuffer(c, "<u4").astype(np.int64)) for c in (rest, apart))],
+                ["key", "rest", "apart"])
 
 
 # ---------------------------------------------------------------- model
@@ -109,7 +133,7 @@ def _slot(context: np.ndarray, node: np.ndarray) -> np.ndarray:
 
 
 def _slots(batches):
-    """Counts of zeros and ones per order and table slot, combined per task."""
+    """Counts per order and cell (slot and bit), combined per task, packed by blocks of slots."""
     held: list = []
     for batch in batches:
         held.append([batch.column(c).to_numpy() for c in ("key", "rest", "apart")])
@@ -132,9 +156,14 @@ def _slot_counts(held):
             cells.append(_slot(context, node) << 1 | (sym >> np.uint64(bit) & np.uint64(1)).astype(np.int64))
         found, at = np.unique(np.concatenate(cells), return_inverse=True)
         n = [np.bincount(at, np.tile(c, 8), minlength=len(found)).astype(np.int64) for c in (rest, apart)]
+        block = found >> (BLOCK_BITS + 1)
+        starts = np.flatnonzero(np.diff(block, prepend=-1))
+        cuts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(found)]))
+        local = (found & ((2 << BLOCK_BITS) - 1)).astype("<u4")
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(found), order, np.int32)), pa.array(found >> 1), pa.array((found & 1).astype(np.int32)),
-             *map(pa.array, n)], ["order", "slot", "bit", "rest", "apart"])
+            [pa.array(np.full(len(cuts), order, np.int32)), pa.array(block[starts]),
+             *(pa.array([c[x:y].astype("<u4").tobytes() for x, y in cuts], pa.binary()) for c in (local, *n))],
+            ["order", "block", "cells", "rest", "apart"])
 
 
 def state(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -152,25 +181,23 @@ _ODDS = ((np.arange(65536) >> 4) - 2048).astype(np.float32) / 256
 
 def _pack(table: pa.Table) -> pa.Table:
     """Cells of one block of slots, for the first and the final tables."""
-    slot = table.column("slot").to_numpy() & ((1 << BLOCK_BITS) - 1)
+    counts = np.zeros((2, 2 << BLOCK_BITS))
+    for cells, rest, apart in zip(*(table.column(c).to_pylist() for c in ("cells", "rest", "apart"))):
+        at = np.frombuffer(cells, "<u4")
+        counts[0, at] += np.frombuffer(rest, "<u4")
+        counts[1, at] += np.frombuffer(apart, "<u4")
     cells = []
-    z0, o0, z1, o1 = (table.column(c).to_numpy().astype(float) for c in ("z0", "o0", "z1", "o1"))
-    for z, o in ((z0, o0), (z0 + z1, o0 + o1)):
-        block = np.full(1 << BLOCK_BITS, NEUTRAL, np.uint16)
-        block[slot] = state(z, o)
-        cells.append(block.tobytes())
+    for n in (counts[0], counts[0] + counts[1]):
+        zeros, ones = n[::2], n[1::2]
+        cells.append(np.where(zeros + ones > 0, state(zeros, ones), np.uint16(NEUTRAL)).astype("<u2").tobytes())
     return pa.table({"order": table.column("order").slice(0, 1), "block": table.column("block").slice(0, 1),
                      "first": pa.array(cells[:1], pa.binary()), "final": pa.array(cells[1:], pa.binary())})
 
 
 def _tables(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(first, final) cell tables, orders x slots; their size does not depend on the corpus."""
-    cells = (counted.mapInArrow(_slots, "order int, slot long, bit int, rest long, apart long")
-             .groupBy("order", "slot").agg(*(F.sum(F.when(F.col("bit") == bit, F.col(c)).otherwise(0)).alias(name)
-                                             for name, bit, c in (("z0", 0, "rest"), ("o0", 1, "rest"),
-                                                                  ("z1", 0, "apart"), ("o1", 1, "apart"))))
-             .withColumn("block", F.shiftright("slot", BLOCK_BITS)))
-    packed = cells.groupBy("order", "block").applyInArrow(_pack, "order int, block long, first binary, final binary")
+    packed = (counted.mapInArrow(_slots, "order int, block long, cells binary, rest binary, apart binary")
+              .groupBy("order", "block").applyInArrow(_pack, "order int, block long, first binary, final binary"))
     first = np.full((ORDERS, 1 << SLOT_BITS), NEUTRAL, np.uint16)
     final = first.copy()
     for row in packed.toLocalIterator():
@@ -269,11 +296,11 @@ def _map_counts(sent, weights):
     return run
 
 
-def fit(folded: DataFrame) -> Mixer:
-    """Learn from ``folded(text, fold)``, the training documents."""
-    spark = folded.sparkSession
-    counted = written(folded.select("text", "fold").mapInArrow(_count_windows, "key long, rest long, apart long")
-                      .groupBy("key").agg(F.sum("rest").alias("rest"), F.sum("apart").alias("apart")), "windows")
+def fit(packed: DataFrame) -> Mixer:
+    """Learn from packed window counts ``(keys, rest, apart)`` of the training documents."""
+    spark = packed.sparkSession
+    counted = written(packed.mapInArrow(_unpacked, "key long, rest long, apart long")
+                      .groupBy("key").agg(F.sum("rest").alias("rest"), F.sum("apart").alias("apart")), "lm-windows")
     first, final = _tables(counted)
     sent = spark.sparkContext.broadcast(first)
     lesson = counted.filter("apart > 0").select("key", "apart")
@@ -294,105 +321,143 @@ def fit(folded: DataFrame) -> Mixer:
     return mixer
 
 
-def _scores(sent):
-    def run(batches):
-        mixer = Mixer(*sent.value)
-        known = np.full(1 << KNOWN_BITS, np.iinfo(np.uint64).max, np.uint64)
-        costs = np.zeros(1 << KNOWN_BITS)
-        for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                key, size = windows(canonical(part.column("text").to_pylist()))
-                at = (key * _B >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)
-                cost = costs[at]
-                new = np.flatnonzero(known[at] != key)
-                if len(new):
-                    fresh, back = np.unique(key[new], return_inverse=True)
-                    found = np.concatenate([mixer.cost(fresh[i:i + (1 << 14)]) for i in range(0, len(fresh), 1 << 14)])
-                    cost[new] = found[back]
-                    home = (fresh * _B >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)
-                    known[home], costs[home] = fresh, found
-                begin = np.cumsum(size) - size
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), pa.array(-np.add.reduceat(cost, begin)), pa.array(size)], ["row", "score", "n_bytes"])
-    return run
+class WindowCosts:
+    """Costs of windows, kept in a table of fixed size."""
+
+    def __init__(self, mixer: Mixer):
+        self.mixer = mixer
+        self.known = np.full(1 << KNOWN_BITS, np.iinfo(np.uint64).max, np.uint64)
+        self.costs = np.zeros(1 << KNOWN_BITS)
+
+    def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(-log10 probability, bytes) of each text."""
+        key, size = windows(texts)
+        at = (key * _B >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)
+        cost = self.costs[at]
+        new = np.flatnonzero(self.known[at] != key)
+        if len(new):
+            fresh, back = np.unique(key[new], return_inverse=True)
+            found = np.concatenate([self.mixer.cost(fresh[i:i + (1 << 14)]) for i in range(0, len(fresh), 1 << 14)])
+            cost[new] = found[back]
+            home = (fresh * _B >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)
+            self.known[home], self.costs[home] = fresh, found
+        return np.add.reduceat(cost, np.cumsum(size) - size), size
+
+
+_COSTS: dict = {}
+
+
+def window_costs(sent) -> WindowCosts:
+    """One table per worker process and model (``sent`` is its broadcast variable)."""
+    tables = sent.value[0]
+    if _COSTS.get("tables") is not tables:
+        _COSTS.update(tables=tables, costs=WindowCosts(Mixer(*sent.value)))
+    return _COSTS["costs"]
 
 
-# ---------------------------------------------------------------- unigram base
+# ---------------------------------------------------------------- one pass over the texts, one over its slices
+
+SLICED = ("kind int, slice long, doc_id {doc_id}, fold int, places binary, words array<string>, learned array<long>, "
+          "keys binary, rest binary, apart binary")
+WORDS, DOCUMENT, WINDOWS = 0, 1, 2
+
 
 def _sliced(batches):
-    """One row per slice with its distinct words and their training counts, one row per document with places in it."""
+    """Per slice of documents one row of its distinct words with their training counts, per document one row with the
+    places of its words in it; and packed window counts."""
     from pyspark import TaskContext
-    pid, number = TaskContext.get().partitionId(), 0
+    pid, number, counter, ids = TaskContext.get().partitionId(), 0, WindowCounter(), None
+
+    def rows(kind, n, **columns):
+        types = {"kind": pa.int32(), "slice": pa.int64(), "doc_id": ids, "fold": pa.int32(), "places": pa.binary(),
+                 "words": pa.list_(pa.string()), "learned": pa.list_(pa.int64()), "keys": pa.binary(), "rest": pa.binary(),
+                 "apart": pa.binary()}
+        columns["kind"] = [kind] * n
+        return pa.RecordBatch.from_arrays(
+            [columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns.get(c, [None] * n), t)
+             for c, t in types.items()], list(types))
+
     for batch in batches:
-        for part in slices(batch, "text", 4 * SLICE):
-            texts = [t[:-1] for t in canonical(part.column("text").to_pylist())]
-            size = np.array([t.count(b" ") + 1 if t else 0 for t in texts], np.int64)
-            words = pc.split_pattern(pa.array([b" ".join(t for t in texts if t)], pa.large_binary()).cast(pa.large_string()), " ").flatten()
-            words = words.dictionary_encode() if size.sum() else pa.array([], pa.string()).dictionary_encode()
+        ids = batch.schema.field("doc_id").type
+        for part in slices(batch, "text", 2 * SLICE):
+            texts, folds = canonical(part.column("text").to_pylist()), part.column("fold").to_numpy()
+            for packed in counter.add(texts, folds):
+                yield rows(WINDOWS, 1, **{c: [x] for c, x in zip(("keys", "rest", "apart"), packed)})
+            size = np.array([t.count(b" ") + (len(t) > 1) for t in texts], np.int64)
+            joined = b" ".join(t[:-1] for t in texts if len(t) > 1)
+            words = pc.split_pattern(pa.array([joined], pa.large_binary()).cast(pa.large_string()), " ").flatten()
+            words = (words if len(joined) else words.slice(0, 0)).dictionary_encode()
             at = words.indices.to_numpy(zero_copy_only=False).astype("<i4")
-            learns = part.column("fold").to_numpy() != HELD
-            n = np.bincount(at[np.repeat(learns, size)], minlength=len(words.dictionary)).astype(np.int64)
-            ends = np.cumsum(size).tolist()
-            raw, rows, slice_id = at.tobytes(), part.num_rows, pid << 32 | number
+            n = np.bincount(at[np.repeat(folds != HELD, size)], minlength=len(words.dictionary)).astype(np.int64)
+            ends, raw, slice_id = np.cumsum(size).tolist(), at.tobytes(), pid << 32 | number
             number += 1
-            packed = [raw[4 * (e - s):4 * e] for s, e in zip(size.tolist(), ends)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([slice_id] * (rows + 1)), pa.array([None, *part.column("row").to_pylist()], pa.int64()),
-                 pa.array([None, *packed], pa.binary()),
-                 pa.array([words.dictionary.to_pylist(), *[None] * rows], pa.list_(pa.string())),
-                 pa.array([n.tolist(), *[None] * rows], pa.list_(pa.int64()))],
-                ["slice", "row", "places", "words", "learned"])
+            yield rows(WORDS, 1, slice=[slice_id], words=[words.dictionary.to_pylist()], learned=[n.tolist()])
+            yield rows(DOCUMENT, part.num_rows, slice=[slice_id] * part.num_rows, doc_id=part.column("doc_id"),
+                       fold=part.column("fold"), places=[raw[4 * (e - s):4 * e] for s, e in zip(size.tolist(), ends)])
+    for packed in counter.flush():
+        yield rows(WINDOWS, 1, **{c: [x] for c, x in zip(("keys", "rest", "apart"), packed)})
 
 
-def _base(neutral: float, end: float):
-    """Base sums of a slice's documents; ``end``: log10 of the end token's count plus one."""
+def _scored(sent, neutral: float, end: float):
+    """Scores of a slice's documents; ``end``: log10 of the end token's count plus one."""
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        model = window_costs(sent)
+        word = np.empty(len(words), object)
         count = np.zeros(len(words), np.int64)
-        count[words.column("pos").to_numpy()] = words.column("c").to_numpy()
+        pos = words.column("pos").to_numpy()
+        word[pos] = [w.encode("utf-8", "replace") for w in words.column("word").to_pylist()]
+        count[pos] = words.column("c").to_numpy()
         gain, known = np.log10(count + 1.0), count > 0
-        out = []
-        for row, raw in zip(docs.column("row").to_pylist(), docs.column("places").to_pylist()):
-            at = np.frombuffer(raw, "<i4")
-            n = len(at) + 1
-            out.append((row, n, int(known[at].sum()) + (end > 0), float(gain[at].sum()) + end - n * neutral))
-        return pa.table(dict(zip(("row", "n_tokens", "n_known", "base_score"), map(list, zip(*out)))) if out else
-                        {"row": [], "n_tokens": [], "n_known": [], "base_score": []},
-                        schema=pa.schema([("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                                          ("base_score", pa.float64())]))
+        places = [np.frombuffer(p, "<i4") for p in docs.column("places").to_pylist()]
+        tokens = np.array([len(p) + 1 for p in places], np.int64)
+        seen = [int(known[p].sum()) + (end > 0) for p in places]
+        base = [float(gain[p].sum()) + end - n * neutral for p, n in zip(places, tokens.tolist())]
+        cost, size = [np.zeros(0)], [np.zeros(0, np.int64)]
+        for at, to in _runs(tokens):
+            c, n = model.texts([b" ".join(word[p].tolist()) + b"\n" for p in places[at:to]])
+            cost.append(c)
+            size.append(n)
+        cost, size = np.concatenate(cost), np.concatenate(size)
+        fold = docs.column("fold").to_numpy()
+        return pa.table({"doc_id": docs.column("doc_id"), "held_out": pa.array(fold == HELD), "n_tokens": pa.array(tokens),
+                         "n_known": pa.array(seen, pa.int64()), "base_score": pa.array(base, pa.float64()),
+                         "score": pa.array(-cost), "bits_per_byte": pa.array(cost * np.log2(10) / np.maximum(size, 1))})
     return run
 
 
-def unigram(numbered: DataFrame) -> tuple[DataFrame, int]:
-    """(row, n_tokens, n_known, base_score) of ``numbered(row, text, fold)``, and the number of training tokens."""
-    sliced = written(numbered.mapInArrow(
-        _sliced, "slice long, row long, places binary, words array<string>, learned array<long>"), "lm-slices")
-    found = (sliced.filter("words IS NOT NULL").select("slice", F.posexplode(F.arrays_zip("words", "learned")))
-             .select("slice", "pos", F.col("col.words").alias("word"), F.col("col.learned").alias("n")))
-    counts = written(found.filter("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
-    words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ends = numbered.filter(F.col("fold") != HELD).count()
-    total, distinct = words + ends, distinct + (ends > 0)
-    known = found.join(counts, "word", "left").select(F.col("slice").alias("part"), "pos", F.coalesce("c", F.lit(0)).alias("c"))
-    base = (sliced.filter("row IS NOT NULL").select("slice", "row", "places").groupBy("slice")
-            .cogroup(known.groupBy("part"))
-            .applyInArrow(_base(float(np.log10(total + distinct + 1)), float(np.log10(ends + 1))),
-                          "row long, n_tokens long, n_known long, base_score double"))
-    return base, total
+def _runs(tokens: np.ndarray):
+    """Ranges of documents of about RUN_TOKENS tokens."""
+    at, total = 0, 0
+    for i, n in enumerate(tokens.tolist()):
+        if i > at and total + n > RUN_TOKENS:
+            yield at, i
+            at, total = i, 0
+        total += n
+    if len(tokens) > at:
+        yield at, len(tokens)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
+    kind = docs.schema["doc_id"].dataType.simpleString()
     fold = F.coalesce(crc_mod(F.col("doc_id"), FOLDS), F.lit(0)).cast("int")
-    numbered = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", fold.alias("fold")), "lm-docs")
-    mixer = fit(numbered.filter(F.col("fold") != HELD))
-    base, total = unigram(numbered.select("row", "text", "fold"))
+    sliced = written(docs.select("doc_id", "text", fold.alias("fold")).mapInArrow(_sliced, SLICED.format(doc_id=kind)), "lm-slices")
+    mixer = fit(sliced.filter(F.col("kind") == WINDOWS).select("keys", "rest", "apart"))
+    found = (sliced.filter(F.col("kind") == WORDS).select("slice", F.posexplode(F.arrays_zip("words", "learned")))
+             .select(F.col("slice").alias("part"), "pos", F.col("col.words").alias("word"), F.col("col.learned").alias("n")))
+    counts = written(found.filter("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
+    words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    texts = sliced.filter(F.col("kind") == DOCUMENT).select("slice", "doc_id", "fold", "places")
+    ends = texts.filter(F.col("fold") != HELD).count()
+    total, distinct = words + ends, distinct + (ends > 0)
+    known = found.join(counts, "word", "left").select("part", "pos", "word", F.coalesce("c", F.lit(0)).alias("c"))
     sent = spark.sparkContext.broadcast((mixer.tables, mixer.weights, mixer.refined))
-    scored = numbered.select("row", "text").mapInArrow(_scores(sent), "row long, score double, n_bytes long")
-    return (numbered.select("row", "doc_id", (F.col("fold") == HELD).alias("held_out"))
-            .join(base, "row").join(scored, "row")
-            .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score",
-                    (-F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte")))
+    scored = texts.groupBy("slice").cogroup(known.groupBy("part")).applyInArrow(
+        _scored(sent, float(np.log10(total + distinct + 1)), float(np.log10(ends + 1))),
+        f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+                         "base_score", "score", "bits_per_byte")
 
 
 def op2_context_mixing(spark, sf_dir: str) -> DataFrame:
