@@ -28,6 +28,8 @@ and every bit has its neutral estimate; an empty table gives no rows; other colu
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -48,8 +50,8 @@ ROUNDS = 3
 BATCH = 4096
 RATE = 0.03
 KNOWN_BITS = 21                    # windows whose costs a task keeps
-SLICE = 4 << 20
-HELD_WINDOWS = 3_000_000
+SLICE = 2 << 20
+HELD_WINDOWS = 2_000_000
 RUN_TOKENS = 400_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -265,9 +267,24 @@ class Mixer:
         return out
 
 
+def compressed(tables: np.ndarray) -> bytes:
+    """Tables as they are broadcast: most cells of a small corpus are empty, and every executor keeps a copy on disk."""
+    return zlib.compress(tables.tobytes(), 1)
+
+
+_TABLES: dict = {}
+
+
+def tables_of(packed: bytes) -> np.ndarray:
+    """Tables of a broadcast value, unpacked once per worker process."""
+    if _TABLES.get("packed") is not packed:
+        _TABLES.update(packed=packed, tables=np.frombuffer(zlib.decompress(packed), np.uint16).reshape(ORDERS, -1))
+    return _TABLES["tables"]
+
+
 def _train(sent, weights):
     def run(batches):
-        mixer, seen = Mixer(sent.value, weights), 0
+        mixer, seen = Mixer(tables_of(sent.value), weights), 0
         for batch in batches:
             key, count = batch.column("key").to_numpy().view(np.uint64), batch.column("apart").to_numpy()
             mixer.learn(key, count)
@@ -280,7 +297,7 @@ def _train(sent, weights):
 
 def _map_counts(sent, weights):
     def run(batches):
-        mixer = Mixer(sent.value, weights)
+        mixer = Mixer(tables_of(sent.value), weights)
         total = np.zeros((2, MAP_CONTEXTS * MAP_STEPS))
         for batch in batches:
             key, count = batch.column("key").to_numpy().view(np.uint64), batch.column("apart").to_numpy()
@@ -302,7 +319,8 @@ def fit(packed: DataFrame) -> Mixer:
     counted = written(packed.mapInArrow(_unpacked, "key long, rest long, apart long")
                       .groupBy("key").agg(F.sum("rest").alias("rest"), F.sum("apart").alias("apart")), "lm-windows")
     first, final = _tables(counted)
-    sent = spark.sparkContext.broadcast(first)
+    sent = spark.sparkContext.broadcast(compressed(first))
+    del first
     lesson = counted.filter("apart > 0").select("key", "apart")
     mixer = Mixer(final)
     for _ in range(ROUNDS):
@@ -317,7 +335,7 @@ def fit(packed: DataFrame) -> Mixer:
     for r in found:
         zeros[r.place], ones[r.place] = r.zeros, r.ones
     mixer.refined = np.append((ones + MAP_PRIOR * base) / (zeros + ones + MAP_PRIOR), 0.5)
-    sent.unpersist()
+    sent.destroy()
     return mixer
 
 
@@ -349,9 +367,9 @@ _COSTS: dict = {}
 
 def window_costs(sent) -> WindowCosts:
     """One table per worker process and model (``sent`` is its broadcast variable)."""
-    tables = sent.value[0]
-    if _COSTS.get("tables") is not tables:
-        _COSTS.update(tables=tables, costs=WindowCosts(Mixer(*sent.value)))
+    packed, weights, refined = sent.value
+    if _COSTS.get("packed") is not packed:
+        _COSTS.update(packed=packed, costs=WindowCosts(Mixer(tables_of(packed), weights, refined)))
     return _COSTS["costs"]
 
 
@@ -379,7 +397,7 @@ def _sliced(batches):
 
     for batch in batches:
         ids = batch.schema.field("doc_id").type
-        for part in slices(batch, "text", 2 * SLICE):
+        for part in slices(batch, "text", 4 * SLICE):
             texts, folds = canonical(part.column("text").to_pylist()), part.column("fold").to_numpy()
             for packed in counter.add(texts, folds):
                 yield rows(WINDOWS, 1, **{c: [x] for c, x in zip(("keys", "rest", "apart"), packed)})
@@ -452,7 +470,7 @@ def score(docs: DataFrame) -> DataFrame:
     ends = texts.filter(F.col("fold") != HELD).count()
     total, distinct = words + ends, distinct + (ends > 0)
     known = found.join(counts, "word", "left").select("part", "pos", "word", F.coalesce("c", F.lit(0)).alias("c"))
-    sent = spark.sparkContext.broadcast((mixer.tables, mixer.weights, mixer.refined))
+    sent = spark.sparkContext.broadcast((compressed(mixer.tables), mixer.weights, mixer.refined))
     scored = texts.groupBy("slice").cogroup(known.groupBy("part")).applyInArrow(
         _scored(sent, float(np.log10(total + distinct + 1)), float(np.log10(ends + 1))),
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
