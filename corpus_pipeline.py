@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from retentio.llm.common import documents, written
 from retentio.llm.hilbert_pack import pack
 from retentio.llm.line_quality import drop_poor
+from retentio.llm.queries import shipped
 from retentio.llm.simhash import keep_first
 from retentio.llm.token_ids import public_path
 from retentio.llm.toxicity import drop_toxic
@@ -35,6 +36,7 @@ STAGES = [
     ("near-duplicates", keep_first),
     ("packing", packing),
 ]
+STAGES = [(name, shipped(stage)) for name, stage in STAGES]
 ORACLE_SQL = None
 
 

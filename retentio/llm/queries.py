@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from .common import ship
 from .context_mixing import op2_context_mixing
 from .hilbert_pack import op3_hilbert_pack
 from .license_scan import OP10_SQL, op10_license_scan
@@ -13,6 +16,16 @@ from .token_records import op9_token_records
 from .toxicity import op7_toxicity
 from .url_filter import OP5_SQL, op5_url_filter
 
+
+def shipped(query):
+    """The query, with this package at hand for its Python workers."""
+    @wraps(query)
+    def run(spark, *args):
+        ship(spark)
+        return query(spark, *args)
+    return run
+
+
 QUERIES = {
     "op1_nn_descent": op1_nn_descent,
     "op2_context_mixing": op2_context_mixing,
@@ -25,6 +38,7 @@ QUERIES = {
     "op9_token_records": op9_token_records,
     "op10_license_scan": op10_license_scan,
 }
+QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
 ORACLE = {
     "op5_url_filter": OP5_SQL,
     "op8_line_quality": OP8_SQL,
