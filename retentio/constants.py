@@ -83,9 +83,9 @@ NULL_TOKENS = [
 ]
 
 # FIXED VALUES — derived columns.
-BINARY = ["uses_app", "has_credit"]
+BINARY_COLUMNS = ["uses_app", "has_credit"]
 DERIVED_CATEGORICAL = ["age_group", "purchase_segment", "recency_segment", "ltv_segment"]
-NUMERIC = BASE_NUMERIC + BINARY
+NUMERIC = BASE_NUMERIC + BINARY_COLUMNS
 CATEGORICAL = ["gender", "country", "signup_quarter", "payment_method_diversity"] + DERIVED_CATEGORICAL
 PREDICTION_COLUMNS = NUMERIC + CATEGORICAL
 SELECTED_FEATURES_K = 35
@@ -114,7 +114,6 @@ CAP_COLUMNS = [
     "social_engagement_score",
     "mobile_app_usage",
 ]
-BINARY_COLUMNS = ["uses_app", "has_credit"]
 NOMINAL_COLUMNS = ["gender", "country", "signup_quarter", "age_group", "payment_method_diversity"]
 ORDINAL_COLUMNS = ["recency_segment", "ltv_segment", "purchase_segment"]
 ORDINAL_LEVELS = {
@@ -122,11 +121,11 @@ ORDINAL_LEVELS = {
     "ltv_segment": ["low", "medium", "high", "very_high"],
     "purchase_segment": ["occasional", "regular", "frequent", "vip"],
 }
-# Group prefixes used in transformed feature names ("group__column[_level]").
+# FIXED VALUES — group prefixes used in transformed feature names ("group__column[_level]").
 GROUP_LOG, GROUP_CAP, GROUP_BINARY, GROUP_NOMINAL, GROUP_ORDINAL = (
     "num_log", "num_cap", "binary", "cat_nom", "cat_ord",
 )
-# Legacy profile groups: all numerics with median + robust scaling, all categoricals one-hot.
+# FIXED VALUES — legacy profile groups: all numerics with median + robust scaling, all categoricals one-hot.
 LEGACY_GROUP_NUMERIC, LEGACY_GROUP_CATEGORICAL = "num", "cat"
 
 # FIXED VALUES — validity rules.

@@ -209,22 +209,6 @@ class ChurnPreprocessorModel(Model, _Profile, DefaultParamsReadable, DefaultPara
         arr = F.array(*[F.struct(F.lit(n).alias("feature"), e.alias("value")) for n, e in cols.items()])
         return df.select(F.col(key), F.explode(arr).alias("f")).select(key, "f.feature", "f.value")
 
-    def fit_table(self, spark) -> DataFrame:
-        """Fitted statistics as rows (variable, stat, value) — constant size."""
-        s = self.fitted
-        rows = []
-        for c, p in s["numeric"].items():
-            for k in ("fill", "skew", "mean", "median", "lo", "hi", "center", "scale"):
-                if k in p:
-                    rows.append((c, k, None if p[k] is None else float(p[k]), None))
-            rows.append((c, "strategy", None, p["strategy"]))
-        for grp in ("binary", "nominal", "ordinal"):
-            for c, p in s[grp].items():
-                rows.append((c, "fill", None, None if p["fill"] is None else str(p["fill"])))
-                for i, lv in enumerate(p.get("levels", []) if grp != "binary" else []):
-                    rows.append((c, f"level_{i}", float(i), lv))
-        return spark.createDataFrame(rows, "variable string, stat string, value double, text string")
-
 
 # --- standalone column-group stages (the individual fit/transform classes) -------------------
 

@@ -258,10 +258,10 @@ def class_box(df: DataFrame, column: str, method: str = "exact") -> DataFrame:
 
 
 def scatter_extract(scored: DataFrame, x: str, y: str, color: str, hover: list[str],
-                    n: int = SCATTER_SAMPLE_ROWS) -> DataFrame:
-    """Sampled projection of the chosen chart columns."""
+                    n: int | None = SCATTER_SAMPLE_ROWS) -> DataFrame:
+    """Projection of the chosen chart columns, of a sample or (``n`` = None) of all rows."""
     from .sampling import sample_rows
-    return sample_rows(scored, n).select(ID, x, y, color, *hover)
+    return (scored if n is None else sample_rows(scored, n)).select(ID, x, y, color, *hover)
 
 
 PRIORITY = ["probability", "risk_level", "decision"]

@@ -257,8 +257,3 @@ def moments(df: DataFrame, columns: list[str]) -> dict[str, dict]:
             skew = g1 * math.sqrt(n * (n - 1)) / (n - 2)
         out[c] = {"n": n, "mean": mean, "skew": skew, "rows": row["_rows"]}
     return out
-
-
-def quantile_table(spark, values: dict[tuple[str, float], float | None], value_name: str = "value"):
-    rows = [(c, float(q), None if v is None else float(v)) for (c, q), v in values.items()]
-    return spark.createDataFrame(rows, f"column string, q double, {value_name} double")
