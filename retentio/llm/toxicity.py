@@ -28,7 +28,7 @@ HASH_BITS = 20
 FIT_ROWS = 30_000
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2.0, 1.0
-SLICE_CHARS = 4 << 20
+SLICE_CHARS = 1 << 20
 _EDGE = b".,;:!?\"'()[]{}<>*-"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
