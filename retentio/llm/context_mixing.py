@@ -49,10 +49,10 @@ GATE = ORDERS * 16 * ORDERS        # weights of a gate: order, its confidence, t
 ROUNDS = 3
 BATCH = 4096
 RATE = 0.03
-KNOWN_BITS = 21                    # windows whose costs a task keeps
+KNOWN_BITS = 20                    # windows whose costs a task keeps
 SLICE = 2 << 20
 HELD_WINDOWS = 2_000_000
-RUN_TOKENS = 400_000
+RUN_TOKENS = 120_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -77,9 +77,12 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _merged(held: list) -> list:
+    """Counts summed by key, keys ascending."""
     key, rest, apart = (np.concatenate(c) for c in zip(*held))
-    found, at = np.unique(key, return_inverse=True)
-    return [found, *(np.bincount(at, c, minlength=len(found)).astype(np.int64) for c in (rest, apart))]
+    order = np.argsort(key)
+    key = key[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return [key[starts], *(np.add.reduceat(c[order], starts, dtype=np.uint32) for c in (rest, apart))]
 
 
 class WindowCounter:
@@ -385,6 +388,8 @@ def _sliced(batches):
     places of its words in it; and packed window counts."""
     from pyspark import TaskContext
     pid, number, counter, ids = TaskContext.get().partitionId(), 0, WindowCounter(), None
+    _TABLES.clear()            # a model that an earlier query left in this worker
+    _COSTS.clear()
 
     def rows(kind, n, **columns):
         types = {"kind": pa.int32(), "slice": pa.int64(), "doc_id": ids, "fold": pa.int32(), "places": pa.binary(),
