@@ -402,7 +402,7 @@ def _sliced(batches):
 
     for batch in batches:
         ids = batch.schema.field("doc_id").type
-        for part in slices(batch, "text", 4 * SLICE):
+        for part in slices(batch, "text", 6 * SLICE):
             texts, folds = canonical(part.column("text").to_pylist()), part.column("fold").to_numpy()
             for packed in counter.add(texts, folds):
                 yield rows(WINDOWS, 1, **{c: [x] for c, x in zip(("keys", "rest", "apart"), packed)})
@@ -423,13 +423,13 @@ def _sliced(batches):
 
 def _scored(sent, neutral: float, end: float):
     """Scores of a slice's documents; ``end``: log10 of the end token's count plus one."""
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
         model = window_costs(sent)
-        word = np.empty(len(words), object)
-        count = np.zeros(len(words), np.int64)
-        pos = words.column("pos").to_numpy()
-        word[pos] = [w.encode("utf-8", "replace") for w in words.column("word").to_pylist()]
-        count[pos] = words.column("c").to_numpy()
+        [words] = docs.column("words").drop_null().to_pylist()
+        docs = docs.filter(docs.column("places").is_valid())
+        word, count = np.empty(len(words), object), np.zeros(len(words), np.int64)
+        word[:] = [w.encode("utf-8", "replace") for w in words]
+        count[counts.column("pos").to_numpy()] = counts.column("c").to_numpy()
         gain, known = np.log10(count + 1.0), count > 0
         places = [np.frombuffer(p, "<i4") for p in docs.column("places").to_pylist()]
         tokens = np.array([len(p) + 1 for p in places], np.int64)
@@ -465,16 +465,16 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     fold = F.coalesce(crc_mod(F.col("doc_id"), FOLDS), F.lit(0)).cast("int")
-    sliced = written(docs.select("doc_id", "text", fold.alias("fold")).mapInArrow(_sliced, SLICED.format(doc_id=kind)), "lm-slices")
+    sliced = written(docs.select("doc_id", "text", fold.alias("fold")).mapInArrow(_sliced, SLICED.format(doc_id=kind)), "lm-slices", compression="zstd")
     mixer = fit(sliced.filter(F.col("kind") == WINDOWS).select("keys", "rest", "apart"))
     found = (sliced.filter(F.col("kind") == WORDS).select("slice", F.posexplode(F.arrays_zip("words", "learned")))
              .select(F.col("slice").alias("part"), "pos", F.col("col.words").alias("word"), F.col("col.learned").alias("n")))
     counts = written(found.filter("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
     words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    texts = sliced.filter(F.col("kind") == DOCUMENT).select("slice", "doc_id", "fold", "places")
-    ends = texts.filter(F.col("fold") != HELD).count()
+    texts = sliced.filter(F.col("kind") != WINDOWS).select("slice", "doc_id", "fold", "places", "words")
+    ends = sliced.filter((F.col("kind") == DOCUMENT) & (F.col("fold") != HELD)).count()
     total, distinct = words + ends, distinct + (ends > 0)
-    known = found.join(counts, "word", "left").select("part", "pos", "word", F.coalesce("c", F.lit(0)).alias("c"))
+    known = found.join(counts, "word", "left").select("part", "pos", F.coalesce("c", F.lit(0)).alias("c"))
     sent = spark.sparkContext.broadcast((compressed(mixer.tables), mixer.weights, mixer.refined))
     scored = texts.groupBy("slice").cogroup(known.groupBy("part")).applyInArrow(
         _scored(sent, float(np.log10(total + distinct + 1)), float(np.log10(ends + 1))),
