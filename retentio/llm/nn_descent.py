@@ -7,9 +7,10 @@
    code is spread over tasks.
 3. Descent: each node's neighbours and reverse neighbours (nearest ``2 K``) are compared with
    one another, improvements enter the lists, until few change.
-4. Lists whose last entry still is a link are saturated: they are enlarged and descent goes on.
-   Nodes saturated beyond ``WIDE`` have the degrees of their whole component counted exactly in
-   blocks of ``BLOCK`` vectors; blocks emit counts per vector, never pairs.
+4. Lists whose last entry still is a link are saturated and tell nothing of the links beyond
+   them: such nodes are compared with every node of their label in pairs of blocks of about
+   ``BLOCK`` vectors.  A pair of blocks emits a count per vector and the trees of its links, never
+   its pairs.
 5. Recall is audited against brute force for a bounded sample of nodes over all rows; below
    ``RECALL`` another round of planes and descent is added.
 6. Entries with cosine >= ``threshold`` are the links; :mod:`.components` joins them.
@@ -34,7 +35,6 @@ from .common import written
 
 THRESHOLD = 0.93
 NEAREST = 8              # list length
-WIDE = 32                # enlarged list length
 RUN = 128
 ROUNDS = 5               # codings of the first graph
 DESCENTS = 4
@@ -148,22 +148,18 @@ def _local_joins(batches):
                 [pa.array(node[place[c, i]]), pa.array(node[place[c, j]]), pa.array(sims[c, i, j])], ["a", "b", "sim"])
 
 
-def _lists(edges: DataFrame, wide: DataFrame | None, k: int) -> DataFrame:
-    """Best entries per node: ``k``, or WIDE for the nodes in ``wide``."""
-    best = (edges.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh")))
+def _lists(edges: DataFrame) -> DataFrame:
+    """Best entries per node."""
+    best = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
     ranked = best.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("sim", "b", "fresh")), asc=False).alias("near"))
-    if wide is None:
-        return ranked.select("a", F.lit(k).alias("k"), F.slice("near", 1, k).alias("near"))
-    return (ranked.join(wide.withColumnRenamed("node", "a"), "a", "left")
-            .withColumn("k", F.when(F.col("wide").isNotNull(), WIDE).otherwise(k))
-            .select("a", "k", F.expr("slice(near, 1, k)").alias("near")))
+    return ranked.select("a", F.slice("near", 1, NEAREST).alias("near"))
 
 
 def _edges(graph: DataFrame) -> DataFrame:
     return graph.select("a", F.inline("near")).select("a", "b", "sim", "fresh")
 
 
-def _descend(nodes: DataFrame, graph: DataFrame, wide: DataFrame | None, k: int) -> DataFrame:
+def _descend(nodes: DataFrame, graph: DataFrame) -> DataFrame:
     """Neighbours-of-neighbours joins until the lists settle; ``fresh`` marks entries not yet joined."""
     for _ in range(DESCENTS):
         one = _edges(graph)
@@ -171,50 +167,63 @@ def _descend(nodes: DataFrame, graph: DataFrame, wide: DataFrame | None, k: int)
                 .groupBy("a", "b").agg(F.max("sim").alias("sim"), F.max("fresh").alias("fresh")))
         order = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
         member = (both.withColumn("place", F.row_number().over(order))
-                  .join(graph.select("a", "k"), "a").filter("place <= 2 * k")
+                  .filter(F.col("place") <= 2 * NEAREST)
                   .select(F.col("a").alias("centre"), F.col("b").alias("node"), "fresh"))
         busy = member.groupBy("centre").agg(F.max("fresh").alias("any")).filter("any").select("centre")
         floor = graph.select(F.col("a").alias("node"),
-                             F.when(F.size("near") < F.col("k"), -1.0).otherwise(F.element_at("near", -1)["sim"]).alias("floor"))
+                             F.when(F.size("near") < NEAREST, -1.0).otherwise(F.element_at("near", -1)["sim"]).alias("floor"))
         found = (member.join(busy, "centre", "left_semi")
                  .join(nodes.select("node", "unit").join(floor, "node", "left").na.fill(-1.0, ["floor"]), "node")
                  .groupBy("centre").agg(F.collect_list(F.struct("node", "unit", "floor", "fresh")).alias("members"))
                  .select("members").mapInArrow(_local_joins, "a long, b long, sim double"))
         joined = one.withColumn("fresh", F.lit(False)).union(found.withColumn("fresh", F.lit(True)))
-        graph = written(_lists(joined, wide, k), "descent")
+        graph = written(_lists(joined), "descent")
         total, changed = _edges(graph).agg(F.count("*"), F.count_if("fresh")).first()
         if changed <= SETTLED * total:
             break
     return graph
 
 
-def _pair_counts(threshold: float):
-    """Weighted link counts inside one pair of blocks."""
+def _block_links(threshold: float):
+    """Of one pair of blocks (chosen nodes, nodes): each node's weighted links, counted at chosen nodes in full and at
+    the others to chosen ones, and the least node it is joined to inside the pair."""
+    none = np.iinfo(np.int64).max
+
     def run(table: pa.Table) -> pa.Table:
         node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
-        part, left, right = (table.column(c).to_numpy() for c in ("part", "i", "j"))
+        chosen, left = (table.column(c).to_numpy() for c in ("chosen", "left"))
         u = _unit(table.column("unit").to_pylist())
-        x, y = part == left, part == right
-        near = (u[x] @ u[y].T) >= threshold
-        if left[0] == right[0]:
-            np.fill_diagonal(near, False)
-            return pa.table({"node": node[x], "links": near @ copies[y]})
-        return pa.table({"node": np.concatenate([node[x], node[y]]),
-                         "links": np.concatenate([near @ copies[y], near.T @ copies[x]])})
+        x, y = np.flatnonzero(left), np.flatnonzero(~left)
+        near = (u[x] @ u[y].T >= threshold) & (node[x][:, None] != node[y][None, :])
+        low, high = node[x], node[y]
+        while True:
+            new = np.minimum(low, np.where(near, high[None, :], none).min(1, initial=none))
+            newer = np.minimum(high, np.where(near, new[:, None], none).min(0, initial=none))
+            if (new == low).all() and (newer == high).all():
+                break
+            low, high = new, newer
+        links = np.concatenate([near @ copies[y], np.where(chosen[y], 0, near.T @ copies[x])])
+        return pa.table({"node": np.concatenate([node[x], node[y]]), "links": links, "root": np.concatenate([low, high])})
     return run
 
 
-def _dense_counts(nodes: DataFrame, member: DataFrame, threshold: float) -> DataFrame:
-    """Exact degrees (node, links) of the nodes of ``member(node, component)``, by pairs of blocks."""
-    sizes = member.groupBy("component").agg(F.count("*").alias("m"))
-    parts = member.join(sizes, "component").select(
-        "node", "component", F.ceil(F.col("m") / BLOCK).cast("long").alias("parts"))
-    parts = parts.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    rows = (parts.withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
-            .select("node", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-            .join(nodes.select("node", "unit", "copies"), "node"))
-    return (rows.groupBy("component", "i", "j")
-            .applyInArrow(_pair_counts(threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links")))
+def _exact_links(nodes: DataFrame, chosen: DataFrame, threshold: float) -> DataFrame:
+    """(node, links, root) of all pairs of blocks between the ``chosen(node)`` and every node of their label: the sum of
+    ``links`` is the degree of a chosen node and the links to chosen nodes of another; (node, root) join what is linked."""
+    key = ["label", "size"]
+    named = (nodes.join(chosen.select("node", F.lit(True).alias("chosen")), "node", "left")
+             .select("node", "label", F.length("unit").alias("size"), "unit", "copies",
+                     F.coalesce("chosen", F.lit(False)).alias("chosen")))
+    groups = (named.groupBy(*key).agg(F.count_if("chosen").alias("picked"), F.count("*").alias("m")).filter("picked > 0")
+              .select(*key, *(F.ceil(F.col(c) / BLOCK).cast("long").alias(n) for c, n in (("picked", "lefts"), ("m", "rights")))))
+    rows = named.join(groups, key)
+    columns = [*key, "node", "unit", "copies", "chosen"]
+    lefts = rows.filter("chosen").select(*columns, F.lit(True).alias("left"), F.pmod(F.xxhash64("node"), "lefts").alias("i"),
+                                         F.explode(F.expr("sequence(0L, rights - 1)")).alias("j"))
+    rights = rows.select(*columns, F.lit(False).alias("left"), F.explode(F.expr("sequence(0L, lefts - 1)")).alias("i"),
+                         F.pmod(F.xxhash64("node"), "rights").alias("j"))
+    return (lefts.union(rights.select(*lefts.columns)).groupBy(*key, "i", "j")
+            .applyInArrow(_block_links(threshold), "node long, links long, root long"))
 
 
 def _audit(nodes: DataFrame, degrees: DataFrame, threshold: float) -> float:
@@ -268,30 +277,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, seed: int
                  .mapInArrow(_runs(NEAREST), "a long, b long, sim double").withColumn("fresh", F.lit(True)))
         if graph is not None:
             first = first.union(_edges(graph).withColumn("fresh", F.lit(False)))
-        graph = written(_lists(first, None, NEAREST), "first-graph")
-        graph = _descend(nodes, graph, None, NEAREST)
-
-        def saturated(g):
-            return g.filter((F.size("near") >= F.col("k")) & (F.element_at("near", -1)["sim"] >= threshold))
-
-        wide = written(saturated(graph).select(F.col("a").alias("node"), F.lit(True).alias("wide")), "wide")
-        if not wide.isEmpty():
-            again = _edges(graph).join(wide.select(F.col("node").alias("a"), "wide"), "a", "left").select(
-                "a", "b", "sim", F.coalesce("wide", F.lit(False)).alias("fresh"))
-            graph = _descend(nodes, written(_lists(again, wide, NEAREST), "wide-graph"), wide, NEAREST)
+        graph = written(_lists(first), "first-graph")
+        graph = _descend(nodes, graph)
+        full = written(graph.filter((F.size("near") >= NEAREST) & (F.element_at("near", -1)["sim"] >= threshold))
+                       .select(F.col("a").alias("node")), "saturated")
         links = written(_edges(graph).filter(F.col("sim") >= threshold).select("a", "b"), "near-links")
         both = links.union(links.select("b", "a")).distinct()
-        parts = written(components(links), "near-parts")
-        listed = (both.join(nodes.select(F.col("node").alias("b"), "copies"), "b").groupBy("a")
-                  .agg(F.sum("copies").alias("links")).withColumnRenamed("a", "node"))
-        full = saturated(graph).select(F.col("a").alias("node"))
-        if not full.isEmpty():
-            named = nodes.select("node").join(parts, "node", "left").select(
-                "node", F.coalesce("component", "node").alias("component"))
-            dense = named.join(full, "node", "left_semi").select("component").distinct()
-            member = written(named.join(dense, "component", "left_semi"), "dense")
-            exact = _dense_counts(nodes, member, threshold)
-            listed = listed.join(member, "node", "left_anti").select("node", "links").union(exact)
+        exact = written(_exact_links(nodes, full, threshold), "block-links")
+        parts = written(components(links.union(exact.select("node", "root"))), "near-parts")
+        chosen = full.withColumnRenamed("node", "a")
+        listed = (both.join(chosen, "a", "left_anti").join(full.withColumnRenamed("node", "b"), "b", "left_anti")
+                  .join(nodes.select(F.col("node").alias("b"), "copies"), "b")
+                  .select(F.col("a").alias("node"), F.col("copies").alias("links"))
+                  .union(exact.select("node", "links")).groupBy("node").agg(F.sum("links").alias("links")))
         degrees = written(listed.select("node", F.col("links").cast("long")), "degrees")
         recall = _audit(nodes, degrees, threshold)
         _log.info("round %d: recall %.4f", attempt, recall)

@@ -125,3 +125,30 @@ def test_op1_groups_odd_vectors_and_labels(spark):
 def test_op1_recall_on_the_table(spark, sf_small):
     got = nn_descent.op1_nn_descent(spark, sf_small)
     assert got.count() == 500 and got.columns == ["vec_id", "n_links", "component_id", "kept"]
+
+
+def brute_links(rows):
+    """(vec_id, n_links, component_id, kept) of rows with distinct ids and usable vectors, sorted."""
+    u = np.array([r[1] for r in rows], float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    labels = np.array([r[2] for r in rows])
+    near = (u @ u.T >= 0.93) & (labels[:, None] == labels)
+    np.fill_diagonal(near, False)
+    top = roots(len(rows), np.argwhere(np.triu(near)).tolist())
+    return sorted((r[0], int(n), rows[t][0], t == i) for i, (r, n, t) in enumerate(zip(rows, near.sum(1), top)))
+
+
+def two_groups(rng, size, dim=64):
+    """Two groups of near copies: cosine about 0.99 inside, 0.94 between them."""
+    a, b = np.linalg.qr(rng.standard_normal((dim, 2)))[0].T
+    b = 0.95 * a + math.sqrt(1 - 0.95 ** 2) * b
+    return [(c + 0.0125 * rng.standard_normal(dim)).astype("f4").tolist() for c in (a, b) for _ in range(size)]
+
+
+def test_op1_links_between_dense_groups(spark):
+    rng = np.random.default_rng(8)
+    some = two_groups(rng, 60) + two_groups(rng, 14) + [rng.standard_normal(64).astype("f4").tolist() for _ in range(200)]
+    rows = [(i, v, 0) for i, v in enumerate(some)]
+    expected = brute_links(rows)
+    assert len({r[2] for r in expected[:120]}) == len({r[2] for r in expected[120:148]}) == 1
+    assert sorted(map(tuple, nn_descent.near_duplicates(vectors(spark, rows)).collect())) == expected
