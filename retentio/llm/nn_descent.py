@@ -2,9 +2,10 @@
 
 1. Vectors that can link are normalised in double precision; equal vectors of a label collapse
    to one node that carries its number of copies.
-2. The first neighbour graph comes from sign codes of random planes: rows are range-sorted by
-   (round, label, code, finer code) and compared inside runs of at most ``RUN`` rows, so a hot
-   code is spread over tasks.
+2. Labels of up to ``RUN`` nodes are compared whole.  For the others the first neighbour graph
+   comes from sign codes of random planes: rows are range-sorted by (round, label, code) and
+   compared inside runs of at most ``RUN`` rows, which cross the borders of codes but not those of
+   labels, so each label is cut as finely as its own size needs, and a hot code is spread over tasks.
 3. Descent: each node's neighbours and reverse neighbours (nearest ``2 K``) are compared with
    one another, improvements enter the lists, until few change.
 4. Lists whose last entry still is a link are saturated and tell nothing of the links beyond
@@ -37,6 +38,7 @@ THRESHOLD = 0.93
 NEAREST = 8              # list length
 RUN = 128
 ROUNDS = 5               # codings of the first graph
+PLANES = 40
 DESCENTS = 4
 SETTLED = 0.002          # share of changed list entries at which descent ends
 BLOCK = 512
@@ -71,7 +73,7 @@ def _prepare(batches):
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.binary())], ["row", "unit"])
 
 
-def _coded(seed: int, rounds: int, bits: int):
+def _coded(seed: int, rounds: int):
     def run(batches):
         for batch in batches:
             raw, nodes, labels = (batch.column(c).to_pylist() for c in ("unit", "node", "label"))
@@ -79,13 +81,13 @@ def _coded(seed: int, rounds: int, bits: int):
                 at = [i for i, r in enumerate(raw) if len(r) == size]
                 u = _unit([raw[i] for i in at])
                 for k in range(rounds):
-                    planes = np.random.default_rng([seed, k, size]).standard_normal((size // 8, bits + 8))
-                    code = ((u @ planes > 0) << np.arange(bits + 8)[::-1]).sum(1)
+                    planes = np.random.default_rng([seed, k, size]).standard_normal((size // 8, PLANES))
+                    code = ((u @ planes > 0) << np.arange(PLANES)[::-1]).sum(1)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), k * 1_000_000 + size, np.int64)), pa.array([labels[i] for i in at], pa.string()),
-                         pa.array(code >> 8), pa.array(code & 255), pa.array([nodes[i] for i in at], pa.int64()),
-                         pa.array([raw[i] for i in at], pa.binary())],
-                        ["round", "label", "code", "fine", "node", "unit"])
+                        [pa.array(np.full(len(at), k, np.int64)), pa.array(np.full(len(at), size, np.int64)),
+                         pa.array([labels[i] for i in at], pa.string()), pa.array(code),
+                         pa.array([nodes[i] for i in at], pa.int64()), pa.array([raw[i] for i in at], pa.binary())],
+                        ["round", "size", "label", "code", "node", "unit"])
     return run
 
 
@@ -98,20 +100,20 @@ def _best(nodes: np.ndarray, sims: np.ndarray, k: int):
 
 
 def _runs(k: int):
-    """Neighbours inside runs of equal code of a sorted partition."""
+    """Neighbours inside runs of about equal length of each label of a sorted partition."""
     def run(batches):
         for batch in batches:
             if batch.num_rows < 2:
                 continue
             raw = batch.column("unit").to_pylist()
             label = batch.column("label").dictionary_encode().indices.to_numpy()
-            key = np.stack([batch.column("round").to_numpy(), label, batch.column("code").to_numpy()])
+            key = np.stack([batch.column("round").to_numpy(), batch.column("size").to_numpy(), label])
             node = batch.column("node").to_numpy()
             starts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
             a, b, s = [], [], []
             for lo, hi in zip([0, *starts.tolist()], [*starts.tolist(), len(node)]):
-                for at in range(lo, hi, RUN):
-                    to = min(hi, at + RUN)
+                cuts = np.linspace(lo, hi, -(-(hi - lo) // RUN) + 1).astype(int).tolist()
+                for at, to in zip(cuts, cuts[1:]):
                     if to - at > 1:
                         u = _unit(raw[at:to])
                         x, y, z = _best(node[at:to], u @ u.T, k)
@@ -266,13 +268,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, seed: int
     able = written(able, "units")
     nodes = written(able.groupBy("label", "unit").agg(F.min("row").alias("node"), F.count("*").alias("copies"),
                                                       F.min("vec_id").alias("least")), "nodes")
-    most = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    bits = max(1, int(np.ceil(np.log2(max(2, most / 24)))))
+    key = ["label", F.length("unit").alias("size")]
+    small = nodes.groupBy(*key).agg(F.count("*").alias("m")).filter(F.col("m") <= RUN).select("label", "size")
+    sized = nodes.select("node", "unit", *key)
+    whole = written(sized.join(small, ["label", "size"], "left_semi").select("node"), "whole")
+    large = written(sized.join(small, ["label", "size"], "left_anti").select("node", "label", "unit"), "large")
     graph = None
     for attempt in range(RETRIES + 1):
-        coded = nodes.select("node", "label", "unit").mapInArrow(
-            _coded(seed + attempt, ROUNDS, bits), "round long, label string, code long, fine long, node long, unit binary")
-        order = ["round", "label", "code", "fine", "node"]
+        coded = large.mapInArrow(_coded(seed + attempt, ROUNDS),
+                                 "round long, size long, label string, code long, node long, unit binary")
+        order = ["round", "size", "label", "code", "node"]
         first = (coded.repartitionByRange(*order).sortWithinPartitions(*order)
                  .mapInArrow(_runs(NEAREST), "a long, b long, sim double").withColumn("fresh", F.lit(True)))
         if graph is not None:
@@ -283,6 +288,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, seed: int
                        .select(F.col("a").alias("node")), "saturated")
         links = written(_edges(graph).filter(F.col("sim") >= threshold).select("a", "b"), "near-links")
         both = links.union(links.select("b", "a")).distinct()
+        full = full.union(whole)
         exact = written(_exact_links(nodes, full, threshold), "block-links")
         parts = written(components(links.union(exact.select("node", "root"))), "near-parts")
         chosen = full.withColumnRenamed("node", "a")

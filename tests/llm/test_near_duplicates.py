@@ -152,3 +152,16 @@ def test_op1_links_between_dense_groups(spark):
     expected = brute_links(rows)
     assert len({r[2] for r in expected[:120]}) == len({r[2] for r in expected[120:148]}) == 1
     assert sorted(map(tuple, nn_descent.near_duplicates(vectors(spark, rows)).collect())) == expected
+
+
+def test_op1_pairs_in_small_labels_beside_a_large_one(spark):
+    """Isolated pairs just above the threshold are found however large another label is."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.standard_normal(64).astype("f4").tolist(), 0) for i in range(6000)]
+    for i in range(6000, 6400, 2):
+        a, b = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+        pair = (a, 0.935 * a + math.sqrt(1 - 0.935 ** 2) * b)
+        rows += [(i + j, v.astype("f4").tolist(), 1 + i % 10) for j, v in enumerate(pair)]
+    expected = brute_links(rows[6000:])
+    got = [tuple(r) for r in nn_descent.near_duplicates(vectors(spark, rows)).collect() if r.vec_id >= 6000]
+    assert sorted(got) == expected and sum(r[1] for r in expected) == 400
