@@ -7,13 +7,16 @@
    compared inside runs of at most ``RUN`` rows, which cross the borders of codes but not those of
    labels, so each label is cut as finely as its own size needs, and a hot code is spread over tasks.
 3. Descent: each node's neighbours and reverse neighbours (nearest ``2 K``) are compared with
-   one another, improvements enter the lists, until few change.
+   one another, improvements enter the lists, until the lists settle.
 4. Lists whose last entry still is a link are saturated and tell nothing of the links beyond
    them: such nodes are compared with every node of their label in pairs of blocks of about
-   ``BLOCK`` vectors.  A pair of blocks emits a count per vector and the trees of its links, never
+   ``SIDE`` vectors.  A pair of blocks emits a count per vector and the trees of its links, never
    its pairs.
-5. Recall is audited against brute force for a bounded sample of nodes over all rows; below
-   ``RECALL`` another round of planes and descent is added.
+5. The other lists are audited against brute force, for a bounded sample of nodes in each size
+   class of labels: the recall of a class is the mean over its sampled nodes that have a true link;
+   with under ``PROVEN`` of them a larger sample is taken.  Below ``RECALL`` another round of planes
+   and descent is added, ``RETRIES`` times; classes that are still below, or whose larger sample has
+   too few such nodes as well, are compared as in 4.
 6. Entries with cosine >= ``threshold`` are the links; :mod:`.components` joins them.
 
 Defined edge cases: vectors that are null, empty, zero or hold null or non-finite components,
@@ -39,10 +42,11 @@ NEAREST = 8              # list length
 RUN = 128
 ROUNDS = 5               # codings of the first graph
 PLANES = 40
-DESCENTS = 4
 SETTLED = 0.002          # share of changed list entries at which descent ends
-BLOCK = 512
+SIDE = 2048              # vectors of a block
+BLOCK = 512              # vectors of it multiplied at a time
 AUDITED = 200
+PROVEN = 50              # sampled nodes with links that a recall needs
 RECALL = 0.97
 RETRIES = 2
 
@@ -163,7 +167,7 @@ def _edges(graph: DataFrame) -> DataFrame:
 
 def _descend(nodes: DataFrame, graph: DataFrame) -> DataFrame:
     """Neighbours-of-neighbours joins until the lists settle; ``fresh`` marks entries not yet joined."""
-    for _ in range(DESCENTS):
+    while True:              # ends: lists only improve
         one = _edges(graph)
         both = (one.union(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", "fresh"))
                 .groupBy("a", "b").agg(F.max("sim").alias("sim"), F.max("fresh").alias("fresh")))
@@ -182,8 +186,7 @@ def _descend(nodes: DataFrame, graph: DataFrame) -> DataFrame:
         graph = written(_lists(joined), "descent")
         total, changed = _edges(graph).agg(F.count("*"), F.count_if("fresh")).first()
         if changed <= SETTLED * total:
-            break
-    return graph
+            return graph
 
 
 def _block_links(threshold: float):
@@ -196,7 +199,8 @@ def _block_links(threshold: float):
         chosen, left = (table.column(c).to_numpy() for c in ("chosen", "left"))
         u = _unit(table.column("unit").to_pylist())
         x, y = np.flatnonzero(left), np.flatnonzero(~left)
-        near = (u[x] @ u[y].T >= threshold) & (node[x][:, None] != node[y][None, :])
+        near = np.concatenate([u[x[at:at + BLOCK]] @ u[y].T >= threshold for at in range(0, max(1, len(x)), BLOCK)])
+        near &= node[x][:, None] != node[y][None, :]
         low, high = node[x], node[y]
         while True:
             new = np.minimum(low, np.where(near, high[None, :], none).min(1, initial=none))
@@ -217,7 +221,7 @@ def _exact_links(nodes: DataFrame, chosen: DataFrame, threshold: float) -> DataF
              .select("node", "label", F.length("unit").alias("size"), "unit", "copies",
                      F.coalesce("chosen", F.lit(False)).alias("chosen")))
     groups = (named.groupBy(*key).agg(F.count_if("chosen").alias("picked"), F.count("*").alias("m")).filter("picked > 0")
-              .select(*key, *(F.ceil(F.col(c) / BLOCK).cast("long").alias(n) for c, n in (("picked", "lefts"), ("m", "rights")))))
+              .select(*key, *(F.ceil(F.col(c) / SIDE).cast("long").alias(n) for c, n in (("picked", "lefts"), ("m", "rights")))))
     rows = named.join(groups, key)
     columns = [*key, "node", "unit", "copies", "chosen"]
     lefts = rows.filter("chosen").select(*columns, F.lit(True).alias("left"), F.pmod(F.xxhash64("node"), "lefts").alias("i"),
@@ -228,14 +232,24 @@ def _exact_links(nodes: DataFrame, chosen: DataFrame, threshold: float) -> DataF
             .applyInArrow(_block_links(threshold), "node long, links long, root long"))
 
 
-def _audit(nodes: DataFrame, degrees: DataFrame, threshold: float) -> float:
-    """Share of the true links of a bounded node sample that ``degrees(node, links)`` has."""
-    n = nodes.count()
-    cut = min(1.0, AUDITED / max(n, 1))
-    chosen = nodes.filter(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) < int(cut * (1 << 30)))
-    queries = chosen.select("node", "label", "unit").limit(4 * AUDITED).collect()
+def _audit(nodes: DataFrame, listed: DataFrame, degrees: DataFrame, threshold: float) -> dict:
+    """Recall of each class of ``listed(node, label, unit, class)``: over a bounded sample of its nodes that have true
+    links, the mean share of them that ``degrees(node, links)`` has; None where too few nodes have one."""
+    sizes = {r["class"]: r["count"] for r in listed.groupBy("class").count().collect()}      # powers of two
+    recall = dict.fromkeys(sizes)
+    for wanted in (AUDITED, 16 * AUDITED):
+        shares = {c: min(1.0, wanted / sizes[c]) for c, r in recall.items() if r is None}
+        if shares:
+            cut = F.create_map(*[F.lit(x) for c, share in shares.items() for x in (c, int(share * (1 << 30)))])
+            part = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30))
+            recall |= _recall(nodes, written(listed.filter(part < cut[F.col("class")]), "audited"), degrees, threshold)
+    return recall
+
+
+def _recall(nodes: DataFrame, chosen: DataFrame, degrees: DataFrame, threshold: float) -> dict:
+    """Recall of the classes that have enough nodes with links among the ``chosen``."""
     by: dict = {}
-    for q in queries:
+    for q in chosen.select("node", "label", "unit").collect():
         by.setdefault((q.label, len(q.unit)), []).append(q)
     sent = nodes.sparkSession.sparkContext.broadcast(
         {key: (np.array([q.node for q in some]), _unit([bytes(q.unit) for q in some])) for key, some in by.items()})
@@ -253,10 +267,11 @@ def _audit(nodes: DataFrame, degrees: DataFrame, threshold: float) -> float:
                     near = (u @ _unit([raw[i] for i in rows]).T >= threshold) & (ids[:, None] != node[rows][None, :])
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near @ copies[rows])], ["node", "links"])
 
-    true = nodes.mapInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("true"))
-    row = (true.join(degrees, "node", "left").na.fill(0, ["links"])
-           .agg(F.sum("true"), F.sum(F.least("true", "links"))).first())
-    return row[1] / row[0] if row[0] else 1.0
+    true = nodes.mapInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("truth"))
+    found = (true.filter("truth > 0").join(chosen.select("node", "class"), "node").join(degrees, "node", "left")
+             .na.fill(0, ["links"]).groupBy("class").agg(F.avg(F.least("truth", "links") / F.col("truth")).alias("recall"),
+                                                       F.count("*").alias("proofs")))
+    return {r["class"]: r.recall for r in found.collect() if r.proofs >= PROVEN}
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, seed: int = 11) -> DataFrame:
@@ -269,10 +284,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, seed: int
     nodes = written(able.groupBy("label", "unit").agg(F.min("row").alias("node"), F.count("*").alias("copies"),
                                                       F.min("vec_id").alias("least")), "nodes")
     key = ["label", F.length("unit").alias("size")]
-    small = nodes.groupBy(*key).agg(F.count("*").alias("m")).filter(F.col("m") <= RUN).select("label", "size")
-    sized = nodes.select("node", "unit", *key)
-    whole = written(sized.join(small, ["label", "size"], "left_semi").select("node"), "whole")
-    large = written(sized.join(small, ["label", "size"], "left_anti").select("node", "label", "unit"), "large")
+    groups = nodes.groupBy(*key).agg(F.count("*").alias("m")).withColumn("class", F.floor(F.log2("m")).cast("int"))
+    sized = nodes.select("node", "unit", *key).join(groups, ["label", "size"])
+    whole = written(sized.filter(F.col("m") <= RUN).select("node"), "whole")
+    large = written(sized.filter(F.col("m") > RUN).select("node", "label", "unit", "class"), "large")
     graph = None
     for attempt in range(RETRIES + 1):
         coded = large.mapInArrow(_coded(seed + attempt, ROUNDS),
@@ -287,20 +302,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, seed: int
         full = written(graph.filter((F.size("near") >= NEAREST) & (F.element_at("near", -1)["sim"] >= threshold))
                        .select(F.col("a").alias("node")), "saturated")
         links = written(_edges(graph).filter(F.col("sim") >= threshold).select("a", "b"), "near-links")
-        both = links.union(links.select("b", "a")).distinct()
-        full = full.union(whole)
-        exact = written(_exact_links(nodes, full, threshold), "block-links")
-        parts = written(components(links.union(exact.select("node", "root"))), "near-parts")
-        chosen = full.withColumnRenamed("node", "a")
-        listed = (both.join(chosen, "a", "left_anti").join(full.withColumnRenamed("node", "b"), "b", "left_anti")
-                  .join(nodes.select(F.col("node").alias("b"), "copies"), "b")
-                  .select(F.col("a").alias("node"), F.col("copies").alias("links"))
-                  .union(exact.select("node", "links")).groupBy("node").agg(F.sum("links").alias("links")))
-        degrees = written(listed.select("node", F.col("links").cast("long")), "degrees")
-        recall = _audit(nodes, degrees, threshold)
-        _log.info("round %d: recall %.4f", attempt, recall)
-        if recall >= RECALL:
+        both = written(links.union(links.select("b", "a")).distinct()
+                       .join(nodes.select(F.col("node").alias("b"), "copies"), "b").select("a", "b", "copies"), "both-links")
+        degrees = both.groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("links"))
+        recall = _audit(nodes, large.join(full, "node", "left_anti"), degrees, threshold)
+        _log.info("round %d: recall %s", attempt, recall)
+        if all(r is None or r >= RECALL for r in recall.values()):
             break
+    short = [c for c, r in recall.items() if r is None or r < RECALL]
+    chosen = written(full.union(whole).union(large.filter(F.col("class").isin(short)).select("node")).distinct(), "compared")
+    exact = written(_exact_links(nodes, chosen, threshold), "block-links")
+    parts = written(components(links.union(exact.filter("node <> root").select("node", "root"))), "near-parts")
+    listed = (both.join(chosen.withColumnRenamed("node", "a"), "a", "left_anti")
+              .join(chosen.withColumnRenamed("node", "b"), "b", "left_anti").select(F.col("a").alias("node"), "copies"))
+    degrees = listed.union(exact.select("node", "links")).groupBy("node").agg(F.sum("copies").alias("links"))
     named = (nodes.join(parts, "node", "left").select("node", "label", "unit", "copies", "least",
                                                      F.coalesce("component", "node").alias("part")))
     least = named.groupBy("part").agg(F.min("least").alias("component_id"))

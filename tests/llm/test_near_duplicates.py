@@ -165,3 +165,17 @@ def test_op1_pairs_in_small_labels_beside_a_large_one(spark):
     expected = brute_links(rows[6000:])
     got = [tuple(r) for r in nn_descent.near_duplicates(vectors(spark, rows)).collect() if r.vec_id >= 6000]
     assert sorted(got) == expected and sum(r[1] for r in expected) == 400
+
+
+def test_op1_low_recall_is_never_returned(spark, monkeypatch):
+    """A first graph that misses most pairs, beside a dense group that outweighs them, or with few pairs to sample."""
+    rng = np.random.default_rng(10)
+    rows = [(i, v, 0) for i, v in enumerate(two_groups(rng, 40))]
+    for label, pairs, lone in ((0, 150, 0), (1, 3, 1200)):
+        for _ in range(pairs):
+            a, b = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+            rows += [(len(rows) + j, v.astype("f4").tolist(), label) for j, v in enumerate((a, 0.94 * a + math.sqrt(1 - 0.94 ** 2) * b))]
+        rows += [(len(rows) + i, rng.standard_normal(64).astype("f4").tolist(), label) for i in range(lone)]
+    for name, value in (("RUN", 8), ("ROUNDS", 1), ("RETRIES", 0), ("SETTLED", 1.0)):
+        monkeypatch.setattr(nn_descent, name, value)
+    assert sorted(map(tuple, nn_descent.near_duplicates(vectors(spark, rows)).collect())) == brute_links(rows)
