@@ -6,6 +6,8 @@ n_dup_lines, n_repeat_words and the two base rules.  Across documents: lines are
 line are counted per host (``source``; documents with the same text count once).  A line is above
 the limit if over ``max(LIMIT_DOCS, LIMIT_SHARE * documents of the host)`` documents have it; such
 lines are removed, and a document is rejected as depleted if over ``DEPLETED`` of its words go.
+:func:`quality` judges (the query); :func:`filtered` gives the texts without those lines (the pipeline
+stage), and rejects documents of which fewer than ``MIN_WORDS`` words remain as well.
 
 Only SQL functions are used.  One pass over the texts writes a narrow table (counts and one
 ``(hash, words)`` entry a line); counting and matching shuffle hashes only, combined map-side, and
@@ -30,6 +32,7 @@ REPEAT_PERCENT = 30
 LIMIT_DOCS = 20
 LIMIT_SHARE = 0.05
 DEPLETED = 0.7
+_HASH = (r"xxhash64(trim(regexp_replace(translate(lower(l), '123456789', '000000000'), '[\\x20\\x09-\\x0D]+', ' ')))")
 
 
 def _split(text: Column, pattern: str) -> Column:
@@ -49,7 +52,7 @@ def _with_counts(df: DataFrame) -> DataFrame:
          "word_chars": (F.char_length("text") - F.size("pieces") + 1).cast("long"),
          "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
          "marks": F.expr("transform(lines, l -> struct("
-                         r"xxhash64(trim(regexp_replace(translate(lower(l), '123456789', '000000000'), '[\\x20\\x09-\\x0D]+', ' '))) AS h, "
+                         rf"{_HASH} AS h, "
                          r"size(array_remove(split(l, '[\\x20\\x09-\\x0D]+', -1), '')) AS n))")},
         {"n_words": F.size("words").cast("long"), "h": F.expr("transform(words, w -> xxhash64(w))")},
         {"n": F.size("h")},
@@ -74,6 +77,11 @@ def _with_counts(df: DataFrame) -> DataFrame:
 def quality(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs(doc_id, text, source)``: row, doc_id, the base columns, base_failed,
     n_removed_words and kept."""
+    return _judged(docs).drop("gone")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """:func:`quality` and ``gone``, the hashes of the row's removed lines, null where there are none."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source",
                        F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
@@ -86,13 +94,13 @@ def quality(docs: DataFrame) -> DataFrame:
     above = (listed.select("host", "h", "text_hash").distinct().groupBy("host", "h").agg(F.count("*").alias("docs"))
              .filter(F.col("docs") > LIMIT_DOCS).join(totals, "host").filter("docs > limit").select("host", "h"))
     removed = (listed.join(above, ["host", "h"], "left_semi").groupBy("row")
-               .agg(F.sum("n").cast("long").alias("n_removed_words")))
+               .agg(F.sum("n").cast("long").alias("n_removed_words"), F.collect_set("h").alias("gone")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     judged = (base.drop("marks").join(removed, "row", "left").na.fill(0, ["n_removed_words"])
               .withColumn("base_failed", failed))
     depleted = F.col("n_removed_words") > DEPLETED * F.col("n_words")
     return judged.select("row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                         "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"), "n_removed_words")
+                         "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"), "n_removed_words", "gone")
 
 
 def op8_line_quality(spark, sf_dir: str) -> DataFrame:
@@ -100,12 +108,20 @@ def op8_line_quality(spark, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir, "doc_id", "text", "source")).drop("row")
 
 
-def drop_poor(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the quality rules reject go."""
+def filtered(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that remain, with its columns; ``text`` without the lines above the limit."""
     rows, row = numbered(docs, "quality-docs")
-    verdict = quality(rows.select(F.col(row).alias("doc_id"), "text", "source"))
-    kept = verdict.filter("kept").select(F.col("doc_id").alias(row))
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    verdict = _judged(rows.select(F.col(row).alias("doc_id"), "text", "source"))
+    left = (verdict.filter(F.col("kept") & (F.col("n_words") - F.col("n_removed_words") >= MIN_WORDS))
+            .select(F.col("doc_id").alias(row), F.struct("gone").alias(f"{row}gone")))
+    lines = rf"filter(split(text, '\n', -1), l -> NOT array_contains(`{row}gone`.gone, {_HASH}))"
+    text = F.when(F.col(f"{row}gone")["gone"].isNull(), F.col("text")).otherwise(F.array_join(F.expr(lines), "\n"))
+    return rows.join(left, row).withColumn("text", text).select(*docs.columns)
+
+
+def drop_poor(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: documents that the quality rules reject go, and so do the lines above the limit."""
+    return filtered(docs)
 
 
 OP8_SQL = rf"""

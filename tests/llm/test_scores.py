@@ -122,6 +122,19 @@ def test_op8_lines_above_the_limit_deplete(spark):
     assert kept[200] == (True, 0)
 
 
+def test_op8_lines_above_the_limit_are_removed(spark):
+    common = "this boiler plate line 12 is on every page of the whole host today"
+    own = [" ".join("abcdefgh"[i % 8] * (i // 8 + 1) + "xyz"[j % 3] * j for j in range(30)) for i in range(60)]
+    rows = [(i, f"{own[i]}\n\n {common.upper()} \nend {own[i][:9]}", "a") for i in range(60)]
+    rows += [(100, f"{common}\n" + " ".join("v" * j for j in range(1, 11)), "a"), (101, f"{common}\n{own[1]}", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS row", "2 AS gone")
+    left = line_quality.drop_poor(spark, docs, "")
+    assert left.columns == docs.columns
+    expected = {i: f"{own[i]}\n\nend {own[i][:9]}" for i in range(60)} | {101: rows[-1][1]}
+    assert {r.doc_id: r.text for r in left.collect()} == expected
+    assert line_quality.quality(docs).filter("doc_id = 100 AND kept").count() == 1
+
+
 def test_op10_merges_neighbouring_diagonals(spark):
     text = ("Redistribution and use in source and binary forms, with or without any modification are permitted "
             "provided that following conditions are met")
