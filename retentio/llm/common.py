@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +32,25 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(spark.sparkContext.applicationId)
 
 
+def lean(run):
+    """A batch function that leaves little behind in its Python worker, which later stages reuse: what a task no longer
+    needs goes back to the system at its end.  Its data hold no cycles, so the search for them is off meanwhile."""
+    @wraps(run)
+    def task(batches):
+        import pyarrow as pa
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)        # glibc
+            if trim is not None:
+                trim(0)
+    return task
+
+
 def written(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` as Parquet to the shared checkpoint folder and read it back (cuts lineage)."""
     spark = df.sparkSession

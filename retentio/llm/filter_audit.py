@@ -25,7 +25,7 @@ from math import factorial
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
@@ -78,8 +78,8 @@ def cells(facts: DataFrame, labels: DataFrame) -> DataFrame:
     groups = rows.groupBy(*same).agg(
         F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), F.col("n"))), F.lit(0)).alias("nameless"),
         F.min("doc_id").alias("first"), F.min_by("n", "doc_id").alias("n_first"))
-    smallest = groups.groupBy("digest").agg(F.min("first").alias("smallest"))
-    groups = groups.join(smallest, "digest").withColumn(
+    text = Window.partitionBy("digest")            # a row per part and label of the text
+    groups = groups.withColumn("smallest", F.min("first").over(text)).withColumn(
         "own", F.col("nameless") + F.when(F.col("first") == F.col("smallest"), F.col("n_first")).otherwise(0))
     both = F.explode(F.array(
         F.struct(F.col("mask").alias("mask"), F.col("own").alias("n")),

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, lean, written
 from .token_ids import encoder, public_path
 
 SEQUENCE = 4096
@@ -151,7 +151,7 @@ def pack(docs: DataFrame, vocabulary: str, sequence: int = SEQUENCE, end_id: int
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     tokens = docs.select("doc_id", "text").mapInArrow(
-        _tokenize(vocabulary, end_id), f"doc_id {kind}, key long, doc_tokens long, ids binary")
+        lean(_tokenize(vocabulary, end_id)), f"doc_id {kind}, key long, doc_tokens long, ids binary")
     tokens = written(tokens.withColumn("row", F.monotonically_increasing_id()), "pack-tokens")
     order = ["key", "doc_id", "row"]
     placed = written(tokens.select(*order, "doc_tokens").repartitionByRange(*order).sortWithinPartitions(*order)
@@ -160,7 +160,7 @@ def pack(docs: DataFrame, vocabulary: str, sequence: int = SEQUENCE, end_id: int
     base = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     starts = placed.join(F.broadcast(base), "part").select("row", (F.col("base") + F.col("before")).alias("at"))
     return tokens.join(starts.hint("merge"), "row").select("doc_id", "at", "doc_tokens", "ids").mapInArrow(
-        _cut(sequence), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, "
+        lean(_cut(sequence)), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, "
                         "sequence_id long, offset long")
 
 

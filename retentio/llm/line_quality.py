@@ -4,10 +4,12 @@ Per document (words are runs without ASCII white space): n_words, word_chars, n_
 n_dup_lines, n_repeat_words and the two base rules.  Across documents: lines are normalised
 (lower case, digits to 0, white space to one space) and hashed, and the distinct documents of each
 line are counted per host (``source``; documents with the same text count once).  A line is above
-the limit if over ``max(LIMIT_DOCS, LIMIT_SHARE * documents of the host)`` documents have it; such
-lines are removed, and a document is rejected as depleted if over ``DEPLETED`` of its words go.
-:func:`quality` judges (the query); :func:`filtered` gives the texts without those lines (the pipeline
-stage), and rejects documents of which fewer than ``MIN_WORDS`` words remain as well.
+the limit if over ``LIMIT_DOCS`` documents, and over the square root of the host's documents, have it: the
+limit of a host 100 times as large is 10 times as high, so boilerplate of a large host is told apart from
+short lines that many documents share by chance.  Such lines are removed; a document is rejected as depleted
+if over ``DEPLETED`` of its words go or fewer than ``MIN_WORDS`` remain.  :func:`quality` judges (the query),
+:func:`filtered` gives the texts of the documents kept without those lines (the pipeline stage).
+Equal hashes (64 bits) of lines and windows count as equal lines and windows.
 
 Only SQL functions are used.  One pass over the texts writes a narrow table (counts and one
 ``(hash, words)`` entry a line); counting and matching shuffle hashes only, combined map-side, and
@@ -30,7 +32,6 @@ WINDOW = 8
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 LIMIT_DOCS = 20
-LIMIT_SHARE = 0.05
 DEPLETED = 0.7
 _HASH = (r"xxhash64(trim(regexp_replace(translate(lower(l), '123456789', '000000000'), '[\\x20\\x09-\\x0D]+', ' ')))")
 
@@ -89,16 +90,16 @@ def _judged(docs: DataFrame) -> DataFrame:
     host = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("host")      # null is a host of its own
     listed = base.select("row", host, "text_hash", F.explode("marks").alias("m")).select(
         "row", "host", "text_hash", F.col("m.h").alias("h"), F.col("m.n").alias("n"))
-    totals = (base.select(host, "text_hash").distinct().groupBy("host").agg(F.count("*").alias("docs"))
-              .select("host", F.greatest(F.lit(LIMIT_DOCS), F.col("docs") * LIMIT_SHARE).alias("limit")))
+    totals = base.select(host, "text_hash").distinct().groupBy("host").agg(F.count("*").alias("all"))
     above = (listed.select("host", "h", "text_hash").distinct().groupBy("host", "h").agg(F.count("*").alias("docs"))
-             .filter(F.col("docs") > LIMIT_DOCS).join(totals, "host").filter("docs > limit").select("host", "h"))
+             .filter(F.col("docs") > LIMIT_DOCS).join(totals, "host").filter("docs * docs > all").select("host", "h"))
     removed = (listed.join(above, ["host", "h"], "left_semi").groupBy("row")
                .agg(F.sum("n").cast("long").alias("n_removed_words"), F.collect_set("h").alias("gone")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     judged = (base.drop("marks").join(removed, "row", "left").na.fill(0, ["n_removed_words"])
               .withColumn("base_failed", failed))
-    depleted = F.col("n_removed_words") > DEPLETED * F.col("n_words")
+    depleted = ((F.col("n_removed_words") > DEPLETED * F.col("n_words"))
+                | (F.col("n_words") - F.col("n_removed_words") < MIN_WORDS))
     return judged.select("row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"), "n_removed_words", "gone")
 
@@ -112,8 +113,7 @@ def filtered(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that remain, with its columns; ``text`` without the lines above the limit."""
     rows, row = numbered(docs, "quality-docs")
     verdict = _judged(rows.select(F.col(row).alias("doc_id"), "text", "source"))
-    left = (verdict.filter(F.col("kept") & (F.col("n_words") - F.col("n_removed_words") >= MIN_WORDS))
-            .select(F.col("doc_id").alias(row), F.struct("gone").alias(f"{row}gone")))
+    left = verdict.filter("kept").select(F.col("doc_id").alias(row), F.struct("gone").alias(f"{row}gone"))
     lines = rf"filter(split(text, '\n', -1), l -> NOT array_contains(`{row}gone`.gone, {_HASH}))"
     text = F.when(F.col(f"{row}gone")["gone"].isNull(), F.col("text")).otherwise(F.array_join(F.expr(lines), "\n"))
     return rows.join(left, row).withColumn("text", text).select(*docs.columns)
@@ -137,9 +137,9 @@ l AS (SELECT doc_id, host, md5(text) AS t,
              trim(regexp_replace(translate(lower(line), '123456789', '000000000'), '[\x20\x09-\x0D]+', ' ', 'g')) AS h,
              len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n
       FROM (SELECT doc_id, host, text, unnest(lines) AS line FROM w)),
-tot AS (SELECT host, greatest({LIMIT_DOCS}, count(DISTINCT md5(text)) * {LIMIT_SHARE}) AS lim FROM d GROUP BY host),
+tot AS (SELECT host, count(DISTINCT md5(text)) AS docs FROM d GROUP BY host),
 above AS (SELECT host, h FROM (SELECT host, h, count(DISTINCT t) AS c FROM l GROUP BY host, h) JOIN tot USING (host)
-          WHERE c > lim),
+          WHERE c > {LIMIT_DOCS} AND c * c > docs),
 rem AS (SELECT doc_id, sum(n)::BIGINT AS n FROM l JOIN above USING (host, h) GROUP BY doc_id),
 s AS (SELECT w.doc_id, len(words)::BIGINT AS n_words,
              length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
@@ -149,5 +149,6 @@ s AS (SELECT w.doc_id, len(words)::BIGINT AS n_words,
       FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id LEFT JOIN rem ON w.doc_id = rem.doc_id),
 f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT n_removed_words > {DEPLETED} * n_words AS kept, n_removed_words FROM f
+       NOT base_failed AND NOT n_removed_words > {DEPLETED} * n_words AND n_words - n_removed_words >= {MIN_WORDS} AS kept,
+       n_removed_words FROM f
 """

@@ -20,10 +20,10 @@ import pyarrow.compute as pc
 
 from .merges import merges
 
-CACHE_CHUNKS = 500_000          # entries kept per Python worker; the cache is emptied beyond it
+CACHE_CHUNKS = 300_000          # entries kept per Python worker; the cache is emptied beyond it
 CACHED_BYTES = 64               # longer chunks are encoded each time
 COMPARED = 32                   # new words of a batch that the library encodes as well
-SLICE_BYTES = 12 << 20          # text handled at a time
+SLICE_BYTES = 4 << 20           # text handled at a time
 
 
 class ChunkEncoder:

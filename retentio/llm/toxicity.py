@@ -5,14 +5,16 @@ Features of a text: the hashed presence of its words, adjacent pairs and pairs o
 per-coordinate rates; the L1 term leaves few non-zero weights, which are broadcast (at most
 one float per bucket).
 
-Only the fit is bounded: about ``FIT_ROWS`` labelled rows, chosen by a hash of doc_id among those
-outside the held-out fold, pass through one task in hash order, ``EPOCHS`` times; their features
-are made by all tasks.  Scoring reads every whole text and neither labels nor other columns.
+Only the fit is bounded: about ``FIT_ROWS`` labelled documents, chosen by a hash of doc_id among those
+outside the held-out fold (so few that their ids are broadcast and no other text is shuffled), pass through
+one task in hash order, ``EPOCHS`` times; their features are made by all tasks.  Scoring reads every whole
+text and neither labels nor other columns.
 
 Defined edge cases: null or empty text has the bias alone; a label that is null, not 0/1 or
-contradicted by another row of the same doc_id is not learned from; rows with null doc_id are
-scored, with held_out null-safe false; repeated rows get one score each; without usable labels
-every score is 0.5 less the prior's bias (0.5); an empty table gives no rows.
+contradicted by another row of the same doc_id is not learned from; of several texts with one labelled
+doc_id the smallest is learned from; rows with null doc_id are scored, with held_out false; repeated rows
+get one score each; unless labels of both classes can be learned from, nothing tells toxic texts apart and
+every score is 0, so no document is rejected; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents
+from .common import crc_mod, documents, lean
+from .token_ids import slices
 
 HASH_BITS = 20
 FIT_ROWS = 30_000
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2.0, 1.0
-SLICE_CHARS = 1 << 20
+SLICE_BYTES = 1 << 20
 _EDGE = b".,;:!?\"'()[]{}<>*-"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,30 +74,19 @@ class Hasher:
         return (mixed >> self.shift).astype(np.int32), np.concatenate(owners)
 
 
-def _slices(texts: list[str | None]):
-    at = 0
-    while at < len(texts):
-        to, chars = at, 0
-        while to < len(texts) and (to == at or chars + len(texts[to] or "") <= SLICE_CHARS):
-            chars += len(texts[to] or "")
-            to += 1
-        yield at, to
-        at = to
-
-
 def _features(batches):
     hasher = Hasher()
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for at, to in _slices(texts):
-            bucket, owner = hasher.buckets(texts[at:to])
+        for part in slices(batch, "text", SLICE_BYTES):
+            n = part.num_rows
+            bucket, owner = hasher.buckets(part.column("text").to_pylist())
             key = np.unique(owner.astype(np.int64) << 32 | bucket)
-            counts = np.bincount(key >> 32, minlength=to - at)
+            counts = np.bincount(key >> 32, minlength=n)
             packed = pa.BinaryArray.from_buffers(
-                pa.binary(), to - at,
+                pa.binary(), n,
                 [None, pa.py_buffer(np.concatenate([[0], np.cumsum(counts) * 4]).astype(np.int32).tobytes()),
                  pa.py_buffer((key & 0xFFFFFFFF).astype(np.int32).tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column(c).slice(at, to - at) for c in ("order", "toxic")] + [packed],
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("order", "toxic")] + [packed],
                                              ["order", "toxic", "features"])
 
 
@@ -129,16 +121,19 @@ def _fit(batches):
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Non-zero weights (bucket, weight); bucket ``2 ** HASH_BITS`` is the bias."""
+    """Non-zero weights (bucket, weight); bucket ``2 ** HASH_BITS`` is the bias.  None without labels of both classes."""
     usable = (labels.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
               .filter("toxic = most AND toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int"))
               .filter(crc_mod(F.col("doc_id"), 5) != 0))
-    known = usable.count()
-    part = min(1.0, FIT_ROWS / max(1, known))
+    classes = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}        # at most two rows
+    if len(classes) < 2:
+        return docs.sparkSession.createDataFrame([], "bucket long, weight double")
+    part = min(1.0, FIT_ROWS / sum(classes.values()))
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
     chosen = usable.withColumn("order", order).filter(F.col("order") < int(part * (1 << 40)))
-    rows = chosen.join(docs.select("doc_id", "text"), "doc_id").dropDuplicates(["doc_id"])
-    features = rows.select("order", "toxic", "text").mapInArrow(_features, "order long, toxic int, features binary")
+    rows = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+            .groupBy("doc_id", "order", "toxic").agg(F.min("text").alias("text")))
+    features = rows.select("order", "toxic", "text").mapInArrow(lean(_features), "order long, toxic int, features binary")
     passes = features.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))))
     return (passes.repartition(1).sortWithinPartitions("epoch", "order").select("toxic", "features")
             .mapInArrow(_fit, "bucket long, weight double"))
@@ -152,36 +147,35 @@ def _scorer(weights, below: float | None):
         table[at] = values
         hasher = Hasher()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            score = np.zeros(len(texts))
-            for b, e in _slices(texts):
-                bucket, owner = hasher.buckets(texts[b:e])
+            for part in slices(batch, "text", SLICE_BYTES):
+                n = part.num_rows
+                bucket, owner = hasher.buckets(part.column("text").to_pylist())
                 hit = table[bucket] != 0
                 key = np.unique(owner[hit].astype(np.int64) << 32 | bucket[hit])     # presence, not count
-                total = np.bincount(key >> 32, table[key & 0xFFFFFFFF], minlength=e - b)
-                score[b:e] = 1 / (1 + np.exp(-np.clip(total + table[-1], -35, 35)))
-            if below is not None:
-                yield batch.filter(pa.array(score < below))
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
+                total = np.bincount(key >> 32, table[key & 0xFFFFFFFF], minlength=n)
+                score = np.where(np.isinf(table[-1]), 0.0, 1 / (1 + np.exp(-np.clip(total + table[-1], -35, 35))))
+                if below is not None:
+                    yield part.filter(pa.array(score < below))
+                else:
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score)], ["doc_id", "score"])
     return run
 
 
 def _sent(spark, weights: DataFrame):
-    rows = sorted(weights.collect())              # at most one per bucket
-    return spark.sparkContext.broadcast((np.array([r.bucket for r in rows], np.int64), np.array([r.weight for r in rows])))
+    rows = sorted(weights.collect()) or [(1 << HASH_BITS, -np.inf)]             # at most one per bucket
+    return spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows])))
 
 
 def score(docs: DataFrame, weights: DataFrame) -> DataFrame:
     """doc_id, score of every row of ``docs(doc_id, text)``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_scorer(_sent(docs.sparkSession, weights), None),
+    return docs.select("doc_id", "text").mapInArrow(lean(_scorer(_sent(docs.sparkSession, weights), None)),
                                                     f"doc_id {kind}, score double")
 
 
 def below(docs: DataFrame, weights: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` with a score below ``threshold``, all columns as they are."""
-    return docs.mapInArrow(_scorer(_sent(docs.sparkSession, weights), threshold), docs.schema)
+    return docs.mapInArrow(lean(_scorer(_sent(docs.sparkSession, weights), threshold)), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

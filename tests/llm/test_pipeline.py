@@ -65,3 +65,31 @@ def test_every_stage_equals_brute_force(spark):
 
     check_pieces(stages["packing"](spark, unique, sf_dir).collect(), unique)
     assert corpus_pipeline.run(spark, sf_dir).select("doc_id").distinct().count() == unique.count()
+
+
+def test_boilerplate_goes_on_the_way(spark, tmp_path):
+    """One table through all four stages: toxic, poor, boilerplate, near copies that differ in removed lines only."""
+    notice = "this notice stands on every page of the host and says nothing about the page itself"
+    spelt = str.maketrans("0123456789", "abcdefghij")                 # lines are compared without regard to digits
+    own = [" ".join(f"w{i}x{j}" for j in range(40)).translate(spelt) for i in range(60)]
+    rows = [(i, f"{notice}\n{own[i]}", "en", "a") for i in range(60)]
+    rows += [(100 + i, own[i], "en", "a") for i in range(10)]                            # copies once the notice is gone
+    rows += [(200, f"{notice}\nonly four words left", "en", "a"), (201, None, "en", None), (202, "too short", "en", "a")]
+    rows += [(300 + i, f"vile scum {own[i]} vile scum", "en", "b") for i in range(40)]
+    clean = {400 + i: " ".join(f"c{i}x{j}" for j in range(40)).translate(spelt) for i in range(80)}
+    rows += [(i, text, "en", "c") for i, text in clean.items()]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = [(r[0], 1, int(300 <= r[0] < 400)) for r in rows]
+    folder = str(tmp_path)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+    left, seen = docs, {}
+    for name, stage in corpus_pipeline.STAGES:
+        left = stage(spark, left, folder).cache()
+        seen[name] = left.collect()
+    assert {r.doc_id for r in seen["toxicity"]} == {r[0] for r in rows} - set(range(300, 340))
+    assert {r.doc_id: r.text for r in seen["quality"]} == {i: own[i] for i in range(60)} | {100 + i: own[i] for i in range(10)} | clean
+    assert {r.doc_id for r in seen["near-duplicates"]} == {*range(60), *clean}
+    assert {r.doc_id for r in seen["packing"]} == {*range(60), *clean}
+    assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(map(tuple, seen["packing"]))

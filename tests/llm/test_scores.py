@@ -31,13 +31,29 @@ def test_op7_learns_held_out_labels(spark):
     assert np.mean(wins) > 0.8
 
 
+def test_op7_without_labels_of_both_classes_keeps_everything(spark):
+    docs = edge_docs(spark)
+    for known in ([], [(1, None)], [(1, 1), (2, 1), (3, 1), (4, 1)], [(i, 0) for i in range(9)]):
+        labels = spark.createDataFrame(known, "doc_id long, toxic int")
+        assert {(r.score, r.predicted) for r in toxicity.toxicity(docs, labels).collect()} == {(0.0, 0)}
+        assert toxicity.below(docs, toxicity.fit(docs, labels)).count() == docs.count()
+
+
+def test_op7_one_id_with_several_texts(spark):
+    rows = [(i % 40, f"{'bad vile' if i % 2 else 'good kind'} text {i % 7} {'x' * (i // 40)}") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [sorted(map(tuple, toxicity.toxicity(docs.repartition(n), labels).collect())) for n in (1, 3, 8)]
+    assert found[0] == found[1] == found[2]
+
+
 def test_op7_odd_rows_and_labels(spark):
     docs = edge_docs(spark)
     labels = spark.createDataFrame([(1, None), (2, 3), (3, 0), (3, 1), (6, 1), (8, 0), (9, 0), (None, 1)], "doc_id long, toxic int")
     rows = toxicity.toxicity(docs, labels).collect()
     assert len(rows) == docs.count() and not [r for r in rows if r.doc_id is None and r.held_out]
     none = toxicity.toxicity(docs, labels.limit(0)).collect()
-    assert {(r.score, r.predicted) for r in none} == {(0.5, 1)}
+    assert {(r.score, r.predicted) for r in none} == {(0.0, 0)}          # 0.5 for all would reject every document
     assert toxicity.toxicity(edge_docs(spark, []), labels).count() == 0
 
 
@@ -91,7 +107,7 @@ def twin(con, sql, df):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_twins_on_the_tables(spark, sf_small, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_small}/{t}.parquet')")
     twin(con, queries.ORACLE[name], queries.QUERIES[name](spark, sf_small))
 
@@ -132,7 +148,21 @@ def test_op8_lines_above_the_limit_are_removed(spark):
     assert left.columns == docs.columns
     expected = {i: f"{own[i]}\n\nend {own[i][:9]}" for i in range(60)} | {101: rows[-1][1]}
     assert {r.doc_id: r.text for r in left.collect()} == expected
-    assert line_quality.quality(docs).filter("doc_id = 100 AND kept").count() == 1
+    assert {r.doc_id for r in line_quality.quality(docs).filter("kept").collect()} == set(expected)
+
+
+def test_op8_limit_of_a_large_host(spark):
+    """A line of 300 documents is boilerplate in a host of 5,000 as in one of 500; chance repeats are not."""
+    words = spark.range(5500).selectExpr(
+        "id AS doc_id", "if(id < 5000, 'large', 'small') AS source",
+        "concat('this notice stands on many of the pages of its host and adds nothing to them at all ever\n', "
+        "if(id % 120 = 0, 'chance line\n', ''), array_join(transform(sequence(1, if(id % 50 = 7, 4, 25)), "
+        "i -> translate(concat('w', id, 'x', i), '0123456789', 'abcdefghij')), ' ')) AS text")
+    docs = words.filter("doc_id < 300 OR doc_id >= 5000").unionByName(words.filter("doc_id BETWEEN 300 AND 4999").selectExpr(
+        "doc_id", "source", "substring(text, instr(text, '\n') + 1) AS text"))
+    rows = {r.doc_id: r for r in line_quality.quality(docs).collect()}
+    assert all(rows[i].n_removed_words == (19 if i < 300 or i >= 5000 else 0) for i in rows)
+    assert all(rows[i].kept == (i % 50 != 7) for i in rows if i < 300 or i >= 5000)
 
 
 def test_op10_merges_neighbouring_diagonals(spark):
