@@ -68,6 +68,14 @@ def shared_scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/retentio-{name}-{token}"
 
 
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a folder made by :func:`shared_scratch`, on whatever file system it lies."""
+    if "/retentio-" not in path:
+        raise ValueError(f"not a scratch folder: {path}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss, truncates the plan."""
     ensure_checkpoint_dir(df.sparkSession)
