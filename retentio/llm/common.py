@@ -12,7 +12,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_scratch
+from ..session import remove_scratch, shared_scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,7 +56,14 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     spark = df.sparkSession
     path = shared_scratch(spark, name)
     df.write.parquet(path, **options)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    again.scratch = path
+    return again
+
+
+def dropped(df: DataFrame) -> None:
+    """Remove the folder of a frame that :func:`written` returned, after its last reader."""
+    remove_scratch(df.sparkSession, df.scratch)
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

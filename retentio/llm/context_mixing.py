@@ -8,8 +8,9 @@ all texts add up to one, so a score is the log10 probability of the token sequen
 
 Learning reads every training document: all 6-byte windows are counted in Spark (the sufficient
 statistic of every table).  A seventh of the documents is kept apart from a first set of tables;
-on its windows weights learn online in each task and are averaged over tasks, ``ROUNDS`` times,
-and the probability map is counted.  Final tables hold all training documents.  Sizes: tables have
+on its windows weights learn online in ``SHARDS`` shards (by a hash of the window, keys in order) and
+are averaged over shards, ``ROUNDS`` times, and the probability map is counted.  Shards, counts and their
+order do not depend on how the rows are split, so neither do the scores.  Final tables hold all training documents.  Sizes: tables have
 ``2 ** SLOT_BITS`` two-byte cells per order whatever the corpus (about 50 MB in all), so the model
 is broadcast; window and word counts grow with the corpus and stay distributed.
 
@@ -36,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents, written
+from .common import crc_mod, documents, dropped, written
 from .token_ids import slices
 
 FOLDS, HELD, APART = 7, 2, 6       # crc32 folds: held out; kept apart from the first tables
@@ -47,6 +48,8 @@ PRIOR = 0.2
 MAP_CONTEXTS, MAP_STEPS, MAP_PRIOR = 4096, 24, 24.0
 GATE = ORDERS * 16 * ORDERS        # weights of a gate: order, its confidence, the gate's value
 ROUNDS = 3
+SHARDS = 64
+MERGED = 30_000_000                # window rows whose cells one group of a block merges
 BATCH = 4096
 RATE = 0.03
 KNOWN_BITS = 20                    # windows whose costs a task keeps
@@ -184,31 +187,51 @@ NEUTRAL = 2048 << 4
 _ODDS = ((np.arange(65536) >> 4) - 2048).astype(np.float32) / 256
 
 
-def _pack(table: pa.Table) -> pa.Table:
-    """Cells of one block of slots, for the first and the final tables."""
-    counts = np.zeros((2, 2 << BLOCK_BITS))
+def _block_counts(table: pa.Table) -> np.ndarray:
+    counts = np.zeros((2, 2 << BLOCK_BITS), np.int64)
     for cells, rest, apart in zip(*(table.column(c).to_pylist() for c in ("cells", "rest", "apart"))):
         at = np.frombuffer(cells, "<u4")
         counts[0, at] += np.frombuffer(rest, "<u4")
         counts[1, at] += np.frombuffer(apart, "<u4")
+    return counts
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """One row of the counts of a block's share."""
+    counts = _block_counts(table)
+    at = np.flatnonzero(counts.sum(0))
+    packed = [at.astype("<u4"), *(np.minimum(c[at], 0xFFFFFFFF).astype("<u4") for c in counts)]
+    return pa.table([table.column(c).slice(0, 1) for c in ("order", "block")] + [pa.array([c.tobytes()], pa.binary()) for c in packed],
+                    ["order", "block", "cells", "rest", "apart"])
+
+
+def _pack(table: pa.Table) -> pa.Table:
+    """Cells of one block of slots, for the first and the final tables, compressed."""
+    rest, apart = _block_counts(table)
     cells = []
-    for n in (counts[0], counts[0] + counts[1]):
+    for n in (rest, rest + apart):
         zeros, ones = n[::2], n[1::2]
-        cells.append(np.where(zeros + ones > 0, state(zeros, ones), np.uint16(NEUTRAL)).astype("<u2").tobytes())
+        cells.append(compressed(np.where(zeros + ones > 0, state(zeros, ones), np.uint16(NEUTRAL)).astype("<u2")))
     return pa.table({"order": table.column("order").slice(0, 1), "block": table.column("block").slice(0, 1),
                      "first": pa.array(cells[:1], pa.binary()), "final": pa.array(cells[1:], pa.binary())})
 
 
-def _tables(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(first, final) cell tables, orders x slots; their size does not depend on the corpus."""
-    packed = (counted.mapInArrow(_slots, "order int, block long, cells binary, rest binary, apart binary")
-              .groupBy("order", "block").applyInArrow(_pack, "order int, block long, first binary, final binary"))
+def _tables(counted: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, final) cell tables, orders x slots; their size does not depend on the corpus.  The counts of ``rows``
+    windows are merged in shares first where there are many.  Blocks travel compressed, a few per task."""
+    layout = "order int, block long, cells binary, rest binary, apart binary"
+    slots = counted.mapInArrow(_slots, layout)
+    if rows > MERGED:
+        share = F.pmod(F.monotonically_increasing_id(), F.lit(rows // MERGED + 1))
+        slots = slots.withColumn("share", share).groupBy("order", "block", "share").applyInArrow(_merge, layout)
+    packed = written(slots.groupBy("order", "block").applyInArrow(_pack, "order int, block long, first binary, final binary"), "lm-tables")
     first = np.full((ORDERS, 1 << SLOT_BITS), NEUTRAL, np.uint16)
     final = first.copy()
-    for row in packed.toLocalIterator():
+    for row in packed.repartition(ORDERS << (SLOT_BITS - BLOCK_BITS - 2), "order", "block").collect():     # fixed size
         at = slice(row.block << BLOCK_BITS, (row.block + 1) << BLOCK_BITS)
-        first[row.order, at] = np.frombuffer(row.first, np.uint16)
-        final[row.order, at] = np.frombuffer(row.final, np.uint16)
+        first[row.order, at] = np.frombuffer(zlib.decompress(row.first), np.uint16)
+        final[row.order, at] = np.frombuffer(zlib.decompress(row.final), np.uint16)
+    dropped(packed)
     return first, final
 
 
@@ -286,15 +309,36 @@ def tables_of(packed: bytes) -> np.ndarray:
 
 
 def _train(sent, weights):
+    """Weights that each shard of the task's rows (shard, key, apart), sorted, learns from ``weights``."""
     def run(batches):
-        mixer, seen = Mixer(tables_of(sent.value), weights), 0
+        shard, held, mixer, seen = None, [], None, 0
+
+        def step(size):
+            key, count = (np.concatenate(c) for c in zip(*held))
+            whole = len(key) if size is None else len(key) // size * size
+            mixer.learn(key[:whole], count[:whole])
+            held[:] = [(key[whole:], count[whole:])]
+            return int(count[:whole].sum())
+
+        def result():
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([mixer.weights.tolist()], pa.list_(pa.float64())),
+                                               pa.array([seen])], ["shard", "weights", "seen"])
         for batch in batches:
+            shards = batch.column("shard").to_numpy()
             key, count = batch.column("key").to_numpy().view(np.uint64), batch.column("apart").to_numpy()
-            mixer.learn(key, count)
-            seen += int(count.sum())
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([mixer.weights.tolist()], pa.list_(pa.float64())), pa.array([seen])],
-                                             ["weights", "seen"])
+            cuts = np.flatnonzero(np.diff(shards)) + 1
+            for b, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shards)]):
+                if e > b and shards[b] != shard:
+                    if shard is not None:
+                        seen += step(None)
+                        yield result()
+                    shard, held, mixer, seen = int(shards[b]), [], Mixer(tables_of(sent.value), weights), 0
+                held.append((key[b:e], count[b:e]))
+                if sum(len(k) for k, _ in held) >= 8 * BATCH:
+                    seen += step(BATCH)             # whole steps, wherever the batches of rows end
+        if shard is not None:
+            seen += step(None)
+            yield result()
     return run
 
 
@@ -321,13 +365,16 @@ def fit(packed: DataFrame) -> Mixer:
     spark = packed.sparkSession
     counted = written(packed.mapInArrow(_unpacked, "key long, rest long, apart long")
                       .groupBy("key").agg(F.sum("rest").alias("rest"), F.sum("apart").alias("apart")), "lm-windows")
-    first, final = _tables(counted)
+    first, final = _tables(counted, counted.count())
     sent = spark.sparkContext.broadcast(compressed(first))
     del first
-    lesson = counted.filter("apart > 0").select("key", "apart")
+    lesson = written(counted.filter("apart > 0").select(F.pmod(F.xxhash64("key"), F.lit(SHARDS)).cast("int").alias("shard"), "key", "apart")
+                     .repartition("shard").sortWithinPartitions("shard", "key"), "lm-lesson")
+    dropped(counted)
+    in_order = lesson.repartition("shard").sortWithinPartitions("shard", "key")
     mixer = Mixer(final)
     for _ in range(ROUNDS):
-        rows = lesson.mapInArrow(_train(sent, mixer.weights), "weights array<double>, seen long").collect()   # one per task
+        rows = sorted(in_order.mapInArrow(_train(sent, mixer.weights), "shard int, weights array<double>, seen long").collect())   # one per shard
         if rows:
             mixer.weights = np.average([r.weights for r in rows], axis=0, weights=[r.seen for r in rows])
     found = (lesson.mapInArrow(_map_counts(sent, mixer.weights), "place long, zeros double, ones double")
@@ -339,6 +386,7 @@ def fit(packed: DataFrame) -> Mixer:
         zeros[r.place], ones[r.place] = r.zeros, r.ones
     mixer.refined = np.append((ones + MAP_PRIOR * base) / (zeros + ones + MAP_PRIOR), 0.5)
     sent.destroy()
+    dropped(lesson)
     return mixer
 
 
@@ -378,6 +426,31 @@ def window_costs(sent) -> WindowCosts:
 
 # ---------------------------------------------------------------- one pass over the texts, one over its slices
 
+def _varints(places: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Places of each document, seven bits a byte, the high bit where more follow."""
+    width = 1 + sum((places >= 1 << 7 * i).astype(np.int64) for i in range(1, 5))
+    ends = np.cumsum(width)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for i in range(5):
+        some = np.flatnonzero(width > i)
+        if len(some):
+            out[ends[some] - width[some] + i] = (places[some] >> 7 * i & 127) | np.where(width[some] > i + 1, 128, 0)
+    cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+    raw = out.tobytes()
+    return [raw[b:e] for b, e in zip(cuts, cuts[1:])]
+
+
+def _places(packed: bytes) -> np.ndarray:
+    raw = np.frombuffer(packed, np.uint8)
+    first = np.flatnonzero(np.concatenate([[True], raw[:-1] < 128])) if len(raw) else np.zeros(0, np.int64)
+    out = (raw[first] & 127).astype(np.int64)
+    width = np.diff(np.append(first, len(raw)))
+    for i in range(1, int(width.max(initial=0))):
+        some = np.flatnonzero(width > i)
+        out[some] |= (raw[first[some] + i] & 127).astype(np.int64) << 7 * i
+    return out
+
+
 SLICED = ("kind int, slice long, doc_id {doc_id}, fold int, places binary, words array<string>, learned array<long>, "
           "keys binary, rest binary, apart binary")
 WORDS, DOCUMENT, WINDOWS = 0, 1, 2
@@ -410,13 +483,17 @@ def _sliced(batches):
             joined = b" ".join(t[:-1] for t in texts if len(t) > 1)
             words = pc.split_pattern(pa.array([joined], pa.large_binary()).cast(pa.large_string()), " ").flatten()
             words = (words if len(joined) else words.slice(0, 0)).dictionary_encode()
-            at = words.indices.to_numpy(zero_copy_only=False).astype("<i4")
-            n = np.bincount(at[np.repeat(folds != HELD, size)], minlength=len(words.dictionary)).astype(np.int64)
-            ends, raw, slice_id = np.cumsum(size).tolist(), at.tobytes(), pid << 32 | number
+            at = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            often = np.argsort(-np.bincount(at, minlength=len(words.dictionary)), kind="stable")       # frequent words: small places
+            rank = np.empty(len(often), np.int64)
+            rank[often] = np.arange(len(often))
+            at, spelt = rank[at], words.dictionary.take(pa.array(often))
+            n = np.bincount(at[np.repeat(folds != HELD, size)], minlength=len(often)).astype(np.int64)
+            slice_id = pid << 32 | number
             number += 1
-            yield rows(WORDS, 1, slice=[slice_id], words=[words.dictionary.to_pylist()], learned=[n.tolist()])
+            yield rows(WORDS, 1, slice=[slice_id], words=[spelt.to_pylist()], learned=[n.tolist()])
             yield rows(DOCUMENT, part.num_rows, slice=[slice_id] * part.num_rows, doc_id=part.column("doc_id"),
-                       fold=part.column("fold"), places=[raw[4 * (e - s):4 * e] for s, e in zip(size.tolist(), ends)])
+                       fold=part.column("fold"), places=_varints(at, size))
     for packed in counter.flush():
         yield rows(WINDOWS, 1, **{c: [x] for c, x in zip(("keys", "rest", "apart"), packed)})
 
@@ -431,7 +508,7 @@ def _scored(sent, neutral: float, end: float):
         word[:] = [w.encode("utf-8", "replace") for w in words]
         count[counts.column("pos").to_numpy()] = counts.column("c").to_numpy()
         gain, known = np.log10(count + 1.0), count > 0
-        places = [np.frombuffer(p, "<i4") for p in docs.column("places").to_pylist()]
+        places = list(map(_places, docs.column("places").to_pylist()))
         tokens = np.array([len(p) + 1 for p in places], np.int64)
         seen = [int(known[p].sum()) + (end > 0) for p in places]
         base = [float(gain[p].sum()) + end - n * neutral for p, n in zip(places, tokens.tolist())]

@@ -92,6 +92,23 @@ def test_op2_bits_are_a_distribution():
     assert abs((10 ** -mixer.cost(window)).sum() - 1) < 1e-6
 
 
+def test_op2_scores_do_not_depend_on_how_rows_are_split(spark, sf_small):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text")
+    found = [{r.doc_id: (r.score, r.base_score) for r in context_mixing.score(docs.repartition(n)).collect()} for n in (1, 3, 8)]
+    for other in found[1:]:
+        assert other.keys() == found[0].keys()
+        assert all(np.allclose(other[i], found[0][i], rtol=1e-9, atol=0) for i in other)
+
+
+def test_op2_places_are_read_back():
+    rng = np.random.default_rng(5)
+    sizes = np.array([0, 3, 0, 500, 1, 0])
+    places = rng.integers(0, 1 << rng.integers(1, 31, sizes.sum()))
+    packed = context_mixing._varints(places, sizes)
+    ends = np.cumsum(sizes)
+    assert all((context_mixing._places(p) == places[e - n:e]).all() for p, n, e in zip(packed, sizes, ends))
+
+
 def test_op2_learns(spark):
     rows = context_mixing.op2_context_mixing(spark, "/root/testdata/sf0.01").collect()
     held = [r.bits_per_byte for r in rows if r.held_out and r.n_tokens > 50]
