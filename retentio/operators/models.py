@@ -5,11 +5,9 @@ rules → features → column-group preprocessing → ANOVA top-k → classifier
 with every stage a ``pyspark.ml`` Estimator/Transformer so the fitted
 ``PipelineModel`` saves and loads as one object.
 
-Declared deviations (public Spark ML has no equivalent): the final boosted
-model is level-wise ``GBTClassifier`` (no leaf-wise growth, no L2 term; early
-stopping on a held-out 10 % above 10,000 training rows uses Spark's validation
-indicator, which stops at the first round without improvement); the MLP has
-sigmoid hidden layers and no L2 penalty.
+The final model is the leaf-wise histogram booster of :mod:`.booster`.  Declared
+deviation (public Spark ML has no equivalent): the MLP has sigmoid hidden layers
+and no L2 penalty.
 """
 
 from __future__ import annotations
@@ -32,6 +30,7 @@ from ..constants import SEED, SELECTED_FEATURES_K, TARGET
 from ..functions.features import add_features
 from ..functions.rules import apply_rules
 from ..functions.schema import complete, normalize
+from .booster import STOP_ROWS, LeafwiseBooster
 from .prep import ChurnPreprocessor
 from .selection import anova_f, best_positions
 
@@ -113,18 +112,23 @@ def validation_flag(seed: int = SEED) -> "F.Column":
     return h < int(VALIDATION_FRACTION * 65536)
 
 
+def with_validation(train: DataFrame, column: str, rows: int, early_stopping: bool | None = None) -> tuple[DataFrame, str | None]:
+    """``train`` with the validation flag where early stopping applies (None: above ``STOP_ROWS`` rows), and its name."""
+    if rows > STOP_ROWS if early_stopping is None else early_stopping:
+        return train.withColumn(column, validation_flag()), column
+    return train, None
+
+
 def classifier(name: str, n_features: int | None = None, n_rows: int | None = None,
                features: str = "selected", label: str = TARGET, weight: str = "weight",
                validation: str | None = None):
     """The candidate classifiers with the original hyper-parameters mapped to Spark ML.
 
-    ``validation`` names a boolean column of held-out rows: the final booster then stops early when the
-    validation error stops improving (``early_stopping`` of the training job).
+    ``validation`` names a boolean column of held-out rows: the final booster then stops when their loss has not
+    improved for ten trees.
     """
     if name == "hist_gradient_boosting":      # M2 (final): balanced weights
-        stop = {"validationIndicatorCol": validation, "validationTol": 1e-7} if validation else {}
-        return GBTClassifier(featuresCol=features, labelCol=label, weightCol=weight, maxIter=150, stepSize=0.05,
-                             maxDepth=6, maxBins=255, seed=SEED, **stop)
+        return LeafwiseBooster(featuresCol=features, labelCol=label, weightCol=weight, validationIndicatorCol=validation or "")
     if name == "logistic_regression":         # M3b
         return LogisticRegression(featuresCol=features, labelCol=label, weightCol=weight, maxIter=600,
                                   regParam=1.0 / max(n_rows or 1, 1), standardization=False)

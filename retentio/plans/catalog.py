@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -1009,9 +1009,19 @@ def _cells(board, *keys):
                         F.col("roc_auc").between(0, 1).alias("auc_in_range"))
 
 
-@register("m2_final_model_check", _cells_sql())
+@register("m2_final_model_check", SPLIT_SQL + "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS mismatches, "
+          "CAST(0 AS BIGINT) AS loss_rises FROM split WHERE split = 'test'")
 def q_m2_check(spark, sf):
-    return _cells(q_m2(spark, sf))
+    """Test probabilities recomputed in SQL from the exported trees; the training loss falls with every tree."""
+    t = TR.train_final(spark, sf)
+    booster = t.model.stages[-1]
+    vectors = PipelineModel(t.model.stages[:-1]).transform(t.split.where("split = 'test'").drop("split")).select(ID, "selected")
+    both = booster.scored_by_rules(vectors).join(t.test_scored.select(ID, "probability"), ID, "full")
+    train = booster.history()["train"]
+    rises = sum(b > a + 1e-9 for a, b in zip(train, train[1:]))
+    return both.agg(F.count("*").alias("rows"), F.count_if(
+        F.coalesce(F.abs(F.col("probability") - F.col("rule_probability")) > 1e-6, F.lit(True))).alias("mismatches")).withColumn(
+        "loss_rises", F.lit(rises).cast("long"))
 
 
 @register("m4_model_comparison_check", _cells_sql(["majority_baseline", *[c for c, _ in CANDIDATES]]))

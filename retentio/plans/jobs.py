@@ -26,7 +26,7 @@ from .training import FINAL, fit_final, load_model, read_metadata, save_metadata
 
 
 def train(spark: SparkSession, data: DataFrame, out: str, classifier_name: str = FINAL,
-          early_stopping: bool = False) -> dict:
+          early_stopping: bool | None = None) -> dict:
     t = fit_final(data, classifier_name, early_stopping)
     save_model(t, f"{out}/model")
     save_metadata(spark, t, out)
@@ -55,7 +55,7 @@ def main(argv=None) -> None:
     t.add_argument("--sf-dir", help="folder with the star-schema tables to derive customers from")
     t.add_argument("--out", required=True)
     t.add_argument("--classifier", default=FINAL)
-    t.add_argument("--early-stopping", action="store_true")
+    t.add_argument("--early-stopping", action=argparse.BooleanOptionalAction, default=None)
     s = sub.add_parser("score")
     s.add_argument("--model", required=True)
     s.add_argument("--input", required=True)

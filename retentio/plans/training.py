@@ -24,7 +24,7 @@ from ..operators import sampling as S
 from ..operators.importance import permutation_importance
 from ..operators.models import (
     CANDIDATES, AnovaSelector, BusinessFeatures, BusinessRules, classifier, probability_of, training_pipeline,
-    validation_flag,
+    with_validation,
 )
 from ..operators.prep import ChurnPreprocessor
 from ..operators.scoring import PipelineScorer
@@ -46,24 +46,23 @@ class Trained:
     early_stopping: bool = False
 
 
-def fit_final(data: DataFrame, classifier_name: str = FINAL, early_stopping: bool = False) -> Trained:
+def fit_final(data: DataFrame, classifier_name: str = FINAL, early_stopping: bool | None = None) -> Trained:
     """Split, fit the whole pipeline on the training rows and score the test rows.
 
-    ``early_stopping`` holds out a tenth of the training rows (by hash) and stops the final booster when their error
-    no longer falls; off by default, as a smaller training set is another model.
+    ``early_stopping`` holds out a tenth of the training rows (by hash) and stops the final booster when their loss
+    no longer falls; None: above 10,000 training rows, like the original's library.
     """
     require_target(data)
     split = written(S.stratified_split(data), "split")
     train = E.with_weights(split.where(F.col("split") == "train"))
-    validation = None
-    if early_stopping and classifier_name == FINAL:
-        validation = "_validation"
-        train = train.withColumn(validation, validation_flag())
-    clf = classifier(classifier_name, n_rows=train.count(), validation=validation)
+    rows, validation = train.count(), None
+    if classifier_name == FINAL:
+        train, validation = with_validation(train, "_validation", rows, early_stopping)
+    clf = classifier(classifier_name, n_rows=rows, validation=validation)
     model = training_pipeline(clf).fit(train)
     test = split.where(F.col("split") == "test").drop("split")
     scored = written(PipelineScorer(model, classifier_name).with_probability(test), "test-scored")
-    return Trained(model, split, scored, classifier_name, early_stopping)
+    return Trained(model, split, scored, classifier_name, validation is not None)
 
 
 def train_final(spark: SparkSession, sf_dir: str, classifier_name: str = FINAL) -> Trained:
@@ -108,7 +107,7 @@ def training_record(spark: SparkSession, t: Trained) -> DataFrame:
     """One row: time, shape, row counts, target, classifier and its parameters."""
     counts = {r["split"]: r["count"] for r in t.split.groupBy("split").count().collect()}
     stage = t.model.stages[-1]
-    params = {p.name: str(v) for p, v in stage.extractParamMap().items()}
+    params = {p.name: str(v) for p, v in stage.extractParamMap().items() if p.name not in ("trees", "losses")}
     columns = [c for c in t.split.columns if c not in ("split", "weight")]
     row = (datetime.now(timezone.utc).isoformat(timespec="seconds"), sum(counts.values()), len(columns),
            counts.get("train", 0), counts.get("test", 0), TARGET, t.classifier_name, t.early_stopping, params)
@@ -162,7 +161,8 @@ def compare_models(spark: SparkSession, sf_dir: str, candidates=CANDIDATES,
 
     def scored(item):
         name, kind = item
-        fitted = classifier(name, n_features=n_features, n_rows=n_train).fit(train_v)
+        rows, validation = with_validation(train_v, "_validation", n_train) if name == FINAL else (train_v, None)
+        fitted = classifier(name, n_features=n_features, n_rows=n_train, validation=validation).fit(rows)
         return fitted.transform(test_v).select(F.lit(name).alias("model"), F.lit(kind).alias("kind"),
                                                TARGET, probability_of(None).alias("probability"))
 

@@ -7,6 +7,7 @@ flags); the builder below only fills what is unset so local tests behave.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark import StorageLevel
@@ -41,6 +42,21 @@ def get_session(master: str | None = None, app: str = "retentio", **conf: str) -
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package where they cannot import it anyway: the driver serves it as a zip file
+    (``addPyFile``), once per application.  A cluster that has the package on PYTHONPATH needs nothing."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if spark.sparkContext.applicationId in _SHIPPED or home in [os.path.abspath(p) for p in known if p]:
+        return
+    package = __name__.split(".")[0]
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{package}", "zip", home, package))
+    _SHIPPED.add(spark.sparkContext.applicationId)
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
