@@ -1,17 +1,16 @@
 """Permutation importance (E6) and its top-k report.
 
-All test rows take part unless ``sample_size`` is given.  Every row is exploded
-into (variable, repeat) copies.  Rows are dealt by a hash of their key into
-buckets of about ``ROWS_PER_BUCKET`` rows, and inside each (variable, repeat,
-bucket) every copy takes the variable's value from the next copy in a hash order
-(the last one from the first): a random cyclic permutation whose windows stay
-bounded whatever the number of rows, without a join or a broadcast.  One scoring
-pass covers the whole grid; the exact AUC is computed per (variable, repeat).
+All test rows take part unless ``sample_size`` is given.  Rows are dealt once, by a hash of their key, into
+buckets of about ``ROWS_PER_BUCKET`` rows that are kept as arrays.  Every (variable, repeat) variant is formed inside
+the bucket by index: in a hash order of the bucket's rows, each takes the variable's value of the next one (the last
+one of the first), a random cyclic permutation.  So the rows are shuffled once, whatever the number of variants, and
+what follows shuffles (variant, score) counts only.  One scoring pass covers the whole grid; the exact AUC is
+computed per variant.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ID, IMPORTANCE_COLUMNS, IMPORTANCE_REPEATS, SEED, TARGET
@@ -21,6 +20,7 @@ from . import evaluate as E
 from .sampling import hash_key, sample_rows
 
 ROWS_PER_BUCKET = 4096
+SPREAD = 8                         # tasks that share the variants of a bucket when buckets are few
 
 
 def permutation_importance(test: DataFrame, scorer, columns=IMPORTANCE_COLUMNS, repeats: int = IMPORTANCE_REPEATS,
@@ -33,23 +33,26 @@ def permutation_importance(test: DataFrame, scorer, columns=IMPORTANCE_COLUMNS,
     rows = test if sample_size is None else sample_rows(test, sample_size, seed)
     rows = cut_lineage(rows)                  # read by the count, the baseline and the grid
     n_buckets = max(1, -(-rows.count() // rows_per_bucket))
-    types = dict(rows.dtypes)
-    cols = [c for c in rows.columns if c != TARGET]
-    bucket = F.conv(F.substring(hash_key(seed), 1, 8), 16, 10).cast("long") % n_buckets
-    grid = F.array(*[F.struct(F.lit(v).alias("variable"), F.lit(r).alias("repeat"))
-                     for v in columns for r in range(repeats)])
-    copies = rows.select(*cols, TARGET, bucket.alias("_bucket"), F.explode(grid).alias("g")).select(
-        *cols, TARGET, "_bucket", "g.*")
-    value = F.lit(None).cast("string")        # doubles keep every digit as text
-    for c in columns:
-        value = F.when(F.col("variable") == c, F.col(c).cast("string")).otherwise(value)
-    order = F.md5(F.concat_ws(":", F.col(ID).cast("string"), F.col("variable"), F.col("repeat").cast("string")))
-    copies = copies.withColumns({"_value": F.struct(value.alias("v")), "_order": order})
-    group = Window.partitionBy("variable", "repeat", "_bucket").orderBy("_order", ID)
-    taken = F.coalesce(F.lead("_value").over(group), F.first("_value").over(group))["v"]
-    permuted = copies.withColumn("_taken", taken).withColumns({
-        c: F.when(F.col("variable") == c, F.col("_taken").cast(types[c])).otherwise(F.col(c)) for c in columns})
-    scored = scorer.with_probability(permuted.drop("_bucket", "_value", "_order", "_taken"))
+    dealt = F.conv(F.substring(hash_key(seed), 1, 8), 16, 10).cast("long") % n_buckets
+    buckets = rows.groupBy(dealt.alias("bucket")).agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
+    tasks = max(1, min(SPREAD, len(columns), SPREAD // n_buckets))
+    grid = [[F.struct(F.lit(v).alias("variable"), F.lit(r).alias("repeat")) for v in columns[i::tasks] for r in range(repeats)]
+            for i in range(tasks)]
+    shared = buckets.select("bucket", "rows", F.explode(F.array(*(F.array(*g) for g in grid))).alias("grid"))
+    if tasks > 1:
+        shared = shared.repartition(n_buckets * tasks)
+    variants = shared.select("rows", F.explode("grid").alias("g"))
+    order = F.array_sort(F.transform("rows", lambda r, i: F.struct(
+        F.md5(F.concat_ws(":", r[ID].cast("string"), F.col("g.variable"), F.col("g.repeat").cast("string"))).alias("k"),
+        r[ID].alias("id"), i.alias("i"))))
+    variants = variants.withColumn("order", order)
+    paired = F.transform("order", lambda o, j: F.struct(
+        F.col("rows")[o["i"]].alias("own"), F.col("rows")[F.col("order")[(j + 1) % F.size("order")]["i"]].alias("next")))
+    copies = variants.select("g.variable", "g.repeat", F.explode(paired).alias("p"))
+    permuted = copies.select("variable", "repeat", *(
+        (F.when(F.col("variable") == c, F.col("p.next")[c]).otherwise(F.col("p.own")[c]) if c in columns else F.col("p.own")[c]).alias(c)
+        for c in rows.columns))
+    scored = scorer.with_probability(permuted)
     auc = E.roc_auc(scored, groups=["variable", "repeat"])
     base = E.roc_auc(scorer.with_probability(rows)).first()["roc_auc"]
     drops = auc.withColumn("drop", F.lit(base).cast("double") - F.col("roc_auc"))
