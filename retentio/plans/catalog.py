@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -753,8 +754,8 @@ def _segmented(spark, sf):
     prep = Pipeline(stages=[BusinessRules(), BusinessFeatures(), ChurnPreprocessor()]).fit(data.drop(TARGET))
     kept = {c: f"_in_{c}" for c in data.columns}          # the stages overwrite columns; carry the originals along
     vectors = prep.transform(data.withColumns({v: F.col(c) for c, v in kept.items()}))
-    seg, cost, explained = SEG.segment(vectors.select(*[F.col(v).alias(c) for c, v in kept.items()], "features"))
-    out = (seg, cost, explained)
+    seg, clusters, explained = SEG.segment(vectors.select(*[F.col(v).alias(c) for c, v in kept.items()], "features"))
+    out = (written(seg, "segments"), clusters, explained)
     _SEG_CACHE[key] = out
     return out
 
@@ -767,11 +768,11 @@ def q_k1(spark, sf):
 
 @register("k3_explained_variance")
 def q_k3(spark, sf):
-    seg, cost, explained = _segmented(spark, sf)
+    seg, clusters, explained = _segmented(spark, sf)
     two, three = SEG.explained_totals(explained)
     counts = seg.agg(F.countDistinct("cluster").alias("clusters"))
     return rounded(counts.select("clusters", F.lit(two).alias("variance_2d_pct"), F.lit(three).alias("variance_3d_pct"),
-                                 F.lit(float(cost)).alias("kmeans_cost")))
+                                 F.lit(clusters.cost).alias("kmeans_cost")))
 
 
 @register("a9_cluster_profile")
@@ -1082,26 +1083,42 @@ def q_e6m_check(spark, sf):
                                 (F.count("*") > 0).alias("has_customers"))
 
 
-@register("k1_k2_segments_check", CUSTOMER_COUNT + ", CAST(2 AS BIGINT) AS clusters, true AS centred, true AS uncorrelated, "
-          "true AS ordered FROM customers")
+@register("k1_k2_segments_check", CUSTOMER_COUNT + ", CAST(2 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS not_nearest, "
+          "true AS centres_are_means, true AS least_cost, true AS centred, true AS uncorrelated, true AS ordered FROM customers")
 def q_k1_check(spark, sf):
-    seg, _, _ = _segmented(spark, sf)
-    pcs = ["pc1", "pc2", "pc3"]
+    """Every row is at its nearest centre, centres are the means of their rows, the cost is the least of all starts."""
+    seg, clusters, _ = _segmented(spark, sf)
+    pcs, d = ["pc1", "pc2", "pc3"], clusters.centres.shape[1]
     pairs = [("pc1", "pc2"), ("pc1", "pc3"), ("pc2", "pc3")]
+    x = vector_to_array(F.col("features"))
+    long = seg.select("cluster", F.posexplode(x).alias("i", "v"))
+    centre = F.element_at(F.lit([float(v) for c in clusters.centres for v in c]), F.col("cluster").cast("int") * d + F.col("i") + 1)
+    far = (long.withColumn("c", centre).groupBy("cluster", "i").agg(F.abs(F.avg("v") - F.first("c")).alias("far"))
+           .agg(F.max("far")).first()[0])
+    squares = [F.aggregate(F.zip_with(x, F.lit([float(v) for v in c]), lambda a, b: F.pow(a - b, F.lit(2))), F.lit(0.0), lambda a, b: a + b)
+               for c in clusters.centres]
+    own = F.when(F.col("cluster") == "0", squares[0]).otherwise(squares[1])
     return seg.agg(F.count("*").alias("rows"), F.countDistinct("cluster").alias("clusters"),
+                   F.count_if(own > F.least(*squares) + 1e-9).alias("not_nearest"), F.sum(own).alias("cost"),
                    F.greatest(*[F.abs(F.avg(c)) for c in pcs]).alias("m"), F.greatest(*[F.abs(F.corr(a, b)) for a, b in pairs]).alias("c"),
                    *[F.var_samp(c).alias(f"v{i}") for i, c in enumerate(pcs)]).select(
-        "rows", "clusters", (F.col("m") < 1e-6).alias("centred"), (F.col("c") < 1e-6).alias("uncorrelated"),
+        "rows", "clusters", "not_nearest", F.lit(far < 1e-6).alias("centres_are_means"),
+        ((F.abs(F.col("cost") / clusters.cost - 1) < 1e-9) & F.lit(clusters.cost <= min(clusters.costs) * (1 + SEG.TIED))
+         & F.lit(len(clusters.costs) == SEG.STARTS)).alias("least_cost"),
+        (F.col("m") < 1e-6).alias("centred"), (F.col("c") < 1e-6).alias("uncorrelated"),
         ((F.col("v0") >= F.col("v1")) & (F.col("v1") >= F.col("v2"))).alias("ordered"))
 
 
-@register("k3_explained_variance_check", O.with_(O.CUSTOMERS) + "SELECT count(*) > 0 AS has_customers, CAST(2 AS BIGINT) AS clusters, true AS in_order "
-          "FROM customers")
+@register("k3_explained_variance_check", CUSTOMER_COUNT + ", CAST(2 AS BIGINT) AS clusters, true AS shares_of_variance FROM customers")
 def q_k3_check(spark, sf):
-    out = q_k3(spark, sf)
-    two, three = F.col("variance_2d_pct"), F.col("variance_3d_pct")
-    return out.select((F.col("clusters") > 0).alias("has_customers"), "clusters",
-                      ((two > 0) & (two <= three) & (three <= 100) & (F.col("kmeans_cost") >= 0)).alias("in_order"))
+    """The explained shares are the variances of the scores over the total variance of the vectors."""
+    seg, _, _ = _segmented(spark, sf)
+    total = (seg.select(F.posexplode(vector_to_array(F.col("features"))).alias("i", "v")).groupBy("i").agg(F.var_samp("v").alias("v"))
+             .agg(F.sum("v")).first()[0])
+    seen = seg.agg(F.count("*").alias("rows"), *(F.var_samp(c).alias(c) for c in ("pc1", "pc2", "pc3")))
+    told = q_k3(spark, sf).first()
+    share = {n: F.abs(sum(F.col(f"pc{i}") for i in range(1, n + 1)) / total * 100 - told[f"variance_{n}d_pct"]) < 1e-4 for n in (2, 3)}
+    return seen.select("rows", F.lit(told["clusters"]).cast("long").alias("clusters"), (share[2] & share[3]).alias("shares_of_variance"))
 
 
 @register("a9_cluster_profile_check", CUSTOMER_COUNT + ", CAST(2 AS BIGINT) AS clusters, round(avg(churned), 6) AS churn_rate "

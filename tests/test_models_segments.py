@@ -1,8 +1,9 @@
 """Model floor on a separable frame, segmentation properties, empty inputs, count identities."""
 
 import numpy as np
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from retentio.constants import ID, TARGET
@@ -33,16 +34,44 @@ def test_learned_models_beat_the_majority_baseline(spark):
 
 def test_kmeans_multistart_and_centred_pca(spark):
     df = _blobs(spark).withColumnRenamed("selected", "features")
-    best, cost = segment.kmeans_best(df, k=2, starts=3)
-    singles = [segment.KMeans(k=2, seed=42 + i, featuresCol="features").fit(df).summary.trainingCost
-               for i in range(3)]
-    assert cost <= min(singles) + 1e-9
+    found = segment.kmeans_best(df, k=2, starts=3)
+    singles = [KMeans(k=2, seed=42 + i, featuresCol="features").fit(df).summary.trainingCost for i in range(3)]
+    assert found.cost <= min(singles) + 1e-9 and found.cost <= min(found.costs) * (1 + segment.TIED)
     scored, explained = segment.pca_scores(df, components=2)
     means = scored.agg(F.avg("pc1"), F.avg("pc2")).first()
     assert abs(means[0]) < 1e-9 and abs(means[1]) < 1e-9
     assert 0 < sum(explained) <= 1.0 + 1e-12
 
 
+def test_kmeans_equals_lloyd_in_numpy_for_any_split(spark):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(c, 0.6, size=(80, 3)) for c in ((0, 0, 0), (3, 0, 1), (0, 4, 0), (4, 4, 4))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], f"{ID} long, a array<double>").withColumn(
+        "features", array_to_vector("a"))
+    found = [segment.kmeans_best(df.repartition(n), k=4, starts=6) for n in (1, 5)]
+    assert np.allclose(found[0].centres, found[1].centres) and np.allclose(found[0].costs, found[1].costs)
+    best = found[0]
+    near = ((x[:, None] - best.centres[None]) ** 2).sum(2)
+    label = near.argmin(1)
+    assert np.allclose(best.centres, [x[label == j].mean(0) for j in range(4)]) and abs(near.min(1).sum() - best.cost) < 1e-6
+    rows = best.transform(df).select(ID, "cluster_id", "distance").collect()
+    assert all(r[1] == label[r[0]] and abs(r[2] - near[r[0]].min()) < 1e-9 for r in rows)
+    seeds = segment._seeds(df.select(F.col("a").alias("x"), F.xxhash64(ID).alias("h")), 4, 200, 1, 4)
+    spread = [len({int(((x - c) ** 2).sum(1).argmin()) // 80 for c in s}) for s in seeds]
+    assert np.mean(np.array(spread) == 4) > 0.6                      # k-means++ finds all four groups in most starts
+
+
+def test_kmeans_of_equal_rows_and_none(spark):
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(9)], f"{ID} long, a array<double>").withColumn("features", array_to_vector("a"))
+    found = segment.kmeans_best(same, k=2, starts=2)
+    assert found.cost == 0 and found.transform(same).select("cluster_id").distinct().count() == 1
+    try:
+        segment.kmeans_best(same.limit(0))
+        raise AssertionError
+    except ValueError as e:
+        assert "no rows" in str(e)
+
+
 def test_empty_inputs(spark, sf_small):
     scored = P.rule_scored(spark, sf_small).limit(0)
     bal = reports.batch_balance(scored).first()
