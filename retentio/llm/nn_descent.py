@@ -2,21 +2,22 @@
 
 1. Vectors that can link are normalised in double precision; equal vectors of a label collapse
    to one node that carries its number of copies.
-2. Labels of up to ``RUN`` nodes are compared whole.  For the others the first neighbour graph
-   comes from sign codes of random planes: rows are range-sorted by (round, label, code) and
-   compared inside runs of at most ``RUN`` rows, which cross the borders of codes but not those of
-   labels, so each label is cut as finely as its own size needs, and a hot code is spread over tasks.
-3. Descent: each node's neighbours and reverse neighbours (nearest ``2 K``) are compared with
-   one another, improvements enter the lists, until the lists settle.
-4. Lists whose last entry still is a link are saturated and tell nothing of the links beyond
-   them: such nodes are compared with every node of their label in pairs of blocks of about
-   ``SIDE`` vectors.  A pair of blocks emits a count per vector and the trees of its links, never
-   its pairs.
-5. The other lists are audited against brute force, for a bounded sample of nodes in each size
-   class of labels: the recall of a class is the mean over its sampled nodes that have a true link;
-   with under ``PROVEN`` of them a larger sample is taken.  Below ``RECALL`` another round of planes
-   and descent is added, ``RETRIES`` times; classes that are still below, or whose larger sample has
-   too few such nodes as well, are compared as in 4.
+2. The first neighbour graph comes from sign codes of random planes: rows are range-sorted by
+   (round, label, code) and compared inside runs of at most ``RUN`` rows, which cross the borders of
+   codes but not those of labels, so each label is cut as finely as its own size needs, and a hot code
+   is spread over tasks.
+3. Descent: each node's neighbours and reverse neighbours (the nearest, twice its list's length) are
+   compared with one another, improvements enter the lists, until the lists settle.
+4. A list whose last entry still is a link is saturated and tells nothing of the links beyond it: it
+   doubles in length (8, 16, ... ``LONGEST``), its entries count as new, and descent goes on.  Only nodes that
+   saturate the longest list, members of groups of over ``LONGEST`` near copies, are compared with every
+   node of their label in pairs of blocks of about ``SIDE`` vectors; a pair of blocks emits a count per
+   vector and the trees of its links, never its pairs.
+5. The lists are audited against brute force, for a bounded sample of nodes in each size class of labels:
+   the recall of a class is the mean over its sampled nodes that have a true link.  A class of which all
+   nodes were sampled needs no more proof; other classes with under ``PROVEN`` such nodes are judged by
+   their pooled sample, and its interval is logged.  Below ``RECALL`` another round of planes and descent
+   with lists of twice the length is added, ``RETRIES`` times; what is still below is compared as in 4.
 6. Entries with cosine >= ``threshold`` are the links; :mod:`.components` joins them.
 
 Defined edge cases: vectors that are null, empty, zero or hold null or non-finite components,
@@ -35,16 +36,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .common import written
+from .common import dropped, lean, written
 
 THRESHOLD = 0.93
-NEAREST = 8              # list length
+NEAREST = 8              # length of a list at first
+LONGEST = 64             # and at most
 RUN = 128
 ROUNDS = 5               # codings of the first graph
 PLANES = 40
 SETTLED = 0.002          # share of changed list entries at which descent ends
 SIDE = 2048              # vectors of a block
 BLOCK = 512              # vectors of it multiplied at a time
+PRODUCTS = 1 << 20       # pairs of members compared at a time
 AUDITED = 200
 PROVEN = 50              # sampled nodes with links that a recall needs
 RECALL = 0.97
@@ -129,11 +132,23 @@ def _runs(k: int):
     return run
 
 
+def _centres(members) -> list[tuple[int, int]]:
+    """Ranges of centres whose members, all as many as the most in a range, make at most ``PRODUCTS`` pairs."""
+    size = np.diff(members.offsets.to_numpy())
+    cuts, at, most = [], 0, 0
+    for i, n in enumerate(size.tolist()):
+        most = max(most, n)
+        if i > at and (i + 1 - at) * most * most > PRODUCTS:
+            cuts.append((at, i))
+            at, most = i, n
+    return [*cuts, (at, len(size))] if len(size) else []
+
+
 def _local_joins(batches):
     """Improvements among the members of each centre."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            lists = batch.column("members").slice(at, 256)
+        for at, to in _centres(batch.column("members")):
+            lists = batch.column("members").slice(at, to - at)
             flat = lists.flatten()
             size = np.diff(lists.offsets.to_numpy())
             node, floor = flat.field("node").to_numpy(), flat.field("floor").to_numpy()
@@ -154,11 +169,12 @@ def _local_joins(batches):
                 [pa.array(node[place[c, i]]), pa.array(node[place[c, j]]), pa.array(sims[c, i, j])], ["a", "b", "sim"])
 
 
-def _lists(edges: DataFrame) -> DataFrame:
-    """Best entries per node."""
+def _lists(edges: DataFrame, wants: DataFrame) -> DataFrame:
+    """Best entries per node, as many as ``wants(a, k)`` says (``NEAREST`` for nodes it does not have)."""
     best = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
     ranked = best.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("sim", "b", "fresh")), asc=False).alias("near"))
-    return ranked.select("a", F.slice("near", 1, NEAREST).alias("near"))
+    k = F.coalesce("k", F.lit(NEAREST))
+    return ranked.join(wants, "a", "left").select("a", F.slice("near", F.lit(1), k).alias("near"), k.alias("k"))
 
 
 def _edges(graph: DataFrame) -> DataFrame:
@@ -172,23 +188,37 @@ def _descend(nodes: DataFrame, graph: DataFrame) -> DataFrame:
         both = (one.union(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", "fresh"))
                 .groupBy("a", "b").agg(F.max("sim").alias("sim"), F.max("fresh").alias("fresh")))
         order = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
-        member = (both.withColumn("place", F.row_number().over(order))
-                  .filter(F.col("place") <= 2 * NEAREST)
+        member = (both.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= 2 * LONGEST)
+                  .join(graph.select("a", "k"), "a", "left").filter(F.col("place") <= 2 * F.coalesce("k", F.lit(NEAREST)))
                   .select(F.col("a").alias("centre"), F.col("b").alias("node"), "fresh"))
         busy = member.groupBy("centre").agg(F.max("fresh").alias("any")).filter("any").select("centre")
         floor = graph.select(F.col("a").alias("node"),
-                             F.when(F.size("near") < NEAREST, -1.0).otherwise(F.element_at("near", -1)["sim"]).alias("floor"))
+                             F.when(F.size("near") < F.col("k"), -1.0).otherwise(F.element_at("near", -1)["sim"]).alias("floor"))
         found = (member.join(busy, "centre", "left_semi")
                  .join(nodes.select("node", "unit").join(floor, "node", "left").na.fill(-1.0, ["floor"]), "node")
                  .groupBy("centre").agg(F.collect_list(F.struct("node", "unit", "floor", "fresh")).alias("members"))
-                 .select("members").mapInArrow(_local_joins, "a long, b long, sim double"))
+                 .select("members").mapInArrow(lean(_local_joins), "a long, b long, sim double"))
         joined = one.withColumn("fresh", F.lit(False)).union(found.withColumn("fresh", F.lit(True)))
-        graph = written(_lists(joined), "descent")
+        old, graph = graph, written(_lists(joined, graph.select("a", "k")), "descent")
+        dropped(old)
         total, changed = _edges(graph).agg(F.count("*"), F.count_if("fresh")).first()
         if changed <= SETTLED * total:
             return graph
 
 
+def _grown(nodes: DataFrame, graph: DataFrame, threshold: float) -> DataFrame:
+    """The settled graph with every saturated list doubled, and settled again, up to ``LONGEST`` entries."""
+    while True:
+        graph = _descend(nodes, graph)
+        full = (F.size("near") >= F.col("k")) & (F.element_at("near", -1)["sim"] >= threshold) & (F.col("k") < LONGEST)
+        if graph.filter(full).isEmpty():
+            return graph
+        again = F.when(full, F.transform("near", lambda x: x.withField("fresh", F.lit(True)))).otherwise(F.col("near"))
+        old, graph = graph, written(graph.select("a", again.alias("near"), F.when(full, 2 * F.col("k")).otherwise(F.col("k")).alias("k")),
+                                    "longer")
+        dropped(old)
+
+
 def _block_links(threshold: float):
     """Of one pair of blocks (chosen nodes, nodes): each node's weighted links, counted at chosen nodes in full and at
     the others to chosen ones, and the least node it is joined to inside the pair."""
@@ -234,20 +264,35 @@ def _exact_links(nodes: DataFrame, chosen: DataFrame, threshold: float) -> DataF
 
 def _audit(nodes: DataFrame, listed: DataFrame, degrees: DataFrame, threshold: float) -> dict:
     """Recall of each class of ``listed(node, label, unit, class)``: over a bounded sample of its nodes that have true
-    links, the mean share of them that ``degrees(node, links)`` has; None where too few nodes have one."""
+    links, the mean share of them that ``degrees(node, links)`` has."""
     sizes = {r["class"]: r["count"] for r in listed.groupBy("class").count().collect()}      # powers of two
-    recall = dict.fromkeys(sizes)
+    recall, open_ = {}, dict(sizes)
     for wanted in (AUDITED, 16 * AUDITED):
-        shares = {c: min(1.0, wanted / sizes[c]) for c, r in recall.items() if r is None}
-        if shares:
-            cut = F.create_map(*[F.lit(x) for c, share in shares.items() for x in (c, int(share * (1 << 30)))])
-            part = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30))
-            recall |= _recall(nodes, written(listed.filter(part < cut[F.col("class")]), "audited"), degrees, threshold)
+        shares = {c: min(1.0, wanted / n) for c, n in open_.items()}
+        if not shares:
+            break
+        cut = F.create_map(*[F.lit(x) for c, share in shares.items() for x in (c, int(share * (1 << 30)))])
+        part = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30))
+        chosen = written(listed.filter(part < cut[F.col("class")]), "audited")
+        found = _recall(nodes, chosen, degrees, threshold)
+        dropped(chosen)
+        for c, share in shares.items():
+            shared, proofs = found.get(c, (0.0, 0))
+            if proofs >= PROVEN or share == 1.0:
+                recall[c] = shared / proofs if proofs else 1.0
+                del open_[c]
+    if open_:
+        shared, proofs = map(sum, zip(*(found.get(c, (0.0, 0)) for c in open_)))
+        pooled = shared / proofs if proofs else 1.0
+        z = 1.96 ** 2 / max(proofs, 1)
+        middle, half = (pooled + z / 2) / (1 + z), np.sqrt(z * pooled * (1 - pooled) + z * z / 4) / (1 + z)
+        _log.info("classes %s: pooled recall %.3f (%.3f to %.3f) of %d proofs", sorted(open_), pooled, middle - half, middle + half, proofs)
+        recall |= dict.fromkeys(open_, pooled)
     return recall
 
 
 def _recall(nodes: DataFrame, chosen: DataFrame, degrees: DataFrame, threshold: float) -> dict:
-    """Recall of the classes that have enough nodes with links among the ``chosen``."""
+    """(sum of the shares found, number) of the ``chosen`` nodes with true links, by class."""
     by: dict = {}
     for q in chosen.select("node", "label", "unit").collect():
         by.setdefault((q.label, len(q.unit)), []).append(q)
@@ -269,9 +314,10 @@ def _recall(nodes: DataFrame, chosen: DataFrame, degrees: DataFrame, threshold:
 
     true = nodes.mapInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("truth"))
     found = (true.filter("truth > 0").join(chosen.select("node", "class"), "node").join(degrees, "node", "left")
-             .na.fill(0, ["links"]).groupBy("class").agg(F.avg(F.least("truth", "links") / F.col("truth")).alias("recall"),
-                                                       F.count("*").alias("proofs")))
-    return {r["class"]: r.recall for r in found.collect() if r.proofs >= PROVEN}
+             .na.fill(0, ["links"]).groupBy("class").agg(F.sum(F.least("truth", "links") / F.col("truth")).alias("shared"),
+                                                       F.count("*").alias("proofs")).collect())
+    sent.destroy()
+    return {r["class"]: (r.shared, r.proofs) for r in found}
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, seed: int = 11) -> DataFrame:
@@ -286,31 +332,37 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, seed: int
     key = ["label", F.length("unit").alias("size")]
     groups = nodes.groupBy(*key).agg(F.count("*").alias("m")).withColumn("class", F.floor(F.log2("m")).cast("int"))
     sized = nodes.select("node", "unit", *key).join(groups, ["label", "size"])
-    whole = written(sized.filter(F.col("m") <= RUN).select("node"), "whole")
-    large = written(sized.filter(F.col("m") > RUN).select("node", "label", "unit", "class"), "large")
-    graph = None
+    able_to = written(sized.select("node", "label", "unit", "class"), "sized")
+    graph, wants = None, nodes.select(F.col("node").alias("a"), F.lit(NEAREST).alias("k"))
     for attempt in range(RETRIES + 1):
-        coded = large.mapInArrow(_coded(seed + attempt, ROUNDS),
-                                 "round long, size long, label string, code long, node long, unit binary")
+        coded = able_to.mapInArrow(_coded(seed + attempt, ROUNDS),
+                                   "round long, size long, label string, code long, node long, unit binary")
         order = ["round", "size", "label", "code", "node"]
         first = (coded.repartitionByRange(*order).sortWithinPartitions(*order)
-                 .mapInArrow(_runs(NEAREST), "a long, b long, sim double").withColumn("fresh", F.lit(True)))
+                 .mapInArrow(_runs(NEAREST << attempt), "a long, b long, sim double").withColumn("fresh", F.lit(True)))
+        old = graph
         if graph is not None:
             first = first.union(_edges(graph).withColumn("fresh", F.lit(False)))
-        graph = written(_lists(first), "first-graph")
-        graph = _descend(nodes, graph)
-        full = written(graph.filter((F.size("near") >= NEAREST) & (F.element_at("near", -1)["sim"] >= threshold))
+            wants = graph.select("a", F.least(2 * F.col("k"), F.lit(LONGEST)).alias("k"))
+        graph = written(_lists(first, wants), "first-graph")
+        if old is not None:
+            dropped(old)
+        graph = _grown(nodes, graph, threshold)
+        full = written(graph.filter((F.size("near") >= F.col("k")) & (F.element_at("near", -1)["sim"] >= threshold))
                        .select(F.col("a").alias("node")), "saturated")
         links = written(_edges(graph).filter(F.col("sim") >= threshold).select("a", "b"), "near-links")
         both = written(links.union(links.select("b", "a")).distinct()
                        .join(nodes.select(F.col("node").alias("b"), "copies"), "b").select("a", "b", "copies"), "both-links")
         degrees = both.groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("links"))
-        recall = _audit(nodes, large.join(full, "node", "left_anti"), degrees, threshold)
+        recall = _audit(nodes, able_to.join(full, "node", "left_anti"), degrees, threshold)
         _log.info("round %d: recall %s", attempt, recall)
-        if all(r is None or r >= RECALL for r in recall.values()):
+        short = [c for c, r in recall.items() if r < RECALL]
+        if not short:
             break
-    short = [c for c, r in recall.items() if r is None or r < RECALL]
-    chosen = written(full.union(whole).union(large.filter(F.col("class").isin(short)).select("node")).distinct(), "compared")
+    missed = able_to.filter(F.col("class").isin(short)).select("node") if short else full.limit(0)
+    chosen = written(full.union(missed).distinct(), "compared")
+    _log.info("%d nodes compared with their whole label, %d of them for classes %s below the recall",
+              chosen.count(), missed.count() if short else 0, short)
     exact = written(_exact_links(nodes, chosen, threshold), "block-links")
     parts = written(components(links.union(exact.filter("node <> root").select("node", "root"))), "near-parts")
     listed = (both.join(chosen.withColumnRenamed("node", "a"), "a", "left_anti")

@@ -124,7 +124,9 @@ def test_op1_groups_odd_vectors_and_labels(spark):
 
 def test_op1_recall_on_the_table(spark, sf_small):
     got = nn_descent.op1_nn_descent(spark, sf_small)
-    assert got.count() == 500 and got.columns == ["vec_id", "n_links", "component_id", "kept"]
+    rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf_small}/embeddings.parquet").collect()]
+    expected = sorted(r for label in {r[2] for r in rows} for r in brute_links([x for x in rows if x[2] == label]))
+    assert sorted(map(tuple, got.collect())) == expected
 
 
 def brute_links(rows):
@@ -179,3 +181,24 @@ def test_op1_low_recall_is_never_returned(spark, monkeypatch):
     for name, value in (("RUN", 8), ("ROUNDS", 1), ("RETRIES", 0), ("SETTLED", 1.0)):
         monkeypatch.setattr(nn_descent, name, value)
     assert sorted(map(tuple, nn_descent.near_duplicates(vectors(spark, rows)).collect())) == brute_links(rows)
+
+
+def test_op1_links_come_from_the_graph(spark, caplog):
+    """Labels of several sizes, about one linked vector in a hundred, one dense group: under 5 % compared exactly."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for label, lone, pairs in ((0, 9000, 60), (1, 3000, 25), (2, 700, 5), (3, 90, 2), (4, 1, 1)):
+        for _ in range(pairs):
+            a, b = np.linalg.qr(rng.standard_normal((32, 2)))[0].T
+            rows += [(v, label) for v in (a, 0.95 * a + math.sqrt(1 - 0.95 ** 2) * b)]
+        rows += [(v, label) for v in rng.standard_normal((lone, 32))]
+    rows += [(c + 0.01 * rng.standard_normal(32), 0) for c in np.eye(32)[:3] for n in range((12, 30, 100)[int(c[1] + 2 * c[2])])]
+    rows = [(i, v.astype("f4").tolist(), label) for i, (v, label) in enumerate(rows)]
+    expected = {r[0]: r for label in range(5) for r in brute_links([x for x in rows if x[2] == label])}
+    with caplog.at_level("INFO", logger="retentio.llm.nn_descent"):
+        got = {r.vec_id: tuple(r) for r in nn_descent.near_duplicates(vectors(spark, rows)).collect()}
+    linked = [i for i, r in expected.items() if r[1]]
+    right = [i for i in linked if got[i] == expected[i]]
+    assert len(linked) > 300 and len(right) >= 0.97 * len(linked) and all(got[i] == expected[i] for i in expected if not expected[i][1])
+    compared = [int(r.message.split()[0]) for r in caplog.records if "compared with their whole label" in r.message]
+    assert 100 <= compared[0] < 0.05 * len(rows)
