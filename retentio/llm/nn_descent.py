@@ -181,8 +181,9 @@ def _edges(graph: DataFrame) -> DataFrame:
     return graph.select("a", F.inline("near")).select("a", "b", "sim", "fresh")
 
 
-def _descend(nodes: DataFrame, graph: DataFrame) -> DataFrame:
-    """Neighbours-of-neighbours joins until the lists settle; ``fresh`` marks entries not yet joined."""
+def _descend(nodes: DataFrame, graph: DataFrame, threshold: float) -> DataFrame:
+    """Neighbours-of-neighbours joins until the lists settle; ``fresh`` marks entries not yet joined.  A saturated list
+    takes no nearer entries: it holds links alone and is made longer in any case."""
     while True:              # ends: lists only improve
         one = _edges(graph)
         both = (one.union(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", "fresh"))
@@ -193,7 +194,8 @@ def _descend(nodes: DataFrame, graph: DataFrame) -> DataFrame:
                   .select(F.col("a").alias("centre"), F.col("b").alias("node"), "fresh"))
         busy = member.groupBy("centre").agg(F.max("fresh").alias("any")).filter("any").select("centre")
         floor = graph.select(F.col("a").alias("node"),
-                             F.when(F.size("near") < F.col("k"), -1.0).otherwise(F.element_at("near", -1)["sim"]).alias("floor"))
+                             F.when(F.size("near") < F.col("k"), -1.0).when(F.element_at("near", -1)["sim"] >= threshold, 2.0)
+                             .otherwise(F.element_at("near", -1)["sim"]).alias("floor"))
         found = (member.join(busy, "centre", "left_semi")
                  .join(nodes.select("node", "unit").join(floor, "node", "left").na.fill(-1.0, ["floor"]), "node")
                  .groupBy("centre").agg(F.collect_list(F.struct("node", "unit", "floor", "fresh")).alias("members"))
@@ -209,7 +211,7 @@ def _descend(nodes: DataFrame, graph: DataFrame) -> DataFrame:
 def _grown(nodes: DataFrame, graph: DataFrame, threshold: float) -> DataFrame:
     """The settled graph with every saturated list doubled, and settled again, up to ``LONGEST`` entries."""
     while True:
-        graph = _descend(nodes, graph)
+        graph = _descend(nodes, graph, threshold)
         full = (F.size("near") >= F.col("k")) & (F.element_at("near", -1)["sim"] >= threshold) & (F.col("k") < LONGEST)
         if graph.filter(full).isEmpty():
             return graph
