@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import ID, IMPORTANCE_COLUMNS, IMPORTANCE_REPEATS, SEED, TARGET
+from ..constants import ID, IMPORTANCE_COLUMNS, IMPORTANCE_REPEATS, SEED
 from ..functions.schema import pretty_label
 from ..session import cut_lineage
 from . import evaluate as E
