@@ -4,34 +4,16 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import os
-import shutil
-import tempfile
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import remove_scratch, shared_scratch
+from ..session import remove_scratch, shared_scratch, ship  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package where they cannot import it anyway: the driver serves it as a zip file
-    (``addPyFile``), once per application.  A cluster that has the package on PYTHONPATH needs nothing."""
-    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    if spark.sparkContext.applicationId in _SHIPPED or home in [os.path.abspath(p) for p in known if p]:
-        return
-    package = __name__.split(".")[0]
-    spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{package}", "zip", home, package))
-    _SHIPPED.add(spark.sparkContext.applicationId)
-
-
 def lean(run):
     """A batch function that leaves little behind in its Python worker, which later stages reuse: what a task no longer
     needs goes back to the system at its end.  Its data hold no cycles, so the search for them is off meanwhile."""
