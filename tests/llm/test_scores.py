@@ -235,5 +235,5 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, sf_small):
 
 
 def test_pipeline_is_registered():
-    assert "pipeline" in entry.queries() and sum(k.startswith("op") for k in queries.QUERIES) == 10
+    assert "pipeline" in entry.queries() and sum(k.startswith("op") for k in queries.QUERIES) == 13
     assert edge_texts()[0] is None
