@@ -1,9 +1,10 @@
 """ANOVA F feature selection (I10), selected-feature table (I11), relevance.
 
-The F statistic needs, per feature and class, the count, sum and sum of
-squares.  They come from ONE ``groupBy(label)`` over the wide transformed
-frame (partial aggregation leaves one row per class per partition), so no
-long-form explode or per-feature shuffle is needed.
+The F statistic needs, per feature and class, the count, mean and centred
+second moment (mergeable, so large values with a small spread lose nothing).
+They come from ONE ``groupBy(label)`` over the wide transformed frame (partial
+aggregation leaves one row per class per partition), so no long-form explode
+or per-feature shuffle is needed.
 """
 
 from __future__ import annotations
@@ -21,22 +22,21 @@ def anova_f(df: DataFrame, features: dict, label: str = TARGET) -> dict[str, flo
     """One-way ANOVA F of each feature expression across the label classes."""
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, (name, expr) in enumerate(features.items()):
-        aggs += [F.sum(expr).alias(f"s{i}"), F.sum(expr * expr).alias(f"q{i}")]
+        aggs += [F.avg(expr).alias(f"m{i}"), F.var_pop(expr).alias(f"v{i}")]
     rows = df.groupBy(label).agg(*aggs).collect()          # one row per class
     out = {}
     k = len(rows)
     n = sum(r["_n"] for r in rows)
     for i, name in enumerate(features):
-        s = sum(r[f"s{i}"] for r in rows)
-        ss = sum(r[f"q{i}"] for r in rows)
-        sq_k = sum(r[f"s{i}"] * r[f"s{i}"] / r["_n"] for r in rows)
-        sstot = ss - s * s / n
-        ssbn = sq_k - s * s / n
-        sswn = sstot - ssbn
+        means = [math.nan if r[f"m{i}"] is None else r[f"m{i}"] for r in rows]
+        shift = [m - means[0] for m in means]              # equal means differ by exactly 0
+        middle = sum(r["_n"] * d for r, d in zip(rows, shift)) / n if n else math.nan
+        ssbn = sum(r["_n"] * (d - middle) ** 2 for r, d in zip(rows, shift))
+        sswn = sum(r["_n"] * (math.nan if r[f"v{i}"] is None else r[f"v{i}"]) for r in rows)
         if k < 2 or n <= k:
             out[name] = None
             continue
-        out[name] = f_score(ssbn / (k - 1), max(sswn, 0.0) / (n - k))
+        out[name] = f_score(ssbn / (k - 1), sswn / (n - k))
     return out
 
 

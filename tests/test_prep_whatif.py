@@ -92,3 +92,16 @@ def test_standalone_stages_compose_to_the_bundled_preprocessor(spark, sf_small):
             assert abs(r[c] - got_cap[r[ID]][c]) < 1e-9
         for c in LOG_COLUMNS:
             assert abs(r[c] - got_log[r[ID]][c]) < 1e-9
+
+
+def test_anova_of_large_values_with_a_small_spread(spark):
+    from retentio.operators.selection import anova_f
+    rows = [(i % 3, float((i * 7) % 11) / 10) for i in range(60)]
+    near = spark.createDataFrame(rows, "y int, x double")
+    x = F.col("x")
+    scores = anova_f(near, {"near": x, "far": x + F.lit(1e9), "same": F.lit(1e9), "apart": F.col("y") + F.lit(1e9)}, "y")
+    means = {y: sum(v for c, v in rows if c == y) / 20 for y in range(3)}
+    middle = sum(means.values()) / 3
+    expected = (sum(20 * (m - middle) ** 2 for m in means.values()) / 2) / (sum((v - means[y]) ** 2 for y, v in rows) / 57)
+    assert abs(scores["near"] - expected) < 1e-9 and abs(scores["far"] - expected) < 1e-5
+    assert scores["same"] is None and scores["apart"] == float("inf")
