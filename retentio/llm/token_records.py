@@ -10,13 +10,14 @@ The mask rotates the checksum by 15 bits and adds a constant, so checksums of da
 checksums stay useful.  The index (Parquet) has one row per record: shard, offset, length, doc_id,
 n_tokens; any selection or order of its rows can be read with :func:`read_records`.
 
-Shards are written by the tasks of a range-partitioned, sorted plan.  A task writes under a name of
-its own and renames when complete, so a repeated or speculative task replaces equal content.  The
-folder must be reachable by all executors under the same URI (``spark.checkpoint.dir``).
+Shards are written by the tasks of a range-partitioned, sorted plan.  Equal and null ids are ordered and split by a hash of
+their text, so a repeated task writes the same records.  Every attempt has a shard file of its own, which its index rows
+name, and the index holds the rows of the attempts that were committed, so repeated and speculative tasks do no harm.
+The folder must be reachable by all executors under the same URI (``spark.checkpoint.dir``).
 
 Defined edge cases: null text is empty and yields its end id alone; repeated rows give one record
-each; null doc_id sorts first; an empty table gives an empty index and no rows; a damaged record
-raises ``ValueError``; other input columns are ignored.
+each; null doc_id sorts first; ids are integers and come back as longs (other types: ``TypeError``); an empty table gives an
+empty index and no rows; a damaged record raises ``ValueError``; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -74,8 +75,7 @@ def _writer(folder: str, vocabulary: str, end_id: int):
         enc = encoder(vocabulary)
         narrow = enc.tokenizer.get_vocab_size() <= 1 << 16
         files, base = filesystem(folder)
-        shard = f"shard-{context.partitionId():06d}.rec"
-        own = f"{base}/.{shard}-{context.taskAttemptId()}"
+        shard = f"shard-{context.partitionId():06d}-{context.taskAttemptId()}.rec"
         out, offset, before = None, 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -85,7 +85,7 @@ def _writer(folder: str, vocabulary: str, end_id: int):
                     continue
                 if out is None:
                     files.create_dir(base, recursive=True)
-                    out = files.open_output_stream(own)
+                    out = files.open_output_stream(f"{base}/{shard}")
                 raw, ends = ids.astype("<u2" if narrow else "<u4"), np.cumsum(counts)
                 offsets, lengths, doc_ids = [], [], part.column("doc_id")
                 for doc_id, n, end in zip(doc_ids.to_pylist(), counts.tolist(), ends.tolist()):
@@ -100,15 +100,18 @@ def _writer(folder: str, vocabulary: str, end_id: int):
                     ["shard", "offset", "length", "doc_id", "n_tokens"])
         if out is not None:
             out.close()
-            files.move(own, f"{base}/{shard}")
     return run
 
 
 def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID) -> DataFrame:
     """Write shard files and the offset index of ``docs(doc_id, text)`` under ``folder``; returns the index."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"doc_id must be an integer, not {kind}")
     schema = INDEX.format(kind=kind)
-    ordered = (docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id"))
+    order = ["doc_id", "tie"]
+    ordered = (docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange(*order)
+               .sortWithinPartitions(*order).select("doc_id", "text"))
     ordered.mapInArrow(_writer(f"{folder}/shards", vocabulary, end_id), schema).write.parquet(f"{folder}/index")
     return docs.sparkSession.read.schema(schema).parquet(f"{folder}/index")
 

@@ -129,3 +129,14 @@ def test_records_are_framed_and_checked():
     assert struct.unpack_from("<Q", record)[0] == 7 and token_records.unframe(record) == b"payload"
     with pytest.raises(ValueError):
         token_records.unframe(record[:-1] + bytes([record[-1] ^ 1]))
+
+
+def test_op9_ties_and_other_ids(spark, tmp_path):
+    """Equal and null ids: the same records in the same order however rows are split; ids of other types."""
+    rows = [(None, f"text {i} of none") for i in range(40)] + [(5, f"text {i % 7} of five") for i in range(40)] + [(9, "last"), (1, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    found = [sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_records.round_trip(
+        docs.repartition(n), f"file://{tmp_path}/{n}", WORD).collect()) for n in (1, 6)]
+    assert found[0] == found[1] and [r[1] for r in found[0]] == [None] * 40 + [1] + [5] * 40 + [9]
+    with pytest.raises(TypeError):
+        token_records.write_records(docs.selectExpr("string(doc_id) AS doc_id", "text"), f"file://{tmp_path}/x", WORD)
