@@ -33,9 +33,10 @@ from ..operators.scoring import PipelineScorer, RuleScorer, predict_probabilitie
 from ..session import shared_scratch, written
 from ..sources import files as FS
 from ..sources.customers import source_frame
-from ..streaming.scoring import start_scoring_stream
+from ..streaming.scoring import start_scoring_stream, start_upload_stream
 from . import oracle as O
 from . import portfolio as P
+from . import sample_uploads as UP
 from . import training as TR
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -800,7 +801,7 @@ def q_k4(spark, sf):
 def _dirty_case(c: str) -> str:
     from ..constants import HEADER_ALIASES
     eng = {v[0]: k for k, v in HEADER_ALIASES.items()}
-    for header, m, cell in FS.DIRT:
+    for header, m, cell in UP.DIRT:
         if eng[header] == c:
             val = {"abc": "NULL", "NaN": "NULL", "": "NULL", "x": "0", " 5 ": "5.0", "1e3": "1000.0", "NA": "NULL"}[cell]
             return f"CASE WHEN customer_id % {m} = 0 THEN {val} ELSE {c} END"
@@ -812,10 +813,10 @@ def _dirty_case(c: str) -> str:
     + " FROM customers")
 def q_s1(spark, sf):
     path = shared_scratch(spark, "csv-upload")
-    dirty = FS.with_dirty_cells(FS.as_text(source_frame(spark, sf, "english")))
+    dirty = UP.with_dirty_cells(FS.as_text(source_frame(spark, sf, "english")))
     # one folder, two headers: Spanish names in another order for every third customer
     third = F.col(ID).cast("long") % 3 == 0
-    spanish = FS.with_dirty_cells(FS.as_text(source_frame(spark, sf, "english"))).where(third).toDF(
+    spanish = UP.with_dirty_cells(FS.as_text(source_frame(spark, sf, "english"))).where(third).toDF(
         *FS.as_text(source_frame(spark, sf, "spanish")).columns)
     dirty.where(~third).write.mode("overwrite").option("header", True).csv(path)
     spanish.select(*reversed(spanish.columns)).write.mode("append").option("header", True).csv(path)
@@ -837,7 +838,7 @@ FROM customers""")
 def q_s2(spark, sf):
     path = shared_scratch(spark, "batch-upload")
     text = FS.as_text(source_frame(spark, sf, "english"))
-    FS.write_csv_lines(text, path, SHORT_EVERY, LONG_EVERY, quoted="Country")
+    UP.write_csv_lines(text, path, SHORT_EVERY, LONG_EVERY, quoted="Country")
     good, rejects = FS.read_batch(spark, path, columns=text.columns)
     quoted = F.col("country").startswith('"') & F.col("country").endswith('"') & (F.length("country") > 2)
     g = good.agg(F.count(F.lit(1)).alias("good_rows"), F.count_if(quoted).alias("quoted_rows"),
@@ -891,6 +892,20 @@ def q_stream(spark, sf):
     return rounded(out.select(F.col(ID).cast("long").alias(ID), "probability", "risk_level", "decision"))
 
 
+@register("m6_upload_stream_scoring", SCORED_SQL + "SELECT customer_id, round(probability, 6) AS probability, risk_level, "
+          "decision FROM scored")
+def q_upload_stream(spark, sf):
+    """A folder whose files have English or Spanish headers, in two column orders, scored as one stream."""
+    src = shared_scratch(spark, "uploads-in")
+    english, third = FS.as_text(source_frame(spark, sf, "english")), F.col(ID).cast("long") % 3 == 0
+    spanish = FS.as_text(source_frame(spark, sf, "spanish")).where(third)
+    english.where(~third).write.mode("overwrite").option("header", True).csv(src)
+    spanish.select(*reversed(spanish.columns)).write.mode("append").option("header", True).csv(src)
+    sink, ckpt = shared_scratch(spark, "uploads-out"), shared_scratch(spark, "uploads-ckpt")
+    start_upload_stream(spark, src, sink, ckpt).awaitTermination()
+    return rounded(spark.read.parquet(sink).select(F.col(ID).cast("long").alias(ID), "probability", "risk_level", "decision"))
+
+
 # --- labels and lineage of transformed features (P9, P10), importance sample (L4), legacy profile (A9) ----
 
 

@@ -12,39 +12,119 @@ with too few cells are kept with NULLs; rows with too many are rejected.
 from __future__ import annotations
 
 import csv
+import io
+import re
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import ID, TARGET
 from ..functions.schema import complete, normalize
+from ..session import ship
 
 CORRUPT, EXTRA = "_corrupt_record", "_one_cell_too_many"
 
 
-def headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """Column names of each different header line, and the files that have it (one row per file is collected)."""
-    lines = (spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-             .where(F.col("_metadata.file_block_start") == 0).withColumn("at", F.monotonically_increasing_id())
-             .groupBy("file").agg(F.min_by("value", "at").alias("header")).orderBy("file").collect())
+class NoHeader(ValueError):
+    """No file of an upload has a header line."""
+
+
+RECORD_BYTES = 1 << 20             # a header record is at most this long
+BLOCK_BYTES = 1 << 13
+LOCAL = re.compile(r"^file:/+")
+
+
+def file_system(path: str):
+    """(Arrow file system, path in it) as a task opens it, or None for a store that only Spark reaches."""
+    if LOCAL.match(path):
+        return fs.LocalFileSystem(), LOCAL.sub("/", path)
+    try:
+        return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+    except (OSError, ValueError):
+        return None
+
+
+def first_record(stream, limit: int = RECORD_BYTES) -> str:
+    """The first record of a CSV stream that is not blank; reading stops behind the block that ends it.
+
+    A line break inside quotes belongs to the record.  An empty stream gives the empty text.
+    """
+    data, start, at = b"", 0, 0
+    while True:
+        block = stream.read(BLOCK_BYTES)
+        data += block
+        while True:
+            end = data.find(b"\n", at)
+            if end < 0 and not block:
+                end = len(data)
+            if end < 0:
+                at = len(data)
+                break
+            if block and data.count(b'"', start, end) % 2:          # inside quotes
+                at = end + 1
+                continue
+            record = data[start:end].decode("utf-8-sig", "replace").rstrip("\r")
+            if record.strip() or end == len(data):
+                return record
+            start = at = end + 1
+        if len(data) - start > limit:
+            raise ValueError(f"the header record is longer than {limit} bytes")
+
+
+def _first_records(batches):
+    for batch in batches:
+        found = []
+        for path in batch.column("path").to_pylist():
+            store, inner = file_system(path)
+            with store.open_input_stream(inner, compression="detect", buffer_size=BLOCK_BYTES) as stream:
+                found.append(first_record(stream))
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(found, pa.string())], ["file", "header"])
+
+
+def header_catalogue(spark: SparkSession, path) -> DataFrame:
+    """(file, header) of every file under ``path``, a path or a list of paths.
+
+    Tasks open each file and stop after its first record.  In a store that Arrow cannot open, Spark scans the lines
+    instead (and a header ends at its first line break).
+    """
+    files = spark.read.format("binaryFile").load(path).select("path")          # lists, reads no content
+    one = files.first()
+    if one is not None and file_system(one["path"]) is None:
+        return (spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+                .where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
+                .withColumn("at", F.monotonically_increasing_id())
+                .groupBy("file").agg(F.min_by(F.ltrim(F.lit("\ufeff"), "value"), "at").alias("header")))
+    ship(spark)
+    return files.mapInArrow(_first_records, "file string, header string").where(F.trim("header") != "")
+
+
+def headers(spark: SparkSession, path) -> dict[tuple[str, ...], list[str] | str]:
+    """Column names of each different header, and the files that have it.
+
+    One row per different header is collected, with its file names (which Spark's own file index lists as well); when
+    all files share one header their folder stands for them.
+    """
+    groups = (header_catalogue(spark, path).groupBy("header")
+              .agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy("header").collect())
     found: dict[tuple[str, ...], list[str]] = {}
-    for line in lines:
-        names = tuple(next(csv.reader([line["header"].lstrip("\ufeff")]), []))
-        found.setdefault(names, []).append(line["file"])
+    for group in groups:
+        found.setdefault(tuple(next(csv.reader(io.StringIO(group["header"], newline="")), [])), []).extend(group["files"])
     if not found:
-        raise ValueError(f"no header line in {path}")
-    return found
+        raise NoHeader(f"no header line in {path}")
+    return {names: path for names in found} if len(found) == 1 else found
 
 
 def text_schema(columns, *extra: str) -> str:
-    return ", ".join(f"`{c}` string" for c in [*columns, *extra])
+    return ", ".join(f"`{c.replace('`', '``')}` string" for c in [*columns, *extra])
 
 
 def _csv(spark: SparkSession, files, columns, header: bool, multi_line: bool, *extra: str) -> DataFrame:
     return (spark.read.schema(text_schema(columns, *extra)).option("header", header).option("mode", "PERMISSIVE")
-            .option("escape", '"').option("multiLine", multi_line).option("columnNameOfCorruptRecord", CORRUPT)
+            .option("escape", '"').option("multiLine", multi_line or any("\n" in c for c in columns)).option("columnNameOfCorruptRecord", CORRUPT)
             .option("columnPruning", not extra)          # a row's cells are counted against all columns
             .csv(files))
 
@@ -53,8 +133,11 @@ def _united(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
 
 
-def read_customers(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False) -> DataFrame:
-    """Customer table from CSV (all text, then typed) or Parquet, normalised and completed."""
+def read_customers(spark: SparkSession, path, fmt: str = "csv", multi_line: bool = False) -> DataFrame:
+    """Customer table from CSV (all text, then typed) or Parquet, normalised and completed.
+
+    ``path`` is a path or, for CSV, also a list of files.
+    """
     if fmt == "parquet":
         return complete(normalize(spark.read.parquet(path)))
     return complete(_united([normalize(_csv(spark, files, names, True, multi_line))
@@ -95,40 +178,6 @@ def as_text(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
 
 
-# Dirty-cell rules used to exercise the CSV path: (source header, key modulus, cell text).
-DIRT = [
-    ("Age", 97, "abc"),
-    ("Total_Purchases", 89, "NaN"),
-    ("Credit_Balance", 83, ""),
-    ("Churned", 79, "x"),
-    ("Email_Open_Rate", 73, " 5 "),
-    ("Lifetime_Value", 71, "1e3"),
-    ("Gender", 67, "NA"),
-]
-
-
-def with_dirty_cells(text: DataFrame) -> DataFrame:
-    """Replace a rule-chosen cell per column with unparsable / special text (all rows kept)."""
-    return text.withColumns({
-        c: F.when(F.col(ID).cast("long") % m == 0, F.lit(cell)).otherwise(F.col(c)) for c, m, cell in DIRT
-    })
-
-
-def write_csv_lines(text: DataFrame, path: str, short_every: int | None = None, long_every: int | None = None,
-                    quoted: str | None = None) -> None:
-    """Headerless CSV lines; rows whose key is a multiple of ``short_every`` keep only 3 fields, of ``long_every`` get
-    one too many; column ``quoted`` is written in quotes with a doubled quote inside."""
-    cells = {c: F.coalesce(F.col(c), F.lit("")) for c in text.columns}
-    if quoted:
-        cells[quoted] = F.concat(F.lit('"""'), cells[quoted], F.lit('"""'))
-    line, key = F.concat_ws(",", *cells.values()), F.col(ID).cast("long")
-    if long_every:
-        line = F.when(key % long_every == 0, F.concat(line, F.lit(",surplus"))).otherwise(line)
-    if short_every:
-        line = F.when(key % short_every == 0, F.concat_ws(",", *list(cells.values())[:3])).otherwise(line)
-    text.select(line.alias("value")).write.mode("overwrite").text(path)
-
-
 def is_missing(exc: AnalysisException) -> bool:
     return exc.getCondition() == "PATH_NOT_FOUND"
 

@@ -1,15 +1,16 @@
 from pyspark.sql import functions as F
 
 from retentio.constants import ID
+from retentio.plans import sample_uploads as UP
 from retentio.session import shared_scratch
 from retentio.sources import files as FS
 from retentio.sources.customers import source_frame
-from retentio.streaming.scoring import start_scoring_stream
+from retentio.streaming.scoring import start_scoring_stream, start_upload_stream
 
 
 def test_csv_roundtrip_with_dirty_cells(spark, sf_small):
     path = shared_scratch(spark, "t-csv")
-    text = FS.with_dirty_cells(FS.as_text(source_frame(spark, sf_small, "english")))
+    text = UP.with_dirty_cells(FS.as_text(source_frame(spark, sf_small, "english")))
     text.write.mode("overwrite").option("header", True).csv(path)
     back = FS.read_customers(spark, path)
     assert back.count() == 150
@@ -23,7 +24,7 @@ def test_csv_roundtrip_with_dirty_cells(spark, sf_small):
 def test_batch_keeps_short_and_rejects_long_lines(spark, sf_small):
     path = shared_scratch(spark, "t-batch")
     text = FS.as_text(source_frame(spark, sf_small, "spanish"))
-    FS.write_csv_lines(text, path, short_every=10, long_every=7)
+    UP.write_csv_lines(text, path, short_every=10, long_every=7)
     good, rejects = FS.read_batch(spark, path, columns=text.columns)
     assert rejects.count() == 19 and good.count() == 131                # of the 21 long ones, 2 are short instead
     assert "lifetime_value" in good.columns                      # Spanish headers normalised
@@ -97,3 +98,57 @@ def test_a_stream_file_with_another_header_stops_the_query(spark, tmp_path):
     q = start_scoring_stream(spark, str(tmp_path), ["customer_id", "Age"], shared_scratch(spark, "t-s"), shared_scratch(spark, "t-c"))
     with pytest.raises(StreamingQueryException):
         q.awaitTermination()
+
+
+def test_a_header_is_read_to_its_end_only(spark, tmp_path):
+    import io
+
+    class Counted(io.BytesIO):
+        seen = 0
+
+        def read(self, n=-1):
+            got = super().read(n)
+            self.seen += len(got)
+            return got
+
+    long = Counted(b'\xef\xbb\xbfa,"b\nc"\r\n' + b"1,2\n" * 1_000_000)
+    assert FS.first_record(long) == 'a,"b\nc"' and long.seen == FS.BLOCK_BYTES
+    assert FS.first_record(io.BytesIO(b"\n\r\na,b")) == "a,b" and FS.first_record(io.BytesIO(b"")) == ""
+    assert FS.first_record(io.BytesIO(b"x" * 20_000 + b"\n1\n")) == "x" * 20_000
+    try:
+        FS.first_record(io.BytesIO(b"x" * 20_000 + b"\n"), limit=10_000)
+    except ValueError as exc:
+        assert "longer than" in str(exc)
+    else:
+        raise AssertionError("a header above the limit passes")
+
+
+def test_quoted_line_breaks_in_headers(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text('"customer_id","No\nte",Age\n1,x,30\n')
+    (tmp_path / "c.csv").write_text("Edad,customer_id\n41,2\n")
+    (tmp_path / "empty.csv").write_text("")
+    rows = {r[ID]: r["age"] for r in FS.read_customers(spark, str(tmp_path)).collect()}
+    assert rows == {"1": 30.0, "2": 41.0}
+
+
+def test_a_stream_of_mixed_headers_survives_a_failed_batch(spark, tmp_path):
+    import pytest
+    from pyspark.errors import StreamingQueryException
+    from retentio.operators.scoring import RuleScorer
+
+    class Failing(RuleScorer):
+        def with_probability(self, df):
+            raise RuntimeError("lost")
+
+    (tmp_path / "a.csv").write_text("customer_id,Age\n1,30\n2,41\n")
+    (tmp_path / "b.csv").write_text("Edad,customer_id\n50,3\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "blank.csv").write_text("\n\n")
+    sink, ckpt = shared_scratch(spark, "t-u"), shared_scratch(spark, "t-uc")
+    start_upload_stream(spark, str(tmp_path), sink, ckpt, max_files_per_trigger=1).awaitTermination()
+    (tmp_path / "d.csv").write_text("Edad,Pais,customer_id\n60,x,4\n")
+    with pytest.raises(StreamingQueryException):
+        start_upload_stream(spark, str(tmp_path), sink, ckpt, scorer=Failing()).awaitTermination()
+    start_upload_stream(spark, str(tmp_path), sink, ckpt).awaitTermination()
+    rows = sorted((r[ID], r["age"]) for r in spark.read.parquet(sink).collect())
+    assert rows == [("1", 30.0), ("2", 41.0), ("3", 50.0), ("4", 60.0)]
