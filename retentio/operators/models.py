@@ -5,9 +5,8 @@ rules → features → column-group preprocessing → ANOVA top-k → classifier
 with every stage a ``pyspark.ml`` Estimator/Transformer so the fitted
 ``PipelineModel`` saves and loads as one object.
 
-The final model is the leaf-wise histogram booster of :mod:`.booster`.  Declared
-deviation (public Spark ML has no equivalent): the MLP has sigmoid hidden layers
-and no L2 penalty.
+The final model is the leaf-wise histogram booster of :mod:`.booster`, the
+multilayer perceptron that of :mod:`.network`.
 """
 
 from __future__ import annotations
@@ -16,9 +15,7 @@ import json
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, Transformer
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
-)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -31,6 +28,7 @@ from ..functions.features import add_features
 from ..functions.rules import apply_rules
 from ..functions.schema import complete, normalize
 from .booster import STOP_ROWS, LeafwiseBooster
+from .network import Perceptron
 from .prep import ChurnPreprocessor
 from .selection import anova_f, best_positions
 
@@ -119,8 +117,7 @@ def with_validation(train: DataFrame, column: str, rows: int, early_stopping: bo
     return train, None
 
 
-def classifier(name: str, n_features: int | None = None, n_rows: int | None = None,
-               features: str = "selected", label: str = TARGET, weight: str = "weight",
+def classifier(name: str, n_rows: int | None = None, features: str = "selected", label: str = TARGET, weight: str = "weight",
                validation: str | None = None):
     """The candidate classifiers with the original hyper-parameters mapped to Spark ML.
 
@@ -138,11 +135,56 @@ def classifier(name: str, n_features: int | None = None, n_rows: int | None = No
     if name == "gradient_boosting":           # M3d: unweighted
         return GBTClassifier(featuresCol=features, labelCol=label, maxIter=130, stepSize=0.06, maxDepth=3, seed=SEED)
     if name == "mlp":                         # M3e
-        return MultilayerPerceptronClassifier(featuresCol=features, labelCol=label,
-                                              layers=[n_features or 1, 64, 32, 2], maxIter=90, seed=SEED)
+        return Perceptron(featuresCol=features, labelCol=label)
     raise ValueError(name)
 
 
+def checked_by_rules(name: str, fitted, rows: DataFrame, scratch: str) -> DataFrame:
+    """``rows`` (with a features column) plus ``rule_probability``, recomputed by SQL functions from what the fitted
+    classifier exports: coefficients, tree nodes or network weights.  ``scratch`` is a folder for the exported trees."""
+    if name == "hist_gradient_boosting":
+        return fitted.scored_by_rules(rows)
+    if name == "mlp":
+        return fitted.scored_by_expressions(rows)
+    x = vector_to_array(F.col(fitted.getOrDefault("featuresCol")))
+    if name == "logistic_regression":
+        dot = F.aggregate(F.zip_with(x, F.lit([float(c) for c in fitted.coefficients]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        return rows.withColumn("rule_probability", 1 / (1 + F.exp(-dot - fitted.intercept)))
+    fitted.write().overwrite().save(scratch)
+    spark = rows.sparkSession
+    # nodes of a bounded number of trees of bounded depth: at most 160 x 2^13
+    node = spark.read.parquet(f"{scratch}/data").select("treeID", "nodeData.*")
+    weight = spark.read.parquet(f"{scratch}/treesMetadata").toDF("treeID", "_metadata", "_weight").select("treeID", "_weight")
+    stats = F.col("impurityStats")
+    share = stats[1] / F.aggregate(stats, F.lit(0.0), lambda a, b: a + b) if name == "random_forest" else F.col("prediction")
+    node = node.join(F.broadcast(weight), "treeID").select(
+        "treeID", F.col("id").alias("_at"), "leftChild", "rightChild", F.col("split.featureIndex").alias("_f"),
+        F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("_cut"), (share * F.col("_weight")).alias("_share"), "_weight")
+    tables = F.broadcast(node)
+    keyed = rows.withColumn("_row", F.monotonically_increasing_id())
+    trees = fitted.getNumTrees if not callable(fitted.getNumTrees) else fitted.getNumTrees()
+    walk = keyed.select("_row", x.alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("treeID"), F.lit(0).alias("_at"))
+    for _ in range(fitted.getOrDefault("maxDepth")):
+        left = F.get("_x", F.col("_f")) <= F.col("_cut")
+        walk = walk.join(tables, ["treeID", "_at"]).select("_row", "_x", "treeID", F.when(F.col("leftChild") < 0, F.col("_at")).when(
+            left, F.col("leftChild")).otherwise(F.col("rightChild")).alias("_at"))
+    total = walk.join(tables, ["treeID", "_at"]).groupBy("_row").agg(F.sum("_share").alias("_s"), F.sum("_weight").alias("_w"))
+    p = F.col("_s") / F.col("_w") if name == "random_forest" else 1 / (1 + F.exp(-2 * F.col("_s")))
+    return keyed.join(total, "_row").withColumn("rule_probability", p).drop("_row", "_s", "_w")
+
+
+def logistic_gradient(fitted, rows: DataFrame, label: str = TARGET, weight: str = "weight") -> float:
+    """Largest entry of the gradient of the weighted mean log-loss with L2 at a fitted logistic regression (intercept
+    included); ``rows`` are the fitted ones."""
+    scored = checked_by_rules("logistic_regression", fitted, rows, "").select(
+        F.concat(vector_to_array(F.col(fitted.getOrDefault("featuresCol"))), F.array(F.lit(1.0))).alias("x"),
+        (F.col(weight) * (F.col("rule_probability") - F.col(label))).alias("e"), F.col(weight).alias("w"))
+    total = scored.agg(F.sum("w")).first()[0]
+    sums = scored.select("e", F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.sum(F.col("e") * F.col("v")).alias("g"))
+    beta = [fitted.getOrDefault("regParam") * float(c) for c in fitted.coefficients] + [0.0]
+    return sums.agg(F.max(F.abs(F.col("g") / total + F.element_at(F.lit(beta), F.col("i") + 1)))).first()[0]
+
+
 CANDIDATES = [
     ("logistic_regression", "machine_learning"),
     ("random_forest", "machine_learning"),

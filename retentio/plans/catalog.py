@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +27,7 @@ from ..operators import sampling as S
 from ..operators import segment as SEG
 from ..operators import selection as SEL
 from ..operators import whatif as W
-from ..operators.models import CANDIDATES, BusinessFeatures, BusinessRules
+from ..operators.models import CANDIDATES, BusinessFeatures, BusinessRules, checked_by_rules, logistic_gradient
 from ..operators.prep import ChurnPreprocessor
 from ..operators.scoring import PipelineScorer, RuleScorer, predict_probabilities, prediction_output
 from ..session import shared_scratch, written
@@ -1010,21 +1010,6 @@ def q_s5_check(spark, sf):
                                     F.col("parameters.maxIter").alias("iterations")).withColumns(sizes)
 
 
-def _cells_sql(models: list[str] | None = None) -> str:
-    """Test rows per class, which the confusion cells of every model must add up to."""
-    base = ("SELECT count(*) FILTER (WHERE churned = 0) AS negatives, count(*) FILTER (WHERE churned = 1) AS positives, "
-            "true AS auc_in_range FROM split WHERE split = 'test'")
-    if models is None:
-        return SPLIT_SQL + base
-    values = ", ".join(f"('{m}')" for m in models)
-    return SPLIT_SQL + f"SELECT m.model, c.* FROM (VALUES {values}) m(model) CROSS JOIN ({base}) c"
-
-
-def _cells(board, *keys):
-    return board.select(*keys, (F.col("tn") + F.col("fp")).alias("negatives"), (F.col("fn") + F.col("tp")).alias("positives"),
-                        F.col("roc_auc").between(0, 1).alias("auc_in_range"))
-
-
 @register("m2_final_model_check", SPLIT_SQL + "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS mismatches, "
           "CAST(0 AS BIGINT) AS loss_rises FROM split WHERE split = 'test'")
 def q_m2_check(spark, sf):
@@ -1040,16 +1025,61 @@ def q_m2_check(spark, sf):
         "loss_rises", F.lit(rises).cast("long"))
 
 
-@register("m4_model_comparison_check", _cells_sql(["majority_baseline", *[c for c, _ in CANDIDATES]]))
+_MODELS = ["majority_baseline", *[c for c, _ in CANDIDATES]]
+
+
+@register("m4_model_comparison_check", SPLIT_SQL + f"""
+SELECT m.model, c.*, CAST(0 AS BIGINT) AS differing, true AS ordered FROM (VALUES {", ".join(f"('{m}')" for m in _MODELS)}) m(model)
+CROSS JOIN (SELECT count(*) FILTER (WHERE churned = 0) AS negatives, count(*) FILTER (WHERE churned = 1) AS positives
+            FROM split WHERE split = 'test') c""")
 def q_m4_check(spark, sf):
-    return _cells(q_m4(spark, sf), "model")
+    """The board's cells, accuracy and AUC recomputed from the stored scores by another path (AUC: mean ranks)."""
+    scored = TR.fit_candidates(spark, sf).scored
+    hit = F.when(F.col("probability") >= 0.5, 1).otherwise(0)
+    cells = scored.groupBy("model").agg(*[F.count_if((F.col(TARGET) == t) & (hit == p)).alias(f"c_{t}{p}") for t in (0, 1) for p in (0, 1)])
+    ties = scored.groupBy("model", "probability").agg(F.count_if(F.col(TARGET) == 1).alias("up"), F.count_if(F.col(TARGET) == 0).alias("down"))
+    below = Window.partitionBy("model").orderBy("probability").rowsBetween(Window.unboundedPreceding, -1)
+    auc = (ties.withColumn("under", F.coalesce(F.sum("down").over(below), F.lit(0))).groupBy("model")
+           .agg((F.sum(F.col("up") * (F.col("under") + F.col("down") / 2)) / F.sum("up") / F.sum("down")).alias("auc")))
+    board = TR.compare_models(spark, sf)
+    order = [(-r["roc_auc"], r["model"]) for r in board.select("roc_auc", "model").collect()]
+    n = F.col("c_00") + F.col("c_01") + F.col("c_10") + F.col("c_11")
+    same = [F.col("tn") == F.col("c_00"), F.col("fp") == F.col("c_01"), F.col("fn") == F.col("c_10"), F.col("tp") == F.col("c_11"),
+            F.abs(F.col("roc_auc") - F.col("auc")) < 1e-6, F.abs(F.col("accuracy") - (F.col("c_00") + F.col("c_11")) / n) < 1e-6]
+    return board.join(cells, "model").join(auc, "model").select(
+        "model", (F.col("c_00") + F.col("c_01")).alias("negatives"), (F.col("c_10") + F.col("c_11")).alias("positives"),
+        sum(F.when(F.coalesce(s, F.lit(False)), 0).otherwise(1) for s in same).cast("long").alias("differing"),
+        F.lit(order == sorted(order)).alias("ordered"))
+
+
+def _falls(losses, per_step: float = 1e-9) -> int:
+    return sum(b > a + per_step for a, b in zip(losses, losses[1:]))
+
+
+def _fit_flaws(name: str, c) -> int:
+    """Faults of a fit: a gradient that is not near zero, a training loss that rises, a network that learned nothing."""
+    model = c.models[name]
+    if name == "logistic_regression":
+        return int(logistic_gradient(model, c.train) > 1e-3)
+    if name == "gradient_boosting":
+        return _falls(model.evaluateEachIteration(c.train))
+    if name == "mlp":
+        losses = model.told()["losses"]
+        return int(losses[-1] >= losses[0])
+    return 0
 
 
 def _candidate(name: str, kind: str):
-    @register(f"{name}_check", _cells_sql([kind]))
+    @register(f"{name}_check", SPLIT_SQL + "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS mismatches, CAST(0 AS BIGINT) AS fit_flaws "
+              "FROM split WHERE split = 'test'")
     def check(spark, sf):
-        board = TR.compare_models(spark, sf).where(F.col("model") == kind)
-        return _cells(board, "model")
+        """Stored probabilities against those recomputed in SQL from the exported coefficients, nodes or weights."""
+        c = TR.fit_candidates(spark, sf)
+        ruled = checked_by_rules(kind, c.models[kind], c.test, shared_scratch(spark, "exported-trees")).select(ID, "rule_probability")
+        both = ruled.join(c.scored.where(F.col("model") == kind).select(ID, "probability"), ID, "full")
+        return both.agg(F.count("*").alias("rows"), F.count_if(F.coalesce(
+            F.abs(F.col("probability") - F.col("rule_probability")) > 1e-6, F.lit(True))).alias("mismatches")).withColumn(
+            "fit_flaws", F.lit(_fit_flaws(kind, c)).cast("long"))
 
     @register(name)
     def full(spark, sf):
@@ -1062,9 +1092,14 @@ for _name, _kind in (("m3b_logistic_regression", "logistic_regression"), ("m3c_r
     _candidate(_name, _kind)
 
 
-@register("m5_probabilities_check", CUSTOMER_COUNT + ", CAST(0 AS BIGINT) AS outside FROM customers")
+@register("m5_probabilities_check", CUSTOMER_COUNT + ", CAST(0 AS BIGINT) AS mismatches FROM customers")
 def q_m5_check(spark, sf):
-    return q_m5(spark, sf).agg(F.count("*").alias("rows"), F.count_if(~F.col("probability").between(0, 1)).alias("outside"))
+    """Probabilities of all customers against the exported trees' rules on the preprocessed vectors."""
+    t = TR.train_final(spark, sf)
+    vectors = PipelineModel(t.model.stages[:-1]).transform(P.customers(spark, sf)).select(ID, "selected")
+    both = t.model.stages[-1].scored_by_rules(vectors).join(q_m5(spark, sf), ID, "full")
+    return both.agg(F.count("*").alias("rows"), F.count_if(F.coalesce(
+        F.abs(F.col("probability") - F.col("rule_probability")) > 2e-6, F.lit(True))).alias("mismatches"))
 
 
 @register("m6_model_scoring_check", CUSTOMER_COUNT + ", CAST(0 AS BIGINT) AS inconsistent FROM customers")

@@ -10,7 +10,6 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
@@ -141,12 +140,19 @@ def read_metadata(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return out
 
 
-def compare_models(spark: SparkSession, sf_dir: str, candidates=CANDIDATES,
-                   max_fit_rows: int = COMPARISON_MAX_ROWS) -> DataFrame:
-    """M4: one split, preprocessing fitted once, every candidate scored on all held-out rows.
-
-    Only the rows that are fitted are bounded (``max_fit_rows``, class shares kept)."""
-    key = ("compare", spark.sparkContext.applicationId, sf_dir, tuple(c for c, _ in candidates), max_fit_rows)
+@dataclass
+class Compared:
+    models: dict              # fitted candidates by name
+    train: DataFrame          # fitted rows: id, target, weight, vector (written)
+    test: DataFrame           # held-out rows: id, target, vector (written)
+    scored: DataFrame         # (model, kind, id, target, probability) of every held-out row (written)
+    fit_rows: int
+
+
+def fit_candidates(spark: SparkSession, sf_dir: str, candidates=CANDIDATES, max_fit_rows: int = COMPARISON_MAX_ROWS) -> Compared:
+    """One split, preprocessing fitted once, every candidate fitted on the same rows (at most ``max_fit_rows``, class
+    shares kept); all of them score the held-out rows in one scan."""
+    key = ("candidates", spark.sparkContext.applicationId, sf_dir, tuple(candidates), max_fit_rows)
     if key in _CACHE:
         return _CACHE[key]
     split = written(S.stratified_split(P.customers(spark, sf_dir)), "compare-split")
@@ -155,27 +161,36 @@ def compare_models(spark: SparkSession, sf_dir: str, candidates=CANDIDATES,
     prep = Pipeline(stages=[BusinessRules(), BusinessFeatures(), ChurnPreprocessor(), AnovaSelector()]).fit(train)
     train_v = written(prep.transform(train).select(ID, TARGET, "weight", "selected"), "compare-train")
     test_v = written(prep.transform(test).select(ID, TARGET, "selected"), "compare-test")
-    n_features = len(train_v.first()["selected"])
-    n_train, n_test = train_v.count(), test_v.count()
+    n_train = train_v.count()
     major = float(E.majority_class(train))
 
-    def scored(item):
-        name, kind = item
+    def fitted(item):
+        name, _ = item
         rows, validation = with_validation(train_v, "_validation", n_train) if name == FINAL else (train_v, None)
-        fitted = classifier(name, n_features=n_features, n_rows=n_train, validation=validation).fit(rows)
-        return fitted.transform(test_v).select(F.lit(name).alias("model"), F.lit(kind).alias("kind"),
-                                               TARGET, probability_of(None).alias("probability"))
+        return classifier(name, n_rows=n_train, validation=validation).fit(rows)
 
-    frames = [test_v.select(F.lit("majority_baseline").alias("model"), F.lit("baseline").alias("kind"), TARGET,
-                            F.lit(major).alias("probability"))]
     # independent fits on the shared written vectors, submitted side by side; order kept
     with ThreadPoolExecutor(max_workers=PARALLEL_FITS) as pool:
-        frames += list(pool.map(scored, candidates))
-    board = E.evaluate(reduce(DataFrame.unionByName, frames), groups=["model", "kind"])
+        models = dict(zip([name for name, _ in candidates], pool.map(fitted, candidates)))
+    wide, given = test_v, [F.struct(F.lit("majority_baseline").alias("model"), F.lit("baseline").alias("kind"),
+                                    F.lit(major).alias("probability"))]
+    for name, kind in candidates:                  # one column per candidate, all in one stage
+        wide = models[name].transform(wide)
+        wide = wide.select(*test_v.columns, *[f"p_{n}" for n in models if f"p_{n}" in wide.columns],
+                           probability_of(wide).alias(f"p_{name}"))
+        given.append(F.struct(F.lit(name).alias("model"), F.lit(kind).alias("kind"), F.col(f"p_{name}").alias("probability")))
+    scored = written(wide.select(ID, TARGET, F.explode(F.array(*given)).alias("s")).select("s.model", "s.kind", ID, TARGET, "s.probability"),
+                     "compare-scored")
+    _CACHE[key] = Compared(models, train_v, test_v, scored, n_train)
+    return _CACHE[key]
+
+
+def compare_models(spark: SparkSession, sf_dir: str, candidates=CANDIDATES, max_fit_rows: int = COMPARISON_MAX_ROWS) -> DataFrame:
+    """M4: metrics of every candidate and of the majority baseline on all held-out rows, best AUC first."""
+    c = fit_candidates(spark, sf_dir, candidates, max_fit_rows)
     comments = F.create_map(*[F.lit(x) for kv in MODEL_COMMENTS.items() for x in kv])
-    board = (board.withColumns({"fit_rows": F.lit(n_train).cast("long"), "test_rows": F.lit(n_test).cast("long")})
-             .withColumn("selected", F.col("model") == FINAL)
-             .withColumn("comment", F.element_at(comments, F.col("model")))
-             .orderBy(F.desc("roc_auc"), "model"))
-    _CACHE[key] = board
-    return board
+    return (E.evaluate(c.scored, groups=["model", "kind"])
+            .withColumns({"fit_rows": F.lit(c.fit_rows).cast("long"), "test_rows": F.lit(c.test.count()).cast("long")})
+            .withColumn("selected", F.col("model") == FINAL)
+            .withColumn("comment", F.element_at(comments, F.col("model")))
+            .orderBy(F.desc("roc_auc"), "model"))

@@ -27,7 +27,7 @@ def _blobs(spark, n=200):
 def test_learned_models_beat_the_majority_baseline(spark):
     df = E.with_weights(_blobs(spark))
     for name in ("logistic_regression", "random_forest"):
-        model = classifier(name, n_features=3, n_rows=200).fit(df)
+        model = classifier(name, n_rows=200).fit(df)
         scored = model.transform(df).withColumn("probability", vector_to_array("probability")[1])
         assert E.roc_auc(scored).first()["roc_auc"] > 0.9
 
@@ -102,3 +102,24 @@ def test_legacy_profile_pipeline_trains_and_scores(spark, sf_small):
     assert len(probs) == 150 and all(0.0 <= p <= 1.0 for p in probs)
     names = model.stages[2].feature_names
     assert any(n.startswith("cat__age_group_") for n in names) and any(n.startswith("num__") for n in names)
+
+
+def test_probabilities_follow_from_exported_parts(spark, tmp_path):
+    """Each candidate's probabilities equal those of its exported coefficients, nodes or weights; another fit's differ."""
+    import random
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import Vectors
+    from retentio.operators.models import CANDIDATES, checked_by_rules, logistic_gradient
+    draw = random.Random(5)
+    rows = [(Vectors.dense([draw.random() for _ in range(3)]), 1.0) for _ in range(300)]
+    df = spark.createDataFrame([(v, w, int(v[0] + 0.3 * draw.random() > 0.6)) for v, w in rows], ["selected", "weight", "churned"])
+    few = df.limit(120)
+    for name, _ in CANDIDATES:
+        one, other = (classifier(name, n_rows=n).fit(x) for n, x in ((300, df), (120, few)))
+        scored = one.transform(df).select("selected", vector_to_array("probability")[1].alias("p"))
+        for model, equal in ((one, True), (other, False)):
+            ruled = checked_by_rules(name, model, scored, str(tmp_path / f"{name}{equal}"))
+            far = ruled.agg(F.max(F.abs(F.col("p") - F.col("rule_probability"))).alias("far"), F.count("rule_probability").alias("n")).first()
+            assert far["n"] == 300 and (far["far"] < 1e-9) == equal, (name, equal, far)
+        if name == "logistic_regression":
+            assert logistic_gradient(one, df) < 1e-3 < logistic_gradient(other, df)
