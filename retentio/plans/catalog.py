@@ -34,6 +34,7 @@ from ..session import shared_scratch, written
 from ..sources import files as FS
 from ..sources.customers import source_frame
 from ..streaming.scoring import start_scoring_stream, start_upload_stream
+from . import bundle as BU
 from . import oracle as O
 from . import portfolio as P
 from . import sample_uploads as UP
@@ -1010,6 +1011,20 @@ def q_s5_check(spark, sf):
                                     F.col("parameters.maxIter").alias("iterations")).withColumns(sizes)
 
 
+@register("s4_s5_bundle_check", SPLIT_SQL + f"""
+SELECT 'training' AS part, CAST(1 AS BIGINT) AS rows, true AS verified UNION ALL SELECT 'metrics', 1, true
+UNION ALL SELECT 'report', 5, true UNION ALL SELECT 'importance', {len(IMPORTANCE_COLUMNS)}, true
+UNION ALL SELECT 'test_predictions', count(*), true FROM split WHERE split = 'test'""")
+def q_bundle(spark, sf):
+    """A published version's parts, and whether what is stored has the manifest's rows and checksums."""
+    t = TR.train_final(spark, sf)
+    folder = shared_scratch(spark, "bundle")
+    version = BU.publish(spark, t, folder, IMP.permutation_importance(P.customers(spark, sf), RuleScorer()))
+    verified = BU.verify(spark, folder) == version
+    return (BU.versions(spark, folder).select(F.explode("parts").alias("p")).where("p.part <> 'model'")
+            .select("p.part", "p.rows", F.lit(verified).alias("verified")))
+
+
 @register("m2_final_model_check", SPLIT_SQL + "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS mismatches, "
           "CAST(0 AS BIGINT) AS loss_rises FROM split WHERE split = 'test'")
 def q_m2_check(spark, sf):

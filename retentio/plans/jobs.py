@@ -2,9 +2,9 @@
 
     python -m retentio.plans.jobs train --sf-dir /data/tables --out /shared/churn
     python -m retentio.plans.jobs train --input customers.csv --out /shared/churn
-    python -m retentio.plans.jobs score --model /shared/churn/model --input upload.csv --out /shared/scored
+    python -m retentio.plans.jobs score --model /shared/churn --input upload.csv --out /shared/scored
 
-Training: split → fit pipeline → held-out metrics → permutation importance → save model + metadata.
+Training: split → fit pipeline → held-out metrics → permutation importance → publish model + metadata as a new version.
 Scoring: CSV upload (bad lines kept apart) → probabilities, risk, decision, action → sorted CSV, plus
 risk counts and advice lines.  Paths must be shared storage on a cluster.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 import argparse
 import json
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..constants import DEFAULT_THRESHOLD
@@ -22,15 +23,21 @@ from ..operators.scoring import PipelineScorer, prediction_output
 from ..session import get_session, written
 from ..sources import files as FS
 from . import portfolio as P
-from .training import FINAL, fit_final, load_model, read_metadata, save_metadata, save_model
+from .bundle import current, load_published, publish
+from .training import FINAL, fit_final, load_model
 
 
 def train(spark: SparkSession, data: DataFrame, out: str, classifier_name: str = FINAL,
           early_stopping: bool | None = None) -> dict:
     t = fit_final(data, classifier_name, early_stopping)
-    save_model(t, f"{out}/model")
-    save_metadata(spark, t, out)
-    return read_metadata(spark, out)["metrics"].first().asDict()
+    version = publish(spark, t, out)
+    _, parts = load_published(spark, out, version, checked=False)
+    return {"version": version, **parts["metrics"].first().asDict()}
+
+
+def model_at(spark: SparkSession, path: str) -> PipelineModel:
+    """The newest published model in a bundle folder, or the model saved at ``path`` itself."""
+    return load_published(spark, path)[0] if current(spark, path) else load_model(path)
 
 
 def score(spark: SparkSession, model_path: str, upload: str, out: str,
@@ -38,7 +45,7 @@ def score(spark: SparkSession, model_path: str, upload: str, out: str,
     good, rejects, error = FS.try_read_batch(spark, upload)
     if error:
         return {"error": error}
-    scored = written(prediction_output(PipelineScorer(load_model(model_path)), good, threshold, normalized=True), "scored")
+    scored = written(prediction_output(PipelineScorer(model_at(spark, model_path)), good, threshold, normalized=True), "scored")
     FS.write_scored_csv(scored, f"{out}/predictions")
     rejects.write.mode("overwrite").text(f"{out}/rejected_lines")
     balance = reports.batch_balance(scored).first().asDict()

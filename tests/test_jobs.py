@@ -14,10 +14,11 @@ def test_train_then_score(spark, sf_small):
     upload = shared_scratch(spark, "t-upload")
     text = FS.as_text(source_frame(spark, sf_small, "spanish"))
     text.write.mode("overwrite").option("header", True).csv(upload)
-    res = jobs.score(spark, f"{out}/model", upload, shared_scratch(spark, "t-scored"))
+    res = jobs.score(spark, out, upload, shared_scratch(spark, "t-scored"))
     bal = res["balance"]
     assert bal["total"] == 150 and bal["high"] + bal["medium"] + bal["low"] == 150
     assert res["rejected"] == 0 and res["advice"][-1].startswith("Download")
+    out = f"{out}/versions/{metrics['version']}"
     assert spark.read.json(f"{out}/metrics").count() == 1
     assert spark.read.json(f"{out}/importance").count() == 23
     record = spark.read.json(f"{out}/training").first()
