@@ -5,11 +5,13 @@ All statistics of one pass are computed together.  Results are constant-size
 Python scalars, like fitted parameters of a Spark ML model.
 
 Exact quantiles (linear interpolation, ``(n-1)·q`` positions) use a distributed
-selection: each needed rank is located by counting values per bucket of a
-monotone bucket key inside a value range, narrowing the range to the bucket
-holding the rank, until a range is small enough to rank its distinct values in
-one task.  No step gathers a whole column into one task or the driver, and a
-hot value collapses in the map-side ``groupBy(value)`` pre-aggregation.
+selection.  One wide pass counts every column and sketches it (KLL); the sketch
+names a narrow value range for each quantile, a second wide pass counts the values
+below and inside the ranges, and only the values inside leave their rows.  A
+range that still holds too many values is narrowed further by counting them per
+bucket of a monotone key, until its distinct values can be ranked in one task.
+No step gathers a whole column into one task or the driver, and a hot value
+collapses in the map-side ``groupBy(value)`` pre-aggregation.
 """
 
 from __future__ import annotations
@@ -30,14 +32,10 @@ FINAL_RANGE_ROWS = 2_000_000
 SCALE = 1e9
 PER_EFOLD = 256
 MAX_LEVELS = 8
-
-
-def _long(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(c, v) pairs of non-null values for ``columns``."""
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns
-    ])).alias("p")
-    return df.select(pairs).select("p.c", "p.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
+# Sketch size, and the margin of rank on each side of a quantile (several times the sketch's rank error).
+SKETCH_K = 1024
+MARGIN = 0.01
+MERGE_GROUPS = 512                 # sketches of this many groups of partitions meet in the last merge
 
 
 def column_counts(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, float | None, float | None]]:
@@ -57,63 +55,98 @@ def _positions(n: int, q: float) -> tuple[int, int, float]:
     return lo, math.ceil(pos), pos - lo
 
 
+def _values(c: str) -> F.Column:
+    v = F.col(c).cast("double")
+    return F.when(~F.isnan(v), v)
+
+
+def _sketched(df: DataFrame, probs_by: dict) -> tuple[dict, dict]:
+    """One wide pass: (count, min, max) per column, and per (column, quantile) the range that should hold its ranks.
+
+    Sketches are merged in two steps, so no task receives those of all partitions of a large table.
+    """
+    columns = list(probs_by)
+    partial = df.select(*[_values(c).alias(f"v{i}") for i, c in enumerate(columns)]).groupBy(
+        F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("g")).agg(*[x for i in range(len(columns)) for x in (
+            F.count(f"v{i}").alias(f"n{i}"), F.min(f"v{i}").alias(f"a{i}"), F.max(f"v{i}").alias(f"z{i}"),
+            F.kll_sketch_agg_double(f"v{i}", SKETCH_K).alias(f"k{i}"))])
+    merged = partial.agg(*[x for i in range(len(columns)) for x in (
+        F.sum(f"n{i}").alias(f"n{i}"), F.min(f"a{i}").alias(f"a{i}"), F.max(f"z{i}").alias(f"z{i}"),
+        F.kll_merge_agg_double(F.when(F.col(f"n{i}") > 0, F.col(f"k{i}")), SKETCH_K).alias(f"k{i}"))])
+    ends = [F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(f"k{i}", F.array(*[
+        F.lit(min(max(q + side, 0.0), 1.0)) for q in probs_by[c] for side in (-MARGIN, MARGIN)]))).alias(f"e{i}")
+        for i, c in enumerate(columns)]
+    row = merged.select(*[f"{p}{i}" for i in range(len(columns)) for p in "naz"], *ends).first()
+    counts, ranges = {}, {}
+    for i, c in enumerate(columns):
+        counts[c] = (row[f"n{i}"] or 0, row[f"a{i}"], row[f"z{i}"]) if row else (0, None, None)
+        if counts[c][0]:
+            for j, q in enumerate(probs_by[c]):
+                lo, hi = row[f"e{i}"][2 * j:2 * j + 2]
+                ranges[(c, q)] = (counts[c][1] if q <= MARGIN else lo, counts[c][2] if q >= 1 - MARGIN else hi)
+    return counts, ranges
+
+
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float] | dict[str, list[float]],
                     counts: dict | None = None) -> dict[tuple[str, float], float | None]:
-    """Exact linearly-interpolated quantiles; ``None`` for a column without values."""
+    """Exact linearly-interpolated quantiles; ``None`` for a column without values.
+
+    ``counts`` may give known (count, min, max) per column, which saves a pass; wrong ones are noticed and measured.
+    """
     probs_by = probs if isinstance(probs, dict) else {c: list(probs) for c in columns}
-    # the exploded (column, value) form is rebuilt from ``df`` by each pass rather than cached: it is
-    # columns × rows large, while callers pass a persisted frame or a Parquet scan
-    long = _long(df, list(probs_by))
-    # known counts may omit min/max when every column is small enough to be ranked directly
-    if counts is not None and any(counts[c][0] > FINAL_RANGE_ROWS and counts[c][1] is None for c in probs_by):
-        counts = None
-    def measured():
-        got = {r["c"]: (r["n"], r["mn"], r["mx"]) for r in long.groupBy("c").agg(
-            F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx")).collect()}
-        return {c: got.get(c, (0, None, None)) for c in probs_by}
-
-    if counts is None:
-        return _quantiles_from(long, probs_by, measured())
-    try:
-        return _quantiles_from(long, probs_by, counts)
-    except KeyError:                     # supplied counts disagreed with the data: measure them
-        return _quantiles_from(long, probs_by, measured())
-
-
-def _quantiles_from(long: DataFrame, probs_by: dict, counts: dict) -> dict:
+    if not probs_by:
+        return {}
+    counts = column_counts(df, list(probs_by)) if counts is None else counts
+    if all(counts[c][0] <= FINAL_RANGE_ROWS for c in probs_by):       # every value is ranked at once
+        try:
+            return _quantiles_from(df, probs_by, counts, {})
+        except KeyError:                 # supplied counts disagreed with the data
+            pass
+    return _quantiles_from(df, probs_by, *_sketched(df, probs_by))
+
+
+def _quantiles_from(df: DataFrame, probs_by: dict, counts: dict, ranges: dict) -> dict:
     result: dict[tuple[str, float], float | None] = {}
-    ranks: dict[str, set[int]] = defaultdict(set)
+    wanted: dict[tuple[str, float], set[int]] = {}
     for c, qs in probs_by.items():
-        n, _, _ = counts[c]
+        n = counts[c][0]
         for q in qs:
-            if not n:
+            if n:
+                wanted[(c, q)] = set(_positions(n, q)[:2])
+            else:
                 result[(c, q)] = None
-                continue
-            lo, hi, _ = _positions(n, q)
-            ranks[c].update((lo, hi))
-    if not ranks:
+    if not wanted:
         return result
-    values = _select_ranks(long, counts, ranks)
-    for c, qs in probs_by.items():
-        n, _, _ = counts[c]
-        if not n:
-            continue
-        for q in qs:
-            lo, hi, frac = _positions(n, q)
-            a, b = values[(c, lo)], values[(c, hi)]
-            result[(c, q)] = a if lo == hi else a + (b - a) * frac
+    values = _select_ranks(df, _first_cells(df, counts, ranges, wanted))
+    for c, q in wanted:
+        lo, hi, frac = _positions(counts[c][0], q)
+        a, b = values[(c, lo)], values[(c, hi)]
+        result[(c, q)] = a if lo == hi else a + (b - a) * frac
     return result
 
 
-def _select_ranks(long: DataFrame, counts: dict, ranks: dict[str, set[int]]) -> dict[tuple[str, int], float]:
-    """Value at each 0-based rank (ascending) per column, by range narrowing over (c, v) pairs."""
-    spark = long.sparkSession
+def _first_cells(df: DataFrame, counts: dict, ranges: dict, wanted: dict) -> list[tuple]:
+    """Cells (column, lo, hi, offset, count, ranks) to start with: the sketch's ranges where a column is too large to be
+    ranked at once, after one wide pass that counts the values below and in each; else the whole column.  A range that
+    does not hold its ranks after all is not used."""
+    whole: dict[str, set[int]] = defaultdict(set)
+    cells, asked = [], [k for k in wanted if counts[k[0]][0] > FINAL_RANGE_ROWS and k in ranges]
+    found = iter(df.agg(*[F.count_if(t) for c, q in asked for v, (lo, hi) in [(_values(c), ranges[(c, q)])]
+                          for t in (v < lo, v.between(lo, hi))]).first()) if asked else iter(())
+    held = {k: (next(found), next(found)) for k in asked}
+    for (c, q), rs in wanted.items():
+        below, inside = held.get((c, q), (0, 0))
+        if min(rs) >= below and max(rs) < below + inside:
+            cells.append((c, *ranges[(c, q)], below, inside, sorted(rs)))
+        else:
+            whole[c] |= rs
+    return cells + [(c, counts[c][1], counts[c][2], 0, counts[c][0], sorted(rs)) for c, rs in whole.items()]
+
+
+def _select_ranks(df: DataFrame, cells: list[tuple]) -> dict[tuple[str, int], float]:
+    """Value at each 0-based rank (ascending) per column, by range narrowing from the given cells."""
+    spark = df.sparkSession
     found: dict[tuple[str, int], float] = {}
-    # cell = (column, lo, hi, offset, count, ranks)
-    cells = []
-    for c, rs in ranks.items():
-        n, mn, mx = counts[c]
-        cells.append((c, mn, mx, 0, n, sorted(rs)))
     for _ in range(MAX_LEVELS):
         final, split = [], []
         for cell in cells:
@@ -126,43 +159,46 @@ def _select_ranks(long: DataFrame, counts: dict, ranks: dict[str, set[int]]) ->
             else:
                 split.append(cell)
         if final:
-            found.update(_rank_in_cells(spark, long, final))
+            found.update(_rank_in_cells(spark, df, final))
         if not split:
             break
-        cells = _narrow(spark, long, split)
+        cells = _narrow(spark, df, split)
     else:
         wide = [c[0] for c in cells if c[4] > FINAL_RANGE_ROWS and c[1] != c[2]]
         if wide:
             raise RuntimeError(f"ranges of {wide} stay above {FINAL_RANGE_ROWS} values after {MAX_LEVELS} levels")
-        found.update(_rank_in_cells(spark, long, cells))
+        found.update(_rank_in_cells(spark, df, cells))
     return found
 
 
-def _cells_frame(spark, cells):
-    inf = float("inf")
-    rows = [(i, c, -inf if lo is None else float(lo), inf if hi is None else float(hi), int(off))
-            for i, (c, lo, hi, off, _n, _r) in enumerate(cells)]
-    return spark.createDataFrame(rows, "cell long, c string, lo double, hi double, off long")
-
-
 def _ranks_frame(spark, cells):
     rows = [(i, int(r)) for i, cell in enumerate(cells) for r in cell[5]]
     return spark.createDataFrame(rows, "cell long, r long")
 
 
-def _in_cells(long: DataFrame, cells_df: DataFrame) -> DataFrame:
-    # cells_df holds one row per needed rank range: bounded by the number of requested quantiles.
-    return long.join(F.broadcast(cells_df), "c").where(F.col("v").between(F.col("lo"), F.col("hi")))
+def _in_cells(df: DataFrame, cells) -> DataFrame:
+    """(cell, v) of the values inside the cells; a row gives only those of its values."""
+    found = []
+    for i, (c, lo, hi, _off, _n, _r) in enumerate(cells):
+        v = _values(c)
+        inside = v.isNotNull() if lo is None else v.between(F.lit(float(lo)), F.lit(float(hi)))
+        found.append(F.when(inside, F.struct(F.lit(i).cast("long").alias("cell"), v.alias("v"))))
+    return df.select(F.explode(F.array(*found)).alias("p")).where("p IS NOT NULL").select("p.*")
+
+
+def _of(cells, field: int) -> F.Column:
+    """A field of the row's cell."""
+    return F.element_at(F.lit([cell[field] for cell in cells]), F.col("cell").cast("int") + 1)
 
 
-def _narrow(spark, long: DataFrame, cells):
-    cdf = _cells_frame(spark, cells)
-    x = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(SCALE)
-    keyed = _in_cells(long, cdf).withColumn("k", F.floor(F.log1p(x) * F.lit(PER_EFOLD)))
-    buckets = keyed.groupBy("cell", "c", "off", "k").agg(
+def _narrow(spark, df: DataFrame, cells):
+    cells = [(c, float(lo), float(hi), off, n, rs) for c, lo, hi, off, n, rs in cells]
+    x = (F.col("v") - _of(cells, 1)) / (_of(cells, 2) - _of(cells, 1)) * F.lit(SCALE)
+    keyed = _in_cells(df, cells).withColumn("k", F.floor(F.log1p(x) * F.lit(PER_EFOLD)))
+    buckets = keyed.groupBy("cell", "k").agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("kmin"), F.max("v").alias("kmax"))
     w = Window.partitionBy("cell").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    buckets = buckets.withColumn("end", F.col("off") + F.sum("n").over(w))
+    buckets = buckets.withColumns({"c": _of(cells, 0), "end": _of(cells, 3) + F.sum("n").over(w)})
     hit = (buckets.join(_ranks_frame(spark, cells), "cell")
            .where((F.col("r") >= F.col("end") - F.col("n")) & (F.col("r") < F.col("end"))))
     grouped: dict = {}
@@ -172,11 +208,10 @@ def _narrow(spark, long: DataFrame, cells):
     return [(c, lo, hi, off, n, sorted(rs)) for (c, lo, hi, off, n), rs in grouped.items()]
 
 
-def _rank_in_cells(spark, long: DataFrame, cells) -> dict[tuple[str, int], float]:
-    cdf = _cells_frame(spark, cells)
-    distinct = _in_cells(long, cdf).groupBy("cell", "c", "off", "v").agg(F.count(F.lit(1)).alias("n"))
+def _rank_in_cells(spark, df: DataFrame, cells) -> dict[tuple[str, int], float]:
+    distinct = _in_cells(df, cells).groupBy("cell", "v").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    distinct = distinct.withColumn("end", F.col("off") + F.sum("n").over(w))
+    distinct = distinct.withColumns({"c": _of(cells, 0), "end": _of(cells, 3) + F.sum("n").over(w)})
     hit = (distinct.join(_ranks_frame(spark, cells), "cell")
            .where((F.col("r") >= F.col("end") - F.col("n")) & (F.col("r") < F.col("end"))))
     return {(row["c"], row["r"]): row["v"] for row in hit.select("c", "r", "v").collect()}

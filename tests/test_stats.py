@@ -63,3 +63,28 @@ def test_wrong_supplied_counts_fall_back_to_measured(spark):
     df = spark.createDataFrame([(float(i),) for i in range(10)], "x double")
     got = stats.exact_quantiles(df, ["x"], [0.5, 1.0], counts={"x": (25, None, None)})
     assert got[("x", 0.5)] == 4.5 and got[("x", 1.0)] == 9.0
+
+
+def test_sketch_ranges_hold_the_ranks_and_few_values(spark, monkeypatch):
+    monkeypatch.setattr(stats, "FINAL_RANGE_ROWS", 10_000)
+    df = spark.range(0, 200_000, 1, 7).selectExpr(
+        "CAST(pmod(xxhash64(id), 1000003) AS double) AS a", "exp(pmod(xxhash64(id), 41)) AS b",
+        "CASE WHEN id % 3 = 0 THEN 7d WHEN id % 5 = 0 THEN double('NaN') ELSE id END AS hot")
+    probs, pdf = [0.0, 0.01, 0.5, 0.99, 1.0], df.toPandas()
+    counts, ranges = stats._sketched(df, {c: probs for c in df.columns})
+    assert counts["a"][0] == 200_000 and counts["hot"][0] == int(pdf["hot"].notna().sum())
+    wanted = {(c, q): set(stats._positions(counts[c][0], q)[:2]) for c in df.columns for q in probs}
+    cells = stats._first_cells(df, counts, ranges, wanted)
+    assert len(cells) == 15 and all(cell[4] < 8_000 for cell in cells if cell[0] == "a")
+    got = stats.exact_quantiles(df, df.columns, probs)
+    for (c, q), v in got.items():
+        assert math.isclose(v, pdf[c].quantile(q), rel_tol=1e-12, abs_tol=1e-12), (c, q)
+
+
+def test_a_range_without_its_ranks_is_not_used(spark, monkeypatch):
+    monkeypatch.setattr(stats, "FINAL_RANGE_ROWS", 100)
+    df = spark.range(5000).selectExpr("CAST(id AS double) AS a")
+    wanted = {("a", 0.5): {2499, 2500}}
+    cells = stats._first_cells(df, {"a": (5000, 0.0, 4999.0)}, {("a", 0.5): (10.0, 20.0)}, wanted)
+    assert cells == [("a", 0.0, 4999.0, 0, 5000, [2499, 2500])]
+    assert stats._select_ranks(df, cells) == {("a", 2499): 2499.0, ("a", 2500): 2500.0}
