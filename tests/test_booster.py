@@ -136,3 +136,50 @@ def test_odd_tables(spark):
             raise AssertionError
         except ValueError as e:
             assert "both classes" in str(e)
+
+
+def test_bit_sets_reach_the_leaves_of_a_walk():
+    """Trees of more than 64 and 128 leaves, chains included, with missing values."""
+    rng = np.random.default_rng(4)
+    for leaves, chain in ((2, False), (63, False), (64, True), (65, False), (150, True), (200, False)):
+        tree, open_ = booster.Tree(), [0]
+        tree.add()
+        while len(open_) < leaves:
+            n = open_.pop(-1 if chain else int(rng.integers(len(open_))))
+            tree.feature[n], tree.bin[n], tree.missing_left[n] = int(rng.integers(5)), int(rng.integers(0, 255)), bool(rng.integers(2))
+            tree.left[n], tree.right[n] = tree.add(), tree.add()
+            open_ += [tree.left[n], tree.right[n]]
+        tree.value = rng.normal(size=len(tree.left)).tolist()
+        bins = rng.integers(0, 256, (5, 700)).astype(np.uint8)
+        bins[:, ::7] = booster.MISSING
+        walked = []
+        for column in bins.T:
+            n = 0
+            while tree.left[n] >= 0:
+                b = column[tree.feature[n]]
+                n = tree.left[n] if (tree.missing_left[n] if b == booster.MISSING else b <= tree.bin[n]) else tree.right[n]
+            walked.append(n)
+        assert tree.routes().leaves(bins).tolist() == walked
+        assert tree.routes().added(bins).tolist() == [tree.value[n] for n in walked]
+
+
+def test_rules_walk_beside_broadcast_nodes(spark):
+    """The check never multiplies rows by trees: no rows are generated, grouped or joined by key."""
+    df, _ = _rows(spark, 200)
+    model = LeafwiseBooster(maxIter=4, minLeafRows=10).fit(df)
+    ruled = model.scored_by_rules(model.transform(df).select(ID, "selected", vector_to_array("probability")[1].alias("p")))
+    plan = ruled._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan and "Join Cross" in plan
+    assert ruled.filter("abs(p - rule_probability) < 1e-9").count() == 200
+
+
+def test_blocks_of_few_files_have_a_task_each(spark):
+    """Small files are read together; the blocks must not be."""
+    df, _ = _rows(spark, 400)
+    rows = df.coalesce(1).select(F.col("x"), F.col(TARGET).cast("double").alias("y"), F.col("weight").alias("w"), F.lit(0).alias("v"))
+    boosting = booster.Boosting(rows, booster.thresholds(rows), 0.0, 100, 400)
+    try:
+        assert boosting.blocks.getNumPartitions() == 4
+        assert [n > 0 for n in boosting.blocks.mapPartitions(lambda b: [sum(1 for _ in b)]).collect()] == [True] * 4
+    finally:
+        boosting.close()
