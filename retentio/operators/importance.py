@@ -42,7 +42,7 @@ def permutation_importance(test: DataFrame, scorer, columns=IMPORTANCE_COLUMNS,
     if tasks > 1:
         shared = shared.repartition(n_buckets * tasks)
     variants = shared.select("rows", F.explode("grid").alias("g"))
-    order = F.array_sort(F.transform("rows", lambda r, i: F.struct(
+    order = F.sort_array(F.transform("rows", lambda r, i: F.struct(
         F.md5(F.concat_ws(":", r[ID].cast("string"), F.col("g.variable"), F.col("g.repeat").cast("string"))).alias("k"),
         r[ID].alias("id"), i.alias("i"))))
     variants = variants.withColumn("order", order)

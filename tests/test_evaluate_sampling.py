@@ -108,3 +108,15 @@ def test_importance_uses_every_row_in_bounded_buckets(spark):
     got = {r["variable"]: r["importance_mean"] for r in permutation_importance(
         df, ByAge(), ["age", "returns_rate"], repeats=2, rows_per_bucket=50).collect()}
     assert got["returns_rate"] == 0 and 0.4 < got["age"] < 0.6
+
+
+def test_cut_points_are_found_by_bisection(spark, monkeypatch):
+    """A bucket is the number of cuts below the score, with a few steps instead of a comparison per cut."""
+    monkeypatch.setattr(E, "SCORES_PER_BUCKET", 20)
+    df = spark.createDataFrame([("a", i / 977) for i in range(900)] + [("b", 0.5)], "g string, score double")
+    found = E._score_buckets(df, ["g"])
+    assert "filter(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    cuts = (df.where("g = 'a'").agg(F.percentile_approx("score", [i / E.AUC_BUCKETS for i in range(1, E.AUC_BUCKETS)], 10 * E.AUC_BUCKETS)).first()[0])
+    got = {(r.g, r.score): r._b for r in found.collect()}
+    assert got.pop(("b", 0.5)) == 0
+    assert got == {("a", i / 977): sum(c < i / 977 for c in cuts) for i in range(900)}
