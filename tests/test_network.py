@@ -50,3 +50,15 @@ def test_odd_rows(spark, rings):
     assert model.transform(odd).count() == 52
     with pytest.raises(ValueError):
         N.Perceptron().fit(rings.where("churned > 5"))
+
+
+def test_expressions_work_out_each_layer_once(rings):
+    """A layer's input is worked out once a row; written inside the units' lambda it would be worked out once a unit."""
+    import time
+    model = N.Perceptron(hidden=[64, 32], maxIter=1).fit(rings)
+    rows = rings.crossJoin(rings.sparkSession.range(4)).coalesce(1).cache()
+    rows.count()
+    started = time.time()
+    found = model.scored_by_expressions(rows)
+    assert found.agg(F.count("rule_probability")).first()[0] == 6000
+    assert time.time() - started < 30
