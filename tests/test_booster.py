@@ -183,3 +183,12 @@ def test_blocks_of_few_files_have_a_task_each(spark):
         assert [n > 0 for n in boosting.blocks.mapPartitions(lambda b: [sum(1 for _ in b)]).collect()] == [True] * 4
     finally:
         boosting.close()
+
+
+def test_sums_added_by_tasks_give_the_same_trees(spark, monkeypatch):
+    df, _ = _rows(spark, 400)
+    fits = []
+    for direct in (64, 1):
+        monkeypatch.setattr(booster, "DIRECT_SUMS", direct)
+        fits.append(LeafwiseBooster(maxIter=2, maxLeaves=5, blockRows=100).fit(df).getOrDefault("trees"))
+    assert fits[0] == fits[1] and len(json.loads(fits[0])) == 2
