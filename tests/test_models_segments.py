@@ -123,3 +123,28 @@ def test_probabilities_follow_from_exported_parts(spark, tmp_path):
             assert far["n"] == 300 and (far["far"] < 1e-9) == equal, (name, equal, far)
         if name == "logistic_regression":
             assert logistic_gradient(one, df) < 1e-3 < logistic_gradient(other, df)
+
+
+def test_wide_projections_of_the_stages_are_compiled(spark):
+    """Stage code above HotSpot's limit is never compiled; scoring lowers Spark's limit, unless the session has its own."""
+    from pyspark.ml import PipelineModel
+    from retentio.operators.models import BusinessRules
+    from retentio.operators.scoring import PipelineScorer
+    from retentio.session import HUGE_METHOD
+    df = spark.range(3).selectExpr("id AS customer_id", "double(id) AS age")
+
+    class Half(PipelineModel):
+        def transform(self, rows, params=None):
+            from pyspark.ml.functions import array_to_vector
+            rows = BusinessRules().transform(rows)
+            return rows.withColumn("probability", array_to_vector(F.array(F.lit(0.5), F.lit(0.5))))
+    before = spark.conf.get(HUGE_METHOD, None)
+    try:
+        for given, expected in ((None, "8000"), ("20000", "20000")):
+            spark.conf.unset(HUGE_METHOD)
+            if given:
+                spark.conf.set(HUGE_METHOD, given)
+            assert PipelineScorer(Half([])).with_probability(df).where("probability = 0.5").count() == 3
+            assert spark.conf.get(HUGE_METHOD) == expected
+    finally:
+        spark.conf.unset(HUGE_METHOD) if before is None else spark.conf.set(HUGE_METHOD, before)
