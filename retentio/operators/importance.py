@@ -20,7 +20,7 @@ from . import evaluate as E
 from .sampling import hash_key, sample_rows
 
 ROWS_PER_BUCKET = 4096
-SPREAD = 8                         # tasks that share the variants of a bucket when buckets are few
+TASKS_PER_CORE = 4                 # pieces of the grid a core, at least, as long as there are variables to deal out
 
 
 def permutation_importance(test: DataFrame, scorer, columns=IMPORTANCE_COLUMNS, repeats: int = IMPORTANCE_REPEATS,
@@ -35,12 +35,13 @@ def permutation_importance(test: DataFrame, scorer, columns=IMPORTANCE_COLUMNS,
     n_buckets = max(1, -(-rows.count() // rows_per_bucket))
     dealt = F.conv(F.substring(hash_key(seed), 1, 8), 16, 10).cast("long") % n_buckets
     buckets = rows.groupBy(dealt.alias("bucket")).agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
-    tasks = max(1, min(SPREAD, len(columns), SPREAD // n_buckets))
+    wanted = TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(len(columns), -(-wanted // n_buckets)))        # that share the variants of a bucket
     grid = [[F.struct(F.lit(v).alias("variable"), F.lit(r).alias("repeat")) for v in columns[i::tasks] for r in range(repeats)]
             for i in range(tasks)]
     shared = buckets.select("bucket", "rows", F.explode(F.array(*(F.array(*g) for g in grid))).alias("grid"))
-    if tasks > 1:
-        shared = shared.repartition(n_buckets * tasks)
+    # a bucket is small, its variants are not: a task each, whatever the size of the shuffled buckets
+    shared = shared.repartition(n_buckets * tasks)
     variants = shared.select("rows", F.explode("grid").alias("g"))
     order = F.sort_array(F.transform("rows", lambda r, i: F.struct(
         F.md5(F.concat_ws(":", r[ID].cast("string"), F.col("g.variable"), F.col("g.repeat").cast("string"))).alias("k"),

@@ -120,3 +120,21 @@ def test_cut_points_are_found_by_bisection(spark, monkeypatch):
     got = {(r.g, r.score): r._b for r in found.collect()}
     assert got.pop(("b", 0.5)) == 0
     assert got == {("a", i / 977): sum(c < i / 977 for c in cuts) for i in range(900)}
+
+
+def test_importance_variants_are_dealt_to_every_core(spark):
+    """The grid of a few small buckets is scored by many tasks: adaptive execution would join the buckets to one."""
+    from retentio.operators.importance import permutation_importance
+    seen = []
+
+    class ByAge:
+        def with_probability(self, df, out="probability"):
+            if "variable" in df.columns:
+                seen.append(df.select(F.spark_partition_id().alias("p")).distinct().count())
+            return df.withColumn(out, F.col("age") / 100)
+    names = ["age", *(f"x{i}" for i in range(11))]
+    rows = [(i, int(i % 4 == 0), *(float((i * (7 + j)) % 83) for j in range(12))) for i in range(400)]
+    df = spark.createDataFrame(rows, f"customer_id long, churned int, {', '.join(f'{c} double' for c in names)}")
+    for per_bucket in (400, 50):                                # 1 and 8 buckets
+        permutation_importance(df, ByAge(), names, repeats=2, rows_per_bucket=per_bucket)
+    assert seen[0] >= 10 and seen[1] >= 10, seen
