@@ -192,3 +192,32 @@ def test_sums_added_by_tasks_give_the_same_trees(spark, monkeypatch):
         monkeypatch.setattr(booster, "DIRECT_SUMS", direct)
         fits.append(LeafwiseBooster(maxIter=2, maxLeaves=5, blockRows=100).fit(df).getOrDefault("trees"))
     assert fits[0] == fits[1] and len(json.loads(fits[0])) == 2
+
+
+def test_a_feature_has_as_many_sums_as_bins(spark):
+    """What a wave returns grows with the bins there are: 29 cells for features of 22, 1 and 0 thresholds, not 3 x 256."""
+    cells = booster.Cells([22, 1, 0])
+    rng = np.random.default_rng(2)
+    n = 500
+    bins = np.array([rng.integers(0, 23, n), rng.integers(0, 2, n), np.zeros(n)], np.uint8)
+    bins[0, ::9] = booster.MISSING
+    label, tree = (rng.random(n) < 0.4).astype(float), booster.Tree()
+    tree.add()
+    block = [bins.tobytes(), label.tobytes(), np.ones(n).tobytes(), np.zeros(n, np.uint8).tobytes(), np.zeros(n).tobytes()]
+    found = booster.histograms([block], [], tree, [0], cells)
+    assert len(found) == (24 + 3 + 2) * 3 + 4
+    sums = found[:-4].reshape(1, -1, 3)
+    assert [int(sums[0, cells.feature == f, 2].sum()) for f in range(3)] == [n] * 3
+    # the best split against every split tried by itself
+    g, h = (v / booster.FIXED for v in booster.gradients(label, np.ones(n), np.zeros(n)))
+    tried = []
+    for missing_left in (False, True):
+        for f in range(3):
+            for b in range([23, 2, 1][f]):
+                left = (bins[f] <= b) | ((bins[f] == booster.MISSING) & missing_left)
+                if 20 <= left.sum() <= n - 20:
+                    tried.append((sum(g[s].sum() ** 2 / (h[s].sum() + 0.1) for s in (left, ~left)) - g.sum() ** 2 / (h.sum() + 0.1),
+                                  f, b, missing_left, int(left.sum())))
+    top = max(tried, key=lambda t: t[0])
+    [got] = booster.best_splits(sums, cells, 0.1, 20)
+    assert got[1:] == top[1:] and math.isclose(got[0], top[0], rel_tol=1e-6)
