@@ -138,3 +138,102 @@ def test_importance_variants_are_dealt_to_every_core(spark):
     for per_bucket in (400, 50):                                # 1 and 8 buckets
         permutation_importance(df, ByAge(), names, repeats=2, rows_per_bucket=per_bucket)
     assert seen[0] >= 10 and seen[1] >= 10, seen
+
+
+def _pairs_won(rows) -> float | None:
+    """AUC by comparing all pairs; a missing score ranks lowest, NaN highest."""
+    rank = lambda s: (0, 0.0) if s is None else (2, 0.0) if s != s else (1, s)
+    pos, neg = ([rank(s) for y, s in rows if y == k] for k in (1, 0))
+    return sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg)) if pos and neg else None
+
+
+def test_auc_of_many_groups_from_sorted_arrays(spark):
+    """Interleaved groups, ties, missing, NaN and signed zero scores, null labels, one class only; any cuts."""
+    import random
+    dice = random.Random(5)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 0.25, 0.25]
+    rows = [(dice.choice([-1, 3, 70]), dice.choice([0, 0, 1, None]), dice.choice([*odd, dice.random(), dice.random()])) for _ in range(900)]
+    rows += [(9, 1, 0.5), (9, 1, 0.7)]
+    df = spark.createDataFrame(rows, "g int, churned int, probability double").repartition(3)
+    for cuts in ([], [0.0], [0.1, 0.25, 0.8]):
+        got = {r.g: r.roc_auc for r in E.auc_by_group(df, "g", cuts).collect()}
+        assert got.keys() == {-1, 3, 70, 9}
+        for g, found in got.items():
+            exact = _pairs_won([(y, s) for h, y, s in rows if h == g])
+            assert found == exact or math.isclose(found, exact), (cuts, g)
+
+
+def test_a_task_ships_sorted_arrays_not_a_row_per_score(spark):
+    df = spark.range(40_000, numPartitions=1).selectExpr("CAST(id % 4 AS INT) AS grp", "CAST(id % 3 = 0 AS INT) AS label", "rand(3) AS score")
+    cells = df.mapInArrow(E._sorted_cells([0.3, 0.6]), E.CELLS).collect()
+    assert len(cells) == 12 and {(r.grp, r.part) for r in cells} == {(g, p) for g in range(4) for p in (1, 2, 3)}
+    assert sum(len(r.pos) + len(r.neg) for r in cells) == 8 * 40_000 and not any(r.pos_n or r.neg_n for r in cells)
+
+
+def test_importance_counts_no_row_per_score(spark, monkeypatch):
+    """A (variant, score) table is as long as the whole grid: the bundle's importance ran out of time over it."""
+    from retentio.operators.importance import permutation_importance
+
+    def tabled(*_, **__):
+        raise AssertionError("a row per distinct score of a variant")
+
+    class ByAge:
+        def with_probability(self, df, out="probability"):
+            return df.withColumn(out, F.col("age") / 100)
+    monkeypatch.setattr(E, "score_table", tabled)
+    df = spark.createDataFrame([(i, i % 2, float(i * 7 % 50)) for i in range(200)], "customer_id long, churned int, age double")
+    assert permutation_importance(df, ByAge(), ["age"], repeats=2).count() == 1
+
+
+def test_importance_permutes_in_hash_order_whatever_the_keys(spark):
+    """Compared with the definition in plain Python: string keys, short, longer than a digest's block, not ASCII, null."""
+    import hashlib
+    import statistics
+
+    from retentio.operators.importance import permutation_importance
+
+    class ByBoth:
+        def with_probability(self, df, out="probability"):
+            return df.withColumn(out, F.col("a") / 10 + F.coalesce(F.length("b"), F.lit(0)))
+    keys = [*(f"k{i}" for i in range(40)), *(f"{i}" * 70 for i in range(3)), "\u00e9\u4e2d", "", None]
+    rows = [(k, int(i % 3 == 0), float(i * 7 % 13), None if i % 11 == 0 else "x" * (i % 4)) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "customer_id string, churned int, a double, b string")
+    got = {r.variable: r for r in permutation_importance(df, ByBoth(), ["a", "b"], repeats=3).collect()}
+
+    def auc(values):
+        return _pairs_won([(y, a / 10 + len(b or "")) for (_, y, *_), (a, b) in zip(rows, values)])
+    base = auc([r[2:] for r in rows])
+    for at, name in enumerate(["a", "b"]):
+        drops = []
+        for r in range(3):
+            order = sorted(range(len(rows)), key=lambda i: hashlib.md5(":".join([*([] if rows[i][0] is None else [rows[i][0]]), name, str(r)]).encode()).hexdigest())
+            following = dict(zip(order, order[1:] + order[:1]))
+            drops.append(base - auc([tuple(rows[following[i]][2 + c] if c == at else rows[i][2 + c] for c in range(2)) for i in range(len(rows))]))
+        assert math.isclose(got[name].importance_mean, statistics.fmean(drops), abs_tol=1e-12)
+        assert math.isclose(got[name].importance_std, statistics.pstdev(drops), abs_tol=1e-12)
+
+
+def test_digests_of_many_texts_equal_the_library():
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+    from retentio.operators.digests import Prefixes, hash_order
+    texts = ["", "7:", "12:", "1234567:", "\u00e9:", "x" * 40, *(f"{i}:" for i in range(300))]
+    for more in ([], ["y" * 54], ["z" * 200]):                 # one block; one block but not with the suffix; several
+        for suffixes in ([b"age:0"], [b"age:0", b"a:11", b""]):
+            high, low = Prefixes.of(pa.array([*texts, *more])).digests(suffixes)
+            for h, l, s in zip(high, low, suffixes):
+                exact = [hashlib.md5(t.encode() + s).hexdigest() for t in [*texts, *more]]
+                assert [f"{int(a):016x}{int(b):016x}" for a, b in zip(h, l)] == exact
+                assert hash_order(h, l).tolist() == sorted(range(len(exact)), key=exact.__getitem__)
+    same = np.array([5, 5, 1, 5], np.uint64)
+    assert hash_order(same, np.array([9, 2, 7, 2], np.uint64)).tolist() == [2, 1, 3, 0]
+
+
+def test_the_rule_scorer_reads_what_it_names(spark, sf_small):
+    from retentio.operators.scoring import RuleScorer
+    from retentio.plans import portfolio as P
+    df, scorer = P.customers(spark, sf_small), RuleScorer()
+    few = scorer.with_probability(df.select("customer_id", *scorer.reads))
+    assert few.select("customer_id", "probability").exceptAll(scorer.with_probability(df).select("customer_id", "probability")).count() == 0
