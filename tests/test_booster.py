@@ -221,3 +221,32 @@ def test_a_feature_has_as_many_sums_as_bins(spark):
     top = max(tried, key=lambda t: t[0])
     [got] = booster.best_splits(sums, cells, 0.1, 20)
     assert got[1:] == top[1:] and math.isclose(got[0], top[0], rel_tol=1e-6)
+
+
+def test_features_with_few_bins_share_a_byte():
+    """A wave over packed blocks, with missing values, gives the sums, loss and routes of blocks with a row per feature."""
+    import pickle
+    sizes = [254, 21, 10, 1, 1, 0, 1, 1, 1, 1, 2]
+    planes, rng, n = booster.Planes(sizes), np.random.default_rng(6), 3000
+    assert planes.count == 4 and pickle.loads(pickle.dumps(planes)) == planes        # 10 x 256 codes before
+    bins = np.array([rng.integers(0, s + 1, n) for s in sizes], np.uint8)
+    bins[rng.random(bins.shape) < 0.1] = booster.MISSING
+    packed = planes.packed(bins)
+    for f, s in enumerate(sizes):
+        row, digits, missing = planes.layout(f)
+        assert np.where(digits[packed[row]] == missing, booster.MISSING, digits[packed[row]]).tolist() == bins[f].tolist()
+    rest = [c.tobytes() for c in ((rng.random(n) < 0.3).astype(float), rng.random(n), (rng.random(n) < 0.1).astype(np.uint8), rng.normal(size=n))]
+    cells = booster.Cells(sizes)
+    trees = []
+
+    def ask(block, how):
+        def sums(tree, wanted):
+            found = booster.histograms([block], trees, tree, wanted, cells, how)
+            return found[:-4].reshape(len(wanted), -1, 3), found[-4:]
+        return sums
+    for _ in range(3):
+        (a, ends), (b, same) = (booster.grow(ask([m.tobytes(), *rest], how), cells, 20, 0.1, 0.3, 20)
+                                for m, how in ((bins, None), (packed, planes)))
+        assert vars(a) == vars(b) and ends.tolist() == same.tolist() and len(a.left) > 20
+        assert a.routes().leaves(bins).tolist() == b.routes(planes).leaves(packed).tolist()
+        trees.append(a)
